@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.dna import share
 from .ranks import exact_quantiles, totals_before
@@ -386,7 +387,7 @@ def _upper_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.where(t >= 0, half, 1 - half)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_upper_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(T > t) of Student's t; null where t or the degrees of freedom are missing."""
     ok = t.notna() & df.notna() & np.isfinite(t) & (df > 0)
