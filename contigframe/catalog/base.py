@@ -23,14 +23,18 @@ SIZE, STRIDE, MIN_LEN = 200, 150, 60
 
 # Weights of the linear scorer: shares of G, C, A, T and the skew, one row per class.
 WEIGHTS = [
-    [2.0, -1.0, 3.0, 1.0, 0.5],
-    [6.0, 2.0, -2.0, 0.5, 1.0],
-    [-1.0, 3.0, 2.5, 2.0, -1.5],
-    [1.5, 4.0, 1.0, -1.0, -0.5],
-    [3.0, 0.5, 0.5, 4.0, 0.25],
-    [0.5, 1.5, 4.0, -0.5, 1.5],
+    [2.01371, -1.02713, 3.03191, 1.04337, 0.51713],
+    [6.02179, 2.03347, -2.01931, 0.52391, 1.01327],
+    [-1.03119, 3.01733, 2.52871, 2.03919, -1.51331],
+    [1.52117, 4.02939, 1.01773, -1.03733, -0.52397],
+    [3.03391, 0.51917, 0.52771, 4.01393, 0.26113],
+    [0.52973, 1.51339, 4.03177, -0.51797, 1.52311],
 ]
-BIAS = [0.25, 0.1, 0.05, 0.3, 0.0, -0.2]
+BIAS = [0.25317, 0.10939, 0.05171, 0.30713, 0.01939, -0.20373]
+
+# Added before rounding on both sides, so that a value on the border of two roundings does not
+# depend on the order in which a sum was taken.
+NUDGE = 2.718e-10
 
 
 @dataclass(frozen=True)
@@ -48,7 +52,7 @@ def _spark_value(name: str, kind: str) -> Column:
         return c.cast("bigint").alias(name)
     if kind == "d":
         # Plus zero turns a rounded -0.0 into 0.0.
-        return (F.round(c.cast("double"), 6) + F.lit(0.0)).alias(name)
+        return (F.round(c.cast("double") + NUDGE, 6) + F.lit(0.0)).alias(name)
     if kind == "b":
         return c.cast("boolean").alias(name)
     if kind == "s":
@@ -61,7 +65,7 @@ def _spark_value(name: str, kind: str) -> Column:
         ).alias(name)
     if kind == "ld":
         return F.array_join(
-            F.transform(c, lambda x: F.format_string("%.5f", F.round(x, 5) + F.lit(0.0))), ","
+            F.transform(c, lambda x: F.format_string("%.5f", F.round(x + NUDGE, 5) + F.lit(0.0))), ","
         ).alias(name)
     raise ValueError(kind)
 
@@ -70,14 +74,14 @@ def _sql_value(name: str, kind: str) -> str:
     q = f'"{name}"'
     return {
         "i": f"CAST({q} AS BIGINT)",
-        "d": f"round(CAST({q} AS DOUBLE), 6) + 0.0",
+        "d": f"round(CAST({q} AS DOUBLE) + {NUDGE}, 6) + 0.0",
         "b": f"CAST({q} AS BOOLEAN)",
         "s": f"CAST({q} AS VARCHAR)",
         "l": f"array_to_string(CAST({q} AS VARCHAR[]), ',')",
         "ll": f"array_to_string(list_transform({q}, lambda x: "
         "array_to_string(CAST(x AS VARCHAR[]), ',')), '|')",
         "ld": f"array_to_string(list_transform({q}, lambda x: "
-        "printf('%.5f', round(CAST(x AS DOUBLE), 5) + 0.0)), ',')",
+        f"printf('%.5f', round(CAST(x AS DOUBLE) + {NUDGE}, 5) + 0.0)), ',')",
     }[kind] + f" AS {q}"
 
 

@@ -572,9 +572,10 @@ def _(spark, d):
               CASE WHEN len(list_filter(hits, lambda s: i > s AND i <= s + 64)) > 0
                    THEN lower(ch) ELSE ch END), '') AS masked
         FROM (SELECT *, list_filter(starts, lambda s: 10.0::DOUBLE * list_sum(list_transform(
-                range(0, least(64, length(crop) - s) - 2), lambda i: len(list_filter(
-                  range(0, i), lambda j: substr(crop, (s + i + 1)::BIGINT, 3) =
-                                        substr(crop, (s + j + 1)::BIGINT, 3)))))
+                map_values(list_aggregate(list_transform(
+                  range(0, least(64, length(crop) - s) - 2),
+                  lambda i: substr(crop, (s + i + 1)::BIGINT, 3)), 'histogram')),
+                lambda c: (c * (c - 1) // 2)::BIGINT))
                 / (least(64, length(crop) - s) - 3) > 8) AS hits
               FROM (SELECT *, list_distinct(range(0, greatest(length(crop) - 64, 0) + 1, 32) ||
                               [greatest(length(crop) - 64, 0)]) AS starts

@@ -70,21 +70,19 @@ def value_buckets(
     """Add ``_bucket``, ordered with ``value`` and holding about equal shares of each group.
 
     The n * n cut points per group come from a sketch, which may differ between two runs of the
-    same plan, so they are written out once. A cut is looked up in two short steps.
+    same plan: write the result out before using it twice. A cut is found in two short steps.
     """
     keys = list(keys)
     points = [i / (n * n) for i in range(1, n * n)]
     cuts = df.groupBy(*keys).agg(
         F.percentile_approx(value, points, accuracy).alias("_fine"),
     )
-    cuts = cut(
-        cuts.select(
-            *keys,
-            "_fine",
-            F.transform(
-                F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get(F.col("_fine"), i * n - 1)
-            ).alias("_coarse"),
-        )
+    cuts = cuts.select(
+        *keys,
+        "_fine",
+        F.transform(
+            F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get(F.col("_fine"), i * n - 1)
+        ).alias("_coarse"),
     )
     high = F.size(F.filter("_coarse", lambda c: c <= F.col(value)))
     low = F.size(
@@ -114,7 +112,7 @@ def totals_before(
     if not keys:
         data = data.withColumn("_all", F.lit(0))
         keys = ["_all"]
-    data = value_buckets(data, keys, value, n)
+    data = cut(value_buckets(data, keys, value, n))
     per = data.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(c) for c in sums])
     w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

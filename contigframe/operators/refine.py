@@ -33,21 +33,28 @@ def fit_thresholds(
 
     A class with fewer than 30 correct rows gets no limit.
     """
+    measures = F.array(
+        F.struct(F.lit("tau_logit").alias("measure"), F.col("top_score").alias("x")),
+        F.struct(F.lit("tau_margin").alias("measure"), F.col("margin").alias("x")),
+    )
     correct = df.where(F.col(prediction) == F.col(truth)).select(
-        F.col(truth).alias("class"), "top_score", "margin"
+        F.col(truth).alias("class"), F.inline(measures)
     )
-
-    def limit(value: str, out: str) -> DataFrame:
-        return exact_quantiles(correct, ["class"], value, [quantile]).select(
-            "class", F.col("value").alias(out), "n"
+    limits = (
+        exact_quantiles(correct, ["class", "measure"], "x", [quantile])
+        .groupBy("class")
+        .agg(
+            *[
+                F.max(F.when(F.col("measure") == m, F.col("value"))).alias(m)
+                for m in ("tau_logit", "tau_margin")
+            ],
+            F.max("n").alias("n"),
         )
-
-    score, margin = limit("top_score", "tau_logit"), limit("margin", "tau_margin").drop("n")
+    )
     n = F.coalesce("n", F.lit(0)).cast("bigint")
     return (
         class_frame(df, classes)
-        .join(score, "class", "left")
-        .join(margin, "class", "left")
+        .join(limits, "class", "left")
         .select(
             "class",
             F.when(n >= MIN_ROWS, F.col("tau_logit")).otherwise(NO_LIMIT).alias("tau_logit"),
