@@ -40,7 +40,19 @@ NUDGE = 2.718e-10
 @dataclass(frozen=True)
 class Query:
     run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
+    columns: list[list[str]]
+    body: str | None
+    ctes: str
+
+    @property
+    def sql(self) -> str | None:
+        """The full SQL text, with the shared parts it needs."""
+        if self.body is None:
+            return None
+        parts = [f"{n} AS ({SHARED[n]})" for n in _needed(self.ctes.split())]
+        head = f"WITH {', '.join(parts)} " if parts else ""
+        chosen = ", ".join(_sql_value(n, k) for n, k in self.columns)
+        return f"{head}SELECT {chosen} FROM ({self.body}) AS result"
 
 
 REGISTRY: dict[str, Query] = {}
@@ -97,15 +109,9 @@ def register(name: str, columns: str, sql: str | None = None, ctes: str = ""):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             return fn(spark, folder).select(*[_spark_value(n, k) for n, k in spec])
 
-        text = None
-        if sql is not None:
-            parts = [f"{n} AS ({SHARED[n]})" for n in _needed(ctes.split())]
-            head = f"WITH {', '.join(parts)} " if parts else ""
-            chosen = ", ".join(_sql_value(n, k) for n, k in spec)
-            text = f"{head}SELECT {chosen} FROM ({sql}) AS result"
         if name in REGISTRY:
             raise ValueError(f"duplicate query: {name}")
-        REGISTRY[name] = Query(run, text)
+        REGISTRY[name] = Query(run, spec, sql, ctes)
         return fn
 
     return wrap

@@ -147,8 +147,8 @@ def exact_quantiles(
     keys = list(keys)
     data = df.where(F.col(value).isNotNull())
     if not keys:
-        data = data.withColumn("_all", F.lit(0))
-    by = keys or ["_all"]
+        data = data.withColumn("_every", F.lit(0))
+    by = keys or ["_every"]
     distinct = data.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     run = totals_before(distinct, by, value, ["_n"])
     targets = F.array(
