@@ -497,9 +497,8 @@ def _(spark, d):
 @register(
     "kmer_counts", "lang:s kmer:s n:i",
     """SELECT lang, kmer, count(*) AS n FROM (
-         SELECT lang, substr(seq, i + 1, 3) AS kmer FROM (
-           SELECT lang, seq, unnest(range(0, length(seq) - 2)) AS i FROM seqs
-           WHERE length(seq) >= 3)) GROUP BY ALL""",
+         SELECT lang, unnest(regexp_extract_all(substr(seq, f + 1), '...')) AS kmer
+         FROM seqs, (SELECT unnest([0, 1, 2]) AS f)) GROUP BY ALL""",
     "seqs",
 )
 def _(spark, d):

@@ -17,8 +17,8 @@ from pyspark.sql.types import StringType
 from ..functions.dna import _col, let, piece
 from ..functions.frames import letters
 from ..functions.picks import at, between, row_hash, unit
-from ..functions.scores import softmax
 from .datasets import hash_rank
+from .scoring import keep_confident
 from .skew import with_single
 
 BASES = "ACGT"
@@ -465,8 +465,4 @@ def filter_synthetic(
     df: DataFrame, scores: Column, threshold: float, label: str = "label"
 ) -> DataFrame:
     """Altered rows the scorer is still confident about, labelled 0."""
-    return (
-        df.withColumn("confidence", F.array_max(softmax(scores)))
-        .where(F.col("confidence") >= threshold)
-        .withColumn(label, F.lit(0))
-    )
+    return keep_confident(df, scores, threshold).withColumn(label, F.lit(0))

@@ -179,9 +179,10 @@ def terminal_repeats(
     offset = F.col("seq_len") - F.col("n")
     inverted = F.col("kind") == "ITR"
     send = F.col("a_start") + length
-    estart = offset + F.when(inverted, F.greatest(F.col("n") - last, F.lit(0))).otherwise(
+    back = F.when(inverted, F.greatest(F.col("n") - last, F.lit(0))).otherwise(
         F.greatest(last - length, F.lit(0))
     )
+    estart = F.when(length.isNotNull(), offset + back)
     rear = F.when(inverted, reverse_complement("_rear")).otherwise(F.col("_rear"))
     # The rear text is given in the direction in which it lies in the contig.
     rear = let(rear, lambda r: piece(r, F.col("b_start"), length))

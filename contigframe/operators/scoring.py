@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..functions.dna import share
+from ..functions.dna import let, share
 from ..functions.scores import log_softmax, sigmoid, softmax, top_index
 
 
@@ -171,13 +171,23 @@ def ood_share(df: DataFrame, keys: Sequence[str], score: str, threshold: float)
     )
 
 
+def keep_confident(df: DataFrame, scores: Column, threshold: float) -> DataFrame:
+    """Rows whose largest class probability reaches the threshold, with it as ``confidence``.
+
+    The test is made while the row is generated: as a filter it would be pushed below the
+    projections that compute the scores, and they would be evaluated twice.
+    """
+    kept = let(
+        F.array_max(softmax(scores)),
+        lambda p: F.when(p >= threshold, F.array(F.struct(p.alias("confidence")))),
+    )
+    return df.select("*", F.inline_outer(kept)).where("confidence IS NOT NULL")
+
+
 def select_id_ood(df: DataFrame, threshold: float, scores: str = "scores", label: str = "label"):
     """Confident rows only: 1 where the class is right, 0 where it is wrong."""
-    p = softmax(F.col(scores))
-    return (
-        df.withColumn("confidence", F.array_max(p))
-        .where(F.col("confidence") >= threshold)
-        .withColumn("id_label", (top_index(F.col(scores)) == F.col(label)).cast("int"))
+    return keep_confident(df, F.col(scores), threshold).withColumn(
+        "id_label", (top_index(F.col(scores)) == F.col(label)).cast("int")
     )
 
 

@@ -122,7 +122,7 @@ def ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
         if longer.isEmpty():
             break
         paths, reach = paths.unionByName(longer), reach * 2
-    return self_rows.unionByName(paths)
+    return cut(self_rows.unionByName(paths))
 
 
 def majority_lca(
@@ -166,7 +166,8 @@ def lineage_string(
     """
     ranked = (
         nodes.where(F.col("rank") != "no rank")
-        .join(names, "taxid")
+        .select("taxid", "rank")
+        .join(names.select("taxid", "name"), "taxid")
         .select(
             F.col("taxid").alias("ancestor"),
             F.concat(rank_prefix(F.col("rank")), F.lit("__"), "name").alias("_part"),

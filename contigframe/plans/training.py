@@ -26,6 +26,7 @@ from ..operators.datasets import (
     stratified_sample,
 )
 from ..operators.dedup import non_redundant, representatives
+from ..operators.lineage import cut
 from ..operators.perturb import (
     filter_synthetic,
     perturb,
@@ -128,22 +129,26 @@ def reliability_set(
     right; altered rows the scorer is still confident about are labelled 0; real rows are cut
     to the number of altered ones, label by label.
     """
-    chosen = select_id_ood(scorer(real), threshold).select(
-        "seq_id", "seq", F.col("id_label").alias("reliable")
-    )
-    sources = stratified_sample(real, "label", "seq_id", sample, seed)
-    n = sources.count()
-    plan = perturbation_plan(n, multiplier, config)
-    altered = perturb(sources, plan, seed)
+    sources = cut(stratified_sample(real, "label", "seq_id", sample, seed))
+    plan = perturbation_plan(sources.count(), multiplier, config)
+    # Written out before scoring: the scorer's filter would otherwise be pushed into the
+    # expressions that build the altered sequences, and both sets are used twice.
+    altered = cut(perturb(sources, plan, seed))
     named = altered.withColumn("seq_id", F.concat_ws("_", "kind", F.col("i").cast("string")))
-    confident = scorer(named)
-    synthetic = filter_synthetic(confident, F.col("scores"), threshold).select(
-        "seq_id", "seq", F.col("label").alias("reliable")
+    synthetic = cut(
+        filter_synthetic(scorer(named), F.col("scores"), threshold).select(
+            "seq_id", "seq", F.col("label").alias("reliable")
+        )
     )
-    matched = downsample_to_match(
-        chosen.withColumn("seq_id", F.col("seq_id").cast("string")), "reliable", "seq_id",
-        synthetic.agg(F.count(F.lit(1)).alias("n")), seed,
+    chosen = cut(
+        select_id_ood(scorer(real), threshold).select(
+            F.col("seq_id").cast("string").alias("seq_id"), "seq",
+            F.col("id_label").alias("reliable"),
+        )
     )
+    matched = downsample_to_match(
+        chosen, "reliable", "seq_id", synthetic.agg(F.count(F.lit(1)).alias("n")), seed
+    )
     return matched.select("seq_id", "seq", "reliable").unionByName(synthetic)
 
 
