@@ -6,6 +6,8 @@ chunks of fixed length, so that a contig of any number of windows is decoded by
 1. per chunk, the best score from every entry class to every exit class (one small matrix);
 2. per contig, the best class at every chunk border, from the matrices alone;
 3. per chunk, the path between its two border classes.
+
+A contig that fits in one chunk only takes the last step.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from ..functions.constants import (
 )
 
 CHUNK = 1 << 12
-PADDED_WINDOWS = 1 << 18
+PADDED_SCORES = 1 << 20
 
 
 def transition_costs(
@@ -60,8 +62,9 @@ def _emissions(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def _stack(batch: pd.Series) -> list[np.ndarray]:
-    return [np.array([np.asarray(w, dtype=float) for w in chunk]) for chunk in batch]
+def _stack(batch: pd.Series, classes: int) -> list[np.ndarray]:
+    # The windows of a chunk arrive as one flat list of scores.
+    return [np.asarray(chunk, dtype=float).reshape(-1, classes) for chunk in batch]
 
 
 def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,7 +74,7 @@ def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = batch["windows"].map(len).to_numpy()
         start = 0
         for n in range(1, len(batch) + 1):
-            if n == len(batch) or (n + 1 - start) * sizes[n] > PADDED_WINDOWS:
+            if n == len(batch) or (n + 1 - start) * sizes[n] > PADDED_SCORES:
                 yield batch.iloc[start:n].reset_index(drop=True)
                 start = n
 
@@ -79,7 +82,7 @@ def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _transfer(batches: Iterator[pd.DataFrame], costs: np.ndarray) -> Iterator[pd.DataFrame]:
     c = len(costs)
     for batch in _alike(batches):
-        em, sizes = _emissions(_stack(batch["windows"]))
+        em, sizes = _emissions(_stack(batch["windows"], len(costs)))
         first = (batch["_chunk"].to_numpy() == 0)[:, None, None]
         # best[chunk, entry class, current class]; the first chunk is entered at no cost
         best = np.where(first, 0.0, -costs[None]) + em[:, 0][:, None, :]
@@ -110,7 +113,7 @@ def _borders(rows: pd.DataFrame, classes: int) -> pd.DataFrame:
 
 def _paths(batches: Iterator[pd.DataFrame], costs: np.ndarray) -> Iterator[pd.DataFrame]:
     for batch in _alike(batches):
-        em, sizes = _emissions(_stack(batch["windows"]))
+        em, sizes = _emissions(_stack(batch["windows"], len(costs)))
         n, steps, c = em.shape
         entry = batch["entry_class"].to_numpy()
         score = em[:, 0] - np.where((entry >= 0)[:, None], costs[np.maximum(entry, 0)], 0.0)
@@ -120,7 +123,8 @@ def _paths(batches: Iterator[pd.DataFrame], costs: np.ndarray) -> Iterator[pd.Da
             back[:, t] = through.argmax(axis=1)
             score = np.where((t < sizes)[:, None], through.max(axis=1) + em[:, t], score)
         path = np.zeros((n, steps), dtype=np.int32)
-        here = batch["exit_class"].to_numpy().copy()
+        ends = batch["exit_class"].to_numpy()
+        here = np.where(ends >= 0, ends, score.argmax(axis=1))
         rows = np.arange(n)
         for t in range(steps - 1, -1, -1):
             path[:, t] = here
@@ -149,9 +153,13 @@ def viterbi_labels(
         scored.withColumn("_chunk", F.floor(F.col(order) / chunk))
         .groupBy(key, "_chunk")
         .agg(F.array_sort(F.collect_list(F.struct(order, scores))).alias("_rows"))
-        .select(key, "_chunk", F.transform("_rows", lambda r: r[scores]).alias("windows"))
+        .select(
+            key, "_chunk", F.flatten(F.transform("_rows", lambda r: r[scores])).alias("windows")
+        )
     )
-    moved = packed.mapInPandas(
+    # Only a full chunk or a later one can belong to a contig of several chunks.
+    long = packed.where((F.col("_chunk") > 0) | (F.size("windows") >= chunk * classes))
+    moved = long.mapInPandas(
         lambda it: _transfer(it, matrix), f"{key} {key_type}, _chunk bigint, matrix array<double>"
     )
     # One row of classes squared numbers per chunk: a few thousandths of the windows.
@@ -159,7 +167,10 @@ def viterbi_labels(
         lambda rows: _borders(rows, classes),
         f"{key} {key_type}, _chunk bigint, exit_class int, entry_class int",
     )
-    decoded = packed.join(borders, [key, "_chunk"]).mapInPandas(
+    either = packed.join(borders, [key, "_chunk"], "left").na.fill(
+        -1, ["exit_class", "entry_class"]
+    )
+    decoded = either.mapInPandas(
         lambda it: _paths(it, matrix), f"{key} {key_type}, _chunk bigint, path array<int>"
     )
     return decoded.select(key, "_chunk", F.posexplode("path").alias("_at", "decoded")).select(

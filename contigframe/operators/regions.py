@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.dna import reverse_complement, rounded_skew, share
 from ..functions.scores import names_of, softmax, top_index
 from .ordered import CHUNK, frame_over, neighbours, running, scale_range
-from .windows import kmers, make_windows
+from .windows import blocks, make_windows
 
 STOPS = ("TAA", "TAG", "TGA")
+CODON_BLOCK = 3 << 11
 
 
 def host_class(scored: DataFrame, classes: Sequence[str], key: str, probs: str) -> DataFrame:
@@ -158,8 +159,29 @@ def orf_intervals(
     Only start and stop codons become rows. The last stop before a codon names its open stretch;
     the first ATG of the stretch and the stop that closes it are the frame.
     """
-    lengths = F.length(seq).alias("_len")
-    codons = kmers(df.select(key, F.col(seq).alias("_seq"), lengths), 3, seq="_seq")
+    wanted = [*STOPS, "ATG"]
+    swap = {"A": "T", "T": "A", "G": "C", "C": "G"}
+    both = [*wanted, *["".join(swap[c] for c in reversed(w)) for w in wanted]]
+    # Codons are cut and tested inside their block; only starts and stops become rows.
+    rows = blocks(df.select(key, F.col(seq).alias("_seq"), F.length(seq).alias("_len")),
+                  "_seq", 2, CODON_BLOCK)
+
+    def in_frame(offset: int) -> Column:
+        codons = F.regexp_extract_all(
+            F.substr("block", F.lit(offset + 1)), F.lit("..."), F.lit(0)
+        )
+        placed = F.transform(
+            codons,
+            lambda c, i: F.when(
+                c.isin(*both), F.struct(c.alias("kmer"), (i * 3 + offset).alias("shift"))
+            ),
+        )
+        return F.array_compact(placed)
+
+    found = [in_frame(offset) for offset in range(3)]
+    codons = rows.select(
+        key, "_len", "block_start", F.inline_outer(F.concat(*found))
+    ).where("kmer IS NOT NULL").withColumn("start", F.col("block_start") + F.col("shift"))
     back = reverse_complement("kmer")
     marks = F.array(
         F.struct(F.lit("+").alias("strand"), F.col("kmer").alias("codon"),
@@ -167,12 +189,8 @@ def orf_intervals(
         F.struct(F.lit("-").alias("strand"), back.alias("codon"),
                  (F.col("_len") - F.col("start") - 3).alias("at")),
     )
-    wanted = [*STOPS, "ATG"]
-    both = [*wanted, *["".join({"A": "T", "T": "A", "G": "C", "C": "G"}[c] for c in w[::-1])
-                       for w in wanted]]
     events = (
-        codons.where(F.col("kmer").isin(*both))
-        .select(key, "_len", F.inline(marks))
+        codons.select(key, "_len", F.inline(marks))
         .where(F.col("codon").isin(*wanted))
         .withColumn("frame", F.col("at") % 3)
         .withColumn("_stop", F.when(F.col("codon").isin(*STOPS), F.col("at")))
