@@ -8,11 +8,12 @@ from . import (
     join_queries,
     order_queries,
     sequence_queries,
+    source_queries,
     summary_queries,
 )
 from .base import REGISTRY, Query
 
 __all__ = [
     "REGISTRY", "Query", "dataset_queries", "evaluation_queries", "join_queries",
-    "order_queries", "sequence_queries", "summary_queries",
+    "order_queries", "sequence_queries", "source_queries", "summary_queries",
 ]
