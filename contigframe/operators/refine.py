@@ -37,8 +37,11 @@ def fit_thresholds(
         F.struct(F.lit("tau_logit").alias("measure"), F.col("top_score").alias("x")),
         F.struct(F.lit("tau_margin").alias("measure"), F.col("margin").alias("x")),
     )
-    correct = df.where(F.col(prediction) == F.col(truth)).select(
-        F.col(truth).alias("class"), F.inline(measures)
+    # Tested while the rows are generated: a filter would be pushed below the projections that
+    # compute the scores and evaluate them again.
+    right = F.when(F.col(prediction) == F.col(truth), measures)
+    correct = df.select(F.col(truth).alias("class"), F.inline_outer(right)).where(
+        "measure IS NOT NULL"
     )
     limits = (
         exact_quantiles(correct, ["class", "measure"], "x", [quantile])
@@ -64,6 +67,11 @@ def fit_thresholds(
     )
 
 
+def _is_pair(first: str, second: str, a: str, b: str) -> Column:
+    x, y = F.col(first), F.col(second)
+    return ((x == a) & (y == b)) | ((x == b) & (y == a))
+
+
 def refine_windows(
     df: DataFrame, taus: DataFrame, pairs: dict[str, tuple[str, str]] | None = None
 ) -> DataFrame:
@@ -76,9 +84,7 @@ def refine_windows(
     close = F.col("margin") < F.col("tau_margin")
     merged = F.lit(None).cast("string")
     for name, (a, b) in pairs.items():
-        both = F.array_sort(F.array("top_class", "second_class")) == F.array(
-            *[F.lit(c) for c in sorted((a, b))]
-        )
+        both = _is_pair("top_class", "second_class", a, b)
         merged = F.when(both & close, F.lit(name)).otherwise(merged)
     low = (F.col("top_score") < F.col("tau_logit")) | close
     return (
@@ -108,33 +114,38 @@ def aggregate_refined(
     """
     if mode not in ("gated", "weighted", "unweighted"):
         raise ValueError(f"unknown mode: {mode}")
-    rows = df if mode == "unweighted" else df.where(F.col("refined") != "unknown")
+    # Withheld windows are left out inside the aggregate: as a filter the test would be pushed
+    # below the projections that compute the scores.
+    used = F.lit(True) if mode == "unweighted" else F.col("refined") != "unknown"
     weight: Column = (
         F.greatest(F.col("margin"), F.lit(0.0)) if mode == "weighted" else F.lit(1.0)
     )
     part = 0.5 if merge_split == "half" else 1.0
-    merged = F.col("refined").isin(*MERGED_PAIRS)
-
-    def multiplier(name: str) -> Column:
-        mine = [label for label, members in MERGED_PAIRS.items() if name in members]
-        inside = F.when(F.col("refined").isin(*mine), part).otherwise(0.0) if mine else F.lit(0.0)
-        return F.when(merged, inside).otherwise(1.0)
-
+    # Share of a window that counts for each class, as one of three fixed arrays.
+    shares = F.array(*[F.lit(1.0) for _ in classes])
+    for label, members in MERGED_PAIRS.items():
+        inside = F.array(*[F.lit(part if c in members else 0.0) for c in classes])
+        shares = F.when(F.col("refined") == label, inside).otherwise(shares)
+    rows = df.select(
+        key, "scores", F.when(used, weight).alias("_w"), shares.alias("_shares"),
+        (used & F.col("refined").isin(*MERGED_PAIRS)).alias("_merged"),
+    ).select(
+        key,
+        "_merged",
+        "_w",
+        F.zip_with("scores", "_shares", lambda x, m: x * m * F.col("_w")).alias("_parts"),
+    )
     per = (
-        rows.withColumn("_w", weight)
-        .groupBy(key)
+        rows.groupBy(key)
         .agg(
-            F.array(
-                *[
-                    F.sum(F.get("scores", F.lit(i)) * F.col("_w") * multiplier(c))
-                    for i, c in enumerate(classes)
-                ]
-            ).alias("_sums"),
-            F.count(F.lit(1)).alias("n_windows_used"),
+            F.array(*[F.sum(F.get("_parts", F.lit(i))) for i in range(len(classes))]).alias(
+                "_sums"
+            ),
+            F.count("_w").alias("n_windows_used"),
             F.sum("_w").alias("total_weight"),
-            F.count_if(merged).alias("n_merged_windows"),
+            F.count_if("_merged").alias("n_merged_windows"),
         )
-        .where(F.col("n_windows_used") >= min_windows)
+        .where(F.col("n_windows_used") >= max(min_windows, 1))
     )
     names = names_of(list(classes))
     top, second = top_index(F.col("_sums")), second_index(F.col("_sums"))
@@ -152,8 +163,6 @@ def aggregate_refined(
     call = F.col("contig_top_class")
     if allow_merged:
         for label, (a, b) in MERGED_PAIRS.items():
-            pair = F.array_sort(F.array("contig_top_class", "contig_second_class")) == F.array(
-                *[F.lit(c) for c in sorted((a, b))]
-            )
+            pair = _is_pair("contig_top_class", "contig_second_class", a, b)
             call = F.when(pair & (F.col("contig_margin") < hedge), F.lit(label)).otherwise(call)
     return out.withColumn("contig_call", call)

@@ -20,7 +20,6 @@ from ..functions.dna import (
     reverse_complement,
     share,
 )
-from .scoring import kmer_array
 
 SEED = 13
 MATCH = 2
@@ -31,14 +30,28 @@ LETTERS = "ACGT"
 
 def _seeds(df: DataFrame, id_: str, text: str, edge: str) -> DataFrame:
     """K-mers of A C G T with their position and the letter before (``edge`` if none)."""
-    prev = F.when(F.col("pos") == 0, F.lit(edge)).otherwise(
-        F.substring(F.col(text), F.col("pos"), F.lit(1))
-    )
+    def cut(offset: int) -> Column:
+        parts = F.regexp_extract_all(
+            F.substr(text, F.lit(offset + 1)), F.lit(".{%d}" % SEED), F.lit(0)
+        )
+        return F.array_compact(
+            F.transform(
+                parts,
+                lambda m, n: F.when(
+                    ~m.rlike(f"[^{LETTERS}]"),
+                    F.struct((n * SEED + offset).alias("pos"), m.alias("kmer")),
+                ),
+            )
+        )
+
+    # One linear pass per offset; the k-mers of an end come in no particular order.
+    found = F.concat(*[cut(offset) for offset in range(SEED)])
+    prev = F.when(F.col("pos") == 0, F.lit(edge)).otherwise(piece(text, F.col("pos") - 1, 1))
     return (
-        df.select(id_, "kind", text, F.posexplode(kmer_array(F.col(text), SEED)))
-        .where(F.col("col").rlike(f"^[{LETTERS}]+$"))
+        df.select(id_, "kind", text, F.inline_outer(found))
+        .where("pos IS NOT NULL")
         .select(
-            id_, "kind", "pos", F.col("col").alias("kmer"),
+            id_, "kind", "pos", "kmer",
             F.when(prev.isin(*LETTERS), prev).otherwise(edge).alias("prev"),
         )
     )
