@@ -15,7 +15,7 @@ from ..functions.dna import count_of, piece, share
 from ..functions.picks import at, between, row_hash
 from .ordered import running
 from .ranks import BUCKET_BITS, hash_bucket, rank_rows
-from .skew import with_single
+from .skew import salted_join, with_single
 from .windows import MIN_BLOCK, blocks
 
 
@@ -67,7 +67,7 @@ def interleave_classes(df: DataFrame, key: str, label: str, seed: int = 0) -> Da
     """
     ranked = hash_rank(df, [label], key, seed, "_rank")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
-    rows = ranked.join(sizes, label).withColumn(
+    rows = salted_join(ranked, sizes, [label], [key]).withColumn(
         "_at", (F.col("_rank") + 0.5) / F.col("_size")
     )
     bucket = F.floor(F.col("_at") * (1 << BUCKET_BITS))
@@ -95,7 +95,7 @@ def length_batches(
     counts = df.groupBy(length).agg(F.count(F.lit(1)).alias("_n"))
     batch = F.floor(F.col("_rank") / F.col("_size"))
     return (
-        ranked.join(counts, length)
+        salted_join(ranked, counts, [length], [key])
         .withColumn("batch_idx", batch)
         .where((F.col("batch_idx") + 1) * F.col("_size") <= F.col("_n"))
         .withColumnRenamed("_size", "batch_size")

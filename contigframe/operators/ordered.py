@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import VIRAL_NAMES
 from ..functions.scores import window_letter
+from .skew import salted_join
 
 CHUNK = 1 << 14
 
@@ -261,7 +262,7 @@ def scale_range(
         high - low
     ) + F.lit(float(low))
     return (
-        df.join(bounds, list(keys))
+        salted_join(df, bounds, keys, df.columns)
         .withColumn(out, F.coalesce(scaled, F.lit(float(low))))
         .drop("_min", "_max")
     )
@@ -294,7 +295,7 @@ def local_peaks(
 def mark_ends(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Flags for the first and the last row of each key."""
     return (
-        df.join(last_position(df, keys, order), list(keys))
+        salted_join(df, last_position(df, keys, order), keys, [order])
         .withColumn("is_first", F.col(order) == 0)
         .withColumn("is_last", F.col(order) == F.col("_last"))
         .drop("_last")

@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .skew import salted_join
 
 HASH_BITS = 32
 BUCKET_BITS = 12
+VALUE_SALTS = 128
 
 
 def hash_bucket(hash_col: str, bits: int = BUCKET_BITS) -> Column:
@@ -91,8 +93,9 @@ def value_buckets(
             lambda c: c <= F.col(value),
         )
     )
+    # Few small rows per group: many salts, since one group may hold every row.
     return (
-        df.join(cuts, keys)
+        salted_join(df, cuts, keys, [value], salts=VALUE_SALTS)
         .withColumn("_high", high)
         .withColumn("_bucket", (F.col("_high") * n + low).cast("int"))
         .drop("_fine", "_coarse", "_high")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dna import reverse_complement, rounded_skew, share
 from ..functions.scores import names_of, softmax, top_index
 from .ordered import CHUNK, frame_over, neighbours, running, scale_range
+from .skew import salted_join
 from .windows import blocks, make_windows
 
 STOPS = ("TAA", "TAG", "TGA")
@@ -47,7 +48,7 @@ def score_track(
     tracks = framed.withColumn("_skew", F.col("_skew") / 10.0)
     scaled = scale_range(tracks, [key], "_skew", -1.0, 1.0, "skew_track")
     hosts = host_class(rows, classes, key, "_p")
-    return scaled.join(hosts, key).select(
+    return salted_join(scaled, hosts, [key], ["window_idx"]).select(
         key, "window_idx", F.least(F.col("window_idx") * stride, "seq_len").alias("position"),
         "seq_len", "host", *classes, "gc", "skew_track",
     )
