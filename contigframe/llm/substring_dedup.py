@@ -8,7 +8,8 @@ intervals.
 
 Scale: a task finds the first occurrence of each hash in blocks of its own texts before anything is
 shuffled, so a passage in a third of all texts reaches its bucket once a block, not once a text.
-The windows of a block go to a bucket as one packed row. Buckets are counted from the bytes of text.
+The windows of a block go to a bucket as one packed row, and the repeats found there go packed to
+the bucket of their document. Buckets are counted from the bytes of text.
 
 Defined cases: null and empty texts have no words. Rows without doc_id have no place in the order:
 they are kept whole and make nothing else a repeat. Rows that repeat a doc_id are the same
@@ -69,6 +70,16 @@ def _later(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, other: np.ndarray
     return later
 
 
+def _dealt(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that gets rows, and the rows it gets in their order."""
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for i, j in zip(heads, [*heads[1:], len(bucket)], strict=True):
+        yield int(bucket[i]), order[i:j]
+
+
 def _windows(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Packed first occurrences for each bucket, and the repeats found inside each block."""
 
@@ -81,13 +92,9 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iter
         if later.any():
             rows.append((int(other[0] % np.uint64(buckets)), None, _packed(doc[later], pos[later])))
         kept = np.flatnonzero(~later)
-        bucket = (other[kept] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        kept, bucket = kept[order], bucket[order]
-        borders = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for i, j in zip(borders, [*borders[1:], len(bucket)], strict=True):
-            at = kept[i:j]
-            rows.append((int(bucket[i]), key[at].tobytes(), _packed(doc[at], pos[at])))
+        for bucket, at in _dealt(other[kept], buckets):
+            at = kept[at]
+            rows.append((bucket, key[at].tobytes(), _packed(doc[at], pos[at])))
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays(
             [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())],
@@ -128,9 +135,9 @@ def _spans(doc: np.ndarray, pos: np.ndarray, size: int) -> pa.Table:
 
 
 def repeated_spans(docs: DataFrame, size: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Word intervals ``[start, end)`` to remove: ``doc_id, starts, ends``, a few rows a document.
+    """Maximal word intervals ``[start, end)`` to remove: ``doc_id, starts, ends``.
 
-    Intervals of different rows of a document may overlap.
+    Documents without a repeat have no row.
     """
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     buckets = bucket_count(docs, BUCKET_BYTES)
@@ -148,13 +155,22 @@ def repeated_spans(docs: DataFrame, size: int = 20, doc_id: str = "doc_id", text
             later = _later(np.concatenate(keys), doc, pos)
             removed.append((doc[later], pos[later]))
         doc, pos = (np.concatenate(x) for x in zip(*removed, strict=True))
+        order = np.lexsort((pos, doc))
+        doc, pos = doc[order], pos[order]
+        rows = [(to, _packed(doc[at], pos[at])) for to, at in _dealt(W.mixed(doc.astype(np.uint64)), buckets)]
+        return pa.table([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], ["home", "places"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        doc, pos = (np.concatenate(x) for x in zip(*map(_unpacked, table.column("places").to_pylist()), strict=True))
         return _spans(doc, pos, size)
 
     return (
         docs.where("doc_id IS NOT NULL")
         .mapInArrow(lambda it: _windows(it, size, buckets), "bucket int, keys binary, places binary")
         .groupBy("bucket")
-        .applyInArrow(compare, "doc_id bigint, starts array<int>, ends array<int>")
+        .applyInArrow(compare, "home int, places binary")
+        .groupBy("home")
+        .applyInArrow(merge, "doc_id bigint, starts array<int>, ends array<int>")
     )
 
 
@@ -163,11 +179,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, doc_id: str = "doc_id", text
 
     ``text`` holds the kept words, joined by one space ("" if none is left or the text is null).
     """
-    spans = (
-        repeated_spans(docs, size, doc_id, text)
-        .groupBy("doc_id")
-        .agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    )
+    spans = repeated_spans(docs, size, doc_id, text)
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
