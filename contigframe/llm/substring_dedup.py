@@ -76,7 +76,7 @@ def _dealt(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     heads = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for i, j in zip(heads, [*heads[1:], len(bucket)], strict=True):
+    for i, j in zip(heads, np.append(heads, len(bucket))[1:], strict=True):
         yield int(bucket[i]), order[i:j]
 
 
