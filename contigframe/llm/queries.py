@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
+from .decontaminate import find_passages
 from .substring_dedup import remove_repeats
 
 
@@ -38,6 +39,35 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(removed, 0)
 FROM doc LEFT JOIN done USING (doc_id)
 """
 
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_passages(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), size=10)
+    n_hit = F.size("hits").cast("bigint")
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+# In SQL text lower() would also change letters beyond A-Z.
+SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL_WORDS = rf"regexp_extract_all({SQL_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6_SQL = rf"""
+WITH doc AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+item AS (SELECT CAST(item_id AS VARCHAR) AS item, {SQL_WORDS} AS w FROM benchmark),
+pattern AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+win AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM pattern) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, i, n, item FROM win JOIN pattern USING (n, s)),
+inside AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN inside USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 REGISTRY: dict[str, Query] = {
     "op1_substring_dedup": Query(op1_substring_dedup, OP1_SQL),
+    "op6_decontaminate": Query(op6_decontaminate, OP6_SQL),
 }
