@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from .decontaminate import find_passages
+from .near_dedup import near_duplicates
 from .substring_dedup import remove_repeats
 
 
@@ -67,7 +68,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN inside USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read_table(spark, folder, "documents"), size=5, percent=85)
+
+
+OP8_SQL = rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+  FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id
+  WHERE 100 * common >= 85 * (p.n + q.n - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a AS doc_id, min(b) AS component FROM reach GROUP BY a)
+SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component, doc.doc_id) AS component_id,
+  coalesce(component, doc.doc_id) = doc.doc_id AS kept
+FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
 REGISTRY: dict[str, Query] = {
     "op1_substring_dedup": Query(op1_substring_dedup, OP1_SQL),
     "op6_decontaminate": Query(op6_decontaminate, OP6_SQL),
+    "op8_minhash_near_dedup": Query(op8_minhash_near_dedup, OP8_SQL),
 }
