@@ -9,8 +9,8 @@ At similarity 0.85 a pair shares none of the 24 bands with probability 2e-8.
 No link is lost inside a band however many documents it holds. Equal sets are collapsed first.
 All documents of a band are compared with its smallest document (rows grow with the band's size),
 and components are formed. Only where the rest of a band still has several components, documents
-outside its largest component are compared with those of other components, a bounded number of
-such documents a round with four times as many in each round, until none is left.
+outside its largest one are compared with those of other components: in each round a bounded
+number of such documents a band, four times as many as in the round before, until none is left.
 
 Defined cases: documents without words (null or empty texts) have an empty set and are linked with
 nothing. Fewer words than a shingle make one shingle of their own kind. Rows without doc_id keep
@@ -134,6 +134,12 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _grouped(rows: DataFrame, groups: DataFrame, node: str, name: str) -> DataFrame:
+    """With the component of column ``node``; nodes without a link are their own."""
+    found = groups.select(F.col("node").alias(node), F.col("component").alias(name))
+    return rows.join(found, node, "left").withColumn(name, F.coalesce(name, node))
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -159,33 +165,31 @@ def near_duplicates(
     sets = cut(document_sets(docs.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
     links = cut(linked_pairs(star, sets, percent))
     groups = cut(components(links))
+    # What is left: bands whose other members have several components. The largest of them is the
+    # band's anchor; each member has a turn in which it meets the others, unless it has come into
+    # the anchor's component before.
+    own = _grouped(members.select("band", "doc_id"), groups, "doc_id", "component")
+    parts = own.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(
+        F.max(F.struct("n", F.col("component").alias("anchor"))).alias("big"), F.sum("n").alias("all"), F.count("*").alias("parts")
+    )
+    parts = parts.where("parts > 1").select("band", "big.anchor", F.ceil((F.col("all") - F.col("big.n")) / PIVOTS).alias("turns"))
+    rest = cut(
+        members.select("band", "doc_id").join(cut(parts), "band").select(
+            "band", "doc_id", "anchor", F.pmod(F.xxhash64("doc_id", "band"), F.col("turns")).alias("turn")
+        )
+    )
     turn, slots = 0, 1
-    # What is left to compare: bands without their centre that hold several components. Each
-    # document of such a band has a turn; it comes with a bounded number of others.
-    rest = None
     while True:
-        own = (members.select("band", "doc_id") if rest is None else rest.select("band", "doc_id", "turn")).join(
-            groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
-        ).withColumn("component", F.coalesce("component", "doc_id"))
-        parts = own.groupBy("band", "component").agg(F.count("*").alias("n"))
-        open_ = cut(
-            parts.groupBy("band").agg(
-                F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("all"), F.count("*").alias("parts")
-            ).where("parts > 1").select("band", F.col("big.component").alias("big"), (F.col("all") - F.col("big.n")).alias("outside"))
-        )
-        left = own.join(open_, "band")
-        if rest is None:
-            left = left.withColumn("turn", F.pmod(F.xxhash64("doc_id", "band"), F.ceil(F.col("outside") / PIVOTS)))
-        rest = cut(left)
-        last = rest.agg(F.max("turn")).first()[0]
-        if last is None or turn > last:
+        now = cut(_grouped(_grouped(rest, groups, "doc_id", "component"), groups, "anchor", "big"))
+        outside = now.where((F.col("component") != F.col("big")) & (F.col("turn") >= turn))
+        last = outside.agg(F.max("turn")).first()[0]
+        if last is None:
             break
-        pivots = rest.where((F.col("component") != F.col("big")) & F.col("turn").between(turn, turn + slots - 1))
+        pivots = outside.where(F.col("turn") < turn + slots)
         pairs = pivots.select("band", F.col("doc_id").alias("p"), F.col("component").alias("c")).join(
-            rest.select("band", "doc_id", "component"), "band"
+            now.select("band", "doc_id", "component"), "band"
         ).where("component <> c").select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
-        more = linked_pairs(cut(pairs), sets, percent)
-        links = cut(links.unionAll(more))
+        links = cut(links.unionAll(linked_pairs(cut(pairs), sets, percent)))
         groups = cut(components(links))
         turn, slots = turn + slots, slots * 4
     return (
