@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 from ..sources.tables import read_table
 from .decontaminate import find_passages
 from .near_dedup import near_duplicates
+from .pieces import encode_texts
 from .substring_dedup import remove_repeats
 
 
+def piece_model() -> str:
+    """The model file of the registered queries, part of an installed package on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @dataclass(frozen=True)
 class Query:
     run: Callable[[SparkSession, str], DataFrame]
@@ -88,8 +96,18 @@ SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(compon
 FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    coded = encode_texts(read_table(spark, folder, "documents"), piece_model(), decoded=True)
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("bounds", -1).cast("bigint").alias("n_bytes"),
+    )
+
+
 REGISTRY: dict[str, Query] = {
     "op1_substring_dedup": Query(op1_substring_dedup, OP1_SQL),
     "op6_decontaminate": Query(op6_decontaminate, OP6_SQL),
     "op8_minhash_near_dedup": Query(op8_minhash_near_dedup, OP8_SQL),
+    "op9_sentencepiece": Query(op9_sentencepiece),
 }
