@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from . import words as W
 
 SPACE = "▁"
+#: Segments whose ids a task remembers, and the longest that are merged many at once.
 REMEMBERED = 200_000
+SHORT = 32
+NEVER = np.iinfo(np.int32).max
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -155,20 +158,9 @@ class PieceModel:
                 del source[len(joined) :]
         return joined.decode(), np.array([*source, at])
 
-    def merge(self, segment: str) -> list[str]:
-        """Symbols of a segment after all merges."""
+    def segment_ids(self, segment: str) -> bytes:
+        """Ids of one segment as packed 32-bit numbers; time n log n in its length."""
         symbols, scores = list(segment), self.scores
-        if len(symbols) <= 32:
-            while len(symbols) > 1:
-                best, where = None, -1
-                for i in range(len(symbols) - 1):
-                    score = scores.get(symbols[i] + symbols[i + 1])
-                    if score is not None and (best is None or score > best):
-                        best, where = score, i
-                if best is None:
-                    break
-                symbols[where : where + 2] = [symbols[where] + symbols[where + 1]]
-            return symbols
         after = list(range(1, len(symbols))) + [-1]
         before = list(range(-1, len(symbols) - 1))
         queue: list[tuple[float, int, str]] = []
@@ -189,44 +181,44 @@ class PieceModel:
                 before[after[j]] = i
             offer(before[i], i)
             offer(i, after[i])
-        return [s for s in symbols if s]
-
-    def segment_ids(self, segment: str) -> bytes:
-        """Ids of a segment as packed 32-bit numbers."""
         ids: list[int] = []
-        for symbol in self.merge(segment):
+        for symbol in filter(None, symbols):
             known = self.ids.get(symbol)
             ids += [known] if known is not None else [self.byte_ids[b] for b in symbol.encode()]
         return np.array(ids, np.int32).tobytes()
 
     def encoder(self):
-        """A function from a text to its ids and bounds."""
+        """A function from texts to a pair of ids and bounds for each."""
         alone = re.escape(self.lonely)
         pieces = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         normal_bytes = np.array([len(t) + 2 * t.count(b" ") if k == NORMAL else 1 for t, k in zip(self.surfaces, self.kinds, strict=True)], np.int64)
         plain_bytes = np.array([max(1, len(t)) for t in self.surfaces], np.int64)
-        model = self
-
-        class Memory(dict):
-            def __missing__(self, segment: str) -> bytes:
-                found = model.segment_ids(segment)
-                if len(segment) <= 64:
-                    if len(self) >= REMEMBERED:
-                        self.clear()
-                    self[segment] = found
-                return found
-
-        look_up = Memory().__getitem__
+        merges = Merges(self)
+        memory: dict[str, bytes] = {}
 
-        def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
-            shown, source = self.normalise(text)
-            ids = np.frombuffer(b"".join(map(look_up, pieces(shown))), np.int32)
+        def bounded(ids: np.ndarray, source: np.ndarray | None) -> np.ndarray:
             bounds = np.zeros(len(ids) + 1, np.int64)
             np.cumsum((plain_bytes if source is None else normal_bytes)[ids], out=bounds[1:])
             if source is not None:
-                return ids, source[bounds]
+                return source[bounds]
             bounds[1:] -= self.dummy_prefix
-            return ids, bounds
+            return bounds
+
+        def encode(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+            shown = [self.normalise(t) for t in texts]
+            parts = [pieces(t) for t, _ in shown]
+            new = set().union(*parts).difference(memory)
+            if len(memory) + len(new) > REMEMBERED:
+                memory.clear()
+                new = set().union(*parts)
+            short = [x for x in new if len(x) <= SHORT]
+            long = new.difference(short)
+            memory.update(merges.segment_ids(short))
+            memory.update((x, self.segment_ids(x)) for x in long)
+            ids = [np.frombuffer(b"".join(map(memory.__getitem__, p)), np.int32) for p in parts]
+            for x in long:
+                del memory[x]
+            return [(i, bounded(i, source)) for i, (_, source) in zip(ids, shown, strict=True)]
 
         return encode
 
@@ -247,6 +239,107 @@ class PieceModel:
         return decode
 
 
+class Merges:
+    """Merging of many short segments at once, a row of symbols for each.
+
+    In every step each row joins its best pair. A symbol is a piece or another character of some
+    piece; pairs that make a piece are found in a hash table of their two symbols.
+    """
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        size = len(model.kinds)
+        symbols = dict(model.ids)
+        for char in set("".join(model.ids)):
+            symbols.setdefault(char, size + len(symbols))
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for text, i in symbols.items():
+            if len(text) == 1:
+                self.of_char[ord(text)] = i
+        levels = {score: k for k, score in enumerate(sorted(set(model.scores.values()), reverse=True))}
+        pairs = [
+            (symbols[t[:k]] << 32 | symbols[t[k:]], levels[model.scores[t]], i)
+            for t, i in model.ids.items()
+            for k in range(1, len(t))
+            if t[:k] in symbols and t[k:] in symbols
+        ]
+        keys, rank, made = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.bits = (8 * len(keys)).bit_length()
+        n = 1 << self.bits
+        self.keys, self.rank, self.made = np.full(n, -1, np.int64), np.full(n, NEVER, np.int32), np.zeros(n, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # each free slot takes one of its keys, the others try the next slot
+            free = self.keys[slot[left]] == -1
+            self.keys[slot[left[free]]] = keys[left[free]]
+            here = self.keys[slot[left]] == keys[left]
+            done = left[here]
+            self.rank[slot[done]], self.made[slot[done]] = rank[done], made[done]
+            left = left[~here]
+            slot[left] = (slot[left] + 1) & (n - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def look_up(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and symbol of each joined pair; rank NEVER where there is none."""
+        keys = one.astype(np.int64) << 32 | two.astype(np.int64)
+        keys[(one < 0) | (two < 0)] = -2
+        slot = self._slot(keys)
+        open_ = np.flatnonzero((self.keys[slot] != keys) & (self.keys[slot] != -1))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot[open_]]
+            open_ = open_[(held != keys[open_]) & (held != -1)]
+        return self.rank[slot], self.made[slot]
+
+    def segment_ids(self, segments: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each segment and its packed ids. Segments of similar length share a step."""
+        by_length: dict[int, list[str]] = {}
+        for s in segments:
+            by_length.setdefault(-(-len(s) // 4), []).append(s)
+        for quarter, group in by_length.items():
+            for k in range(0, len(group), 20_000):
+                yield from self._group(group[k : k + 20_000], 4 * quarter)
+
+    def _group(self, group: list[str], width: int) -> Iterator[tuple[str, bytes]]:
+        n = len(group)
+        length = np.fromiter(map(len, group), np.int64, n)
+        chars = np.frombuffer("".join(group).encode("utf-32-le"), np.uint32)
+        inside = np.arange(width) < length[:, None]
+        rows = np.full((n, width + 1), -1, np.int32)
+        rows[:, :width][inside] = self.of_char[chars]
+        strange = ((rows[:, :width] < 0) & inside).any(axis=1)
+        rank, made = (x.reshape(n, width) for x in self.look_up(rows[:, :-1].ravel(), rows[:, 1:].ravel()))
+        active = np.arange(n)
+        step = np.arange(width + 1)
+        while len(active):
+            best = rank[active].argmin(axis=1)
+            go = rank[active, best] != NEVER
+            active, best = active[go], best[go]
+            if not len(active):
+                break
+            from_ = np.minimum(step + (step > best[:, None]), width)
+            row, each = rows[active], np.arange(len(active))
+            row[each, best] = made[active, best]
+            # The spare last column is empty, so what moves in from the right is empty as well.
+            row = np.take_along_axis(row, from_, axis=1)
+            r = np.take_along_axis(rank[active], np.minimum(from_[:, :-1], width - 1), axis=1)
+            m = np.take_along_axis(made[active], np.minimum(from_[:, :-1], width - 1), axis=1)
+            r[each, best], m[each, best] = self.look_up(row[each, best], row[each, best + 1])
+            prior = np.maximum(best - 1, 0)
+            new_rank, new_made = self.look_up(row[each, prior], row[each, prior + 1])
+            r[each, prior], m[each, prior] = new_rank, new_made
+            length[active] -= 1
+            rows[active], rank[active], made[active] = row, r, m
+        # Characters that are no piece of their own become bytes, one segment at a time.
+        strange |= (rows >= len(self.model.kinds)).any(axis=1)
+        flat = rows[step < length[:, None]].tobytes()
+        ends = (np.cumsum(length) * 4).tolist()
+        starts = [0, *ends[:-1]]
+        for s, odd, a, b in zip(group, strange.tolist(), starts, ends, strict=True):
+            yield s, self.model.segment_ids(s) if odd else flat[a:b]
+
+
 def _one_by_one(raw: bytes) -> str:
     """Text of possibly broken UTF-8: each byte that starts no character becomes U+FFFD."""
     out, at = [], 0
@@ -274,7 +367,7 @@ def encode_texts(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text:
         encode, decode = model.value.encoder(), model.value.decoder()
         for batch in batches:
             for i, j in W.slices(batch.column(1)):
-                found = [encode(t or "") for t in batch.column(1)[i:j].to_pylist()]
+                found = encode([t or "" for t in batch.column(1)[i:j].to_pylist()])
                 ids, bounds = zip(*found, strict=True)
                 columns = [batch.column(0)[i:j], _lists(ids), _lists(bounds)]
                 if decoded:
