@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from .decontaminate import find_passages
+from .line_dedup import remove_boilerplate
 from .near_dedup import near_duplicates
 from .pieces import encode_texts
 from .substring_dedup import remove_repeats
@@ -48,6 +49,26 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(removed, 0)
 FROM doc LEFT JOIN done USING (doc_id)
 """
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = remove_boilerplate(read_table(spark, folder, "documents"), ratio=0.1, least=5)
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH line AS (SELECT doc_id, host, i, lines[i] AS line, nullif(trim(lines[i], concat(' ', chr(9), chr(13))), '') AS key
+  FROM (SELECT doc_id, coalesce(concat('=', source), '') AS host, lines, unnest(range(1, len(lines) + 1)) AS i
+    FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))),
+pages AS (SELECT coalesce(concat('=', source), '') AS host, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1),
+often AS (SELECT host, key FROM line JOIN pages USING (host) WHERE key IS NOT NULL
+  GROUP BY host, key, pages HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > pages * 0.1),
+kept AS (SELECT doc_id, count(*) AS n, count(often.key) AS dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE often.key IS NULL), '') AS kept
+  FROM line LEFT JOIN often ON line.host = often.host AND line.key = often.key GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(dropped, 0) AS BIGINT) AS n_dropped, sha256(kept) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = find_passages(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), size=10)
     n_hit = F.size("hits").cast("bigint")
@@ -107,6 +128,7 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTRY: dict[str, Query] = {
     "op1_substring_dedup": Query(op1_substring_dedup, OP1_SQL),
+    "op2_line_dedup": Query(op2_line_dedup, OP2_SQL),
     "op6_decontaminate": Query(op6_decontaminate, OP6_SQL),
     "op8_minhash_near_dedup": Query(op8_minhash_near_dedup, OP8_SQL),
     "op9_sentencepiece": Query(op9_sentencepiece),
