@@ -13,6 +13,7 @@ from .decontaminate import find_passages
 from .line_dedup import remove_boilerplate
 from .near_dedup import near_duplicates
 from .pieces import encode_texts
+from .quality import remainder, score_quality, train_quality
 from .substring_dedup import remove_repeats
 
 
@@ -69,6 +70,16 @@ FROM documents LEFT JOIN kept USING (doc_id)
 """
 
 
+def _judged(scores: DataFrame, threshold: float) -> DataFrame:
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = (read_table(spark, folder, name) for name in ("documents", "labels"))
+    return _judged(score_quality(docs, train_quality(docs, labels)), 0.3)
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = find_passages(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), size=10)
     n_hit = F.size("hits").cast("bigint")
@@ -129,6 +140,7 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 REGISTRY: dict[str, Query] = {
     "op1_substring_dedup": Query(op1_substring_dedup, OP1_SQL),
     "op2_line_dedup": Query(op2_line_dedup, OP2_SQL),
+    "op3_quality_classifier": Query(op3_quality_classifier),
     "op6_decontaminate": Query(op6_decontaminate, OP6_SQL),
     "op8_minhash_near_dedup": Query(op8_minhash_near_dedup, OP8_SQL),
     "op9_sentencepiece": Query(op9_sentencepiece),
