@@ -15,6 +15,7 @@ from .near_dedup import near_duplicates
 from .pieces import encode_texts
 from .quality import remainder, score_quality, train_quality
 from .substring_dedup import remove_repeats
+from .toxicity import score_toxicity, train_toxicity
 
 
 def piece_model() -> str:
@@ -80,6 +81,11 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(score_quality(docs, train_quality(docs, labels)), 0.3)
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = (read_table(spark, folder, name) for name in ("documents", "labels"))
+    return _judged(score_toxicity(docs, train_toxicity(docs, labels)), 0.5)
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = find_passages(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), size=10)
     n_hit = F.size("hits").cast("bigint")
@@ -141,6 +147,7 @@ REGISTRY: dict[str, Query] = {
     "op1_substring_dedup": Query(op1_substring_dedup, OP1_SQL),
     "op2_line_dedup": Query(op2_line_dedup, OP2_SQL),
     "op3_quality_classifier": Query(op3_quality_classifier),
+    "op4_toxicity": Query(op4_toxicity),
     "op6_decontaminate": Query(op6_decontaminate, OP6_SQL),
     "op8_minhash_near_dedup": Query(op8_minhash_near_dedup, OP8_SQL),
     "op9_sentencepiece": Query(op9_sentencepiece),
