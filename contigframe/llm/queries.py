@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from .decontaminate import find_passages
+from .language import identify, train_languages
 from .line_dedup import remove_boilerplate
 from .near_dedup import near_duplicates
 from .pieces import encode_texts
@@ -86,6 +87,12 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(score_toxicity(docs, train_toxicity(docs, labels)), 0.5)
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return identify(docs, train_languages(docs, piece_model())).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = find_passages(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), size=10)
     n_hit = F.size("hits").cast("bigint")
@@ -148,6 +155,7 @@ REGISTRY: dict[str, Query] = {
     "op2_line_dedup": Query(op2_line_dedup, OP2_SQL),
     "op3_quality_classifier": Query(op3_quality_classifier),
     "op4_toxicity": Query(op4_toxicity),
+    "op5_language_id": Query(op5_language_id),
     "op6_decontaminate": Query(op6_decontaminate, OP6_SQL),
     "op8_minhash_near_dedup": Query(op8_minhash_near_dedup, OP8_SQL),
     "op9_sentencepiece": Query(op9_sentencepiece),

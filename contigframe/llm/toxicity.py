@@ -109,7 +109,7 @@ class Linear:
 
 def fit_linear(
     text: np.ndarray, feature: np.ndarray, labels: np.ndarray, importance: np.ndarray, width: int,
-    pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, fairness: float = 5.0, ridge: float = 1e-3, steps: int = 400,
+    pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, fairness: float = 5.0, ridge: float = 2e-4, steps: int = 400,
 ) -> tuple[np.ndarray, float]:
     """Weights and intercept by full-batch steps of adaptive size.
 
