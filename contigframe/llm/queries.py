@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from .decontaminate import find_passages
+from .hamming import nearest_codes, sign_code
 from .language import identify, train_languages
+from .licenses import oracle, scan_licenses
 from .line_dedup import remove_boilerplate
 from .near_dedup import near_duplicates
 from .pieces import encode_texts
@@ -121,6 +123,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN inside USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(read_table(spark, folder, "documents"))
+
+
+OP7_SQL = oracle(SQL_WORDS)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read_table(spark, folder, "documents"), size=5, percent=85)
 
@@ -141,6 +150,21 @@ SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(compon
 FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
+def op10_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    codes = read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code"))
+    return nearest_codes(codes, codes.where("id % 20 = 0"), k=10)
+
+
+OP10_SQL = """
+WITH code AS (SELECT vec_id AS id, list_transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings WHERE len(embedding) = 64),
+flat AS (SELECT id, unnest(bits) AS bit, unnest(range(0, 64)) AS i FROM code),
+packed AS (SELECT id, CAST(sum(bit::HUGEINT << i::INT) AS UBIGINT) AS code FROM flat GROUP BY id),
+pair AS (SELECT q.id AS query_id, r.id, bit_count(CAST(xor(q.code, r.code) AS BIT)) AS distance FROM packed q, packed r WHERE q.id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, CAST(distance AS INTEGER) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pair) WHERE rank <= 10
+"""
+
+
 def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     coded = encode_texts(read_table(spark, folder, "documents"), piece_model(), decoded=True)
     return coded.select(
@@ -157,6 +181,8 @@ REGISTRY: dict[str, Query] = {
     "op4_toxicity": Query(op4_toxicity),
     "op5_language_id": Query(op5_language_id),
     "op6_decontaminate": Query(op6_decontaminate, OP6_SQL),
+    "op7_license_scan": Query(op7_license_scan, OP7_SQL),
     "op8_minhash_near_dedup": Query(op8_minhash_near_dedup, OP8_SQL),
     "op9_sentencepiece": Query(op9_sentencepiece),
+    "op10_exact_topk": Query(op10_exact_topk, OP10_SQL),
 }
