@@ -51,6 +51,13 @@ def _masks(width: int, flips: int) -> list[int]:
     return [sum(1 << b for b in chosen) for chosen in combinations(range(width), flips)]
 
 
+def _probes(segment: int, shift: int, width: int, flips: int) -> Column:
+    """The index entries that differ from a query in ``flips`` bits of a segment."""
+    masks = F.split(F.lit(",".join(map(str, _masks(width, flips)))), ",").cast("array<bigint>")
+    value = _segment(F.col("query"), shift, width)
+    return F.transform(masks, lambda m: F.struct(F.lit(segment).alias("segment"), value.bitwiseXOR(m).alias("value")))
+
+
 def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int | None = None) -> DataFrame:
     """``query_id, rank, id, distance``: the k nearest rows of each query. Both have ``id, code``."""
     spark = rows.sparkSession
@@ -68,14 +75,7 @@ def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = 10, segments: in
     active = cut(queries.select("query").distinct().withColumn("bound", F.lit(BITS)))
     found = None
     for flips in range(max(width for _, width in borders) + 1 if total else 0):
-        probes = [
-            F.transform(
-                F.array(*[F.lit(m).cast("bigint") for m in _masks(width, flips)]),
-                lambda m, s=s, shift=shift, width=width: F.struct(F.lit(s).alias("segment"), _segment(F.col("query"), shift, width).bitwiseXOR(m).alias("value")),
-            )
-            for s, (shift, width) in enumerate(borders)
-            if flips <= width
-        ]
+        probes = [_probes(s, *b, flips) for s, b in enumerate(borders) if flips <= b[1]]
         differ = F.col("query").bitwiseXOR(F.col("code"))
         apart = [F.bit_count(_segment(differ, *b)) for b in borders]
         mine = F.lit(True)

@@ -156,9 +156,8 @@ def op10_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH code AS (SELECT vec_id AS id, list_transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings WHERE len(embedding) = 64),
-flat AS (SELECT id, unnest(bits) AS bit, unnest(range(0, 64)) AS i FROM code),
-packed AS (SELECT id, CAST(sum(bit::HUGEINT << i::INT) AS UBIGINT) AS code FROM flat GROUP BY id),
+WITH flat AS (SELECT vec_id AS id, unnest(embedding) > 0 AS bit, unnest(range(0, 64)) AS i FROM embeddings WHERE len(embedding) = 64),
+packed AS (SELECT id, CAST(sum(CASE WHEN bit THEN 1::HUGEINT << i::INT ELSE 0 END) AS UBIGINT) AS code FROM flat GROUP BY id),
 pair AS (SELECT q.id AS query_id, r.id, bit_count(CAST(xor(q.code, r.code) AS BIT)) AS distance FROM packed q, packed r WHERE q.id % 20 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, id, CAST(distance AS INTEGER) AS distance
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pair) WHERE rank <= 10
