@@ -132,6 +132,19 @@ def item_patterns(items: DataFrame, size: int) -> DataFrame:
     )
 
 
+def _tables(items: DataFrame, size: int, item_id: str, item_text: str) -> Iterator[list[Patterns]]:
+    """The search tables of each block of patterns; one empty block without any."""
+    named = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
+    wanted = item_patterns(named, size)
+    blocks = max(1, -(-wanted.count() // PATTERNS))
+    for k in range(blocks):
+        block = wanted.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect()  # about PATTERNS rows
+        lengths: dict[int, list] = {}
+        for r in block:
+            lengths.setdefault(r["n"], []).append(r)
+        yield [Patterns.of(n, [r["pattern"].encode() for r in own], [r["items"] for r in own]) for n, own in sorted(lengths.items())]
+
+
 def find_passages(
     docs: DataFrame, items: DataFrame, size: int = 10, doc_id: str = "doc_id", text: str = "text",
     item_id: str = "item_id", item_text: str = "text",
@@ -143,18 +156,10 @@ def find_passages(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
-    wanted = item_patterns(items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")), size)
-    blocks = max(1, -(-wanted.count() // PATTERNS))
     schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text_hash bigint, n_words bigint, hits array<int>, items array<string>"
     rows = None
-    for k in range(blocks):
-        block = wanted.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect()  # about PATTERNS rows
-        tables = [
-            Patterns.of(n, [r["pattern"].encode() for r in own], [r["items"] for r in own])
-            for n in sorted({r["n"] for r in block})
-            if (own := [r for r in block if r["n"] == n])
-        ]
-        found = texts.mapInArrow(_searcher(spark.sparkContext.broadcast(tables), everything=k == 0), schema)
+    for tables in _tables(items, size, item_id, item_text):
+        found = texts.mapInArrow(_searcher(spark.sparkContext.broadcast(tables), everything=rows is None), schema)
         rows = found if rows is None else rows.unionAll(found)
     return rows.groupBy("doc_id", "text_hash").agg(
         F.max("n_words").alias("n_words"),
@@ -196,3 +201,29 @@ def _searcher(tables, everything: bool):
                 )
 
     return search
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """The rows, with all their columns, without an occurrence of any pattern."""
+    at = docs.columns.index(text)
+
+    def without(tables):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, j in W.slices(batch.column(at)):
+                    part = batch.slice(i, j - i)
+                    words = W.split_words(part.column(at), W.ALNUM_LOWER)
+                    hashes = W.word_hashes(words)
+                    clean = np.ones(j - i, bool)
+                    for table in tables.value:
+                        place, _ = table.search(words, hashes)
+                        clean[np.searchsorted(words.first, place, "right") - 1] = False
+                    yield part.filter(pa.array(clean))
+
+        return run
+
+    for tables in _tables(items, size, item_id, item_text):
+        docs = docs.mapInArrow(without(docs.sparkSession.sparkContext.broadcast(tables)), docs.schema)
+    return docs

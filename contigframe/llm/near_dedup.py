@@ -31,7 +31,7 @@ from ..operators.lineage import cut
 from . import words as W
 from .components import components
 
-PERMUTATIONS = 48
+PERMUTATIONS = 64
 PIVOTS = 16
 _SPREAD = np.random.default_rng(20).integers(1, 1 << 63, (PERMUTATIONS, 2), dtype=np.uint64)
 _SHORT, _TWIN = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)

@@ -206,3 +206,17 @@ def score_toxicity(docs: DataFrame, model: Linear, doc_id: str = "doc_id", text:
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return scored(rows, lambda texts: held.value.scores(texts))
+
+
+def reject_toxic(docs: DataFrame, model: Linear, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below ``threshold``."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in W.slices(batch.column(at)):
+                part = batch.slice(i, j - i)
+                yield part.filter(pa.array(held.value.scores(part.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
