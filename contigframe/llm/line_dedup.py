@@ -61,7 +61,7 @@ def remove_boilerplate(
     whole = F.col("dropped").isNull()
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text"))))
     return (
-        base.join(dropped, "page", "left")
+        base.join(dropped.hint("merge"), "page", "left")  # by sorting at every size, so that disk grows evenly
         .withColumn("kept", F.when(~whole, kept))
         .select(
             "row",
