@@ -68,7 +68,9 @@ def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = 10, segments: in
     total, k = size["rows"] or 0, min(k, size["rows"] or 0)
     if segments is None:
         # About one code for each segment value.
-        segments = min(16, max(2, math.ceil(BITS / math.log2(max(2, size["codes"])))))
+        segments = min(16, max(4, math.ceil(BITS / math.log2(max(2, size["codes"])))))
+    if not 4 <= segments <= 16:
+        raise ValueError("4 to 16 segments are possible: the values of a segment are listed")
     borders = _borders(segments)
     parts = [F.struct(F.lit(s).alias("segment"), _segment(F.col("code"), *b).alias("value")) for s, b in enumerate(borders)]
     index = cut(codes.select("code", "copies", F.inline(F.array(*parts))))
