@@ -557,12 +557,12 @@ def _(spark, d):
 
 @register("coverage_fragments", "seq_id:i draw:i start:i length:i fragment:s")
 def _(spark, d):
-    return coverage_sampling(sequences(spark, d), 200, 600, 1.5, max_n=0.5, seed=4)
+    return coverage_sampling(sequences(spark, d), 200, 600, 1.5, max_n=0.5, seed=4, strict=False)
 
 
 @register("circular_fragments", "seq_id:i draw:i start:i length:i fragment:s")
 def _(spark, d):
-    return coverage_sampling(sequences(spark, d), 200, 600, 1.0, True, max_n=0.5, seed=4)
+    return coverage_sampling(sequences(spark, d), 200, 600, 1.0, True, max_n=0.5, seed=4, strict=False)
 
 
 @register(

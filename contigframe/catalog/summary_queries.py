@@ -312,10 +312,11 @@ def _(spark, d):
                        SELECT *, unnest(range(0, length(win) - 1)) AS i FROM wins)),
             good AS (SELECT * FROM mers WHERE regexp_full_match(kmer, '[ACGT]+')),
             counts AS (SELECT lang AS label, kmer, count(*) AS n FROM good GROUP BY ALL),
-            profile AS (SELECT label, kmer, ln((n + 1)::DOUBLE / (sum(n) OVER (PARTITION BY label)
-                          + 16)) AS weight FROM counts)
-       SELECT seq_id, window_idx, label AS lang, sum(weight) / count(*) AS score
-       FROM mers JOIN profile USING (kmer) GROUP BY ALL""",
+            totals AS (SELECT label, sum(n) + 16 AS total FROM counts GROUP BY label)
+       SELECT seq_id, window_idx, t.label AS lang,
+              avg(CASE WHEN g.kmer IS NOT NULL THEN ln((coalesce(c.n, 0) + 1)::DOUBLE / total) END) AS score
+       FROM wins CROSS JOIN totals t LEFT JOIN good g USING (seq_id, window_idx)
+       LEFT JOIN counts c ON c.label = t.label AND c.kmer = g.kmer GROUP BY ALL""",
     "wins",
 )
 def _(spark, d):

@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import count_of, piece, share
 from ..functions.picks import at, between, row_hash
+from .lineage import cut
 from .ordered import running
 from .ranks import BUCKET_BITS, hash_bucket, rank_rows
-from .skew import salted_join, with_single
+from .skew import null_safe_join, salted_join, with_single
 from .windows import MIN_BLOCK, blocks
 
+MOST_DRAWS = 64
+
 
 def hash_rank(
     df: DataFrame, keys: Sequence[str], key: str, seed: int, out: str = "rank"
@@ -146,7 +149,7 @@ def stratified_sample(
         label, F.when(F.col("_all") <= size, F.col("_n")).otherwise(target).alias("_target")
     )
     ranked = hash_rank(df, [label], key, seed, "_rank")
-    kept = ranked.join(F.broadcast(plan), label).where("_rank < _target")
+    kept = null_safe_join(ranked, plan, [label]).where("_rank < _target")
     # Order of the trim: first rows of labels, then the rest by rank.
     rows = kept.withColumn("_h", row_hash(key, seed=seed)).withColumn(
         "_order", F.when(F.col("_rank") == 0, F.lit(0)).otherwise(F.lit(1))
@@ -230,35 +233,59 @@ def random_tiling(
 
 def coverage_sampling(
     df: DataFrame, min_len: int, max_len: int, coverage: float, circular: bool = False,
-    max_n: float = 0.3, seed: int = 0, tries: int = 4, key: str = "seq_id", seq: str = "seq",
+    max_n: float = 0.3, seed: int = 0, tries: int = 4, strict: bool = True, key: str = "seq_id", seq: str = "seq",
 ) -> DataFrame:
     """Random fragments of each sequence until the kept bases reach ``coverage`` times it.
 
-    Enough candidates are drawn to reach the target ``tries`` times over with the shortest
-    fragments; a sequence whose candidates mostly exceed the N limit may stay below.
+    Candidates for ``tries`` times the target are drawn first; sequences that stay short, since
+    many of their candidates exceed the N limit, get twice as many again until all have enough.
+    One still short after ``MOST_DRAWS`` times the first number, which has next to no place within
+    the limit, is an error if ``strict``, else it keeps what was found. Sequences below
+    ``min_len`` have no fragments.
     """
     if min_len <= 0 or max_len < min_len:
         raise ValueError("0 < min_len <= max_len is needed")
-    base = df.select(key, F.length(seq).alias("_len"), row_hash(key, seed=seed).alias("_h"))
-    draws = (F.ceil(F.col("_len") * coverage / min_len) * tries).cast("int")
-    room = F.col("_len") - (F.lit(0) if circular else F.col("length"))
-    last = F.greatest(room - (1 if circular else 0), F.lit(0)).cast("int")
-    drawn = (
-        base.withColumn(
-            "draw", F.explode(F.when(F.col("_len") >= min_len, F.sequence(F.lit(1), draws)))
-        )
-        .withColumn("length", between(at(F.col("_h"), F.col("draw") * 2), min_len, max_len))
-        .withColumn("length", F.least("length", "_len"))
-        .withColumn("start", between(at(F.col("_h"), F.col("draw") * 2 + 1), 0, last))
-    )
     text = F.concat(F.col(seq), F.left(F.col(seq), F.lit(max_len))) if circular else F.col(seq)
     source = df.select(key, text.alias(seq))
-    spans = drawn.select(key, "draw", "start", "length")
-    checked = cut_spans(source, spans, key, max_len, seq).select(
-        key, "draw", "start", "length", count_of("fragment", "N").alias("_n")
+    short = (
+        df.select(key, F.length(seq).alias("_len"), row_hash(key, seed=seed).alias("_h"))
+        .where(F.col("_len") >= min_len)
+        .withColumn("_target", F.col("_len") * coverage)
+        .withColumn("_draws", F.ceil(F.col("_target") / min_len) * tries)
     )
-    good = checked.where(F.col("_n") <= F.col("length") * max_n)
-    lengths = base.select(key, (F.col("_len") * coverage).alias("_target"))
+    lengths = short.select(key, "_target")
+    room = F.col("_len") - (F.lit(0) if circular else F.col("length"))
+    last = F.greatest(room - (1 if circular else 0), F.lit(0)).cast("int")
+    good, done, until = None, 0, 1
+    while True:
+        numbers = F.sequence(F.col("_draws") * done + 1, F.col("_draws") * until)
+        spans = (
+            short.withColumn("draw", F.explode(F.when(F.col("_draws") > 0, numbers)))
+            .withColumn("length", between(at(F.col("_h"), F.col("draw") * 2), min_len, max_len))
+            .withColumn("length", F.least("length", "_len"))
+            .withColumn("start", between(at(F.col("_h"), F.col("draw") * 2 + 1), 0, last))
+            .select(key, "draw", "start", "length")
+        )
+        checked = cut_spans(source.join(short.select(key), key, "left_semi"), spans, key, max_len, seq)
+        fine = cut(
+            checked.where(count_of("fragment", "N") <= F.col("length") * max_n).select(
+                key, "draw", "start", "length"
+            )
+        )
+        good = fine if good is None else good.unionByName(fine)
+        reached = good.groupBy(key).agg(F.sum("length").alias("_sum"))
+        short = cut(
+            short.join(reached, key, "left")
+            .where(F.coalesce("_sum", F.lit(0)) < F.col("_target"))
+            .drop("_sum")
+        )
+        if short.isEmpty():
+            break
+        if until >= MOST_DRAWS and not strict:
+            break
+        if until >= MOST_DRAWS:
+            raise ValueError(f"some sequences have too few fragments within the N limit: {short.first()[0]}")
+        done, until = until, until * 2
     summed = running(good, [key], "draw", {"_before": ("sum", "length")}, inclusive=False)
     kept = (
         summed.join(lengths, key)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
-from .skew import salted_join
+from .skew import null_safe_join, salted_join
 
 HASH_BITS = 32
 BUCKET_BITS = 12
@@ -41,8 +41,8 @@ def rank_rows(
 ) -> DataFrame:
     """0-based rank of each row within its group by ``order``.
 
-    ``bucket`` must not decrease along the order. With no keys the rank is global. Key columns
-    must not be null.
+    ``bucket`` must not decrease along the order. With no keys the rank is global. Rows whose key
+    is null are a group like any other.
     """
     keys = list(keys)
     data = df.withColumn("_bucket", bucket)
@@ -52,7 +52,7 @@ def rank_rows(
     per = data.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     carry = _carry(per, keys, "_bucket", {"_before": "_n"})
     w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    ranked = data.join(carry, [*keys, "_bucket"]).withColumn(
+    ranked = null_safe_join(data, carry, [*keys, "_bucket"]).withColumn(
         out, (F.col("_before") + F.row_number().over(w) - 1).cast("bigint")
     )
     return ranked.drop("_bucket", "_before", "_all")
@@ -63,7 +63,7 @@ def group_sizes(df: DataFrame, keys: Sequence[str], out: str = "n_rows") -> Data
 
 
 def with_group_size(df: DataFrame, keys: Sequence[str], out: str = "n_rows") -> DataFrame:
-    return df.join(group_sizes(df, keys, out), list(keys))
+    return null_safe_join(df, group_sizes(df, keys, out), list(keys))
 
 
 def value_buckets(

@@ -77,23 +77,23 @@ def refine_windows(
 ) -> DataFrame:
     """Merge an ambiguous pair first, then withhold a call below its class limits.
 
-    ``taus`` has one row per class, so its size is that of the class list.
+    ``taus`` has one row per class, so its size is that of the class list. A called class without
+    a row is an error.
     """
     pairs = MERGED_PAIRS if pairs is None else pairs
-    limits = taus.select(F.col("class").alias("top_class"), "tau_logit", "tau_margin")
+    limits = taus.select(F.col("class").alias("top_class"), "tau_logit", "tau_margin", F.lit(True).alias("_known"))
     close = F.col("margin") < F.col("tau_margin")
     merged = F.lit(None).cast("string")
     for name, (a, b) in pairs.items():
         both = _is_pair("top_class", "second_class", a, b)
         merged = F.when(both & close, F.lit(name)).otherwise(merged)
     low = (F.col("top_score") < F.col("tau_logit")) | close
+    refined = F.coalesce(merged, F.when(low, F.lit("unknown")).otherwise(F.col("top_class")))
+    without = F.raise_error(F.concat(F.lit("no limits for class "), F.coalesce("top_class", F.lit("null")))).cast("string")
     return (
-        df.join(F.broadcast(limits), "top_class")
-        .withColumn(
-            "refined",
-            F.coalesce(merged, F.when(low, F.lit("unknown")).otherwise(F.col("top_class"))),
-        )
-        .drop("tau_logit", "tau_margin")
+        df.join(limits, "top_class", "left")
+        .withColumn("refined", F.when(F.col("_known"), refined).otherwise(without))
+        .drop("tau_logit", "tau_margin", "_known")
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions.dna import let, share
 from ..functions.scores import log_softmax, sigmoid, softmax, top_index
+from .skew import with_single
 
 
 def composition(size: Column | None = None) -> list[Column]:
@@ -58,7 +59,8 @@ def score_windows(
 
 
 def fit_kmer_profile(df: DataFrame, k: int, label: str = "label", seq: str = "window"):
-    """Log share of every k-mer within its class, with one added count.
+    """Log share of every k-mer within its class, with one added count: ``label, kmer, weight,
+    unseen``, the last the weight of any k-mer the class has not.
 
     K-mers are counted inside the map tasks first: what is shuffled is at most one row per
     task, class and k-mer.
@@ -69,9 +71,9 @@ def fit_kmer_profile(df: DataFrame, k: int, label: str = "label", seq: str = "wi
         .groupBy(label, "kmer")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    totals = counts.groupBy(label).agg(F.sum("n").alias("total"))
+    totals = counts.groupBy(label).agg((F.sum("n") + 4**k).alias("total"))
     return counts.join(totals, label).select(
-        label, "kmer", F.ln((F.col("n") + 1) / (F.col("total") + 4**k)).alias("weight")
+        label, "kmer", F.ln((F.col("n") + 1) / F.col("total")).alias("weight"), F.ln(1 / F.col("total")).alias("unseen")
     )
 
 
@@ -90,17 +92,22 @@ def score_kmer_profile(
 ) -> DataFrame:
     """Mean log share of the k-mers of each window under every class: ``keys, label, score``.
 
-    The profile has at most 4^k rows per class, which bounds what is broadcast; ``k`` is
-    therefore limited.
+    K-mers with other letters than A C G T are left out; one the class has not counts with the
+    class's ``unseen`` weight. A window without any k-mer has the score null in every class.
     """
-    if k > 6:
-        raise ValueError("k-mer profiles are limited to k <= 6")
-    mers = df.select(*keys, F.explode(kmer_array(F.col(seq), k)).alias("kmer"))
+    mers = df.select(*keys, F.explode(kmer_array(F.col(seq), k)).alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
     counted = mers.groupBy(*keys, "kmer").agg(F.count(F.lit(1)).alias("n"))
-    hits = counted.join(F.broadcast(profile), "kmer")
-    return hits.groupBy(*keys, label).agg(
-        (F.sum(F.col("n") * F.col("weight")) / F.sum("n")).alias("score")
-    )
+    totals = counted.groupBy(*keys).agg(F.sum("n").alias("_all"))
+    above = (F.col("n") * (F.col("weight") - F.col("unseen"))).alias("_above")
+    hits = counted.join(profile, "kmer").select(*keys, label, above).groupBy(*keys, label).agg(F.sum("_above").alias("_above"))
+    classes = profile.groupBy(label).agg(F.first("unseen").alias("unseen"))
+    listed = classes.agg(F.collect_list(F.struct(label, "unseen")).alias("_classes"))  # the class list
+    every = with_single(df.select(*keys).join(totals, list(keys), "left"), listed)
+    every = every.select(*keys, "_all", F.inline("_classes"))
+    return every.join(hits, [*keys, label], "left").select(
+        *keys, label,
+        F.when(F.col("_all") > 0, F.coalesce("_above", F.lit(0.0)) / F.col("_all") + F.col("unseen")).alias("score"),
+    )
 
 
 def combine_models(

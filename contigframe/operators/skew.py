@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,13 @@ def hot_join(
     return left.join(right, [hash_, *on, "_salt"]).drop("_salt")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where two nulls are equal. Columns of ``left`` come first, keys once."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    equal = [left[c].eqNullSafe(renamed[f"_right_{c}"]) for c in on]
+    return left.join(renamed, reduce(and_, equal), how).drop(*[f"_right_{c}" for c in on])
+
+
 def with_single(df: DataFrame, single: DataFrame) -> DataFrame:
     """Attach the columns of a one-row frame (an aggregate without groups) to every row."""
     return (

@@ -100,18 +100,18 @@ def resolve_merged(df: DataFrame, merged: DataFrame, taxid: str = "taxid") -> Da
     ).drop("_new")
 
 
-def ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
     """Every (taxid, ancestor, distance), the taxon itself at distance 0.
 
-    Paths are doubled each round, so a tree of depth 40 takes six joins. The root is its own
-    parent or has none.
+    Paths are doubled each round until no longer one appears, so a tree of depth 40 takes six
+    joins. The root is its own parent or has none; any other cycle is an error.
     """
     self_rows = nodes.select("taxid", F.col("taxid").alias("ancestor"), F.lit(0).alias("distance"))
     step = nodes.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("taxid"))).select(
         "taxid", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")
     )
     paths, reach = cut(step), 1
-    while reach < max_depth:
+    while True:
         longer = (
             paths.where(F.col("distance") == reach)
             .select("taxid", F.col("ancestor").alias("_mid"))
@@ -120,9 +120,10 @@ def ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
         )
         longer = cut(longer)
         if longer.isEmpty():
-            break
+            return cut(self_rows.unionByName(paths))
+        if not longer.where(F.col("taxid") == F.col("ancestor")).isEmpty():
+            raise ValueError("the parents of the taxa form a cycle")
         paths, reach = paths.unionByName(longer), reach * 2
-    return cut(self_rows.unionByName(paths))
 
 
 def majority_lca(
