@@ -85,7 +85,7 @@ def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = 10, segments: in
             mine = mine & F.when(F.col("segment") > s, distance > flips).otherwise(distance >= flips)
         met = (
             active.select("query", "bound", F.inline(F.concat(*probes)))
-            .join(index, ["segment", "value"])
+            .join(index.hint("shuffle_hash"), ["segment", "value"])  # the probes are many: never broadcast
             .where(mine & (F.bit_count(differ) <= F.col("bound")))
             .select("query", "code", "copies", F.bit_count(differ).alias("distance"))
         )
