@@ -202,38 +202,41 @@ def window_complexity(body: Column) -> Column:
     )
 
 
-def _merge_hits(hits: Column, window: int, length: Column) -> Column:
-    # A hit opens a span when the one before ends earlier, and closes it when the next is apart.
-    opens = F.filter(
-        hits, lambda s, i: (i == 0) | (s > F.coalesce(F.get(hits, i - 1), F.lit(0)) + window)
-    )
-    closes = F.filter(
-        hits,
-        lambda s, i: (i == F.size(hits) - 1)
-        | (F.coalesce(F.get(hits, i + 1), F.lit(0)) > s + window),
-    )
-    return F.zip_with(
-        opens,
-        closes,
-        lambda a, b: F.struct(a.alias("start"), F.least(b + window, length).alias("end")),
-    )
-
-
 def low_complexity_mask(
     seq: Column | str, window: int = 64, score: float = 20.0, step: int = 32
 ) -> Column:
     """Lower-case every window whose repetition score is above ``score``.
 
-    A row-local expression: windows of a sequence never leave its row, so nothing is shuffled.
-    Overlapping and touching hits are merged before masking.
+    Windows start every ``step`` bases, and one ends with the sequence. A row-local expression,
+    linear in the length: the sequence is cut into steps once, a window is a few of them put
+    together, and a step is masked if one of the windows over it is a hit.
     """
-    seq = _col(seq)
+    if window % step:
+        raise ValueError("the window must be a multiple of the step")
+    seq, reach = _col(seq), window // step
     last = F.greatest(F.length(seq) - window, F.lit(0))
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(step)), F.array(last)))
-    hits = F.filter(starts, lambda s: let(piece(seq, s, window), window_complexity) > score)
-    return let(
-        hits,
-        lambda h: F.when(F.size(h) == 0, seq).otherwise(
-            let(_merge_hits(h, window, F.length(seq)), lambda spans: mask_to_lower(seq, spans))
-        ),
-    )
+
+    def masked(parts: Column) -> Column:
+        def repeats(k: Column) -> Column:
+            body = F.concat(*[F.coalesce(F.get(parts, k + n), F.lit("")) for n in range(reach)])
+            return (k * step <= last) & (let(body, window_complexity) > score)
+
+        def rebuild(hits: Column) -> Column:
+            def over(k: Column) -> Column:
+                found = F.get(hits, k)
+                for n in range(1, reach):
+                    found = F.coalesce(found, F.lit(False)) | F.coalesce(F.get(hits, k - n), F.lit(False))
+                return found
+
+            return F.array_join(
+                F.transform(parts, lambda x, k: F.when(over(k), F.lower(x)).otherwise(x)), ""
+            )
+
+        return let(F.transform(parts, lambda x, k: repeats(k)), rebuild)
+
+    whole = let(F.regexp_extract_all(seq, F.lit("(?s).{1,%d}" % step), F.lit(0)), masked)
+    tail = let(F.right(seq, F.lit(window)), window_complexity) > score
+    return F.when(
+        tail,
+        let(whole, lambda m: F.concat(F.left(m, last), F.lower(F.right(m, F.lit(window))))),
+    ).otherwise(whole)

@@ -177,24 +177,21 @@ def cut_spans(
 ) -> DataFrame:
     """Text of irregular spans (``key, start, length, ...``): adds ``fragment``.
 
-    The spans of a sequence travel to it as one short list, not the sequence to each span.
+    A span meets the one block it starts in, which overlaps the next by ``max_len``: the work is
+    linear in the blocks and in the spans, however long the sequence.
     """
     extra = [c for c in spans.columns if c != key]
-    lists = spans.groupBy(key).agg(F.collect_list(F.struct(*extra)).alias("_spans"))
     width = max(MIN_BLOCK, 4 * max_len)
-    rows = blocks(df.join(lists, key), seq, max_len, width)
-    begin = F.col("block_start")
-    mine = F.filter(
-        "_spans", lambda s: (s["start"] >= begin) & (s["start"] < begin + width)
-    )
+    texts = blocks(df.select(key, seq), seq, max_len, width)
+    texts = texts.withColumn("_block", F.floor(F.col("block_start") / width))
     return (
-        rows.withColumn("_span", F.explode_outer(mine))
-        .where("_span IS NOT NULL")
-        .withColumn(
-            "fragment", piece("block", F.col("_span.start") - begin, F.col("_span.length"))
+        spans.withColumn("_block", F.floor(F.col("start") / width))
+        .join(texts, [key, "_block"])
+        .select(
+            key, *extra,
+            piece("block", F.col("start") - F.col("block_start"), F.col("length")).alias("fragment"),
         )
-        .select(key, "_span.*", "fragment")
-    )
+    )
 
 
 def random_tiling(

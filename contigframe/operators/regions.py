@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement, rounded_skew, share
 from ..functions.scores import names_of, softmax, top_index
+from .lineage import cut
 from .ordered import CHUNK, frame_over, neighbours, running, scale_range
 from .skew import salted_join
 from .windows import blocks, make_windows
@@ -36,16 +37,19 @@ def score_track(
 ) -> DataFrame:
     """Smoothed class tracks of long contigs: moving sums over four windows of class
     probabilities, GC share, and the skew averaged over ten windows and scaled to [-1, 1]."""
-    rows = scored.where(F.col("seq_len") >= min_length).select(
-        key, "window_idx", "seq_len", softmax(F.col("scores")).alias("_p"),
-        share(F.col("g") + F.col("c"), F.lit(size)).alias("gc"), "gc_skew",
+    # Both are read more than once: written, so that no window is scored or framed again.
+    rows = cut(
+        scored.where(F.col("seq_len") >= min_length).select(
+            key, "window_idx", "seq_len", softmax(F.col("scores")).alias("_p"),
+            share(F.col("g") + F.col("c"), F.lit(size)).alias("gc"), "gc_skew",
+        )
     )
     frames = {
         c: ("sum", F.get("_p", F.lit(i)), 2, 1) for i, c in enumerate(classes)
     }
     frames["_skew"] = ("sum", F.col("gc_skew"), 5, 4)
     framed = frame_over(rows, [key], "window_idx", frames, chunk)
-    tracks = framed.withColumn("_skew", F.col("_skew") / 10.0)
+    tracks = cut(framed.withColumn("_skew", F.col("_skew") / 10.0).drop("_p", "gc_skew"))
     scaled = scale_range(tracks, [key], "_skew", -1.0, 1.0, "skew_track")
     hosts = host_class(rows, classes, key, "_p")
     return salted_join(scaled, hosts, [key], ["window_idx"]).select(
@@ -69,8 +73,10 @@ def segment_regions(
         "_high", F.col("_score") > sensitivity
     )
     prev = neighbours(rows, [key], order, {"_prev": (F.col("_high"), -1)}, chunk)
-    opened = prev.withColumn(
-        "_open", F.when(F.col("_high") & ~F.coalesce("_prev", F.lit(False)), F.col(order))
+    opened = cut(
+        prev.withColumn(
+            "_open", F.when(F.col("_high") & ~F.coalesce("_prev", F.lit(False)), F.col(order))
+        )
     )
     named = running(opened, [key], order, {"first_window": ("max", "_open")}, chunk)
     return (

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from ..functions.dna import (
     _col,
     count_of,
-    gc_content,
     let,
     piece,
     reverse_complement,
     share,
 )
+from .lineage import cut
+from .windows import span_pieces
 
 SEED = 13
 MATCH = 2
@@ -30,7 +31,7 @@ LETTERS = "ACGT"
 
 def _seeds(df: DataFrame, id_: str, text: str, edge: str) -> DataFrame:
     """K-mers of A C G T with their position and the letter before (``edge`` if none)."""
-    def cut(offset: int) -> Column:
+    def kmers_at(offset: int) -> Column:
         parts = F.regexp_extract_all(
             F.substr(text, F.lit(offset + 1)), F.lit(".{%d}" % SEED), F.lit(0)
         )
@@ -45,7 +46,7 @@ def _seeds(df: DataFrame, id_: str, text: str, edge: str) -> DataFrame:
         )
 
     # One linear pass per offset; the k-mers of an end come in no particular order.
-    found = F.concat(*[cut(offset) for offset in range(SEED)])
+    found = F.concat(*[kmers_at(offset) for offset in range(SEED)])
     prev = F.when(F.col("pos") == 0, F.lit(edge)).otherwise(piece(text, F.col("pos") - 1, 1))
     return (
         df.select(id_, "kind", text, F.inline_outer(found))
@@ -227,31 +228,43 @@ def att_sites(
     """Repeats around the two borders of each region (``start, end, score``).
 
     A region is identified by key, start and end. Without a hit the attachment columns are null
-    and the region borders are kept.
+    and the region borders are kept. Both ends (a few thousand letters) and the counts of the body
+    come from the blocks of the sequence that they lie in; the sequence itself is never copied.
     """
     ids = [key, "start", "end"]
-    texts = sequences.select(key, F.col(seq).alias("_seq"), F.length(seq).alias("seq_len"))
+    lengths = sequences.select(key, F.length(seq).alias("seq_len"))
     width = F.col("end") - F.col("start")
     offset = F.when(F.floor(width / 2) >= 14000, 2000).otherwise(F.floor(width / 4))
     wide = F.least(F.greatest(F.floor(F.col("seq_len") * 0.04), F.lit(400)), F.lit(4000))
-    near = (
+    placed = cut(
         regions.select(*ids, "score")
-        .join(texts, key)
+        .join(lengths, key)
         .withColumn("_off", offset.cast("int"))
         .withColumn("_from", F.greatest(F.col("start") - wide, F.lit(0)).cast("int"))
         .withColumn("_to", F.least(F.col("end") + wide, F.col("seq_len")).cast("int"))
         .withColumn("_right", (F.col("end") - F.col("_off")).cast("int"))
-        .withColumn(
-            "front", piece("_seq", F.col("_from"), F.col("start") + F.col("_off") - F.col("_from"))
-        )
-        .withColumn("_rear", piece("_seq", F.col("_right"), F.col("_to") - F.col("_right")))
         .withColumn("region_id", F.concat_ws(":", *ids))
     )
+    sides = F.array(
+        F.struct(
+            F.lit("front").alias("side"), F.col("_from").alias("start"),
+            (F.col("start") + F.col("_off")).cast("int").alias("end"),
+        ),
+        F.struct(F.lit("rear").alias("side"), F.col("_right").alias("start"), F.col("_to").alias("end")),
+    )
+    tips = span_pieces(sequences, placed.select(key, "region_id", F.inline(sides)).distinct(), key, seq)
+
+    def joined(side: str) -> Column:
+        parts = F.collect_list(F.when(F.col("side") == side, F.struct("block_start", "text")))
+        return F.array_join(F.transform(F.array_sort(parts), lambda p: p["text"]), "")
+
+    tips = tips.groupBy("region_id").agg(joined("front").alias("front"), joined("rear").alias("_rear"))
+    near = cut(placed.join(tips, "region_id", "left").fillna("", ["front", "_rear"]))
     ends = near.select("region_id", "front", F.inline(both_kinds("_rear")))
     best = choose_kind(best_runs(ends, "region_id"), "region_id").withColumnRenamed(
         "score", "att_score"
     )
-    rows = near.join(best, "region_id", "left")
+    rows = cut(near.join(best, "region_id", "left"))
     length = F.col("length")
     inverted = F.col("kind") == "ITR"
     a_last = F.col("a_start") + length - 1
@@ -264,14 +277,15 @@ def att_sites(
     hit = length.isNotNull()
     body_start = F.when(hit, sstart).otherwise(F.col("start")).cast("int")
     body_end = F.when(hit, eend).otherwise(F.col("end")).cast("int")
-    rows = rows.withColumns(
-        {
-            "sstart": body_start, "eend": body_end,
-            "_send": send, "_estart": estart,
-            "_body": piece("_seq", body_start, F.greatest(body_end - body_start, F.lit(0))),
-        }
+    bodies = rows.select(key, "region_id", body_start.alias("start"), body_end.alias("end")).distinct()
+    body = span_pieces(sequences, bodies, key, seq).groupBy("region_id").agg(
+        F.sum(count_of("text", "N")).alias("_n"), F.sum(F.length("text")).alias("_letters"),
+        F.sum(count_of("text", "G") + count_of("text", "C")).alias("_gc"),
     )
-    n_share = share(count_of("_body", "N"), F.length("_body"))
+    rows = rows.withColumns(
+        {"sstart": body_start, "eend": body_end, "_send": send, "_estart": estart}
+    ).join(body, "region_id", "left").fillna(0, ["_n", "_letters", "_gc"])
+    n_share = share(F.col("_n"), F.col("_letters"))
     long = (F.col("kind") == "DTR") & ((F.col("_send") - F.col("sstart")) >= LONG_REPEAT)
     rear = F.when(inverted, reverse_complement("_rear")).otherwise(F.col("_rear"))
     return rows.select(
@@ -280,7 +294,7 @@ def att_sites(
         (F.col("eend") - F.col("sstart")).alias("region_len"),
         F.col("score").alias("phage_score"),
         F.when(hit, n_share).alias("n%"),
-        gc_content("_body").alias("gc%"),
+        share(F.col("_gc"), F.col("_letters")).alias("gc%"),
         F.when(hit, n_share > 0.20).alias("reject"),
         "sstart",
         F.when(hit, F.col("_send")).cast("int").alias("send"),

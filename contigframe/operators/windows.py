@@ -57,6 +57,31 @@ def blocks(
     )
 
 
+def span_pieces(
+    df: DataFrame, spans: DataFrame, key: str = "seq_id", seq: str = "seq", size: int = 1 << 14
+) -> DataFrame:
+    """The text of spans (``key, start, end, ...``; half-open) of any length, in pieces of up to
+    ``size`` letters: adds ``block_start`` and ``text``; the pieces of a span follow each other.
+
+    A span meets only the blocks it lies in, by an equal join, so neither the sequence is copied
+    to its spans nor the list of spans to its blocks. Empty spans give no piece.
+    """
+    texts = blocks(df.select(key, seq), seq, 0, size).withColumn(
+        "_block", F.floor(F.col("block_start") / size)
+    )
+    inside = F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))
+    covered = spans.withColumn(
+        "_block", F.explode(F.when(F.col("end") > F.col("start"), inside))
+    )
+    low = F.greatest(F.col("start") - F.col("block_start"), F.lit(0))
+    high = F.least(F.col("end") - F.col("block_start"), F.lit(size))
+    return (
+        covered.join(texts, [key, "_block"])
+        .withColumn("text", piece("block", low, high - low))
+        .drop("_block", "block")
+    )
+
+
 def cut_regular(
     df: DataFrame,
     seq: str,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import names_of, top_index
 from ..operators.decode import transition_costs, viterbi_labels
+from ..operators.lineage import cut
 from ..operators.metrics import binary_metrics, per_class_metrics, reliability_stats
 from ..operators.refine import add_score_features, aggregate_refined, refine_windows
 from ..operators.regions import (
@@ -61,8 +62,12 @@ def call_contigs(
     repeats: bool = False,
     repeat_min_len: int | None = None,
 ) -> DataFrame:
-    """The contig table. Optional steps: joint decoding, refinement, terminal repeats."""
-    scored = score_sequences(sequences, scorer, size, stride, min_len)
+    """The contig table. Optional steps: joint decoding, refinement, terminal repeats.
+
+    The scored windows are written once, without their text: every step reads them from there,
+    and the scorer runs once for each window.
+    """
+    scored = cut(score_sequences(sequences, scorer, size, stride, min_len).drop("window"))
     names = names_of(list(classes))
     if switch_cost is None:
         labelled = scored.withColumn("decoded", top_index(F.col("scores")))
@@ -95,8 +100,8 @@ def call_regions(
     """Regions of one class on long contigs, snapped to genes, with their border repeats."""
     track = score_track(scored, classes, size, stride, min_length)
     regions = segment_regions(track, target, sensitivity)
-    lengths = sequences.select("seq_id", F.length("seq").alias("seq_len"))
-    placed = region_coordinates(regions.join(lengths, "seq_id"), size, stride)
+    lengths = track.groupBy("seq_id").agg(F.max("seq_len").alias("seq_len"))
+    placed = cut(region_coordinates(regions.join(lengths, "seq_id"), size, stride))
     if genes is None:
         long_only = sequences.where(F.length("seq") >= min_length)
         genes = orf_intervals(long_only)
