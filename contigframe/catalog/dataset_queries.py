@@ -11,6 +11,7 @@ from ..operators import datasets as D
 from ..operators import perturb as P
 from ..operators import validate
 from ..operators.scoring import composition, linear_scores
+from ..operators.windows import fragments_tail_aligned
 from ..plans.training import encode_dataset, fragment_set, ood_set, reliability_set
 from ..sources.encoded import union_padded
 from ..sources.tables import read_table
@@ -199,21 +200,21 @@ def _(spark, d):
 
 
 @register(
-    "padded_union", "seq_id:i length:i tokens:l",
+    "padded_union", "seq_id:i start:i length:i tokens:l",
     """SELECT *, t || list_transform(range(0, max(length) OVER () - length), lambda x: 0) AS tokens
        FROM (SELECT *, len(t) AS length FROM (
-         SELECT seq_id, list_transform(string_split(substr(seq, 1, CASE WHEN seq_id % 2 = 0
-                  THEN 40 ELSE 60 END), ''), lambda x: strpos('AGTC', x)) AS t FROM seqs))""",
-    "seqs",
+         SELECT seq_id, start, list_transform(string_split(crop, ''),
+                  lambda x: strpos('AGTC', x)) AS t FROM crops))""",
+    "crops",
 )
 def _(spark, d):
-    rows = sequences(spark, d)
+    rows = _crops(spark, d)
+    # Two sets that together are all crops.
     parts = [
         rows.where(F.col("seq_id") % 2 == n).select(
-            "seq_id", frames.letter_tokens(F.left("seq", F.lit(size)), frames.BASE_TOKENS)
-            .alias("tokens"),
+            "seq_id", "start", frames.letter_tokens("crop", frames.BASE_TOKENS).alias("tokens")
         )
-        for n, size in ((0, 40), (1, 60))
+        for n in (0, 1)
     ]
     return union_padded(parts, "tokens")
 
@@ -381,19 +382,26 @@ def _(spark, d):
     )
 
 
+def _fragments(rows, label):
+    """All fragments of 300 bases: ``seq_id, seq, label``. Shorter sequences have none."""
+    cut = fragments_tail_aligned(rows, 300, 0, label=label)
+    return cut.select(
+        F.col("frag_name").alias("seq_id"), F.col("fragment").alias("seq"), F.col(label).alias("label")
+    )
+
+
 @register(
     "perturbed_counts", "kind:s rows:i same_length:i",
     """SELECT kind, n // 4 + CASE WHEN k < n % 4 THEN 1 ELSE 0 END AS rows,
               n // 4 + CASE WHEN k < n % 4 THEN 1 ELSE 0 END AS same_length
        FROM (SELECT unnest(['shuffle', 'subseq_repeat', 'tandem_repeat', 'n_stretch']) AS kind,
                     unnest([0, 1, 2, 3]) AS k),
-            (SELECT (count(*) * 2)::BIGINT AS n FROM seqs WHERE length(seq) >= 300)""",
+            (SELECT (coalesce(sum(ceil((length(seq) - 300) / 300.0) + 1), 0) * 2)::BIGINT AS n
+             FROM seqs WHERE length(seq) >= 300)""",
     "seqs",
 )
 def _(spark, d):
-    rows = sequences(spark, d).where(F.length("seq") >= 300).select(
-        "seq_id", F.left("seq", F.lit(300)).alias("seq"), F.col("lang").alias("label")
-    )
+    rows = _fragments(sequences(spark, d), "lang")
     plan = P.perturbation_plan(rows.count(), 2.0, {"n_stretch": True})
     out = P.perturb(rows, plan, seed=2)
     return out.groupBy("kind").agg(
@@ -486,8 +494,7 @@ def _(spark, d):
 
 @register("reliability_set", "seq_id:s seq:s reliable:i")
 def _(spark, d):
-    rows = _labelled_sequences(spark, d).where(F.length("seq") >= 300)
-    short = rows.select("seq_id", F.left("seq", F.lit(300)).alias("seq"), "label")
+    rows = _fragments(_labelled_sequences(spark, d), "label")
 
     def score(df):
         window = df.withColumn("window", F.col("seq"))
@@ -497,7 +504,7 @@ def _(spark, d):
         scores = linear_scores(composition(), WEIGHTS[:4], BIAS[:4])
         return counted.withColumn("scores", F.transform(scores, lambda x: x * 4.0))
 
-    return reliability_set(short, score, 0.4, 400, 1.0, {"n_stretch": True}, seed=3)
+    return reliability_set(rows, score, 0.4, 400, 1.0, {"n_stretch": True}, seed=3)
 
 
 @register(

@@ -159,19 +159,17 @@ def _(spark, d):
 
 @register(
     "crop_units", "seq_id:i codons:i nucleotides:i frame_len:i batch_len:i mismatch:b",
-    """SELECT seq_id, (length(seq) - 5) // 3 AS codons, ((length(seq) - 5) // 3) * 3 + 5
-                AS nucleotides,
+    """SELECT seq_id, floor((length(seq) - 5) / 3.0)::BIGINT AS codons,
+              floor((length(seq) - 5) / 3.0)::BIGINT * 3 + 5 AS nucleotides,
               greatest(0, length(seq) // 3 - CASE WHEN length(seq) % 3 = 0 THEN 2 ELSE 1 END)
                 AS frame_len,
               greatest(0, length(seq) // 3 - 1) AS batch_len,
-              (length(seq) - 5) // 3 <> 500 AS mismatch
-       FROM seqs WHERE length(seq) >= 8""",
+              floor((length(seq) - 5) / 3.0) <> 500 AS mismatch
+       FROM seqs""",
     "seqs",
 )
 def _(spark, d):
-    rows = sequences(spark, d).where(F.length("seq") >= 8).select(
-        "seq_id", F.length("seq").alias("n")
-    )
+    rows = sequences(spark, d).select("seq_id", F.length("seq").alias("n"))
     rows = rows.withColumn("codons", dna.codon_length(F.col("n")))
     return validate.crop_mismatch(
         rows.withColumns(
@@ -305,15 +303,18 @@ def _(spark, d):
     )
 
 
+_ABC = "abcdefghijklmnopqrstuvwxyz"
+
+
 @register(
     "protein_tokens", "doc_id:i tokens:l",
-    """SELECT doc_id, list_transform(string_split(upper(source || lang), ''), lambda x:
-              strpos('FLIMVSPTAYHQNKDECWRG', x)) AS tokens FROM documents""",
+    f"""SELECT doc_id, list_transform(string_split(translate(text, '{_ABC}', '{_ABC.upper()}'), ''),
+              lambda x: strpos('FLIMVSPTAYHQNKDECWRG', x)) AS tokens FROM documents""",
 )
 def _(spark, d):
-    docs = read_table(spark, d, "documents")
-    return docs.select(
-        "doc_id", frames.protein_tokens(F.upper(F.concat("source", "lang"))).alias("tokens")
+    upper = F.translate("text", _ABC, _ABC.upper())
+    return read_table(spark, d, "documents").select(
+        "doc_id", frames.protein_tokens(upper).alias("tokens")
     )
 
 
@@ -327,12 +328,12 @@ _ONE = "list_transform(range(0, {n}), lambda i: CASE WHEN {test} THEN 1 ELSE 0 E
           list_transform(t, lambda x: {_ONE.format(n=4, test="x > 0 AND x = i")}) AS plain,
           list_transform(t, lambda x: CASE WHEN x BETWEEN 1 AND 4 THEN x - 1 ELSE 4 END) AS back,
           {_ONE.format(n=6, test="i = seq_id % 6")} AS label_cells
-        FROM (SELECT seq_id, start, list_transform(string_split(left(crop, 40), ''),
+        FROM (SELECT seq_id, start, list_transform(string_split(crop, ''),
                      lambda x: strpos('AGTC', x)) AS t FROM crops)""",
     "crops",
 )
 def _(spark, d):
-    tokens = frames.letter_tokens(F.left("crop", F.lit(40)), BASE_TOKENS)
+    tokens = frames.letter_tokens("crop", BASE_TOKENS)
     rows = _crops(spark, d).select("seq_id", "start", tokens.alias("t"))
     skipped = frames.one_hot(F.col("t"), 5)
     return rows.select(
@@ -348,10 +349,11 @@ def _(spark, d):
     f"""SELECT seq_id, start,
           list_transform(frames, lambda f: (f || list_transform(range(0, 30), lambda x: 0))[1:30])
             AS padded,
-          array_to_string(list_transform(range(0, 3), lambda t: array_to_string(list_transform(
+          CASE WHEN len(frames[1]) >= 30 THEN
+            array_to_string(list_transform(range(0, 3), lambda t: array_to_string(list_transform(
             frames, lambda f: array_to_string(CAST(f[t * 10 + 1:t * 10 + 10] AS VARCHAR[]), ',')),
-            '|')), ';') AS steps
-        FROM ({_codon_sql("aa_id")}) WHERE len(frames[1]) >= 30""",
+            '|')), ';') END AS steps
+        FROM ({_codon_sql("aa_id")})""",
     "crops",
 )
 def _(spark, d):
@@ -365,8 +367,9 @@ def _(spark, d):
         ),
         ";",
     )
-    return rows.where(F.size(F.get("f", F.lit(0))) >= 30).select(
-        "seq_id", "start", text.alias("steps"),
+    # A crop of fewer codons has no steps; its frames are padded.
+    return rows.select(
+        "seq_id", "start", F.when(F.size(F.get("f", F.lit(0))) >= 30, text).alias("steps"),
         F.transform("f", lambda x: frames.pad_or_truncate(x, 30)).alias("padded"),
     )
 
@@ -566,25 +569,27 @@ def _(spark, d):
 
 
 @register(
-    "masked_low_complexity", "seq_id:i start:i masked:s",
-    f"""SELECT seq_id, start, array_to_string(list_transform(string_split(crop, ''), lambda ch, i:
-              CASE WHEN len(list_filter(hits, lambda s: i > s AND i <= s + 64)) > 0
-                   THEN lower(ch) ELSE ch END), '') AS masked
-        FROM (SELECT *, list_filter(starts, lambda s: 10.0::DOUBLE * list_sum(list_transform(
-                map_values(list_aggregate(list_transform(
-                  range(0, least(64, length(crop) - s) - 2),
-                  lambda i: substr(crop, (s + i + 1)::BIGINT, 3)), 'histogram')),
-                lambda c: (c * (c - 1) // 2)::BIGINT))
-                / (least(64, length(crop) - s) - 3) > 8) AS hits
-              FROM (SELECT *, list_distinct(range(0, greatest(length(crop) - 64, 0) + 1, 32) ||
-                              [greatest(length(crop) - 64, 0)]) AS starts
-                    FROM crops WHERE length(crop) >= 64))""",
-    "crops",
+    "masked_low_complexity", "seq_id:i masked:s",
+    """WITH w AS (SELECT seq_id, s, substr(seq, (s + 1)::BIGINT, 64) AS w FROM (
+                    SELECT seq_id, seq, unnest(list_distinct(
+                      range(0, greatest(length(seq) - 64, 0) + 1, 32) ||
+                      [greatest(length(seq) - 64, 0)])) AS s FROM seqs)),
+             hit AS (SELECT seq_id, list(s) AS hits FROM w
+                     WHERE length(w) >= 5 AND 10.0::DOUBLE * list_sum(list_transform(
+                       map_values(list_aggregate(list_transform(range(0, length(w) - 2),
+                         lambda i: substr(w, (i + 1)::BIGINT, 3)), 'histogram')),
+                       lambda c: (c * (c - 1) // 2)::BIGINT)) / (length(w) - 3) > 8
+                     GROUP BY seq_id)
+        SELECT seq_id, CASE WHEN hits IS NULL THEN seq ELSE array_to_string(list_transform(
+                 string_split(seq, ''), lambda ch, i:
+                 CASE WHEN len(list_filter(hits, lambda s: i > s AND i <= s + 64)) > 0
+                      THEN lower(ch) ELSE ch END), '') END AS masked
+        FROM seqs LEFT JOIN hit USING (seq_id)""",
+    "seqs",
 )
 def _(spark, d):
-    rows = _crops(spark, d).where(F.col("crop_len") >= 64)
-    return rows.select(
-        "seq_id", "start", dna.low_complexity_mask("crop", 64, 8.0).alias("masked")
+    return sequences(spark, d).select(
+        "seq_id", dna.low_complexity_mask("seq", 64, 8.0).alias("masked")
     )
 
 

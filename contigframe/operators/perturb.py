@@ -18,6 +18,7 @@ from ..functions.dna import _col, let, piece
 from ..functions.frames import letters
 from ..functions.picks import at, between, row_hash, unit
 from .datasets import hash_rank
+from .lineage import cut
 from .scoring import keep_confident
 from .skew import with_single
 
@@ -364,7 +365,8 @@ def perturb(
     where the source is and nothing is joined by row number.
     """
     ranked = hash_rank(df, [], key, seed, "_rank")
-    rows = with_single(ranked, df.agg(F.count(F.lit(1)).alias("_n")))
+    # Ranked once for all kinds.
+    rows = cut(with_single(ranked, df.agg(F.count(F.lit(1)).alias("_n"))))
     parts = []
     for number, kind in enumerate(plan):
         if kind["count"] <= 0:

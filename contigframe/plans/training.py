@@ -130,7 +130,8 @@ def reliability_set(
     to the number of altered ones, label by label.
     """
     sources = cut(stratified_sample(real, "label", "seq_id", sample, seed))
-    plan = perturbation_plan(sources.count(), multiplier, config)
+    # The sample bounds the sources of altered copies, not how many there are.
+    plan = perturbation_plan(real.count(), multiplier, config)
     # Written out before scoring: the scorer's filter would otherwise be pushed into the
     # expressions that build the altered sequences, and both sets are used twice.
     altered = cut(perturb(sources, plan, seed))
