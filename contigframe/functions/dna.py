@@ -216,10 +216,10 @@ def low_complexity_mask(
     seq, reach = _col(seq), window // step
     last = F.greatest(F.length(seq) - window, F.lit(0))
 
-    def masked(parts: Column) -> Column:
+    def masked(parts: Column, end: Column) -> Column:
         def repeats(k: Column) -> Column:
             body = F.concat(*[F.coalesce(F.get(parts, k + n), F.lit("")) for n in range(reach)])
-            return (k * step <= last) & (let(body, window_complexity) > score)
+            return (k * step <= end) & (let(body, window_complexity) > score)
 
         def rebuild(hits: Column) -> Column:
             def over(k: Column) -> Column:
@@ -234,7 +234,9 @@ def low_complexity_mask(
 
         return let(F.transform(parts, lambda x, k: repeats(k)), rebuild)
 
-    whole = let(F.regexp_extract_all(seq, F.lit("(?s).{1,%d}" % step), F.lit(0)), masked)
+    # The length is taken once: counting letters walks the sequence.
+    parts = F.regexp_extract_all(seq, F.lit("(?s).{1,%d}" % step), F.lit(0))
+    whole = let(last, lambda end: let(parts, lambda p: masked(p, end)))
     tail = let(F.right(seq, F.lit(window)), window_complexity) > score
     return F.when(
         tail,
