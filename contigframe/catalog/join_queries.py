@@ -538,7 +538,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = dedup.exact_groups(sequences(spark, d), "seq_id", "seq")
-    return dedup.centre_links(rows, _K, _SKETCH, _IDENTITY, _COVERAGE)
+    return dedup.centre_links(rows, _K, _IDENTITY, _COVERAGE)
 
 
 @register(
@@ -560,7 +560,7 @@ def _(spark, d):
     "links",
 )
 def _(spark, d):
-    return dedup.non_redundant(sequences(spark, d), _K, _SKETCH, _IDENTITY, _COVERAGE)
+    return dedup.non_redundant(sequences(spark, d), _K, _IDENTITY, _COVERAGE)
 
 
 @register("non_redundant_fragments", "frag_id:i representative:i")

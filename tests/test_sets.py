@@ -174,6 +174,40 @@ def test_duplicates(spark):
     assert sorted(r.seq_id for r in kept.collect()) == [1, 4, 6]
 
 
+def test_links_like_all_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(9, "A" * 50), (10, "ACG"), (11, "N" * 30)]
+    for base in (dna(rng, 500) for _ in range(6)):
+        # Cut and altered copies, of all of which few share a centre's smallest hashes.
+        for _ in range(8):
+            text = list(base[rng.randrange(150) : 500 - rng.randrange(150)])
+            for i in rng.sample(range(len(text)), rng.randrange(12)):
+                text[i] = rng.choice("ACGT")
+            rows.append((20 + len(rows), "".join(text)))
+    k, t, c = 8, 0.6, 0.6
+    mers = {i: {s[j : j + k] for j in range(len(s) - k + 1)} - {"N" * k} for i, s in rows}
+    want, best = {}, {}
+    for a, s in rows:
+        for b, u in sorted(rows, key=lambda r: (-len(r[1]), r[0])):
+            if mers[a] and (len(u), -b) > (len(s), -a) and len(s) >= c * len(u):
+                share = len(mers[a] & mers[b]) / len(mers[a])
+                if share >= t:
+                    want[a, b] = share
+                    best.setdefault(a, b)
+
+    def end(i):
+        return end(best[i]) if i in best else i
+
+    df = spark.createDataFrame(rows, "seq_id long, seq string")
+    for block in (dedup.BLOCK, 5):
+        monkeypatch.setattr(dedup, "BLOCK", block)
+        monkeypatch.setattr(dedup, "STEP", block // 2)
+        got = {(r.member, r.centre): r.similarity for r in dedup.centre_links(df, k, min_identity=t, min_coverage=c).collect()}
+        assert got == pytest.approx(want)
+        reps = {r.seq_id: r.representative for r in dedup.non_redundant(df, k, min_identity=t, min_coverage=c).collect()}
+        assert reps == {i: end(i) for i, _ in rows}
+
+
 def test_chains_of_links(spark):
     links = spark.createDataFrame([(i, i - 1) for i in range(1, 14)], "member long, centre long")
     assert {r.rep for r in dedup.follow_links(links).collect()} == {0}
