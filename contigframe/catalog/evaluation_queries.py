@@ -457,6 +457,13 @@ def _(spark, d):
     "scored",
 )
 def _(spark, d):
-    return M.paired_t_top2(
-        scored(spark, d), F.get("scores", F.lit(1)), F.get("scores", F.lit(2)), ["seq_id"]
-    )
+    return _paired(spark, d)
+
+
+def _paired(spark, d):
+    return M.paired_t_of_best(scored(spark, d), len(CLASSES), ["seq_id"])
+
+
+@register("paired_p_values", "seq_id:i n:i t_stat:d df:d p_value:d significant:b")
+def _(spark, d):
+    return M.with_p_value(_paired(spark, d))

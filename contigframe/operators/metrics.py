@@ -457,6 +457,38 @@ def paired_t_top2(
     )
 
 
+def paired_t_of_best(
+    scored: DataFrame, n_classes: int, keys: Sequence[str], scores: str = "scores"
+) -> DataFrame:
+    """``paired_t_top2`` of the two classes with the largest mean scores of each group.
+
+    On a tie the lower class goes first. All pairs of classes are summed in one pass.
+    """
+    if n_classes < 2:
+        raise ValueError("two classes are needed")
+    score = [F.get(scores, F.lit(i)) for i in range(n_classes)]
+    pairs = [(i, j) for i in range(n_classes) for j in range(i + 1, n_classes)]
+    stats = [
+        F.struct(F.avg(score[i] - score[j]).alias("m"), F.stddev_samp(score[i] - score[j]).alias("s"))
+        for i, j in pairs
+    ]
+    means = F.array(*[F.struct(F.avg(c).alias("mean"), F.lit(-i).alias("neg")) for i, c in enumerate(score)])
+    per = scored.groupBy(*keys).agg(
+        F.sort_array(means, asc=False).alias("_best"), F.array(*stats).alias("_stats"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    one, two = -F.get("_best", F.lit(0))["neg"], -F.get("_best", F.lit(1))["neg"]
+    low, high = F.least(one, two), F.greatest(one, two)
+    # Pairs are in order of the lower class, then of the higher one.
+    at = (low * (2 * n_classes - 1 - low) / 2 + high - low - 1).cast("int")
+    found = F.get("_stats", at)
+    t = F.try_divide(found["m"], found["s"] / F.sqrt(F.col("n")))
+    return per.select(
+        *keys, "n", F.when(one < two, t).otherwise(-t).alias("t_stat"),
+        (F.col("n") - 1).cast("double").alias("df"),
+    )
+
+
 def share_table(df: DataFrame, group: str, passed: Column) -> DataFrame:
     """Percent of all rows by group and by whether they pass."""
     counts = df.groupBy(

@@ -205,6 +205,20 @@ def test_student_tail(spark):
     assert got[:5] == pytest.approx([0.05, 0.05, 0.5, 0.95, 0.25], abs=1e-6) and got[5] is None
 
 
+def test_paired_takes_the_top_two_classes(spark):
+    # Classes 3 and 0 lead contig 1, classes 1 and 2 contig 2; contig 3 ties at classes 0 and 1.
+    rows = [(1, [2.0, 0.5, 0.0, 3.0]), (1, [1.0, 0.0, 0.5, 4.0]), (1, [2.0, 0.0, 0.0, 3.5])]
+    rows += [(2, [0.0, 5.0, 1.0, 0.0]), (2, [0.0, 4.0, 3.0, 0.0]), (3, [1.0, 2.0, 0.0, 0.0]), (3, [2.0, 1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "k int, scores array<double>")
+    got = {r.k: r for r in M.with_p_value(M.paired_t_of_best(df, 4, ["k"])).collect()}
+    for k, one_, two in ((1, 3, 0), (2, 1, 2)):
+        d = np.array([s[one_] - s[two] for i, s in rows if i == k])
+        assert got[k].t_stat == pytest.approx(d.mean() / (d.std(ddof=1) / math.sqrt(len(d))))
+    assert got[1].p_value < 0.05 and got[1].significant
+    assert not got[2].significant
+    assert got[3].t_stat == 0 and got[3].p_value == pytest.approx(0.5)
+
+
 def test_paired_and_welch(spark):
     df = spark.createDataFrame([(1, 2.0, 1.0), (1, 3.0, 1.0), (1, 4.0, 1.5)], "k int, a double, b double")
     got = M.with_p_value(M.paired_t_top2(df, F.col("a"), F.col("b"), ["k"])).first()
