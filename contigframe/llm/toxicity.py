@@ -48,6 +48,29 @@ GROUPS = [
     ["immigrant", "refugee", "foreigner", "native"],
     ["old", "young", "elderly"],
     ["disabled", "blind", "deaf"],
+    # German
+    ["frauen", "männer", "mädchen", "jungen"],
+    ["frau", "mann"],
+    ["schwul", "lesbisch", "bisexuell", "heterosexuell"],
+    ["muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch", "katholisch"],
+    ["muslime", "christen", "juden", "buddhisten", "atheisten", "katholiken"],
+    ["einwanderer", "flüchtlinge", "ausländer", "einheimische"],
+    # French
+    ["femmes", "hommes", "filles", "garçons"],
+    ["femme", "homme", "fille", "garçon"],
+    ["lesbienne", "homosexuel", "hétérosexuel", "bisexuel"],
+    ["musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée", "catholique"],
+    ["musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"],
+    ["noirs", "blancs", "asiatiques", "arabes"],
+    ["immigrés", "réfugiés", "étrangers", "autochtones"],
+    # Spanish
+    ["mujeres", "hombres", "niñas", "niños"],
+    ["mujer", "hombre", "niña", "niño"],
+    ["lesbiana", "homosexual", "heterosexual"],
+    ["musulmán", "cristiano", "judío", "hindú", "budista", "ateo", "católico"],
+    ["musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"],
+    ["negros", "blancos", "asiáticos", "árabes"],
+    ["inmigrantes", "refugiados", "extranjeros", "nativos"],
 ]
 _NEXT = {word: row[(k + 1) % len(row)] for row in GROUPS for k, word in enumerate(row)}
 _NAMES = re.compile(r"(?<![0-9A-Za-z\x80-\U0010ffff])(" + "|".join(_NEXT) + r")(?![0-9A-Za-z\x80-\U0010ffff])", re.IGNORECASE | re.ASCII)

@@ -342,6 +342,14 @@ def test_tree_margins_follow_single_paths():
     assert np.mean((trees.scores(rows) > 0.5) == (rows[:, 0] * rows[:, 1] > 0)) > 0.95
 
 
+def test_groups_are_named_in_all_languages_of_the_corpus():
+    assert toxicity.swapped("Die Juden, jüdischen") == "Die buddhisten, jüdischen"
+    assert toxicity.swapped("les musulmans étrangers") == "les chrétiens autochtones"
+    assert toxicity.swapped("Las mujeres, católico") == "Las hombres, musulmán"
+    words = [w for row in toxicity.GROUPS for w in row]
+    assert len(words) == len(set(words))
+
+
 def test_mentions_of_groups_do_not_make_a_text_toxic(spark):
     rng = random.Random(4)
     words = [f"word{k}" for k in range(40)]
