@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from .decontaminate import find_passages
+from .filter_audit import audit_filters, mask_tally
 from .hamming import nearest_codes, sign_code
 from .language import identify, train_languages
 from .licenses import oracle, scan_licenses
@@ -173,6 +174,40 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = (read_table(spark, folder, name) for name in ("documents", "labels"))
+    return audit_filters(mask_tally(docs, labels))
+
+
+# Each document's mask, then the counts of each part and mask seen from every step of every order.
+OP12_SQL = r"""
+WITH mark AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+doc AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+masked AS (SELECT doc_id, part, (CASE WHEN len(w) < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS mask FROM doc),
+tally AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM masked LEFT JOIN mark USING (doc_id) GROUP BY part, mask),
+letter AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x(f, bit)),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letter a, letter b, letter c, letter d, letter e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+step AS (SELECT filter_order, CAST(i AS INTEGER) AS step, bits[i] AS bit, CAST(coalesce(list_sum(bits[1:i - 1]), 0) AS BIGINT) AS earlier
+  FROM (SELECT filter_order, bits, unnest(range(1, 6)) AS i FROM orders)),
+seen AS (SELECT part, filter_order, step, bit, sum(n) FILTER (WHERE mask & (earlier | bit) = 0) AS kept,
+    sum(n) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0) AS removed, sum(n) FILTER (WHERE mask & bit <> 0 AND mask & earlier <> 0) AS redundant,
+    sum(n) FILTER (WHERE mask = bit) AS unique_fails, sum(good) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0) AS good_lost,
+    sum(toxic) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0) AS toxic_lost FROM tally, step GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley
+FROM seen
+"""
+
+
 REGISTRY: dict[str, Query] = {
     "op1_substring_dedup": Query(op1_substring_dedup, OP1_SQL),
     "op2_line_dedup": Query(op2_line_dedup, OP2_SQL),
@@ -184,4 +219,5 @@ REGISTRY: dict[str, Query] = {
     "op8_minhash_near_dedup": Query(op8_minhash_near_dedup, OP8_SQL),
     "op9_sentencepiece": Query(op9_sentencepiece),
     "op10_exact_topk": Query(op10_exact_topk, OP10_SQL),
+    "op12_filter_audit": Query(op12_filter_audit, OP12_SQL),
 }
