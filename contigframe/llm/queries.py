@@ -16,6 +16,7 @@ from .language import identify, train_languages
 from .licenses import oracle, scan_licenses
 from .line_dedup import remove_boilerplate
 from .near_dedup import near_duplicates
+from .packing import pack_documents
 from .pieces import encode_texts
 from .quality import remainder, score_quality, train_quality
 from .substring_dedup import remove_repeats
@@ -29,6 +30,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @dataclass(frozen=True)
 class Query:
     run: Callable[[SparkSession, str], DataFrame]
@@ -174,6 +181,11 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = pack_documents(read_table(spark, folder, "documents"), word_tokenizer(), window=4096, end=2)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = (read_table(spark, folder, name) for name in ("documents", "labels"))
     return audit_filters(mask_tally(docs, labels))
@@ -219,5 +231,6 @@ REGISTRY: dict[str, Query] = {
     "op8_minhash_near_dedup": Query(op8_minhash_near_dedup, OP8_SQL),
     "op9_sentencepiece": Query(op9_sentencepiece),
     "op10_exact_topk": Query(op10_exact_topk, OP10_SQL),
+    "op11_packing": Query(op11_packing),
     "op12_filter_audit": Query(op12_filter_audit, OP12_SQL),
 }
