@@ -13,6 +13,7 @@ from .decontaminate import find_passages
 from .filter_audit import audit_filters, mask_tally
 from .hamming import nearest_codes, sign_code
 from .language import identify, train_languages
+from .lexical_search import search_documents
 from .licenses import oracle, scan_licenses
 from .line_dedup import remove_boilerplate
 from .near_dedup import near_duplicates
@@ -220,6 +221,23 @@ FROM seen
 """
 
 
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search_documents(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), k=10)
+
+
+OP13_SQL = rf"""
+WITH doc AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents), held AS (SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM doc WHERE len(w) > 0),
+total AS (SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS l FROM held),
+asked AS (SELECT DISTINCT item_id, unnest({SQL_WORDS}) AS term FROM benchmark),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM held) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * total.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, total.n),
+scored AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * tf.n * total.n) // total.l)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term), total GROUP BY item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 REGISTRY: dict[str, Query] = {
     "op1_substring_dedup": Query(op1_substring_dedup, OP1_SQL),
     "op2_line_dedup": Query(op2_line_dedup, OP2_SQL),
@@ -233,4 +251,5 @@ REGISTRY: dict[str, Query] = {
     "op10_exact_topk": Query(op10_exact_topk, OP10_SQL),
     "op11_packing": Query(op11_packing),
     "op12_filter_audit": Query(op12_filter_audit, OP12_SQL),
+    "op13_lexical_search": Query(op13_lexical_search, OP13_SQL),
 }
