@@ -280,3 +280,42 @@ def mix_sql(x: str) -> str:
 
 def at_sql(h: str, pos: str) -> str:
     return mix_sql(mix_sql(f"(({h} + ({pos})::BIGINT * 2654435761) % 4294967296)"))
+
+
+def tail_aligned_sql(table: str, size: int, overlap: int, label: str) -> str:
+    """Sliding fragments of ``seq``, the last one shifted left to full length."""
+    return f"""SELECT *, substr(seq, start + 1, {size}) AS fragment,
+                 seq_id || '_frag' || frag_idx || '_start' || start || '_len{size}_cls=' || {label} AS frag_name
+               FROM (SELECT *, unnest(starts) AS start, unnest(range(0, len(starts))) AS frag_idx
+                     FROM (SELECT *, range(0, length(seq) - {size}, {size - overlap}) || [length(seq) - {size}] AS starts
+                           FROM {table} WHERE length(seq) >= {size}))"""
+
+
+def mers_sql(table: str, k: int) -> str:
+    """Distinct k-mers without N of the distinct sequences of ``table`` (seq_id, seq, len)."""
+    return f"""SELECT DISTINCT seq_id, len, kmer AS mer FROM (
+                 SELECT seq_id, len, substr(seq, i + 1, {k}) AS kmer FROM (
+                   SELECT *, unnest(range(0, greatest(len - {k - 1}, 0))) AS i FROM {table}))
+               WHERE NOT contains(kmer, 'N')"""
+
+
+def links_sql(mers: str, identity: float, coverage: float) -> str:
+    """Members and centres: longer, or equally long with a smaller id, that hold enough k-mers."""
+    return f"""SELECT member, centre, shared::DOUBLE / size AS similarity, clen FROM (
+                 SELECT a.seq_id AS member, b.seq_id AS centre, b.len AS clen, count(*) AS shared
+                 FROM {mers} a JOIN {mers} b ON a.mer = b.mer AND a.len >= b.len * {coverage}::DOUBLE
+                   AND (b.len > a.len OR (b.len = a.len AND b.seq_id < a.seq_id))
+                 GROUP BY a.seq_id, b.seq_id, b.len)
+               JOIN (SELECT seq_id AS member, count(*) AS size FROM {mers} GROUP BY seq_id) USING (member)
+               WHERE shared::DOUBLE / size >= {identity}"""
+
+
+def climb_sql(links: str) -> str:
+    """CTEs up to ``roots``: the end of each member's chain of best centres."""
+    return f"""best AS (SELECT member, centre FROM (
+                 SELECT *, row_number() OVER (PARTITION BY member ORDER BY clen DESC, centre) AS place FROM {links})
+               WHERE place = 1),
+             climb AS (SELECT member, centre AS rep, 1 AS steps FROM best
+                       UNION ALL SELECT climb.member, best.centre, steps + 1
+                       FROM climb JOIN best ON best.member = climb.rep),
+             roots AS (SELECT member, max_by(rep, steps) AS rep FROM climb GROUP BY member)"""

@@ -19,15 +19,20 @@ from .base import (
     BIAS,
     WEIGHTS,
     at_sql,
+    climb_sql,
+    links_sql,
     md5_hash,
+    mers_sql,
     register,
     sequences,
     share_sql,
     sql_count,
+    tail_aligned_sql,
 )
 from .sequence_queries import _codon_sql
 
 LANG_IDS = {"de": 0, "en": 1, "es": 2, "fr": 3}
+_LABEL_SQL = "CASE lang " + " ".join(f"WHEN '{lang}' THEN {i}" for lang, i in LANG_IDS.items()) + " END"
 
 
 def _docs(spark, d):
@@ -440,7 +445,33 @@ def _(spark, d):
     return encode_dataset(_labelled_sequences(spark, d), [122], shards=4)
 
 
-@register("fragment_set", "frag_name:s label:i split:s")
+share_sql(
+    "set_pieces", "seqs",
+    tail_aligned_sql(f"(SELECT seq_id, seq, {_LABEL_SQL} AS label FROM seqs)", 400, 100, "label"),
+)
+share_sql(
+    "set_distinct", "set_pieces",
+    """SELECT fragment AS seq, min(frag_name) AS seq_id, length(fragment) AS len
+       FROM set_pieces GROUP BY fragment""",
+)
+share_sql("set_mers", "set_distinct", mers_sql("set_distinct", 8))
+share_sql("set_links", "set_mers", links_sql("set_mers", 0.6, 0.6))
+share_sql(
+    "set_kept", "set_links",
+    f"""WITH RECURSIVE {climb_sql("set_links")}
+        SELECT frag_name, label FROM set_pieces JOIN set_distinct d ON frag_name = d.seq_id
+        WHERE frag_name NOT IN (SELECT member FROM roots)""",
+)
+
+
+@register(
+    "fragment_set", "frag_name:s label:i split:s",
+    f"""SELECT frag_name, label, CASE WHEN r < floor(n * 0.8::DOUBLE) THEN 'train'
+               WHEN r < floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val'
+               ELSE 'test' END AS split
+        FROM ({_ranked_sql('set_kept', 'frag_name', 5)})""",
+    "set_kept",
+)
 def _(spark, d):
     rows = _labelled_sequences(spark, d)
     return fragment_set(rows, 400, 100, (0.8, 0.1, 0.1), k=8, seed=5)

@@ -23,7 +23,10 @@ from ..sources.results import pair_samples
 from ..sources.tables import read_table
 from .base import (
     SIZE,
+    climb_sql,
+    links_sql,
     md5_hash,
+    mers_sql,
     register,
     scored,
     sequences,
@@ -494,34 +497,14 @@ def _(spark, d):
 
 # ---- near duplicates ------------------------------------------------------------------------
 
-_K, _SKETCH, _IDENTITY, _COVERAGE = 6, 8, 0.6, 0.6
+_K, _IDENTITY, _COVERAGE = 6, 0.6, 0.6
 
 share_sql(
     "distinct_docs", "seqs",
     "SELECT seq, min(seq_id) AS seq_id, count(*) AS copies, length(seq) AS len FROM seqs GROUP BY seq",
 )
-share_sql(
-    "mers", "distinct_docs",
-    f"""SELECT DISTINCT seq_id, len, {md5_hash('kmer').replace("'0' || ':' || ", "")} AS mer
-        FROM (SELECT seq_id, len, substr(seq, i + 1, {_K}) AS kmer FROM (
-          SELECT *, unnest(range(0, greatest(len - {_K - 1}, 0))) AS i FROM distinct_docs))
-        WHERE NOT contains(kmer, 'N')""",
-)
-share_sql(
-    "links", "mers",
-    f"""WITH sketch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq_id
-                          ORDER BY mer) AS place FROM mers) WHERE place <= {_SKETCH}),
-             centres AS (SELECT mer, seq_id AS centre, len AS clen FROM (
-                           SELECT *, row_number() OVER (PARTITION BY mer ORDER BY len DESC, seq_id)
-                             AS top FROM sketch) WHERE top = 1),
-             pairs AS (SELECT DISTINCT seq_id AS member, centre FROM sketch JOIN centres USING (mer)
-                       WHERE seq_id <> centre AND len >= clen * {_COVERAGE}::DOUBLE)
-        SELECT member, centre, shared::DOUBLE / size AS similarity FROM (
-          SELECT member, centre, count(b.mer) AS shared, count(*) AS size
-          FROM pairs JOIN mers a ON a.seq_id = member
-          LEFT JOIN mers b ON b.seq_id = centre AND b.mer = a.mer GROUP BY member, centre)
-        WHERE shared::DOUBLE / size >= {_IDENTITY}""",
-)
+share_sql("mers", "distinct_docs", mers_sql("distinct_docs", _K))
+share_sql("links", "mers", links_sql("mers", _IDENTITY, _COVERAGE))
 
 
 @register(
@@ -534,7 +517,8 @@ def _(spark, d):
 
 
 @register(
-    "similar_pairs", "member:i centre:i similarity:d", "SELECT * FROM links", "links"
+    "similar_pairs", "member:i centre:i similarity:d",
+    "SELECT member, centre, similarity FROM links", "links",
 )
 def _(spark, d):
     rows = dedup.exact_groups(sequences(spark, d), "seq_id", "seq")
@@ -543,17 +527,7 @@ def _(spark, d):
 
 @register(
     "non_redundant", "seq_id:i representative:i",
-    """WITH RECURSIVE best AS (
-         SELECT member, centre FROM (
-           SELECT member, centre, row_number() OVER (PARTITION BY member ORDER BY c.len DESC, centre)
-             AS place
-           FROM links JOIN distinct_docs c ON c.seq_id = centre
-           JOIN distinct_docs m ON m.seq_id = member
-           WHERE c.len > m.len OR (c.len = m.len AND centre < member)) WHERE place = 1),
-       climb AS (SELECT member, centre AS rep, 1 AS steps FROM best
-                 UNION ALL SELECT climb.member, best.centre, steps + 1
-                 FROM climb JOIN best ON best.member = climb.rep),
-       roots AS (SELECT member, max_by(rep, steps) AS rep FROM climb GROUP BY member)
+    f"""WITH RECURSIVE {climb_sql("links")}
        SELECT s.seq_id, coalesce(rep, dd.seq_id) AS representative
        FROM seqs s JOIN distinct_docs dd ON dd.seq = s.seq
        LEFT JOIN roots ON member = dd.seq_id""",
@@ -563,7 +537,23 @@ def _(spark, d):
     return dedup.non_redundant(sequences(spark, d), _K, _IDENTITY, _COVERAGE)
 
 
-@register("non_redundant_fragments", "frag_id:i representative:i")
+share_sql(
+    "distinct_pieces", "frags",
+    """SELECT fragment AS seq, min(seq_id * 100000 + frag_idx) AS seq_id, length(fragment) AS len
+       FROM frags GROUP BY fragment""",
+)
+share_sql("piece_mers", "distinct_pieces", mers_sql("distinct_pieces", 8))
+share_sql("piece_links", "piece_mers", links_sql("piece_mers", 0.6, 0.6))
+
+
+@register(
+    "non_redundant_fragments", "frag_id:i representative:i",
+    f"""WITH RECURSIVE {climb_sql("piece_links")}
+       SELECT p.seq_id * 100000 + p.frag_idx AS frag_id, coalesce(rep, d.seq_id) AS representative
+       FROM frags p JOIN distinct_pieces d ON d.seq = p.fragment
+       LEFT JOIN roots ON member = d.seq_id""",
+    "frags piece_links",
+)
 def _(spark, d):
     pieces = fragments_tail_aligned(sequences(spark, d), 300, 100, label="lang")
     rows = pieces.select(

@@ -25,6 +25,7 @@ from .base import (
     sql_count,
     sql_skew,
     windows,
+    tail_aligned_sql,
 )
 
 REVCOMP = "reverse(translate({0}, 'ACGTN', 'TGCAN'))"
@@ -422,15 +423,7 @@ def _(spark, d):
     )
 
 
-share_sql(
-    "frags", "seqs",
-    """SELECT seq_id, lang, frag_idx, start, substr(seq, start + 1, 300) AS fragment,
-              seq_id || '_frag' || frag_idx || '_start' || start || '_len300_cls=' || lang
-                AS frag_name
-       FROM (SELECT *, unnest(starts) AS start, unnest(range(0, len(starts))) AS frag_idx
-             FROM (SELECT *, range(0, length(seq) - 300, 200) || [length(seq) - 300] AS starts
-                   FROM seqs WHERE length(seq) >= 300))""",
-)
+share_sql("frags", "seqs", tail_aligned_sql("seqs", 300, 100, "lang"))
 
 
 @register(

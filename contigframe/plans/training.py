@@ -49,14 +49,11 @@ def fragment_set(
 ) -> DataFrame:
     """Fragments, one per cluster of similar ones, split by exact shares."""
     pieces = fragments_tail_aligned(sequences, size, overlap)
-    rows = pieces.select(
-        F.xxhash64("frag_name").alias("frag_id"), "frag_name", F.col("fragment").alias("seq"),
-        "label",
-    )
+    rows = pieces.select("frag_name", F.col("fragment").alias("seq"), "label")
     clusters = non_redundant(
-        rows, k, min_identity=min_identity, min_coverage=min_coverage, key="frag_id"
+        rows, k, min_identity=min_identity, min_coverage=min_coverage, key="frag_name"
     )
-    kept = representatives(rows, clusters, "frag_id")
+    kept = representatives(rows, clusters, "frag_name")
     return split_dataset(kept, "frag_name", *shares, seed=seed)
 
 
