@@ -451,9 +451,11 @@ def _(spark, d):
 
 @register(
     "paired_tests", "seq_id:i n:i t_stat:d df:d",
-    """SELECT seq_id, count(*) AS n, CASE WHEN stddev_samp(x) > 0
+    f"""SELECT seq_id, count(*) AS n, CASE WHEN stddev_samp(x) > 0
               THEN avg(x) / (stddev_samp(x) / sqrt(count(*))) END AS t_stat, count(*) - 1 AS df
-       FROM (SELECT seq_id, scores[2] - scores[3] AS x FROM scored) GROUP BY seq_id""",
+       FROM (SELECT seq_id, scores[{argmax('mean')} + 1] - scores[{second('mean')} + 1] AS x
+             FROM scored JOIN (SELECT seq_id, [{", ".join(f"avg(scores[{i + 1}])" for i in range(len(CLASSES)))}] AS mean
+                               FROM scored GROUP BY seq_id) USING (seq_id)) GROUP BY seq_id""",
     "scored",
 )
 def _(spark, d):

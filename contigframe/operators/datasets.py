@@ -15,8 +15,8 @@ from ..functions.dna import count_of, piece, share
 from ..functions.picks import at, between, row_hash
 from .lineage import cut
 from .ordered import running
-from .ranks import BUCKET_BITS, hash_bucket, rank_rows
-from .skew import null_safe_join, salted_join, with_single
+from .ranks import bucket_bits, hash_bucket, rank_rows
+from .skew import salted_join, with_single
 from .windows import MIN_BLOCK, blocks
 
 MOST_DRAWS = 64
@@ -27,7 +27,7 @@ def hash_rank(
 ) -> DataFrame:
     """Rank of each row in the hash order of its group."""
     rows = df.withColumn("_h", row_hash(key, seed=seed))
-    return rank_rows(rows, keys, ["_h", key], hash_bucket("_h"), out).drop("_h")
+    return rank_rows(rows, keys, ["_h", key], hash_bucket("_h", bucket_bits(df.select(key))), out).drop("_h")
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -73,7 +73,7 @@ def interleave_classes(df: DataFrame, key: str, label: str, seed: int = 0) -> Da
     rows = salted_join(ranked, sizes, [label], [key]).withColumn(
         "_at", (F.col("_rank") + 0.5) / F.col("_size")
     )
-    bucket = F.floor(F.col("_at") * (1 << BUCKET_BITS))
+    bucket = F.floor(F.col("_at") * (1 << bucket_bits(df.select(label))))
     return rank_rows(rows, [], ["_at", label], bucket, "position").drop("_rank", "_size", "_at")
 
 
@@ -132,7 +132,7 @@ def downsample_to_match(
     target = F.col("_base") + (F.col("_pos") <= F.col("_gap")).cast("int")
     plan = plan.select(label, F.when(keep_all, F.col("_n")).otherwise(target).alias("_target"))
     ranked = hash_rank(df, [label], key, seed, "_rank")
-    return ranked.join(F.broadcast(plan), label).where("_rank < _target").drop("_rank", "_target")
+    return salted_join(ranked, plan, [label], [key]).where("_rank < _target").drop("_rank", "_target")
 
 
 def stratified_sample(
@@ -149,12 +149,13 @@ def stratified_sample(
         label, F.when(F.col("_all") <= size, F.col("_n")).otherwise(target).alias("_target")
     )
     ranked = hash_rank(df, [label], key, seed, "_rank")
-    kept = null_safe_join(ranked, plan, [label]).where("_rank < _target")
+    kept = salted_join(ranked, plan, [label], [key]).where("_rank < _target")
     # Order of the trim: first rows of labels, then the rest by rank.
     rows = kept.withColumn("_h", row_hash(key, seed=seed)).withColumn(
         "_order", F.when(F.col("_rank") == 0, F.lit(0)).otherwise(F.lit(1))
     )
-    bucket = F.col("_order") * (1 << BUCKET_BITS) + hash_bucket("_h")
+    bits = bucket_bits(df.select(label))
+    bucket = F.col("_order") * (1 << bits) + hash_bucket("_h", bits)
     trimmed = rank_rows(rows, [], ["_order", "_h", key], bucket, "_at")
     return trimmed.where(F.col("_at") < size).drop("_at", "_h", "_order", "_rank", "_target")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import VIRAL_NAMES
 from ..functions.scores import window_letter
-from .skew import salted_join
+from .skew import null_safe_join, salted_join
 
 CHUNK = 1 << 14
 
@@ -110,7 +110,7 @@ def running(
         .orderBy(order, *tie)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    joined = data.join(carry, [*keys, "_chunk"])
+    joined = null_safe_join(data, carry, [*keys, "_chunk"])
     cols = []
     for out, (fn, c) in values.items():
         here, past = getattr(F, fn)(c).over(inside), F.col(f"_{out}")

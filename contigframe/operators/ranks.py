@@ -3,7 +3,8 @@
 A window over ``partitionBy(group)`` sorts a whole group in one task. Here every group is cut
 into ordered buckets: rows are counted per bucket (a map-side combined aggregate), the bucket
 counts (a small table) are summed along the order, and rows are only sorted inside a bucket.
-A group holding a third of all rows is spread over as many tasks as it has buckets.
+A group holding a third of all rows is spread over as many tasks as it has buckets; how many
+there are follows from the number of rows.
 """
 
 from __future__ import annotations
@@ -17,13 +18,20 @@ from .lineage import cut
 from .skew import null_safe_join, salted_join
 
 HASH_BITS = 32
-BUCKET_BITS = 12
-VALUE_SALTS = 128
+#: Rows that one task sorts, about.
+BUCKET_ROWS = 1 << 16
+#: Parts into which a round of ``exact_quantiles`` cuts a bracket.
+PARTS = 128
 
 
-def hash_bucket(hash_col: str, bits: int = BUCKET_BITS) -> Column:
+def bucket_bits(df: DataFrame) -> int:
+    """Leading hash bits that cut the rows into buckets of about ``BUCKET_ROWS``."""
+    return min(HASH_BITS, max(0, (df.count() // BUCKET_ROWS).bit_length()))
+
+
+def hash_bucket(hash_col: str, bits: int) -> Column:
     """Ordered bucket of a 32-bit hash: its leading bits."""
-    return F.shiftright(F.col(hash_col), HASH_BITS - bits).cast("int")
+    return F.shiftright(F.col(hash_col), HASH_BITS - bits).cast("bigint")
 
 
 def _carry(partial: DataFrame, keys: Sequence[str], bucket: str, sums: dict[str, str]):
@@ -66,56 +74,28 @@ def with_group_size(df: DataFrame, keys: Sequence[str], out: str = "n_rows") ->
     return null_safe_join(df, group_sizes(df, keys, out), list(keys))
 
 
-def value_buckets(
-    df: DataFrame, keys: Sequence[str], value: str, n: int = 16, accuracy: int = 10000
-) -> DataFrame:
-    """Add ``_bucket``, ordered with ``value`` and holding about equal shares of each group.
-
-    The n * n cut points per group come from a sketch, which may differ between two runs of the
-    same plan: write the result out before using it twice. A cut is found in two short steps.
-    """
-    keys = list(keys)
-    points = [i / (n * n) for i in range(1, n * n)]
-    cuts = df.groupBy(*keys).agg(
-        F.percentile_approx(value, points, accuracy).alias("_fine"),
-    )
-    cuts = cuts.select(
-        *keys,
-        "_fine",
-        F.transform(
-            F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get(F.col("_fine"), i * n - 1)
-        ).alias("_coarse"),
-    )
-    high = F.size(F.filter("_coarse", lambda c: c <= F.col(value)))
-    low = F.size(
-        F.filter(
-            F.slice(F.col("_fine"), F.col("_high") * n + 1, F.lit(n - 1)),
-            lambda c: c <= F.col(value),
-        )
-    )
-    # Few small rows per group: many salts, since one group may hold every row.
-    return (
-        salted_join(df, cuts, keys, [value], salts=VALUE_SALTS)
-        .withColumn("_high", high)
-        .withColumn("_bucket", (F.col("_high") * n + low).cast("int"))
-        .drop("_fine", "_coarse", "_high")
-    )
-
-
 def totals_before(
-    df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], n: int = 16
+    df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]
 ) -> DataFrame:
     """For each row, the sums over all rows of its group with a smaller ``value``.
 
     ``value`` must be distinct within a group (aggregate first, which also folds ties). Adds
-    ``<sum>_before`` columns and ``<sum>_total``.
+    ``<sum>_before`` columns and ``<sum>_total``. Rows whose key is null are a group like any other.
+
+    Buckets are ranges of (keys, value) of about ``BUCKET_ROWS`` rows, whatever the groups.
     """
     keys = list(keys)
     data = df
     if not keys:
         data = data.withColumn("_all", F.lit(0))
         keys = ["_all"]
-    data = cut(value_buckets(data, keys, value, n))
+    data = cut(data)
+    parts = 1 + data.count() // BUCKET_ROWS
+    if parts > 1:
+        # Written out: a range shuffle draws its borders anew when it runs again.
+        data = cut(data.repartitionByRange(parts, *keys, value).withColumn("_bucket", F.spark_partition_id()))
+    else:
+        data = data.withColumn("_bucket", F.lit(0))
     per = data.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(c) for c in sums])
     w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -130,7 +110,7 @@ def totals_before(
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = data.join(carry, [*keys, "_bucket"])
+    out = null_safe_join(data, carry, [*keys, "_bucket"])
     for c in sums:
         out = out.withColumn(
             f"{c}_before",
@@ -144,37 +124,60 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles: one row per group and probability.
 
-    Equal values are folded into one counted row first; the two values around each target
-    position are then picked out by their running counts.
+    Equal values are folded into one counted row first. Every wanted row lies in a bracket of its
+    group's values, at first all of them. A round cuts the brackets that are still large at about
+    equal shares, counts their parts exactly, and keeps the part with the wanted row; all brackets
+    of all groups are narrowed together, until a task can sort any one of them. Cut points come from
+    a sketch, but only counts decide, so the result is exact. Null values do not count; rows whose
+    key is null are a group like any other.
     """
-    keys = list(keys)
+    by = [*keys] or ["_every"]
     data = df.where(F.col(value).isNotNull())
     if not keys:
         data = data.withColumn("_every", F.lit(0))
-    by = keys or ["_every"]
-    distinct = data.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    run = totals_before(distinct, by, value, ["_n"])
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("prob"), ((F.col("_n_total") - 1) * float(p)).alias("pos")
-            )
-            for p in probs
-        ]
-    )
-    low_in = (F.floor("t.pos") >= F.col("_n_before")) & (
-        F.floor("t.pos") < F.col("_n_before") + F.col("_n")
+    folded = cut(data.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    place = F.col("_pos")
+    targets = F.array(*[F.struct(F.lit(float(p)).alias("prob"), ((F.col("n") - 1) * float(p)).alias("_pos")) for p in probs])
+    sizes = folded.groupBy(*by).agg(
+        F.sum("_n").alias("n"), F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
     )
-    high_in = (F.ceil("t.pos") >= F.col("_n_before")) & (
-        F.ceil("t.pos") < F.col("_n_before") + F.col("_n")
-    )
-    hits = run.withColumn("t", F.explode(targets)).where(low_in | high_in)
-    low = F.max(F.when(low_in, F.col(value)))
-    high = F.max(F.when(high_in, F.col(value)))
-    picked = hits.groupBy(*by, F.col("t.prob").alias("prob"), F.col("t.pos").alias("_pos")).agg(
-        low.alias("_low"), high.alias("_high"), F.max("_n_total").alias("n")
+    wanted = (
+        sizes.withColumn("_t", F.explode(targets)).select("*", "_t.*").drop("_t")
+        .withColumn("_at", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))))
+        .withColumn("_before", F.lit(0).cast("bigint"))
+    )
+    wanted = cut(wanted)
+    columns = wanted.columns
+    while (wanted.agg(F.max("_rows").alias("m")).first()["m"] or 0) > BUCKET_ROWS:
+        large = wanted.where(F.col("_rows") > BUCKET_ROWS)
+        brackets = large.select(*by, "_low", "_high").distinct()
+        points = [i / PARTS for i in range(1, PARTS)]
+        cuts = _inside(folded, brackets, by).groupBy(*by, "_low", "_high").agg(F.percentile_approx("_v", points).alias("_cuts"))
+        parts = _inside(folded, cut(cuts), by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))))
+        parts = parts.groupBy(*by, "_low", "_part").agg(
+            F.sum("_n").alias("_held"), F.count(F.lit(1)).alias("_part_rows"), F.min("_v").alias("_part_low"), F.max("_v").alias("_part_high")
+        )
+        w = Window.partitionBy(*by, "_low").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("_ahead", F.coalesce(F.sum("_held").over(w), F.lit(0)))
+        first = F.col("_before") + F.col("_ahead")
+        narrowed = null_safe_join(large, parts, [*by, "_low"]).where((F.col("_at") >= first) & (F.col("_at") < first + F.col("_held")))
+        new = {"_low": F.col("_part_low"), "_high": F.col("_part_high"), "_rows": F.col("_part_rows"), "_before": first}
+        narrowed = narrowed.select(*[new.get(c, F.col(c)).alias(c) for c in columns])
+        wanted = cut(wanted.where(F.col("_rows") <= BUCKET_ROWS).unionByName(narrowed))
+    run = Window.partitionBy(*by, "_low").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    brackets = wanted.select(*by, "_low", "_high", "_before").distinct()
+    counted = _inside(folded, brackets, by).select(
+        *by, "_low", "_v", "_n", (F.col("_before") + F.coalesce(F.sum("_n").over(run), F.lit(0))).alias("_from")
     )
+    found = null_safe_join(wanted.drop("_before"), counted, [*by, "_low"])
+    found = found.where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_from") + F.col("_n")))
+    # The wanted row below a position and the one above it, which may be the same.
+    picked = found.groupBy(*by, "prob", "_pos", "n").agg(F.min("_v").alias("_down"), F.max("_v").alias("_up"))
     part = F.col("_pos") - F.floor("_pos")
-    return picked.select(
-        *keys, "prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * part).alias("value"), "n"
-    )
+    return picked.select(*keys, "prob", (F.col("_down") + (F.col("_up") - F.col("_down")) * part).alias("value"), "n")
+
+
+def _inside(folded: DataFrame, brackets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows of each bracket; a group has few brackets but may have very many rows."""
+    met = salted_join(folded, brackets, by, ["_v"])
+    return met.where((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))

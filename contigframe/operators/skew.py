@@ -14,7 +14,7 @@ def salted_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Sequence[str],
     how: str = "inner", salts: int = 16,
 ) -> DataFrame:
-    """Join where each key of ``big`` is spread over ``salts`` tasks.
+    """Join where each key of ``big`` is spread over ``salts`` tasks; null keys are equal.
 
     ``small`` is copied once per salt, so it should have few rows per key. Only join types that
     keep unmatched rows of ``big`` at most are safe.
@@ -23,32 +23,9 @@ def salted_join(
         raise ValueError(f"join type not supported with salts: {how}")
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(salts - 1))
-    return (
-        big.withColumn("_salt", salt)
-        .join(small.withColumn("_salt", F.explode(copies)), [*on, "_salt"], how)
-        .drop("_salt")
-    )
-
-
-def hot_join(
-    big: DataFrame, small: DataFrame, hash_: str, on: Sequence[str], copies: str,
-    spread_by: Sequence[str], hot: int = 100_000, salts: int = 64,
-) -> DataFrame:
-    """Inner join on wide keys, salted only for keys that ``big`` holds more than ``hot`` times.
-
-    ``small`` has the number of ``copies`` of each key in ``big``, and both have a 64-bit hash
-    of the key. At most rows / ``hot`` hashes are broadcast.
-    """
-    marked = small.where(F.col(copies) > hot).select(hash_).distinct()
-    many = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    left = big.join(F.broadcast(marked.withColumn("_hot", F.lit(True))), hash_, "left")
-    left = left.withColumn("_salt", F.when(F.col("_hot"), many).otherwise(0)).drop("_hot")
-    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = small.join(F.broadcast(marked.withColumn("_hot", F.lit(True))), hash_, "left")
-    right = right.withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
-    return left.join(right, [hash_, *on, "_salt"]).drop("_salt")
+    return null_safe_join(
+        big.withColumn("_salt", salt), small.withColumn("_salt", F.explode(copies)), [*on, "_salt"], how
+    ).drop("_salt")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

@@ -124,7 +124,7 @@ def test_quantiles_and_totals(spark):
         assert r.value == pytest.approx(np.quantile(values[r.k], r.prob), abs=1e-12)
         assert r.n == len(values[r.k])
     counts = df.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
-    for r in totals_before(counts, ["k"], "x", ["n"], 4).collect():
+    for r in totals_before(counts, ["k"], "x", ["n"]).collect():
         assert r.n_before == int((values[r.k] < r.x).sum()) and r.n_total == len(values[r.k])
 
 

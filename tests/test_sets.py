@@ -411,7 +411,7 @@ def test_streaming_rows(spark, tmp_path):
 
 
 def test_salted_joins_equal_plain_joins(spark):
-    from contigframe.operators.skew import hot_join, salted_join
+    from contigframe.operators.skew import salted_join
 
     rng = random.Random(8)
     rows = [(i, "hot" if i % 3 == 0 else f"k{rng.randint(0, 40)}") for i in range(300)]
@@ -422,8 +422,5 @@ def test_salted_joins_equal_plain_joins(spark):
     assert sorted(map(tuple, salted.collect())) == plain
     left = salted_join(big, small.where("k <> 'hot'"), ["k"], ["id"], how="left")
     assert left.count() == 300 and left.where("n IS NULL").count() == 100
-    hashed = [df.withColumn("h", F.xxhash64("k")) for df in (big, small)]
-    hot = hot_join(*hashed, "h", ["k"], "n", ["id"], hot=20, salts=4).select("id", "k", "n")
-    assert sorted(map(tuple, hot.collect())) == plain
     with pytest.raises(ValueError):
         salted_join(big, small, ["k"], ["id"], how="full")
