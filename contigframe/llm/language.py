@@ -6,10 +6,12 @@ forward pass over its letters, many words at once. A text has the product over i
 probabilities are fitted by expectation maximisation: Spark counts the words of each training
 language once, and each round sums the expected pieces of all (language, word) rows.
 
-Words are runs of letters and marks, in lower case, with U+2581 in front; a run of more than
-``LONGEST`` letters is taken in stretches of that length. A letter outside the vocabulary has a
-small fixed probability. The training texts are about ``TRAINING_DOCS`` documents of each language,
-picked by a hash of their id (a documented bound); every document is scored on its whole text.
+Words are runs of letters and marks, in lower case, with U+2581 in front, of any length: the sums of
+a long run are rescaled as they go, so none is cut (in scripts without spaces a run is a clause). A
+letter outside the vocabulary has a small fixed probability. The training texts are about
+``TRAINING_DOCS`` documents of each language, picked by a hash of their id, and their runs of more
+than ``LONGEST`` letters count in stretches of that length (documented bounds of the fit); every
+document is scored on its whole text.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text if
 there is no training language. Documents without a language teach nothing. Equal scores go to the
@@ -34,6 +36,8 @@ from .quality import remainder
 TRAINING_DOCS = 600
 ROUNDS = 3
 LONGEST = 20
+#: Letters of a long run whose pieces are looked up at a time.
+STRIP = 1 << 15
 UNKNOWN = 1e-9
 UNDECIDED = "und"
 _MARK = "▁"
@@ -44,9 +48,13 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def runs(word: str) -> list[str]:
-    """The stretches of a word that are scored."""
-    found = [_MARK + r.lower() for r in _RUNS.findall(word)]
-    return [r[k : k + LONGEST] for r in found for k in range(0, len(r), LONGEST)]
+    """The runs of letters of a word."""
+    return [_MARK + r.lower() for r in _RUNS.findall(word)]
+
+
+def stretches(word: str) -> list[str]:
+    """The same for training, cut at ``LONGEST`` letters."""
+    return [r[k : k + LONGEST] for r in runs(word) for k in range(0, len(r), LONGEST)]
 
 
 class PieceTable:
@@ -126,9 +134,13 @@ def _forward(found: dict, length: np.ndarray, chances: np.ndarray) -> list[np.nd
 
 
 def log_chances(table: PieceTable, texts: list[str], chances: np.ndarray) -> np.ndarray:
-    """Log probability of each stretch in each language; ``chances`` ends in a row of zeros."""
+    """Log probability of each run in each language; ``chances`` ends in a row of zeros."""
     out = np.zeros((len(texts), chances.shape[1]))
-    order = np.argsort(np.fromiter(map(len, texts), np.int64, len(texts)), kind="stable")
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    for k in np.flatnonzero(size > LONGEST):
+        out[k] = _long_log(table, texts[k], chances)
+    order = np.flatnonzero(size <= LONGEST)
+    order = order[np.argsort(size[order], kind="stable")]
     for part in np.array_split(order, max(1, len(order) // 8192)):
         if len(part):
             found, length = _lattice(table, [texts[k] for k in part])
@@ -137,6 +149,39 @@ def log_chances(table: PieceTable, texts: list[str], chances: np.ndarray) -> np.
     return out
 
 
+def _long_log(table: PieceTable, run: str, chances: np.ndarray) -> np.ndarray:
+    """Log probability of one run of any length in each language.
+
+    Only the sums of the last ``table.longest`` letters are kept, divided by their largest every few
+    letters; the logarithms of the divisors add up.
+    """
+    codes = np.frombuffer(run.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    width = min(table.longest, len(codes))
+    power, inverse = (np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(STRIP + width, x))) for x in (_FACTOR, _INVERSE[1]))
+    recent = np.zeros((width, chances.shape[1]))  # the last row is the sum up to the letter before
+    recent[-1] = 1
+    log = np.zeros(chances.shape[1])
+    for at in range(0, len(codes), STRIP):
+        back = min(at, width - 1)
+        part = codes[at - back : at + STRIP]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mixed(part) * power[: len(part)])])
+        ends = np.arange(back + 1, len(part) + 1)
+        pieces = np.full((len(ends), width), len(table.pieces), np.int64)  # of the last width to 1 letters
+        for n in range(1, width + 1):
+            whole = ends >= n
+            start = ends[whole] - n
+            pieces[whole, width - n] = table.find(W.mixed((sums[ends[whole]] - sums[start]) * inverse[start]))
+        for k, row in enumerate(pieces):
+            new = (recent * chances[row]).sum(axis=0) + recent[-1] * UNKNOWN
+            recent[:-1] = recent[1:]
+            recent[-1] = new
+            if k % 16 == 15:
+                scale = recent.max(axis=0)
+                recent /= scale
+                log += np.log(scale)
+    return log + np.log(recent[-1])
+
+
 def expected_pieces(table: PieceTable, texts: list[str], counts: np.ndarray, chances: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in ``counts`` copies of each stretch, in one language."""
     total = np.zeros(len(table.pieces) + 1)
@@ -191,7 +236,7 @@ def train_languages(docs: DataFrame, model_path: str, doc_id: str = "doc_id", te
             for i, j in W.slices(batch.column("text")):
                 count: dict[tuple[str, str], int] = {}
                 for t, n in zip(batch.column("text")[i:j].to_pylist(), batch.column("lang")[i:j].to_pylist(), strict=True):
-                    for r in runs(t):
+                    for r in stretches(t):
                         count[n, r] = count.get((n, r), 0) + 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.string()), pa.array(list(count.values()), pa.int64())],

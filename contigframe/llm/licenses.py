@@ -1,16 +1,17 @@
 """License notices in texts: phrases, and an exact set-similarity join with notice templates.
 
-Phrases are places where their words stand one after the other. Beyond them, every block of
-``BLOCK`` words (one starts every ``BLOCK`` / 2 words) is joined with the templates whose distinct
-words it contains to ``threshold`` or more. Words are ordered by how many documents hold them,
-rarest first; a block can only reach a template if the first words of both, in that order, have one
-in common (prefix filter), if it has enough of the templates' words (length filter), and if enough
-words follow the common one in both (positional filter). What passes is counted in full. A template
-has at most ``BLOCK`` / 2 words, so each occurrence lies whole in some block.
-
-Everything runs as DataFrame expressions. Words that no template holds cannot add to a
-containment and are dropped from a block before the join; documents without any template's first
-words are not cut into blocks at all. The templates and their words are a fixed list.
+Phrases are places where their words stand one after the other. Beyond them, a template is found
+where some window of ``SPREAD`` times its number of words, wherever it starts, contains ``threshold``
+or more of its distinct words. Words are ordered by how many documents hold them, rarest first. A
+document can only hold such a window if the first words of the template, in that order, have one in
+the document (prefix filter), if the document has enough of the template's words (length filter), and
+if enough of them follow the common one in both (positional filter). The pairs that pass are cut into
+windows: one starts at every occurrence of a word of the template (a best window starts at one), and
+its distinct words are counted in full. Templates are of any length, from a line to a whole license.
+
+Everything runs as DataFrame expressions, in one pass over the raw texts: it keeps the phrases' places,
+the template words a document holds, and its words only where it has enough of some template's. The
+templates and their words are a fixed list.
 
 Defined cases: null and empty texts have no words, places or labels. Rows that repeat a doc_id and
 a text get one result each; rows without doc_id are told apart by their texts.
@@ -21,10 +22,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 40
+from ..operators.lineage import cut
+
+#: Words of a window for each word of its template.
+SPREAD = 2
 THRESHOLD = 0.8
 
 # Phrases that name a license.
@@ -34,8 +38,25 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Sentences of common notices, as words.
+# Sentences of common notices and the whole of two short licenses, as words.
 TEMPLATES = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
+    "files the software to deal in the software without restriction including without limitation the rights to use copy modify "
+    "merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
+    "furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be "
+    "included in all copies or substantial portions of the software the software is provided as is without warranty of any kind "
+    "express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+    "noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability "
+    "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or "
+    "other dealings in the software": "mit-text",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided "
+    "that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author "
+    "disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no "
+    "event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting "
+    "from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in "
+    "connection with the use or performance of this software": "isc-text",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+    "merchantability or fitness for a particular purpose see the gnu general public license for more details": "gpl-warranty-notice",
     "licensed under cc by nc 4 0": "cc-by-nc-notice",
     "this work is licensed under the gnu general public license version 3": "gpl-3-notice",
     "this program is free software you can redistribute it and or modify it under the terms of": "gpl-program-notice",
@@ -83,47 +104,68 @@ def _overlap(size: int, threshold: float) -> int:
     return next(k for k in range(1, size + 1) if k >= threshold * size - 1e-9)
 
 
-def template_matches(texts: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """``key, label, containment`` of every template found in a document; ``texts`` has ``key, spaced``."""
+class Templates:
+    """Templates by label: distinct words, the number that makes a match, and words of a window."""
+
+    def __init__(self, templates: dict[str, str], threshold: float) -> None:
+        self.sets = {label: sorted(set(words.split())) for words, label in templates.items()}
+        if len(self.sets) < len(templates):
+            raise ValueError("two templates have the same label")
+        self.need = {label: _overlap(len(words), threshold) for label, words in self.sets.items()}
+        self.span = {label: SPREAD * len(words.split()) for words, label in templates.items()}
+        self.words = sorted(set().union(*self.sets.values()))
+
+    def held(self, words: Column) -> Column:
+        """The template words of a document."""
+        return F.array_intersect(F.array(*[F.lit(w) for w in self.words]), words)
+
+    def possible(self, held: Column) -> Column:
+        """Whether a document has enough words of any template."""
+        enough = [
+            F.size(F.array_intersect(held, F.array(*[F.lit(w) for w in words]))) >= self.need[label] for label, words in self.sets.items()
+        ]
+        return reduce(lambda a, b: a | b, enough)
+
+
+def template_matches(texts: DataFrame, templates: Templates) -> DataFrame:
+    """``key, label, containment`` of every template found in a document.
+
+    ``texts`` has ``key``, the template words ``held``, and the document's ``words`` (null where no
+    template is possible).
+    """
     spark = texts.sparkSession
-    sets = {label: sorted(set(words.split())) for words, label in templates.items()}
-    if any(len(words.split()) > BLOCK // 2 for words in templates):
-        raise ValueError(f"a template may have {BLOCK // 2} words at most")
-    vocabulary = sorted(set().union(*sets.values()))
-    listed = texts.withColumn("words", F.filter(F.split("spaced", " "), lambda w: w != ""))
     # Documents holding each of the templates' words: one row a word.
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    held = listed.select(F.explode(F.array_intersect(known, "words")).alias("word")).groupBy("word").count()
-    frequency = {r["word"]: r["count"] for r in held.collect()}
-    order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
-    rank = {w: k for k, w in enumerate(order)}
+    counts = texts.select(F.explode("held").alias("word")).groupBy("word").count()
+    frequency = {r["word"]: r["count"] for r in counts.collect()}
+    rank = {w: k for k, w in enumerate(sorted(templates.words, key=lambda w: (frequency.get(w, 0), w)))}
+    order = F.array(*[F.lit(w) for w in sorted(templates.words, key=rank.__getitem__)])
     prefixes = []
-    for label, words in sets.items():
+    for label, words in templates.sets.items():
         ordered = sorted(words, key=rank.__getitem__)
-        need = _overlap(len(words), threshold)
-        prefixes += [(w, label, ordered, i, need) for i, w in enumerate(ordered[: len(words) - need + 1])]
-    least = min(need for *_, need in prefixes)
-    table = spark.createDataFrame(prefixes, "word string, label string, template array<string>, i int, need int")
-    first = F.array(*[F.lit(w) for w in sorted({p[0] for p in prefixes})])
-    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(BLOCK // 2))
-    blocks = (
-        listed.where(F.arrays_overlap(first, "words"))
-        .select("key", F.explode(F.transform(starts, lambda s: F.slice("words", s + 1, F.lit(BLOCK)))).alias("words"))
-        .select("key", F.array_intersect(F.array(*[F.lit(w) for w in order]), "words").alias("block"))
-        .where(F.size("block") >= least)
-    )
-    # The block's words are in the global order, so its prefix is its beginning.
-    heads = blocks.select("key", "block", F.posexplode(F.slice("block", F.lit(1), F.size("block") - least + 1)).alias("j", "word"))
-    rest = F.least(F.size("template") - F.col("i"), F.size("block") - F.col("j"))
-    near = heads.join(F.broadcast(table), "word").where(  # the fixed list of templates
-        (F.size("block") >= F.col("need")) & (F.least("i", "j") + rest >= F.col("need"))
-    )
-    common = F.size(F.array_intersect("block", "template"))
-    return (
-        near.where(common >= F.col("need"))
-        .groupBy("key", "label")
-        .agg(F.max(common / F.size("template")).alias("containment"))
-    )
+        need = templates.need[label]
+        prefixes += [(w, label, ordered, i, need, templates.span[label]) for i, w in enumerate(ordered[: len(words) - need + 1])]
+    # The fixed list of templates.
+    table = F.broadcast(spark.createDataFrame(prefixes, "word string, label string, template array<string>, i int, need int, span int"))
+    some = texts.where("words IS NOT NULL").select("key", "words", F.array_intersect(order, "held").alias("own"))
+    least = min(templates.need.values())
+    # The document's words are in the global order, so its prefix is its beginning.
+    heads = some.select("key", "own", F.posexplode(F.slice("own", F.lit(1), F.greatest(F.size("own") - least + 1, F.lit(0)))).alias("j", "word"))
+    rest = F.least(F.size("template") - F.col("i"), F.size("own") - F.col("j"))
+    near = heads.join(table, "word").where((F.size("own") >= F.col("need")) & (F.least("i", "j") + rest >= F.col("need")))
+    near = near.where(F.size(F.array_intersect("own", "template")) >= F.col("need")).select("key", "label").distinct()
+    label_words = [(label, w, len(words), templates.need[label], templates.span[label]) for label, words in templates.sets.items() for w in words]
+    members = F.broadcast(spark.createDataFrame(label_words, "label string, word string, size int, need int, span int"))
+    keyed = near.withColumn("id", F.to_json("key")).select("id", "label")  # a null id must meet itself
+    placed = some.select(F.to_json("key").alias("id"), "key", F.posexplode("words").alias("at", "word"))
+    rows = placed.join(members, "word").join(keyed, ["id", "label"], "left_semi")
+    # Frames of different widths: one for each window length.
+    found = None
+    for span in sorted(set(templates.span.values())):
+        frame = Window.partitionBy("id", "label").orderBy("at").rangeBetween(0, span - 1)
+        mine = rows.where(F.col("span") == span).withColumn("common", F.size(F.collect_set("word").over(frame)))
+        mine = mine.where(F.col("common") >= F.col("need")).select("key", "label", (F.col("common") / F.col("size")).alias("containment"))
+        found = mine if found is None else found.unionAll(mine)
+    return found.groupBy("key", "label").agg(F.max("containment").alias("containment"))
 
 
 def scan_licenses(
@@ -134,20 +176,26 @@ def scan_licenses(
 
     ``score`` is 1 with a phrase, else the largest containment of a template found, else 0.
     """
+    known = Templates(templates, threshold)
     key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("hash"))
     texts = docs.select(key.alias("key"), spaced_words(F.col(text)).alias("spaced"))
     found = [F.col(f"place{k}") for k in range(len(phrases))]
-    base = texts.select("key", "spaced", *[_places(F.col("spaced"), p).alias(f"place{k}") for k, p in enumerate(phrases)])
-    base = base.select(
-        "key", _count(F.col("spaced")).cast("bigint").alias("n_words"),
+    words = F.split("spaced", " ")
+    base = texts.select(
+        "key", "spaced", known.held(words).alias("held"), *[_places(F.col("spaced"), p).alias(f"place{k}") for k, p in enumerate(phrases)]
+    )
+    base = cut(base.select(
+        "key", "held", _count(F.col("spaced")).cast("bigint").alias("n_words"),
+        F.when(known.possible(F.col("held")), F.filter(words, lambda w: w != "")).alias("words"),
         reduce(lambda a, b: a + b, [F.coalesce(f["n"], F.lit(0)) for f in found]).alias("n_base"),
         F.array_min(F.array(*[f["first"] for f in found])).alias("first_word"),
         F.array_max(F.array(*[f["last"] for f in found])).alias("last_word"),
         F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(f.isNotNull(), F.lit(v)) for f, v in zip(found, phrases.values(), strict=True)])))).alias("base"),
-    )
-    added = template_matches(texts, templates, threshold).groupBy("key").agg(
+    ))
+    added = template_matches(base.select("key", "held", "words"), known).groupBy("key").agg(
         F.collect_set("label").alias("added"), F.max("containment").alias("containment")
     )
+    base = base.drop("held", "words")
     # Null ids need a comparison of whole keys: their text is one.
     both = base.withColumn("join", F.to_json("key")).join(added.select(F.to_json("key").alias("join"), "added", "containment"), "join", "left")
     return both.select(
@@ -165,14 +213,16 @@ def oracle(words_sql: str, phrases: dict[str, str] = PHRASES, templates: dict[st
         return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
     phrase_rows = ", ".join(f"({listed(p.split())}, '{v}')" for p, v in phrases.items())
-    template_rows = ", ".join(f"({listed(sorted(set(t.split())))}, '{v}')" for t, v in templates.items())
+    template_rows = ", ".join(f"({listed(sorted(set(t.split())))}, '{v}', {SPREAD * len(t.split())})" for t, v in templates.items())
     return f"""
 WITH doc AS (SELECT doc_id, {words_sql} AS w FROM documents),
-phrase(p, label) AS (VALUES {phrase_rows}), template(t, label) AS (VALUES {template_rows}),
+phrase(p, label) AS (VALUES {phrase_rows}), template(t, label, span) AS (VALUES {template_rows}),
 place AS (SELECT doc_id, i, label FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM doc) JOIN phrase ON w[i + 1] = p[1] AND w[i + 1:i + len(p)] = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM place GROUP BY doc_id),
-block AS (SELECT doc_id, list_distinct(w[s + 1:s + {BLOCK}]) AS b FROM (SELECT doc_id, w, unnest(range(0, len(w), {BLOCK // 2})) AS s FROM doc)),
-hit AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS c FROM block, template WHERE len(list_intersect(b, t)) >= {threshold} * len(t) - 1e-9),
+win AS (SELECT doc_id, label, t, w[s:s + span - 1] AS b FROM (
+  SELECT doc_id, label, t, span, w, unnest(range(1, len(w) + 1)) AS s FROM doc, template
+  WHERE len(list_intersect(list_distinct(w), t)) >= {threshold} * len(t) - 1e-9) WHERE list_contains(t, w[s])),
+hit AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), t)) / len(t) AS c FROM win WHERE len(list_intersect(list_distinct(b), t)) >= {threshold} * len(t) - 1e-9),
 own AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM place) GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels
   FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM hit) GROUP BY doc_id),

@@ -1,8 +1,8 @@
 """Removal of boilerplate lines by their frequency within a site.
 
 Pages are grouped by host. A line is boilerplate on a host if the pages of the host that contain it
-are more than ``ratio`` of all the host's pages, and at least ``least`` pages. Such lines are removed
-from all pages of that host; the others stay as they are, in their order. Lines are compared with
+are more than ``ratio`` of all the host's pages; a line on one page alone is never boilerplate. Such
+lines are removed from all pages of that host; the others stay as they are, in their order. Lines are compared with
 surrounding white space (space, tab, carriage return) stripped; lines that are then empty count for
 nothing and stay.
 
@@ -38,7 +38,7 @@ def _key(line: Column) -> Column:
 
 
 def remove_boilerplate(
-    pages: DataFrame, ratio: float = 0.1, least: int = 5, page_id: str = "doc_id", host: str = "source", text: str = "text"
+    pages: DataFrame, ratio: float = 0.1, page_id: str = "doc_id", host: str = "source", text: str = "text"
 ) -> DataFrame:
     """``row, text, n_lines, n_dropped`` for each page: what is left of its text, its lines before
     and the lines dropped. ``row`` holds all other columns of the page."""
@@ -53,7 +53,7 @@ def remove_boilerplate(
     found = cut(base.select("host", "page", keys.alias("keys")).dropDuplicates(["page"]))
     total = found.groupBy("host").agg(F.count("*").alias("pages"))
     lines = found.select("host", "page", F.explode("keys").alias("key"))
-    often = lines.groupBy("host", "key").agg(F.count("*").alias("held")).where(F.col("held") >= least)
+    often = lines.groupBy("host", "key").agg(F.count("*").alias("held")).where(F.col("held") > 1)
     # A page accounts for at most 1 / ratio times its lines of these.
     often = cut(cut(often).join(cut(total), "host").where(F.col("held") > F.col("pages") * F.lit(ratio)).select("host", "key"))
     dropped = cut(lines.join(often, ["host", "key"]).select("page", "key")).groupBy("page").agg(F.collect_list("key").alias("dropped"))

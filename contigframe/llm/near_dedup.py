@@ -1,10 +1,10 @@
 """Groups of near-duplicate documents by min-max hashing.
 
 A document is the set of its 5-word shingles (lower-cased A-Z). Under each permutation of the hash
-values both the smallest and the largest member are kept, so 48 permutations give 96 signature
+values both the smallest and the largest member are kept, so 64 permutations give 128 signature
 values. Four values (the minima and maxima of two permutations) make a band; documents that share
 a band are compared on their full sets, and linked at a Jaccard similarity of ``percent`` or more.
-At similarity 0.85 a pair shares none of the 24 bands with probability 2e-8.
+At similarity 0.8 a pair shares none of the 32 bands with probability 5e-8.
 
 No link is lost inside a band however many documents it holds. Equal sets are collapsed first.
 All documents of a band are compared with its smallest document, so rows grow with the band's
@@ -19,8 +19,9 @@ out if they differ more than a pair of the wanted similarity does at six standar
 
 Defined cases: documents without words (null or empty texts) have an empty set and are linked with
 nothing. Fewer words than a shingle make one shingle of their own kind. Rows without doc_id keep
-their set size, have no component and are kept. Rows that repeat a doc_id are one document: equal
-texts have equal results; of different texts each is linked on its own under the common id.
+their set size, have no component and are kept. Rows that repeat a doc_id are one document with
+several sets: it is linked with every document that is similar enough to any of them. Ids must be
+whole numbers (or text of them); another text is an error under ANSI rules.
 """
 
 from __future__ import annotations
@@ -233,6 +234,14 @@ def _grouped(rows: DataFrame, groups: DataFrame, node: str, name: str) -> DataFr
     return rows.join(found, node, "left").withColumn(name, F.coalesce(name, node))
 
 
+def _same_id(known: DataFrame, classes: DataFrame, prints: list[str]) -> DataFrame:
+    """Links ``a, b`` of an id that stands for several sets with the representatives of all of them."""
+    held = known.groupBy("doc_id").agg(F.min(F.struct(*prints)).alias("x"), F.max(F.struct(*prints)).alias("y"))
+    several = held.where("x <> y").select("doc_id")
+    reps = known.select("doc_id", *prints).join(several.hint("merge"), "doc_id", "left_semi").join(classes, prints)
+    return reps.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -255,9 +264,10 @@ def near_duplicates(
     members = cut(bands.join(centres.select("band", "centre"), "band").where("doc_id <> centre"))
     star = cut(members.select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct())
     wanted = star.select("a").unionAll(star.select("b")).distinct().select(F.col("a").alias("doc_id"))
-    sets = cut(document_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
+    sets = document_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), size)
+    sets = cut(sets.withColumn("hash", F.xxhash64("members")).dropDuplicates(["doc_id", "hash"]).drop("hash"))
     sketches = known.select("doc_id", "n", "sketch")
-    links = cut(linked_pairs(likely_pairs(star, sketches, percent), sets, percent))
+    links = cut(linked_pairs(likely_pairs(star, sketches, percent), sets, percent).unionAll(_same_id(known, classes, prints)))
     groups = cut(components(links))
     own = cut(_grouped(members.select("band", "doc_id"), groups, "doc_id", "component"))
     open_ = cut(own.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band"))

@@ -64,7 +64,7 @@ FROM doc LEFT JOIN done USING (doc_id)
 """
 
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    kept = remove_boilerplate(read_table(spark, folder, "documents"), ratio=0.1, least=5)
+    kept = remove_boilerplate(read_table(spark, folder, "documents"), ratio=0.1)
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -74,7 +74,7 @@ WITH line AS (SELECT doc_id, host, i, lines[i] AS line, nullif(trim(lines[i], co
     FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))),
 pages AS (SELECT coalesce(concat('=', source), '') AS host, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1),
 often AS (SELECT host, key FROM line JOIN pages USING (host) WHERE key IS NOT NULL
-  GROUP BY host, key, pages HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > pages * 0.1),
+  GROUP BY host, key, pages HAVING count(DISTINCT doc_id) > 1 AND count(DISTINCT doc_id) > pages * 0.1),
 kept AS (SELECT doc_id, count(*) AS n, count(often.key) AS dropped,
     coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE often.key IS NULL), '') AS kept
   FROM line LEFT JOIN often ON line.host = often.host AND line.key = often.key GROUP BY doc_id)

@@ -103,13 +103,22 @@ def test_empty_tables(spark):
 def test_boilerplate_lines(spark):
     rows = [(i, f"own {i}\n  Menu \r\n\nfoot{i % 3}\n") for i in range(0, 24, 2)] + [(1, "Menu\nx"), (3, None), (5, "")]
     rows += [(40, "Menu\nMenu\nlast"), (None, "Menu"), (None, "Menu")]
-    got = sorted((r.row.doc_id if r.row.doc_id is not None else -1, r.text, r.n_lines, r.n_dropped) for r in line_dedup.remove_boilerplate(frame(spark, rows, CLASHES), 0.5, 3).collect())
+    got = sorted((r.row.doc_id if r.row.doc_id is not None else -1, r.text, r.n_lines, r.n_dropped) for r in line_dedup.remove_boilerplate(frame(spark, rows, CLASHES), 0.5).collect())
     # Host s0: 12 pages, page 40 and the row without id (its repetition is the same page) hold "Menu".
     want = [(i, f"own {i}\n\nfoot{i % 3}\n", 5, 1) for i in range(0, 24, 2)]
     want += [(1, "Menu\nx", 2, 0), (3, None, 0, 0), (5, "", 1, 0), (40, "last", 3, 2), (-1, "", 1, 1), (-1, "", 1, 1)]
     assert got == sorted(want, key=lambda r: (r[0], r[1] or "", r[2], r[3])) or sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_boilerplate_depends_on_the_share_alone(spark):
+    """The same pages twice, once as a host of four and once repeated on a host of forty."""
+    pages = ["Menu\nall", "Menu\nalone", "Menu\nx", "y"]
+    small = {t: line_dedup.remove_boilerplate(frame(spark, [(2 * k, p) for k, p in enumerate(pages)]), 0.5).select("text").collect() for t in [0]}[0]
+    large = line_dedup.remove_boilerplate(frame(spark, [(2 * k, f"{pages[k % 4]} {k}" if k % 4 == 3 else pages[k % 4].replace("al", f"{k}al")) for k in range(40)]), 0.5)
+    assert sorted(r.text for r in small) == ["all", "alone", "x", "y"]
+    assert large.where("text LIKE '%Menu%'").count() == 0 and large.where("n_dropped = 1").count() == 30
+
+
 # Near duplicates
 
 
@@ -149,6 +158,14 @@ def test_near_duplicates_like_all_pairs(spark):
     assert got == {i: (len(sets[i]), find(i), find(i) == i) for i in range(len(texts))}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Every text of a repeated id finds its copies."""
+    one, two, three = (" ".join(f"{c}{k}" for k in range(100)) for c in "xyz")
+    rows = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (4, three), (7, three), (7, "other words of its own here"), (8, "other words of its own here")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, rows, CLASHES), percent=85).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (7, 4, False), (8, 4, False)}
+
+
 def test_min_and_max_agree_as_often_as_the_sets_overlap():
     a = np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     b = np.sort(a[200:])
@@ -217,13 +234,12 @@ def test_licenses_like_by_hand(spark):
             found = [k for k in range(len(w)) if w[k : k + len(p)] == p]
             places += found
             base |= {label} if found else set()
-        for s in range(0, len(w), licenses.BLOCK // 2):
-            for words, label in licenses.TEMPLATES.items():
-                part = set(words.split())
-                share = len(part & set(w[s : s + licenses.BLOCK])) / len(part)
-                if share >= licenses.THRESHOLD - 1e-9:
-                    labels.add(label)
-                    best = max(best, share)
+        for words, label in licenses.TEMPLATES.items():
+            part, span = set(words.split()), licenses.SPREAD * len(words.split())
+            share = max((len(part & set(w[s : s + span])) / len(part) for s in range(len(w))), default=0)
+            if share >= licenses.THRESHOLD - 1e-9:
+                labels.add(label)
+                best = max(best, share)
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(places, default=None), max(places, default=None)), t
         assert (r.base_labels, r.labels) == (",".join(sorted(base)), ",".join(sorted(base | labels))), t
@@ -415,6 +431,28 @@ def test_forward_sums_all_segmentations():
         assert slope == pytest.approx(expected[piece], abs=1e-2 * max(1, abs(slope)))
 
 
+def test_long_runs_are_summed_whole(monkeypatch):
+    """A run beyond the batch length has the sums of the plain recursion, across every border."""
+    rng = random.Random(4)
+    vocabulary = sorted({"".join(rng.choice("ab▁cé") for _ in range(rng.randint(1, 5))) for _ in range(80)})
+    table = language.PieceTable(vocabulary)
+    chances = np.vstack([np.random.default_rng(0).random((len(vocabulary), 2)) / 50, np.zeros(2)])
+    monkeypatch.setattr(language, "STRIP", 37)
+    texts = ["▁" + "".join(rng.choice("ab▁céz") for _ in range(n)) for n in (20, 36, 37, 38, 150, 4000)]
+    got = language.log_chances(table, texts, chances)
+    for text, found in zip(texts, got, strict=True):
+        for k in (0, 1):
+            sums, log = [1.0], 0.0
+            for j in range(1, len(text) + 1):
+                new = sums[-1] * language.UNKNOWN
+                new += sum(sums[-n] * chances[vocabulary.index(text[j - n : j]), k] for n in range(1, min(len(sums), 5) + 1) if text[j - n : j] in vocabulary)
+                sums.append(new)
+                if j % 10 == 0:
+                    log += np.log(new)
+                    sums = [x / new for x in sums[-5:]]
+            assert found[k] == pytest.approx(log + np.log(sums[-1]))
+
+
 # The pipeline
 
 
