@@ -25,11 +25,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines on more than a tenth (and 5) of their source's documents.
+    """All documents, without the lines on more than a tenth (and on two pages at least) of their source's documents.
 
     ``n_chars`` is that of the text left; a document may be left with an empty text.
     """
-    kept = remove_boilerplate(docs, ratio=0.1, least=5)
+    kept = remove_boilerplate(docs, ratio=0.1)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
     return kept.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
