@@ -24,6 +24,7 @@ packed like any other. A text of any length is packed whole. An empty table has
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,14 @@ SHARD_BYTES = 2 << 20
 WORDS_KEPT = 1 << 20
 #: Words given to the tokenizer in one call.
 CALL = 256
+#: Stops at the end of a word of letters that are encoded apart from it; with more it stays whole.
+STOPS = 4
 K1, B = 1.2, 0.75
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[list(W.SPACES)] = True
 _STOP = np.zeros(256, bool)
 _STOP[[44, 46]] = True
 
@@ -61,27 +66,31 @@ class Units:
 
     def __init__(self, texts: pa.Array) -> None:
         words = W.split_words(texts, W.PLAIN)
-        data, start, end = words.data.copy(), words.start, words.end
-        at = np.arange(len(data))
-        last = np.maximum.accumulate(np.where(_STOP[data], -1, at)) if len(data) else at
-        body = np.maximum(last[end - 1] + 1, start)
-        letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+        size = words.end - words.start
+        raw = W.text_buffers(texts)[0]
+        flat = raw[~_SPACE[raw]]
+        end = np.cumsum(size)
+        start = end - size
+        body = end.copy()
+        for _ in range(STOPS):
+            body -= (body > start) & _STOP[flat[body - 1]]
+        letters = np.concatenate([[0], np.cumsum(_LETTER[flat], dtype=np.int64)])
         plain = (letters[body] - letters[start] == body - start) & (body > start)
-        lower = spans(start[plain], (body - start)[plain])
-        data[lower] |= 32
+        flat = np.where(np.repeat(plain, size) & _LETTER[flat], flat | 32, flat)
         two = plain & (body < end)
         n = 1 + two
         place = np.cumsum(n) - n
-        starts, ends = np.empty(n.sum(), np.int64), np.empty(n.sum(), np.int64)
-        starts[place], ends[place] = start, np.where(plain, body, end)
-        starts[place[two] + 1], ends[place[two] + 1] = body[two], end[two]
+        borders = np.empty(n.sum() + 1, np.int64)
+        borders[0] = 0
+        borders[place + 1] = np.where(plain, body, end)
+        borders[place[two] + 2] = end[two]
         self.first = np.concatenate([[0], np.cumsum(n)])[words.first]
-        offsets = np.concatenate([[0], np.cumsum(ends - starts)])
-        flat = data[spans(starts, ends - starts)]
-        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(borders) - 1, [None, pa.py_buffer(borders), pa.py_buffer(flat)])
         coded = column.dictionary_encode()
         self.code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.names: list[bytes] = coded.dictionary.to_pylist()
+        at, data = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1].tolist(), coded.dictionary.buffers()[2]
+        data = data.to_pybytes() if data is not None else b""
+        self.names: list[bytes] = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 class Encoder:
@@ -94,6 +103,11 @@ class Encoder:
         for whole, parts in (("Ab.,", ["ab", ".,"]), ("AB cd\nEf", ["ab", "cd", "ef"])):
             if self._ids(whole) != [i for part in parts for i in self._ids(part)]:
                 raise ValueError("the tokenizer does not part lower-cased words as assumed")
+        alphabet = "abcdefghijklmnopqrstuvwxyz"
+        for k in range(26):
+            word = alphabet[k:] + alphabet[:k]
+            if self._ids(word) != [token.id for token in self.tokenizer.model.tokenize(word)]:
+                raise ValueError("the tokenizer changes lower-case letters before its model")
         self._clear()
 
     def _ids(self, text: str) -> list[int]:
@@ -105,17 +119,23 @@ class Encoder:
         self.pool = np.zeros(0, np.int32)
 
     def _add(self, names: list[bytes]) -> None:
-        ids, sizes = [self.pool], []
-        for k in range(0, len(names), CALL):
-            units = [name.decode() for name in names[k : k + CALL]]
+        # Letters pass the tokenizer's first steps as they are; its model alone is quicker.
+        letters = [name for name in names if name.isalpha()]
+        others = [name for name in names if not name.isalpha()]
+        tokenize = self.tokenizer.model.tokenize
+        coded = [[token.id for token in tokenize(name.decode())] for name in letters]
+        sizes = [np.fromiter(map(len, coded), np.int64, len(coded))]
+        ids = [self.pool, np.fromiter((i for own in coded for i in own), np.int32, int(sizes[0].sum()))]
+        for k in range(0, len(others), CALL):
+            units = [name.decode() for name in others[k : k + CALL]]
             heads = np.cumsum([0, *[len(u) + 1 for u in units[:-1]]])
-            coded = self.tokenizer.encode(" ".join(units), add_special_tokens=False)
-            ids.append(np.array(coded.ids, np.int32))
-            unit = np.searchsorted(heads, [a for a, _ in coded.offsets], "right") - 1
+            whole = self.tokenizer.encode(" ".join(units), add_special_tokens=False)
+            ids.append(np.array(whole.ids, np.int32))
+            unit = np.searchsorted(heads, [a for a, _ in whole.offsets], "right") - 1
             sizes.append(np.bincount(unit, minlength=len(units)))
         size = np.concatenate(sizes)
         begin = len(self.pool) + np.cumsum(size) - size
-        self.slot.update(zip(names, range(len(self.start), len(self.start) + len(names)), strict=True))
+        self.slot.update(zip(letters + others, range(len(self.start), len(self.start) + len(names)), strict=True))
         self.start, self.size = np.concatenate([self.start, begin]), np.concatenate([self.size, size])
         self.pool = np.concatenate(ids)
 
@@ -123,10 +143,12 @@ class Encoder:
         """All ids of all texts, each text followed by ``end``; the texts' offsets."""
         if len(self.slot) > WORDS_KEPT:
             self._clear()
-        new = [name for name in units.names if name not in self.slot]
+        found = list(map(self.slot.get, units.names))
+        new = [name for name, slot in zip(units.names, found, strict=True) if slot is None]
         if new:
             self._add(new)
-        slots = np.fromiter((self.slot[name] for name in units.names), np.int64, len(units.names))[units.code]
+            found = list(map(self.slot.get, units.names))
+        slots = np.array(found, np.int64)[units.code]
         size = self.size[slots]
         before = np.concatenate([[0], np.cumsum(size)])[units.first]
         n_texts = len(units.first) - 1
@@ -139,6 +161,12 @@ class Encoder:
         return ids, offsets
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 class Index:
     """BM25 over the documents of one shard: postings by word, each with its whole weight."""
 
@@ -227,7 +255,7 @@ def _packer(path: str, window: int, end: int, shard_bytes: int):
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = Encoder(path), TaskContext.get().partitionId() << 33
+        encoder, sequence = _encoder(path), TaskContext.get().partitionId() << 33
         held: list[tuple[pa.Array, pa.Array]] = []
         carried = np.zeros(0, np.int64)  # tokens already packed of the first rows held
         size = 0
