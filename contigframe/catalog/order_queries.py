@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CLASSES
 from ..operators import ordered as O
+from ..operators.changes import change_points, segment_by_changes
 from ..operators.ranks import rank_rows
 from ..operators.regions import (
     host_class,
@@ -20,6 +21,7 @@ from ..plans.contigs import call_regions
 from ..sources.tables import read_table
 from .base import (
     CLASS_LIST,
+    NUDGE,
     SIZE,
     STRIDE,
     argmax,
@@ -224,6 +226,66 @@ share_sql(
 )
 
 
+# Scores are rounded alike, so that two cuts of equal cost are equal on both sides.
+_CHANGE_SQL = f"""WITH RECURSIVE
+  seen AS (SELECT seq_id, window_idx, round(eukarya + {NUDGE}, 6) AS x FROM track),
+  sums AS (SELECT seq_id, count(*) AS n, [0.0::DOUBLE] || list(one ORDER BY window_idx) AS one,
+             [0.0::DOUBLE] || list(two ORDER BY window_idx) AS two
+           FROM (SELECT *, sum(x) OVER w AS one, sum(x * x) OVER w AS two FROM seen
+                 WINDOW w AS (PARTITION BY seq_id ORDER BY window_idx)) GROUP BY seq_id),
+  best AS (
+    SELECT seq_id, n, penalty, 0::BIGINT AS t, [-penalty] AS cost, [0::BIGINT] AS back
+    FROM sums, (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (3.0::DOUBLE)) AS p(penalty)
+    UNION ALL
+    SELECT seq_id, n, penalty, t + 1, list_append(cost, round(least_cost + penalty, 9)),
+           list_append(back, coalesce(list_max(list_filter(range(0, t - 1), lambda s: found[s + 1] = least_cost)), 0))
+    FROM (SELECT *, list_min(found) AS least_cost FROM (
+      SELECT best.*, list_transform(range(0, t - 1), lambda s: round(cost[s + 1] + (two[t + 2] - two[s + 1])
+               - (one[t + 2] - one[s + 1]) * (one[t + 2] - one[s + 1]) / (t + 1 - s), 9)) AS found
+      FROM best JOIN sums USING (seq_id) WHERE t < best.n))),
+  part AS (
+    SELECT seq_id, penalty, back[n + 1] AS first_window, n AS end_window, back FROM best WHERE t = n
+    UNION ALL
+    SELECT seq_id, penalty, back[first_window + 1], first_window, back FROM part WHERE first_window > 0)"""
+
+
+def _rounded_track(spark, d):
+    return _track(spark, d).withColumn("eukarya", F.round(F.col("eukarya") + NUDGE, 6))
+
+
+@register(
+    "change_points", "seq_id:i penalty:d first_window:i end_window:i",
+    f"{_CHANGE_SQL} SELECT seq_id, penalty, first_window, end_window FROM part", "track",
+)
+def _(spark, d):
+    return change_points(_rounded_track(spark, d), "eukarya", [0.5, 1, 3], chunk=64)
+
+
+@register(
+    "change_regions", "seq_id:i first_window:i end_window:i score:d",
+    f"""{_CHANGE_SQL},
+        counts AS (SELECT seq_id, list(n ORDER BY penalty) AS n, list(penalty ORDER BY penalty) AS penalty
+                   FROM (SELECT seq_id, penalty, count(*) AS n FROM part GROUP BY seq_id, penalty HAVING count(*) > 1)
+                   GROUP BY seq_id),
+        bend AS (SELECT *, list_transform(range(0, len(n)), lambda k:
+                   (len(n) - 1 - k) * (n[1] - n[-1]) - (n[k + 1] - n[-1]) * (len(n) - 1)) AS below FROM counts),
+        chosen AS (SELECT seq_id, penalty[CASE WHEN len(n) > 2 AND list_max(below) > 0
+                     THEN list_position(below, list_max(below)) ELSE 1 END] AS penalty FROM bend),
+        high AS (SELECT seq_id, first_window, end_window FROM part JOIN chosen USING (seq_id, penalty)
+                 JOIN seen USING (seq_id) WHERE window_idx >= first_window AND window_idx < end_window
+                 GROUP BY ALL HAVING avg(x) > {_HIGH}),
+        island AS (SELECT *, sum(fresh) OVER (PARTITION BY seq_id ORDER BY first_window) AS i FROM (
+                     SELECT *, CASE WHEN lag(end_window) OVER (PARTITION BY seq_id ORDER BY first_window) = first_window
+                       THEN 0 ELSE 1 END AS fresh FROM high)),
+        merged AS (SELECT seq_id, min(first_window) AS first_window, max(end_window) AS end_window FROM island GROUP BY seq_id, i)
+        SELECT seq_id, first_window, end_window, avg(x) AS score FROM merged JOIN seen USING (seq_id)
+        WHERE window_idx >= first_window AND window_idx < end_window GROUP BY ALL""",
+    "track",
+)
+def _(spark, d):
+    return segment_by_changes(_rounded_track(spark, d), "eukarya", _HIGH, [0.5, 1, 3], chunk=64)
+
+
 def placed(spark, d):
     lengths = sequences(spark, d).select("seq_id", F.length("seq").alias("seq_len"))
     return region_coordinates(_regions(spark, d).join(lengths, "seq_id"), SIZE, STRIDE)
