@@ -551,14 +551,52 @@ def _(spark, d):
     return random_tiling(sequences(spark, d), 300, 300, 50, 0.25, seed=3)
 
 
-@register("coverage_fragments", "seq_id:i draw:i start:i length:i fragment:s")
+def _coverage_sql(coverage: float, circular: bool) -> str:
+    """Draws of 200 to 600 letters among the places with at most half N, by rank."""
+    text = "seq || left(seq, 600)" if circular else "seq"
+    starts = "len" if circular else "greatest(len - length + 1, 0)"
+    admissible = (
+        f"list_filter(range(0, {starts}), lambda i: "
+        "held[(i + length + 1)::BIGINT] - held[(i + 1)::BIGINT] <= length * 0.5::DOUBLE)"
+    )
+    return f"""WITH source AS (
+           SELECT seq_id, length(seq) AS len, {text} AS text, {md5_hash('seq_id', seed=4)} AS h FROM seqs WHERE length(seq) >= 200),
+         held AS (SELECT seq_id, len, text, list(n ORDER BY i) AS held FROM (
+             SELECT seq_id, len, text, i, coalesce(sum(CASE WHEN substr(text, i, 1) = 'N' THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY seq_id ORDER BY i), 0) AS n
+             FROM (SELECT *, unnest(range(0, length(text) + 1)) AS i FROM source)) GROUP BY ALL),
+         draws AS (SELECT *, least(200 + one % 401, len) AS length FROM (
+             SELECT *, {at_sql('h', 'draw * 2')} AS one, {at_sql('h', 'draw * 2 + 1')} AS two FROM (
+               SELECT seq_id, len, h, unnest(range(1, ceil(len * {coverage}::DOUBLE / 200)::BIGINT + 1)) AS draw FROM source))),
+         drawn AS (SELECT DISTINCT seq_id, length FROM draws),
+         first AS (SELECT seq_id, length, {admissible} AS starts FROM drawn JOIN held USING (seq_id)),
+         barren AS (SELECT DISTINCT seq_id FROM first WHERE len(starts) = 0),
+         other AS (SELECT seq_id, length, {admissible} AS starts FROM (
+             SELECT seq_id, len, held, unnest(range(200, least(600, len) + 1)) AS length FROM held JOIN barren USING (seq_id))),
+         place AS (SELECT * FROM first UNION SELECT * FROM other),
+         listed AS (SELECT seq_id, list(length ORDER BY length) AS lengths FROM other WHERE len(starts) > 0 GROUP BY seq_id),
+         final AS (SELECT seq_id, d.len, draw, two, CASE WHEN len(starts) > 0 THEN d.length ELSE lengths[one % len(lengths) + 1] END AS length
+                   FROM draws d JOIN place USING (seq_id, length) LEFT JOIN listed USING (seq_id)),
+         kept AS (SELECT * FROM (SELECT *, coalesce(sum(length) OVER (PARTITION BY seq_id ORDER BY draw
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM final WHERE length IS NOT NULL)
+                  WHERE before < len * {coverage}::DOUBLE)
+       SELECT seq_id, draw, start, length, substr(text, (start + 1)::BIGINT, length::BIGINT) AS fragment
+       FROM (SELECT seq_id, draw, length, starts[two % len(starts) + 1] AS start FROM kept JOIN place USING (seq_id, length))
+       JOIN source USING (seq_id)"""
+
+
+@register(
+    "coverage_fragments", "seq_id:i draw:i start:i length:i fragment:s", _coverage_sql(1.5, False), "seqs"
+)
 def _(spark, d):
-    return coverage_sampling(sequences(spark, d), 200, 600, 1.5, max_n=0.5, seed=4, strict=False)
+    return coverage_sampling(sequences(spark, d), 200, 600, 1.5, max_n=0.5, seed=4)
 
 
-@register("circular_fragments", "seq_id:i draw:i start:i length:i fragment:s")
+@register(
+    "circular_fragments", "seq_id:i draw:i start:i length:i fragment:s", _coverage_sql(1.0, True), "seqs"
+)
 def _(spark, d):
-    return coverage_sampling(sequences(spark, d), 200, 600, 1.0, True, max_n=0.5, seed=4, strict=False)
+    return coverage_sampling(sequences(spark, d), 200, 600, 1.0, True, max_n=0.5, seed=4)
 
 
 @register(

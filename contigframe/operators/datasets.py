@@ -6,8 +6,10 @@ Random order is the order of a row hash. Exact sizes come from ranks within hash
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,6 @@ from .ranks import bucket_bits, hash_bucket, rank_rows
 from .skew import salted_join, with_single
 from .windows import MIN_BLOCK, blocks
 
-MOST_DRAWS = 64
-
-
 def hash_rank(
     df: DataFrame, keys: Sequence[str], key: str, seed: int, out: str = "rank"
 ) -> DataFrame:
@@ -229,65 +228,111 @@ def random_tiling(
     return texts.where(share(count_of("fragment", "N"), F.col("length")) <= max_n)
 
 
+def _starts(block: str, lengths: Sequence[int], begin: int, last: Sequence[int], width: int, max_n: float) -> list[np.ndarray]:
+    """For each length, the starts in a block at which a fragment holds few enough N."""
+    held = np.concatenate([[0], np.cumsum(np.frombuffer(block.encode("ascii", "replace"), np.uint8) == ord("N"))])
+    out = []
+    for length, end in zip(lengths, last, strict=True):
+        n = max(0, min(width, end - begin + 1, len(held) - length))
+        out.append(np.flatnonzero(held[length : length + n] - held[:n] <= length * max_n))
+    return out
+
+
+def _counted_places(source: DataFrame, wanted: DataFrame, key: str, max_len: int, circular: bool, max_n: float) -> DataFrame:
+    """``key, length, block_start, n``: the admissible starts of each block and wanted length.
+
+    ``source`` has ``key, _len, seq``; ``wanted`` has ``key, length``, at most one row per length
+    between the shortest and the longest.
+    """
+    width = max(MIN_BLOCK, 4 * max_len)
+    kind = source.schema[key].dataType.simpleString()
+    lists = wanted.groupBy(key).agg(F.array_sort(F.collect_set("length")).alias("_lengths"))
+    texts = blocks(source.join(lists, key), "seq", max_len, width)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = []
+            for r in rows.itertuples(index=False):
+                last = [r[1] - (1 if circular else n) for n in r[2]]
+                found.append([len(x) for x in _starts(r[4], r[2], r[3], last, width, max_n)])
+            yield pd.DataFrame({"_key": rows[key], "_lengths": rows["_lengths"], "block_start": rows["block_start"], "_n": found})
+
+    schema = f"_key {kind}, _lengths array<int>, block_start int, _n array<int>"
+    counted = texts.select(key, "_len", "_lengths", "block_start", "block").mapInPandas(count, schema)
+    each = counted.select(F.col("_key").alias(key), "block_start", F.explode(F.arrays_zip("_lengths", "_n")).alias("_c"))
+    return each.select(key, F.col("_c._lengths").alias("length"), "block_start", F.col("_c._n").alias("n")).where("n > 0")
+
+
 def coverage_sampling(
     df: DataFrame, min_len: int, max_len: int, coverage: float, circular: bool = False,
-    max_n: float = 0.3, seed: int = 0, tries: int = 4, strict: bool = True, key: str = "seq_id", seq: str = "seq",
+    max_n: float = 0.3, seed: int = 0, key: str = "seq_id", seq: str = "seq",
 ) -> DataFrame:
-    """Random fragments of each sequence until the kept bases reach ``coverage`` times it.
-
-    Candidates for ``tries`` times the target are drawn first; sequences that stay short, since
-    many of their candidates exceed the N limit, get twice as many again until all have enough.
-    One still short after ``MOST_DRAWS`` times the first number, which has next to no place within
-    the limit, is an error if ``strict``, else it keeps what was found. Sequences below
-    ``min_len`` have no fragments.
+    """Random fragments of each sequence until their bases reach ``coverage`` times it.
+
+    Every fragment is drawn among the admissible places of its length, those with a share of N
+    of at most ``max_n``: places are counted per block, the counts are summed along the
+    sequence, and the j-th place is found by its block and then inside it. A length without any
+    place is replaced by one that has some, drawn among all of them; so a sequence with a single
+    admissible place reaches its target. One without any, or shorter than ``min_len``, has no
+    fragments.
     """
     if min_len <= 0 or max_len < min_len:
         raise ValueError("0 < min_len <= max_len is needed")
+    width = max(MIN_BLOCK, 4 * max_len)
     text = F.concat(F.col(seq), F.left(F.col(seq), F.lit(max_len))) if circular else F.col(seq)
-    source = df.select(key, text.alias(seq))
-    short = (
-        df.select(key, F.length(seq).alias("_len"), row_hash(key, seed=seed).alias("_h"))
-        .where(F.col("_len") >= min_len)
-        .withColumn("_target", F.col("_len") * coverage)
-        .withColumn("_draws", F.ceil(F.col("_target") / min_len) * tries)
+    source = df.where(F.length(seq) >= min_len).select(key, F.length(seq).alias("_len"), text.alias("seq"))
+    lengths = source.select(key, "_len", row_hash(key, seed=seed).alias("_h")).withColumn("_target", F.col("_len") * coverage)
+    number = F.ceil(F.col("_target") / min_len)
+    draws = (
+        lengths.withColumn("draw", F.explode(F.when(number > 0, F.sequence(F.lit(1), number.cast("int")))))
+        .withColumn("_one", at(F.col("_h"), F.col("draw") * 2))
+        .withColumn("_two", at(F.col("_h"), F.col("draw") * 2 + 1))
+        .withColumn("length", F.least(between(F.col("_one"), min_len, max_len), "_len"))
+        .drop("_h")
     )
-    lengths = short.select(key, "_target")
-    room = F.col("_len") - (F.lit(0) if circular else F.col("length"))
-    last = F.greatest(room - (1 if circular else 0), F.lit(0)).cast("int")
-    good, done, until = None, 0, 1
-    while True:
-        numbers = F.sequence(F.col("_draws") * done + 1, F.col("_draws") * until)
-        spans = (
-            short.withColumn("draw", F.explode(F.when(F.col("_draws") > 0, numbers)))
-            .withColumn("length", between(at(F.col("_h"), F.col("draw") * 2), min_len, max_len))
-            .withColumn("length", F.least("length", "_len"))
-            .withColumn("start", between(at(F.col("_h"), F.col("draw") * 2 + 1), 0, last))
-            .select(key, "draw", "start", "length")
-        )
-        checked = cut_spans(source.join(short.select(key), key, "left_semi"), spans, key, max_len, seq)
-        fine = cut(
-            checked.where(count_of("fragment", "N") <= F.col("length") * max_n).select(
-                key, "draw", "start", "length"
-            )
-        )
-        good = fine if good is None else good.unionByName(fine)
-        reached = good.groupBy(key).agg(F.sum("length").alias("_sum"))
-        short = cut(
-            short.join(reached, key, "left")
-            .where(F.coalesce("_sum", F.lit(0)) < F.col("_target"))
-            .drop("_sum")
-        )
-        if short.isEmpty():
-            break
-        if until >= MOST_DRAWS and not strict:
-            break
-        if until >= MOST_DRAWS:
-            raise ValueError(f"some sequences have too few fragments within the N limit: {short.first()[0]}")
-        done, until = until, until * 2
-    summed = running(good, [key], "draw", {"_before": ("sum", "length")}, inclusive=False)
-    kept = (
-        summed.join(lengths, key)
-        .where(F.coalesce("_before", F.lit(0)) < F.col("_target"))
-        .select(key, "draw", "start", "length")
+    places = cut(_counted_places(source, draws.select(key, "length"), key, max_len, circular, max_n))
+    sums = places.groupBy(key, "length").agg(F.sum("n").alias("_places"))
+    draws = cut(draws.join(sums, [key, "length"], "left"))
+    # Lengths without a place, where there are any: all lengths of those sequences are counted.
+    barren = draws.where("_places IS NULL").select(key, "_len").distinct()
+    every = barren.select(key, F.explode(F.sequence(F.lit(min_len), F.least(F.lit(max_len), "_len"))).alias("length"))
+    more = cut(_counted_places(source, every, key, max_len, circular, max_n))
+    listed = more.groupBy(key, "length").agg(F.sum("n").alias("_places")).groupBy(key)
+    listed = listed.agg(F.array_sort(F.collect_list(F.struct("length", "_places"))).alias("_listed"))
+    pick = F.get("_listed", F.pmod("_one", F.size("_listed")).cast("int"))
+    again = draws.where("_places IS NULL").join(listed, key).select(
+        *[{"length": pick["length"], "_places": pick["_places"]}.get(c, F.col(c)).alias(c) for c in draws.columns]
     )
-    return cut_spans(source, kept, key, max_len, seq)
+    drawn = draws.where("_places IS NOT NULL").unionByName(again)
+    summed = running(drawn, [key], "draw", {"_before": ("sum", "length")}, inclusive=False)
+    kept = summed.where(F.coalesce("_before", F.lit(0)) < F.col("_target"))
+    kept = cut(kept.select(key, "draw", "length", F.pmod("_two", F.col("_places")).alias("_at")))
+    # The block of the j-th place: the last one that has fewer places before it.
+    places = places.unionByName(more).distinct()
+    before = running(places, [key, "length"], "block_start", {"_at": ("sum", "n")}, inclusive=False)
+    mark = F.struct("block_start", F.coalesce("_at", F.lit(0)).alias("_at"))
+    marks = before.select(key, "length", F.coalesce("_at", F.lit(0)).alias("_at"), F.lit(0).alias("draw"), mark.alias("_mark"))
+    asked = kept.withColumn("_mark", F.lit(None).cast(marks.schema["_mark"].dataType))
+    met = running(marks.unionByName(asked), [key, "length"], "_at", {"_block": ("max", "_mark")}, width, tie=["draw"])
+    found = met.where("draw > 0").select(
+        key, F.col("_block.block_start").alias("_begin"),
+        F.struct("draw", "length", (F.col("_at") - F.col("_block._at")).alias("nth")).alias("_draw"),
+    )
+    per_block = found.groupBy(key, "_begin").agg(F.array_sort(F.collect_list("_draw")).alias("_draws"))
+    texts = blocks(source, "seq", max_len, width)
+    kind = source.schema[key].dataType.simpleString()
+
+    def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                own = sorted({d["length"] for d in r[4]})
+                last = [r[1] - (1 if circular else n) for n in own]
+                starts = dict(zip(own, _starts(r[3], own, r[2], last, width, max_n), strict=True))
+                for d in r[4]:
+                    s = int(starts[d["length"]][d["nth"]])
+                    out.append((r[0], d["draw"], r[2] + s, d["length"], r[3][s : s + d["length"]]))
+            yield pd.DataFrame(out, columns=["_key", "draw", "start", "length", "fragment"])
+
+    chosen = texts.withColumnRenamed("block_start", "_begin").join(per_block, [key, "_begin"]).select(key, "_len", "_begin", "block", "_draws")
+    return chosen.mapInPandas(select, f"_key {kind}, draw int, start int, length int, fragment string").withColumnRenamed("_key", key)

@@ -32,10 +32,23 @@ def test_coverage_is_reached_between_many_n(spark):
     assert all(r["fragment"].count("N") <= 0.3 * len(r["fragment"]) for r in got)
 
 
-def test_coverage_without_any_fragment_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(datasets, "MOST_DRAWS", 4)
-    with pytest.raises(ValueError, match="too few fragments"):
-        datasets.coverage_sampling(spark.createDataFrame([("a", "N" * 500)], "seq_id string, seq string"), 50, 100, 1.0)
+@pytest.mark.parametrize("circular", [False, True])
+def test_coverage_with_few_places(spark, circular):
+    """One place of one length, a place in a far block, lengths without a place, and none at all."""
+    one = "N" * 60 + "A" * 50 + "N" * 60
+    far = "N" * 30_000 + "ACGT" * 30
+    rows = [("one", one), ("far", far), ("none", "N" * 500), ("short", "ACGT"), ("exact", "A" * 50), (None, "ACGT" * 20)]
+    df = spark.createDataFrame(rows, "seq_id string, seq string").where("seq_id IS NOT NULL")
+    got = datasets.coverage_sampling(df, 50, 100, 1.0, circular, max_n=0.0, seed=3).collect()
+    text = dict(rows)
+    total = {k: sum(r.length for r in got if r.seq_id == k) for k, _ in rows}
+    assert total["none"] == total["short"] == 0 and total["exact"] == 50
+    assert 30_120 <= total["far"] < 30_220 and 170 <= total["one"] < 220
+    for r in got:
+        whole = text[r.seq_id] * (2 if circular else 1)
+        assert r.fragment == whole[r.start : r.start + r.length] and "N" not in r.fragment
+        assert 50 <= r.length <= 100 and (r.seq_id != "one" or (r.start, r.length) == (60, 50))
+    assert len({(r.start, r.length) for r in got if r.seq_id == "far"}) > 100
 
 
 def test_refining_without_limits_is_an_error(spark):
