@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.constants import CLASSES
 from ..operators import dedup, validate
+from ..operators.lineage import shared_folder
 from ..operators.regions import orf_intervals, snap_boundaries
 from ..operators.repeats import att_sites, terminal_repeats
 from ..operators.summary import add_repeats, contig_summary
@@ -14,11 +17,11 @@ from ..operators.taxonomy import (
     attach_taxid,
     lineage_string,
     majority_lca,
-    nearest_vectors,
     resolve_merged,
 )
+from ..operators.vector_index import nearest_vectors
 from ..operators.windows import fragments_tail_aligned
-from ..plans.contigs import assign_taxa, evaluate_sample
+from ..plans.contigs import assign_taxa, build_taxonomy, evaluate_sample, predict_taxa
 from ..sources.results import pair_samples
 from ..sources.tables import read_table
 from .base import (
@@ -468,9 +471,7 @@ def _(spark, d):
     return nearest_vectors(queries, refs, 3, block=100)
 
 
-@register(
-    "taxa_of_contigs", "seq_id:i lca:i n_hits:i lineage:s",
-    """WITH h AS (SELECT query_id // 8 AS seq_id, 100 + taxid AS taxid FROM neighbours),
+_TAXA_SQL = """WITH h AS (SELECT query_id // 8 AS seq_id, 100 + taxid AS taxid FROM neighbours),
             v AS (SELECT seq_id, ancestor, count(*) AS votes,
                     (SELECT count(*) FROM h x WHERE x.seq_id = h.seq_id) AS n_hits
                   FROM h JOIN closure c ON c.taxid = h.taxid GROUP BY seq_id, ancestor),
@@ -483,9 +484,10 @@ def _(spark, d):
                       THEN 'g' ELSE 's' END || '__' || name, ';' ORDER BY distance DESC) AS lineage
                     FROM closure c JOIN nodes n ON n.taxid = ancestor WHERE rank <> 'no rank'
                     GROUP BY c.taxid)
-       SELECT seq_id, lca, n_hits, lineage FROM best LEFT JOIN lin ON lin.taxid = lca""",
-    "neighbours closure",
-)
+       SELECT seq_id, lca, n_hits, lineage FROM best LEFT JOIN lin ON lin.taxid = lca"""
+
+
+@register("taxa_of_contigs", "seq_id:i lca:i n_hits:i lineage:s", _TAXA_SQL, "neighbours closure")
 def _(spark, d):
     queries, refs = _vectors(spark, d)
     nodes = _nodes(spark, d)
@@ -495,6 +497,19 @@ def _(spark, d):
     return assign_taxa(contigs, taxa, ancestors(nodes), nodes, names, 3, 0.25)
 
 
+@register("predicted_taxa", "seq_id:i lca:i n_hits:i lineage:s", _TAXA_SQL, "neighbours closure")
+def _(spark, d):
+    """The taxonomy is built on disk and opened again."""
+    queries, refs = _vectors(spark, d)
+    nodes = _nodes(spark, d)
+    windows = refs.select("vec_id", F.col("taxid").cast("string").alias("accession"), "embedding")
+    accessions = refs.select(F.col("taxid").cast("string").alias("accession"), (F.col("taxid") + 100).cast("bigint").alias("taxid")).distinct()
+    path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/taxonomy-{uuid.uuid4().hex}"
+    build_taxonomy(windows, accessions, nodes, nodes.select("taxid", "name"), path, "signs", "1", cell_rows=100)
+    contigs = queries.withColumn("seq_id", F.floor(F.col("query_id") / 8))
+    return predict_taxa(contigs, path, "signs", "1", 3, 0.25)
+
+
 # ---- near duplicates ------------------------------------------------------------------------
 
 _K, _IDENTITY, _COVERAGE = 6, 0.6, 0.6

@@ -1,96 +1,14 @@
-"""Nearest reference vectors and majority votes on a taxonomy."""
+"""Majority votes and lineages on a taxonomy."""
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import RANK_PREFIX
-from ..functions.scores import l2_normalize
 from .lineage import cut
 from .skew import salted_join
 
-BLOCK = 1 << 13
-
-
-def normalized(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    return df.withColumn(vector, l2_normalize(F.col(vector).cast("array<double>")))
-
-
-def _best_in_block(refs: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    cols = ["query_id", "vec_id", "taxid", "similarity"]
-    if refs.empty or queries.empty:
-        return pd.DataFrame(columns=cols)
-    refs = refs.sort_values("vec_id")
-    sims = np.stack(queries["embedding"].to_list()) @ np.stack(refs["embedding"].to_list()).T
-    top = min(k, sims.shape[1])
-    # A stable sort of the negated values keeps the lower id on a tie.
-    order = np.argsort(-sims, axis=1, kind="stable")[:, :top]
-    rows = np.repeat(np.arange(len(queries)), top)
-    hits = order.ravel()
-    return pd.DataFrame(
-        {
-            "query_id": queries["query_id"].to_numpy()[rows],
-            "vec_id": refs["vec_id"].to_numpy()[hits],
-            "taxid": refs["taxid"].to_numpy()[hits],
-            "similarity": sims[rows, hits],
-        }
-    )
-
-
-def block_count(df: DataFrame, block: int) -> int:
-    return max(1, -(-df.count() // block))
-
-
-def nearest_vectors(
-    queries: DataFrame, refs: DataFrame, k: int = 1, block: int = BLOCK
-) -> DataFrame:
-    """Exact cosine neighbours: ``query_id, vec_id, taxid, similarity, rank``.
-
-    Both sides are hashed into blocks of about ``block`` vectors; each pair of blocks is one
-    task that multiplies two matrices and returns k rows per query, so neither side is ever
-    whole anywhere and pairs are never rows. ``queries``: query_id, embedding; ``refs``: vec_id,
-    taxid, embedding.
-    """
-    n_ref, n_query = block_count(refs, block), block_count(queries, block)
-    left = normalized(refs.select("vec_id", "taxid", "embedding")).select(
-        "*",
-        F.pmod(F.xxhash64("vec_id"), F.lit(n_ref)).cast("int").alias("_rb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("_qb"),
-    )
-    right = normalized(queries.select("query_id", "embedding")).select(
-        "*",
-        F.pmod(F.xxhash64("query_id"), F.lit(n_query)).cast("int").alias("_qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_ref - 1))).alias("_rb"),
-    )
-    types = dict(refs.dtypes) | dict(queries.dtypes)
-    found = (
-        left.groupBy("_rb", "_qb")
-        .cogroup(right.groupBy("_rb", "_qb"))
-        .applyInPandas(
-            lambda a, b: _best_in_block(a, b, k),
-            f"query_id {types['query_id']}, vec_id {types['vec_id']}, taxid {types['taxid']}, "
-            "similarity double",
-        )
-    )
-    # At most k rows per block of references reach the final choice.
-    best = found.groupBy("query_id").agg(
-        F.slice(
-            F.array_sort(
-                F.collect_list(F.struct((-F.col("similarity")).alias("d"), "vec_id", "taxid"))
-            ),
-            1,
-            k,
-        ).alias("_hits")
-    )
-    return best.select("query_id", F.posexplode("_hits").alias("_at", "_hit")).select(
-        "query_id", "_hit.vec_id", "_hit.taxid", (-F.col("_hit.d")).alias("similarity"),
-        (F.col("_at") + 1).alias("rank"),
-    )
-
 
 def resolve_merged(df: DataFrame, merged: DataFrame, taxid: str = "taxid") -> DataFrame:
     """Replace ids that have been merged into others."""

@@ -28,7 +28,8 @@ from ..operators.summary import (
     contig_summary,
     drop_ambiguous,
 )
-from ..operators.taxonomy import lineage_string, majority_lca, nearest_vectors
+from ..operators.taxonomy import ancestors, attach_taxid, lineage_string, majority_lca, resolve_merged
+from ..operators.vector_index import CELL_ROWS, build_index, nearest_in_index, nearest_vectors, open_index
 from ..operators.windows import make_windows
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -118,12 +119,44 @@ def assign_taxa(
 ) -> DataFrame:
     """Taxon and lineage per contig. ``windows``: seq_id, query_id, embedding."""
     found = nearest_vectors(windows.select("query_id", "embedding"), refs, k)
+    return _voted(found, windows, closure, nodes, names, fraction)
+
+
+def _voted(
+    found: DataFrame, windows: DataFrame, closure: DataFrame, nodes: DataFrame, names: DataFrame, fraction: float
+) -> DataFrame:
     hits = found.join(windows.select("query_id", "seq_id"), "query_id")
     calls = majority_lca(hits.select("seq_id", "taxid"), closure, "seq_id", fraction)
     lineages = lineage_string(calls.select(F.col("lca").alias("taxid")), closure, nodes, names)
     return calls.join(lineages.withColumnRenamed("taxid", "lca"), "lca", "left")
 
 
+def build_taxonomy(
+    windows: DataFrame, accessions: DataFrame, nodes: DataFrame, names: DataFrame, path: str,
+    model: str, version: str, merged: DataFrame | None = None, cell_rows: int = CELL_ROWS,
+) -> None:
+    """Write reference vectors with their taxa, the tree and the names to a new folder ``path``.
+
+    ``windows``: vec_id, accession, embedding; windows of an accession without a taxon are left out.
+    Taxa merged into others are resolved by ``merged`` (old, new).
+    """
+    placed = attach_taxid(windows, accessions, "accession").where("taxid IS NOT NULL")
+    if merged is not None:
+        placed = resolve_merged(placed, merged)
+    build_index(placed, f"{path}/index", model, version, cell_rows)
+    nodes.select("taxid", "parent", "rank").write.parquet(f"{path}/nodes")
+    names.select("taxid", "name").write.parquet(f"{path}/names")
+    ancestors(nodes).write.parquet(f"{path}/ancestors")
+
+
+def predict_taxa(windows: DataFrame, path: str, model: str, version: str, k: int = 1, fraction: float = 0.6) -> DataFrame:
+    """``assign_taxa`` from what ``build_taxonomy`` wrote; another model or version is refused."""
+    spark = windows.sparkSession
+    found = nearest_in_index(windows.select("query_id", "embedding"), open_index(spark, f"{path}/index", model, version), k)
+    nodes, names, closure = (spark.read.parquet(f"{path}/{t}") for t in ("nodes", "names", "ancestors"))
+    return _voted(found, windows, closure, nodes, names, fraction)
+
+
 def evaluate_sample(
     predictions: DataFrame, truth: DataFrame, cutoff: float = 0.0
 ) -> dict[str, DataFrame]:

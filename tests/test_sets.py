@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contigframe.functions.picks import row_hash
 from contigframe.operators import datasets as D
-from contigframe.operators import dedup, perturb, repeats, taxonomy
+from contigframe.operators import dedup, perturb, repeats, taxonomy, vector_index
 from contigframe.plans.training import encode_dataset
 from contigframe.sources import encoded, results, sequences
 
@@ -300,7 +300,7 @@ def test_nearest_vectors(spark, block):
                               "vec_id long, taxid int, embedding array<float>")
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)],
                               "query_id long, embedding array<float>")
-    got = taxonomy.nearest_vectors(q, r, 4, block).collect()
+    got = vector_index.nearest_vectors(q, r, 4, block).collect()
     a = refs.astype("f4").astype(float)
     b = queries.astype("f4").astype(float)
     sims = (b / np.linalg.norm(b, axis=1)[:, None]) @ (a / np.linalg.norm(a, axis=1)[:, None]).T
