@@ -4,7 +4,7 @@ The best class path is found by dynamic programming along the windows. Windows a
 chunks of fixed length, so that a contig of any number of windows is decoded by many tasks:
 
 1. per chunk, the best score from every entry class to every exit class (one small matrix);
-2. per contig, the best class at every chunk border, from the matrices alone;
+2. the best class at every chunk border, from the matrices alone, by a tree of their products;
 3. per chunk, the path between its two border classes.
 
 A contig that fits in one chunk only takes the last step.
@@ -25,8 +25,11 @@ from ..functions.constants import (
     DEAR_PAIRS,
     DEAR_SWITCH,
 )
+from .lineage import cut
 
 CHUNK = 1 << 12
+#: Chunk matrices that one task multiplies at a time.
+RUN = 64
 PADDED_SCORES = 1 << 20
 
 
@@ -92,23 +95,62 @@ def _transfer(batches: Iterator[pd.DataFrame], costs: np.ndarray) -> Iterator[pd
         yield batch.drop(columns="windows").assign(matrix=list(best.reshape(len(batch), c * c)))
 
 
+def _product(rows: pd.DataFrame, classes: int) -> pd.DataFrame:
+    """The (max, +) product of the matrices of consecutive chunks, as one longer chunk."""
+    rows = rows.sort_values("_chunk")
+    mats = [np.asarray(m).reshape(classes, classes) for m in rows["matrix"]]
+    whole = mats[0]
+    for m in mats[1:]:
+        whole = (whole[:, :, None] + m[None]).max(axis=1)
+    return rows[:1].assign(_chunk=rows["_up"].iloc[0], matrix=[whole.ravel()]).drop(columns="_up")
+
+
 def _borders(rows: pd.DataFrame, classes: int) -> pd.DataFrame:
-    """Exit class of every chunk of one contig, from the chunk matrices alone."""
+    """Exit class of every chunk of a run of chunks, from the chunk matrices alone.
+
+    The run is entered by class ``_entry`` (-1 at the start of a contig) and left by class ``_exit``
+    (-1 for the best one).
+    """
     rows = rows.sort_values("_chunk")
     mats = [np.asarray(m).reshape(classes, classes) for m in rows["matrix"]]
-    score = mats[0][0]
+    entry, exit_ = int(rows["_entry"].iloc[0]), int(rows["_exit"].iloc[0])
+    score = mats[0][max(entry, 0)]  # the first chunk of a contig has equal rows
     back = []
     for m in mats[1:]:
         through = score[:, None] + m
         back.append(through.argmax(axis=0))
         score = through.max(axis=0)
-    exits = [int(score.argmax())]
+    exits = [int(score.argmax()) if exit_ < 0 else exit_]
     for pointers in reversed(back):
         exits.append(int(pointers[exits[-1]]))
     exits.reverse()
-    return rows.drop(columns="matrix").assign(
-        exit_class=exits, entry_class=[-1, *exits[:-1]]
-    )
+    return rows.drop(columns=["matrix", "_up", "_entry", "_exit"]).assign(exit_class=exits, entry_class=[entry, *exits[:-1]])
+
+
+def _border_classes(moved: DataFrame, classes: int, key: str, kind: str) -> DataFrame:
+    """``key, _chunk, exit_class, entry_class`` of all chunks of long contigs.
+
+    A tree of products: runs of ``RUN`` matrices are multiplied into one, level by level, until
+    a contig has a single run; then the classes at the borders are found from the top down. No group
+    holds more than ``RUN`` matrices. Where paths are equal, borders of a higher level choose first.
+    """
+    levels = [cut(moved)]
+    while (levels[-1].agg(F.max("_chunk").alias("m")).first()["m"] or 0) >= RUN:
+        runs = levels[-1].withColumn("_up", F.floor(F.col("_chunk") / RUN))
+        up = runs.groupBy(key, "_up").applyInPandas(lambda r: _product(r, classes), f"{key} {kind}, _chunk bigint, matrix array<double>")
+        levels.append(cut(up))
+    schema = f"{key} {kind}, _chunk bigint, exit_class int, entry_class int"
+    found = None
+    for level in reversed(levels):
+        runs = level.withColumn("_up", F.floor(F.col("_chunk") / RUN))
+        if found is None:
+            runs = runs.withColumns({"_entry": F.lit(-1), "_exit": F.lit(-1)})
+        else:
+            above = found.select(key, F.col("_chunk").alias("_up"), F.col("entry_class").alias("_entry"), F.col("exit_class").alias("_exit"))
+            runs = runs.join(above, [key, "_up"]).select(*runs.columns, "_entry", "_exit")
+        found = runs.groupBy(key, "_up").applyInPandas(lambda r: _borders(r, classes), schema)
+        found = cut(found) if level is not levels[0] else found
+    return found
 
 
 def _paths(batches: Iterator[pd.DataFrame], costs: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -163,10 +205,7 @@ def viterbi_labels(
         lambda it: _transfer(it, matrix), f"{key} {key_type}, _chunk bigint, matrix array<double>"
     )
     # One row of classes squared numbers per chunk: a few thousandths of the windows.
-    borders = moved.groupBy(key).applyInPandas(
-        lambda rows: _borders(rows, classes),
-        f"{key} {key_type}, _chunk bigint, exit_class int, entry_class int",
-    )
+    borders = _border_classes(moved, classes, key, key_type)
     either = packed.join(borders, [key, "_chunk"], "left").na.fill(
         -1, ["exit_class", "entry_class"]
     )

@@ -153,6 +153,27 @@ def test_joint_decoding_is_the_best_path(spark, chunk):
         assert mine == viterbi(zs, costs)
 
 
+@pytest.mark.parametrize("run", [3, 64])
+def test_joint_decoding_of_a_thousand_chunks(spark, monkeypatch, run):
+    """The tree of products gives the path of one pass over all windows, in runs of few matrices."""
+    monkeypatch.setattr(decode, "RUN", run)
+    costs = decode.transition_costs(["bacteria", "phage", "eukarya"], 0.7)
+    z = np.random.default_rng(3).normal(size=(3000, 3)) * 1.2
+    em = z - np.log(np.exp(z).sum(1, keepdims=True))
+    score, back = em[0], []
+    for e in em[1:]:
+        through = score[:, None] - np.asarray(costs)
+        back.append(through.argmax(axis=0))
+        score = through.max(axis=0) + e
+    path = [int(score.argmax())]
+    for pointers in reversed(back):
+        path.append(int(pointers[path[-1]]))
+    rows = [(7, i, v.tolist()) for i, v in enumerate(z)] + [(8, i, v.tolist()) for i, v in enumerate(z[:4])]
+    df = spark.createDataFrame(rows, "seq_id long, window_idx int, scores array<double>")
+    got = sorted((r.window_idx, r.decoded) for r in decode.viterbi_labels(df, costs, chunk=3).where("seq_id = 7").collect())
+    assert [c for _, c in got] == path[::-1]
+
+
 @pytest.mark.parametrize(
     "labels, cost, expected",
     [
