@@ -194,12 +194,24 @@ def cut_spans(
     )
 
 
+def _pair_shuffled(df: DataFrame, key: str, seq: str, seed: int) -> DataFrame:
+    """Written, since fragments are cut from it more than once."""
+    from .perturb import dinuc_shuffle  # which builds on this module
+
+    return cut(df.withColumn(seq, dinuc_shuffle(seq, row_hash(key, seed=seed))))
+
+
 def random_tiling(
     df: DataFrame, min_len: int, max_len: int, overlap: int = 0, max_n: float = 0.3,
-    seed: int = 0, key: str = "seq_id", seq: str = "seq",
+    seed: int = 0, shuffle: bool = False, key: str = "seq_id", seq: str = "seq",
 ) -> DataFrame:
     """Walk along each sequence in fragments of random length; the number of a fragment counts
-    dropped ones too. Dropped are those with too many N or shorter than ``min_len``."""
+    dropped ones too. Dropped are those with too many N or shorter than ``min_len``.
+
+    With ``shuffle``, sequences are shuffled first with their letter pairs kept.
+    """
+    if shuffle:
+        df = _pair_shuffled(df, key, seq, seed)
     if min_len <= 0 or max_len < min_len:
         raise ValueError("0 < min_len <= max_len is needed")
     if overlap >= min_len:
@@ -265,7 +277,7 @@ def _counted_places(source: DataFrame, wanted: DataFrame, key: str, max_len: int
 
 def coverage_sampling(
     df: DataFrame, min_len: int, max_len: int, coverage: float, circular: bool = False,
-    max_n: float = 0.3, seed: int = 0, key: str = "seq_id", seq: str = "seq",
+    max_n: float = 0.3, seed: int = 0, shuffle: bool = False, key: str = "seq_id", seq: str = "seq",
 ) -> DataFrame:
     """Random fragments of each sequence until their bases reach ``coverage`` times it.
 
@@ -274,8 +286,10 @@ def coverage_sampling(
     sequence, and the j-th place is found by its block and then inside it. A length without any
     place is replaced by one that has some, drawn among all of them; so a sequence with a single
     admissible place reaches its target. One without any, or shorter than ``min_len``, has no
-    fragments.
+    fragments. With ``shuffle``, sequences are shuffled first with their letter pairs kept.
     """
+    if shuffle:
+        df = _pair_shuffled(df, key, seq, seed)
     if min_len <= 0 or max_len < min_len:
         raise ValueError("0 < min_len <= max_len is needed")
     width = max(MIN_BLOCK, 4 * max_len)

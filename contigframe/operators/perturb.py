@@ -26,48 +26,105 @@ BASES = "ACGT"
 
 
 def _by_hash(items: Column, hash_: Column) -> Column:
-    """The items of an array in the order of a hash of their position."""
+    """The items of a short array in the order of a hash of their position."""
     keyed = F.transform(items, lambda x, i: F.struct(at(hash_, i).alias("h"), i.alias("i"),
                                                      x.alias("x")))
     return F.transform(F.array_sort(keyed), lambda s: s["x"])
 
 
-def shuffle_bases(seq: Column | str, hash_: Column) -> Column:
-    return F.array_join(_by_hash(letters(seq), hash_), "")
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def _hashes_at(hash_: int, n: int) -> np.ndarray:
+    """``picks.at`` for positions 0 to n - 1."""
+    space = np.uint64((1 << 32) - 1)
+    x = (np.uint64(hash_) + np.arange(n, dtype=np.uint64) * np.uint64(2654435761)) & space
+    for _ in range(2):
+        x = (x * np.uint64(1664525) + np.uint64(1013904223)) & space
+        x ^= x >> np.uint64(15)
+    return x
+
+
+def _permuted(text: str | None, hash_: int, k: int) -> str | None:
+    if text is None:
+        return None
+    codes = _code_points(text)
+    whole = len(codes) // k
+    order = np.argsort(_hashes_at(hash_, whole), kind="stable")
+    return _text(np.concatenate([codes[: whole * k].reshape(whole, k)[order].ravel(), codes[whole * k :]]))
 
 
 def kmer_shuffle(seq: Column | str, hash_: Column, k: int) -> Column:
-    """Permute blocks of k letters; a short last block stays last."""
+    """Permute blocks of k letters by a hash of their position; a short last block stays last.
+
+    One array of numbers a sequence, whatever its length.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
-    seq = _col(seq)
-    whole = F.floor(F.length(seq) / k).cast("int")
-    blocks = F.regexp_extract_all(seq, F.lit("(?s).{%d}" % k), F.lit(0))
-    rest = piece(seq, whole * k, F.length(seq) - whole * k)
-    return F.concat(F.array_join(_by_hash(blocks, hash_), ""), rest)
+
+    @F.pandas_udf(StringType())
+    def permute(texts: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series([_permuted(t, int(h), k) for t, h in zip(texts, hashes, strict=True)], dtype=object)
+
+    return permute(_col(seq), hash_)
+
+
+def shuffle_bases(seq: Column | str, hash_: Column) -> Column:
+    return kmer_shuffle(seq, hash_, 1)
+
+
+def _doubled(n: int) -> range:
+    return range(max(1, (n - 1).bit_length()))
 
 
 def _pair_walk(text: str, seed: int) -> str:
-    codes = np.frombuffer(text.encode("ascii"), dtype=np.uint8)
-    if len(codes) < 3:
+    """Another order of the same letter pairs, found without walking from letter to letter.
+
+    A pair is an edge between its letters, and one more edge leads from the last letter back to the
+    first. Each edge into a letter is followed by an edge out of it, drawn at random; that gives
+    cycles. Cycles that meet at a letter become one by exchanging what follows there. Doubled
+    pointers give the cycle of every edge, and in the end its place on the only cycle left.
+    """
+    codes = _code_points(text)
+    n = len(codes)
+    if n < 3:
         return text
-    rng = np.random.default_rng(seed)
-    successors = {}
-    for letter in np.unique(codes[:-1]):
-        after = codes[1:][codes[:-1] == letter]
-        # The last exit of each letter is kept, so that the walk can always reach the end.
-        after[:-1] = rng.permutation(after[:-1])
-        successors[letter] = iter(after.tolist())
-    out = [int(codes[0])]
-    for _ in range(len(codes) - 1):
-        out.append(next(successors[out[-1]]))
-    return bytes(out).decode("ascii")
+    _, from_ = np.unique(codes, return_inverse=True)
+    to = np.roll(from_, -1)  # edge k leads from letter k to the one after; the last back to the first
+    into = np.argsort(to, kind="stable")
+    follow = np.empty(n, np.int64)
+    follow[into] = np.lexsort((_hashes_at(seed, n), from_))
+    cycle, step = np.arange(n), follow
+    for _ in _doubled(n):
+        cycle, step = np.minimum(cycle, cycle[step]), step[step]
+    _, cycle = np.unique(cycle, return_inverse=True)
+    merged = np.arange(cycle.max() + 1)
+    ends = np.searchsorted(to[into], np.arange(from_.max() + 2))
+    for letter in range(from_.max() + 1):
+        edges = into[ends[letter] : ends[letter + 1]]
+        met, first = np.unique(merged[cycle[edges]], return_index=True)
+        if len(met) > 1:
+            follow[edges[first]] = np.roll(follow[edges[first]], 1)
+            merged[np.isin(merged, met)] = met[0]
+    # Steps from each edge to the one that leads back.
+    ahead, step = np.ones(n, np.int64), follow.copy()
+    ahead[-1], step[-1] = 0, n - 1
+    for _ in _doubled(n):
+        ahead, step = ahead + ahead[step], step[step]
+    out = np.empty(n, codes.dtype)
+    out[n - 1 - ahead] = codes
+    return _text(out)
 
 
 @F.pandas_udf(StringType())
 def dinuc_shuffle(seq: pd.Series, hash_: pd.Series) -> pd.Series:
     """Random sequence with the same letter pairs and the same first and last letter."""
-    return pd.Series([_pair_walk(s, int(h)) for s, h in zip(seq, hash_)])
+    return pd.Series([None if s is None else _pair_walk(s, int(h)) for s, h in zip(seq, hash_, strict=True)], dtype=object)
 
 
 def repeat_window(seq: Column | str, hash_: Column, fraction: float = 0.25) -> Column:

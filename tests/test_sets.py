@@ -98,6 +98,31 @@ def test_shuffles_keep_their_counts(spark):
         perturb.kmer_shuffle("seq", F.lit(1), 0)
 
 
+def test_pair_shuffle_of_a_whole_contig(spark):
+    """Two million letters, the same under any partitioning; few places keep their letter."""
+    text = "".join(np.random.default_rng(1).choice(list("ACGTN"), p=[0.4, 0.3, 0.2, 0.09, 0.01], size=2_000_000))
+    got = {n: altered(spark, [(k, t) for k, t in enumerate((text, "AC" * 500 + "GT" * 500, "A" * 1000, "", "é日A日é", None))],
+                      lambda s, h, n=n: perturb.dinuc_shuffle(s, h)) for n in (1, 8)}
+    assert got[1] == got[8] and got[1][5] is None and got[1][3] == "" and got[1][2] == "A" * 1000
+    for k, t in ((0, text), (1, "AC" * 500 + "GT" * 500), (4, "é日A日é")):
+        one, two = (np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.uint64) for x in (t, got[1][k]))
+        assert one[0] == two[0] and one[-1] == two[-1]
+        pairs = [np.unique(x[:-1] << np.uint64(32) | x[1:], return_counts=True) for x in (one, two)]
+        assert all((a == b).all() for a, b in zip(*pairs, strict=True))
+        if k == 0:
+            assert (one == two).mean() < 0.35
+
+
+def test_shuffled_fragments(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, dna(rng, 4000)) for i in range(3)], "seq_id long, seq string")
+    plain, mixed = (D.coverage_sampling(df, 100, 200, 0.5, seed=2, shuffle=s).collect() for s in (False, True))
+    assert [(r.seq_id, r.start, r.length) for r in sorted(plain)] == [(r.seq_id, r.start, r.length) for r in sorted(mixed)]
+    assert {r.fragment for r in plain}.isdisjoint(r.fragment for r in mixed)
+    tiles = D.random_tiling(df, 100, 100, seed=2, shuffle=True).collect()
+    assert len(tiles) == 120 and all(len(r.fragment) == 100 for r in tiles)
+
+
 def test_windows_of_repeats_keep_the_length(spark):
     rng = random.Random(4)
     rows = [(i, dna(rng, n)) for i, n in enumerate([1, 2, 7, 100, 333])]
