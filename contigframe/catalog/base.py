@@ -128,7 +128,7 @@ def sequences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, folder: str) -> DataFrame:
-    return make_windows(sequences(spark, folder), SIZE, STRIDE, min_len=MIN_LEN)
+    return make_windows(sequences(spark, folder), SIZE, STRIDE, min_len=MIN_LEN, mask=False)
 
 
 def scorer() -> Scorer:
@@ -136,7 +136,7 @@ def scorer() -> Scorer:
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    return score_sequences(sequences(spark, folder), scorer(), SIZE, STRIDE, MIN_LEN)
+    return score_sequences(sequences(spark, folder), scorer(), SIZE, STRIDE, MIN_LEN, mask=False)
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:

@@ -402,7 +402,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = W.make_windows(
-        sequences(spark, d), 200, 200, min_len=60, dynamic=True, threshold=10.0, counts=False
+        sequences(spark, d), 200, 200, min_len=60, dynamic=True, threshold=10.0, counts=False, mask=False
     )
     return rows.groupBy("seq_id").agg(F.array_sort(F.collect_list("start")).alias("starts"))
 
@@ -599,25 +599,30 @@ def _(spark, d):
     return coverage_sampling(sequences(spark, d), 200, 600, 1.0, True, max_n=0.5, seed=4)
 
 
-@register(
-    "masked_low_complexity", "seq_id:i masked:s",
-    """WITH w AS (SELECT seq_id, s, substr(seq, (s + 1)::BIGINT, 64) AS w FROM (
-                    SELECT seq_id, seq, unnest(list_distinct(
-                      range(0, greatest(length(seq) - 64, 0) + 1, 32) ||
-                      [greatest(length(seq) - 64, 0)])) AS s FROM seqs)),
-             hit AS (SELECT seq_id, list(s) AS hits FROM w
-                     WHERE length(w) >= 5 AND 10.0::DOUBLE * list_sum(list_transform(
-                       map_values(list_aggregate(list_transform(range(0, length(w) - 2),
-                         lambda i: substr(w, (i + 1)::BIGINT, 3)), 'histogram')),
-                       lambda c: (c * (c - 1) // 2)::BIGINT)) / (length(w) - 3) > 8
-                     GROUP BY seq_id)
-        SELECT seq_id, CASE WHEN hits IS NULL THEN seq ELSE array_to_string(list_transform(
-                 string_split(seq, ''), lambda ch, i:
-                 CASE WHEN len(list_filter(hits, lambda s: i > s AND i <= s + 64)) > 0
-                      THEN lower(ch) ELSE ch END), '') END AS masked
-        FROM seqs LEFT JOIN hit USING (seq_id)""",
-    "seqs",
-)
+# For each length of an interval, the state of every start: equal triplets, pairs, the best score
+# inside, and the starts that are masked.
+share_sql(
+    "masked", "seqs",
+    """WITH RECURSIVE t AS (SELECT seq_id, seq, list_transform(range(1, greatest(length(seq) - 1, 1)), lambda i: substr(seq, i::BIGINT, 3)) AS t FROM seqs),
+         s AS (
+           SELECT seq_id, 1 AS n, list_transform(t, lambda x: 0::SMALLINT) AS c, list_transform(t, lambda x: 0::SMALLINT) AS r,
+                  list_transform(t, lambda x: 0.0::DOUBLE) AS best, []::BIGINT[] AS hits FROM t WHERE len(t) > 0
+           UNION ALL
+           SELECT seq_id, n + 1, c, r, list_transform(score, lambda x, i: greatest(x, best[i], best[i + 1])),
+                  list_filter(range(1, len(score) + 1), lambda i: score[i] > 8 AND score[i] >= best[i] AND score[i] >= best[i + 1])
+           FROM (SELECT *, list_transform(r, lambda x: 10.0::DOUBLE * x / n) AS score FROM (
+             SELECT seq_id, n, best, c, list_transform(range(1, len(c) - n + 1), lambda i: (r[i] + c[i + n])::SMALLINT) AS r FROM (
+               SELECT s.seq_id, n, r, best, list_transform(c, lambda x, j: CASE WHEN j > n AND t[j] = t[j - n] THEN x + 1 ELSE x END) AS c
+               FROM s JOIN t USING (seq_id) WHERE n < least(62, len(t)))))),
+         hit AS (SELECT DISTINCT seq_id, unnest(range(i, i + n + 2)) AS spot FROM (SELECT seq_id, n, unnest(hits) AS i FROM s)),
+         place AS (SELECT seq_id, list(spot) AS places FROM hit GROUP BY seq_id)
+       SELECT seq_id, CASE WHEN places IS NULL THEN seq ELSE array_to_string(list_transform(string_split(seq, ''),
+                lambda ch, i: CASE WHEN list_contains(places, i) THEN lower(ch) ELSE ch END), '') END AS masked
+       FROM seqs LEFT JOIN place USING (seq_id)""",
+)
+
+
+@register("masked_low_complexity", "seq_id:i masked:s", "SELECT * FROM masked", "masked")
 def _(spark, d):
     return sequences(spark, d).select(
         "seq_id", dna.low_complexity_mask("seq", 64, 8.0).alias("masked")

@@ -100,7 +100,7 @@ def _(spark, d):
     "SELECT * FROM summary JOIN letters USING (seq_id) WHERE \"N%\" < 0.3", "summary letters",
 )
 def _(spark, d):
-    return call_contigs(sequences(spark, d), scorer(), CLASSES, SIZE, STRIDE, MIN_LEN)
+    return call_contigs(sequences(spark, d), scorer(), CLASSES, SIZE, STRIDE, MIN_LEN, mask=False)
 
 
 @register(
@@ -113,7 +113,7 @@ def _(spark, d):
     taus = calibrate_refinement(rows, CLASSES, "truth", 0.2)
     return call_contigs(
         sequences(spark, d), scorer(), CLASSES, SIZE, STRIDE, MIN_LEN, switch_cost=0.2,
-        taus=taus, repeats=True, repeat_min_len=1000,
+        taus=taus, repeats=True, repeat_min_len=1000, mask=False,
     )
 
 

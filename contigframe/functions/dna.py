@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .constants import IUPAC_FROM, IUPAC_TO
 
@@ -170,75 +173,55 @@ def mask_to_lower(seq: Column | str, spans: Column) -> Column:
     return let(edges, rebuild)
 
 
-def window_complexity(body: Column) -> Column:
-    """Repetition score of a stretch: 10 * sum of c(c-1)/2 over triplets / (triplets - 1).
-
-    Triplets are sorted; each repeat of the previous one adds the length of its run so far,
-    which sums to c(c-1)/2 per triplet.
+#: Triplets whose intervals are scored at a time.
+STRIP = 1 << 16
+
+
+def _repetitive(codes: np.ndarray, window: int, score: float) -> np.ndarray:
+    """Which letters lie in an interval of maximal repetition; see ``low_complexity_mask``."""
+    out = np.zeros(len(codes), bool)
+    wide = codes.astype(np.uint64)
+    triplets = wide[:-2] << np.uint64(42) | wide[1:-1] << np.uint64(21) | wide[2:]
+    for start in range(0, len(triplets), STRIP):
+        t = triplets[start : start + STRIP + window]  # one window of overlap
+        m, own = len(t), min(STRIP, len(triplets) - start)
+        equal_before = np.zeros(m, np.int32)  # equal triplets among those before, up to the interval's length
+        pairs, best = np.zeros(m, np.int32), np.zeros(m)
+        cover = np.zeros(m + 3, np.int32)
+        for n in range(2, min(window - 2, m) + 1):
+            equal_before[n - 1 :] += t[n - 1 :] == t[: m - n + 1]
+            size = m - n + 1
+            pairs = pairs[:size] + equal_before[n - 1 :]
+            now = 10.0 * pairs / (n - 1)
+            inner = np.maximum(best[:size], best[1 : size + 1])
+            found = np.flatnonzero(((now > score) & (now >= inner))[:own])
+            cover[found] += 1
+            cover[found + n + 2] -= 1
+            best = np.maximum(inner, now)
+        covered = np.cumsum(cover)[: m + 2] > 0
+        out[start : start + len(covered)] |= covered
+    return out
+
+
+def _masked(text: str | None, window: int, score: float) -> str | None:
+    if text is None or len(text) < 4:
+        return text
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    low = _repetitive(codes, window, score) & (codes >= 65) & (codes <= 90)
+    return np.where(low, codes | 32, codes).astype("<u4").tobytes().decode("utf-32-le") if low.any() else text
+
+
+def low_complexity_mask(seq: Column | str, window: int = 64, score: float = 20.0) -> Column:
+    """Lower-case the letters of repetitive intervals.
+
+    An interval of n triplets scores 10 * (pairs of equal triplets) / (n - 1). Masked are all
+    intervals of up to ``window`` letters that score above ``score`` and in which no shorter
+    interval scores more. Every interval is scored, for all starts of a strip at once: the work is
+    the length times the window, in arrays of a fixed size.
     """
-    triplets = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(0), F.length(body) - 3), lambda i: F.substring(body, i + 1, F.lit(3))
-        )
-    )
-    zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("pairs"))
-    pairs = F.aggregate(
-        triplets,
-        zero,
-        lambda acc, t: F.when(
-            acc["last"] == t,
-            F.struct(
-                t.alias("last"),
-                (acc["run"] + 1).alias("run"),
-                (acc["pairs"] + acc["run"]).alias("pairs"),
-            ),
-        ).otherwise(
-            F.struct(t.alias("last"), F.lit(1).alias("run"), acc["pairs"].alias("pairs"))
-        ),
-        lambda acc: acc["pairs"],
-    )
-    return F.when(F.length(body) < 5, F.lit(0.0)).otherwise(
-        F.lit(10.0) * pairs / (F.length(body) - 3)
-    )
 
+    @F.pandas_udf(StringType())
+    def mask(texts: pd.Series) -> pd.Series:
+        return pd.Series([_masked(t, window, score) for t in texts], dtype=object)
 
-def low_complexity_mask(
-    seq: Column | str, window: int = 64, score: float = 20.0, step: int = 32
-) -> Column:
-    """Lower-case every window whose repetition score is above ``score``.
-
-    Windows start every ``step`` bases, and one ends with the sequence. A row-local expression,
-    linear in the length: the sequence is cut into steps once, a window is a few of them put
-    together, and a step is masked if one of the windows over it is a hit.
-    """
-    if window % step:
-        raise ValueError("the window must be a multiple of the step")
-    seq, reach = _col(seq), window // step
-    last = F.greatest(F.length(seq) - window, F.lit(0))
-
-    def masked(parts: Column, end: Column) -> Column:
-        def repeats(k: Column) -> Column:
-            body = F.concat(*[F.coalesce(F.get(parts, k + n), F.lit("")) for n in range(reach)])
-            return (k * step <= end) & (let(body, window_complexity) > score)
-
-        def rebuild(hits: Column) -> Column:
-            def over(k: Column) -> Column:
-                found = F.get(hits, k)
-                for n in range(1, reach):
-                    found = F.coalesce(found, F.lit(False)) | F.coalesce(F.get(hits, k - n), F.lit(False))
-                return found
-
-            return F.array_join(
-                F.transform(parts, lambda x, k: F.when(over(k), F.lower(x)).otherwise(x)), ""
-            )
-
-        return let(F.transform(parts, lambda x, k: repeats(k)), rebuild)
-
-    # The length is taken once: counting letters walks the sequence.
-    parts = F.regexp_extract_all(seq, F.lit("(?s).{1,%d}" % step), F.lit(0))
-    whole = let(last, lambda end: let(parts, lambda p: masked(p, end)))
-    tail = let(F.right(seq, F.lit(window)), window_complexity) > score
-    return F.when(
-        tail,
-        let(whole, lambda m: F.concat(F.left(m, last), F.lower(F.right(m, F.lit(window))))),
-    ).otherwise(whole)
+    return mask(_col(seq))

@@ -225,7 +225,7 @@ def gc_skew_profile(
     df: DataFrame, window: int = 2048, key: str = "seq_id", seq: str = "seq", chunk: int = CHUNK
 ) -> DataFrame:
     """Skew of adjoining windows (ten-window mean, scaled) and its running sum (scaled)."""
-    rows = make_windows(df.select(key, F.col(seq).alias("seq")), window, window, counts=False)
+    rows = make_windows(df.select(key, F.col(seq).alias("seq")), window, window, counts=False, mask=False)
     counted = rows.select(
         key, "window_idx", F.col("start").alias("position"),
         rounded_skew(F.regexp_count("window", F.lit("G")), F.regexp_count("window", F.lit("C")))

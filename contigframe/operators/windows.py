@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import base_counts, let, piece, rounded_skew
+from ..functions.dna import base_counts, let, low_complexity_mask, piece, rounded_skew
 
 MIN_BLOCK = 4096
 
@@ -177,16 +177,19 @@ def make_windows(
     threshold: float = 10.0,
     seq: str = "seq",
     counts: bool = True,
+    mask: bool = True,
 ) -> DataFrame:
     """Windows of every sequence with their base counts and skew.
 
+    With ``mask``, repetitive stretches are lower-cased first, so they count as no base.
+
     Sequences from ``min_len`` up to ``size - 1`` give one whole window; shorter ones, and those
     above ``max_len``, give none. Adds ``seq_len, start, window_idx, is_last, window`` and, with
     ``counts``, ``g, c, a, t, gc_skew``; drops the sequence.
     """
     stride = stride or size
     min_len = size if min_len is None else min_len
-    rows = df.withColumn("seq_len", F.length(seq))
+    rows = (df.withColumn(seq, low_complexity_mask(seq)) if mask else df).withColumn("seq_len", F.length(seq))
     length = F.col("seq_len")
     count = F.when(length >= size, fixed_count(length, size, stride)).when(
         length >= min_len, F.lit(1)

@@ -62,13 +62,16 @@ def call_contigs(
     taus: DataFrame | None = None,
     repeats: bool = False,
     repeat_min_len: int | None = None,
+    mask: bool = True,
 ) -> DataFrame:
     """The contig table. Optional steps: joint decoding, refinement, terminal repeats.
 
+    Repetitive stretches are masked before windowing unless ``mask`` is false.
+
     The scored windows are written once, without their text: every step reads them from there,
     and the scorer runs once for each window.
     """
-    scored = cut(score_sequences(sequences, scorer, size, stride, min_len).drop("window"))
+    scored = cut(score_sequences(sequences, scorer, size, stride, min_len, mask=mask).drop("window"))
     names = names_of(list(classes))
     if switch_cost is None:
         labelled = scored.withColumn("decoded", top_index(F.col("scores")))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def test_windows_against_slices(spark, size, stride):
         for n, b in enumerate(starts):
             w = s[b : b + size]
             expected[i, n] = (b, w, w.count("G"), w.count("T"), n == len(starts) - 1)
-    got = W.make_windows(seqs(spark, rows), size, stride, min_len=60).collect()
+    got = W.make_windows(seqs(spark, rows), size, stride, min_len=60, mask=False).collect()
     assert {
         (r.seq_id, r.window_idx): (r.start, r.window, r.g, r.t, r.is_last) for r in got
     } == expected
@@ -200,19 +201,46 @@ def test_crop_units():
 
 
 def brute_mask(s, window, limit):
-    last = max(len(s) - window, 0)
+    """Every interval and every interval inside it."""
+    t = [s[i : i + 3] for i in range(len(s) - 2)]
+    score = {}
+    for i in range(len(t)):
+        pairs, seen = 0, {}
+        for n in range(1, min(window - 2, len(t) - i) + 1):
+            pairs += seen.get(t[i + n - 1], 0)
+            seen[t[i + n - 1]] = seen.get(t[i + n - 1], 0) + 1
+            if n > 1:
+                score[i, n] = 10 * pairs / (n - 1)
     hit = [False] * len(s)
-    for b in sorted({*range(0, last + 1, 32), last}):
-        w = s[b : b + window]
-        counts = {}
-        for i in range(len(w) - 2):
-            counts[w[i : i + 3]] = counts.get(w[i : i + 3], 0) + 1
-        score = 10 * sum(c * (c - 1) / 2 for c in counts.values()) / (len(w) - 3)
-        if len(w) >= 5 and score > limit:
-            hit[b : b + window] = [True] * len(w)
+    for (i, n), value in score.items():
+        if value > limit and all(score[j, k] <= value for k in range(2, n) for j in range(i, i + n - k + 1)):
+            hit[i : i + n + 2] = [True] * (n + 2)
     return "".join(c.lower() if h else c for c, h in zip(s, hit))
 
 
+@pytest.mark.parametrize("strip", [1 << 16, 50])
+def test_intervals_of_maximal_score_are_masked(monkeypatch, strip):
+    monkeypatch.setattr(dna, "STRIP", strip)
+    rng = random.Random(strip)
+    for window, limit in ((64, 20), (16, 12), (24, 8)):
+        for _ in range(6):
+            parts = [rng.choice(["A", "AC", "ACG", "ACGT"]) * rng.randint(1, 14) + "".join(rng.choices("ACGTN", k=rng.randint(0, 30))) for _ in range(3)]
+            text = "".join(parts)
+            assert dna._masked(text, window, limit) == brute_mask(text, window, limit)
+    assert [dna._masked(x, 64, 20) for x in ("", "AAA", None, "é" * 40)] == ["", "AAA", None, "é" * 40]
+
+
+def test_windows_are_masked_unless_told_otherwise(spark):
+    rng = random.Random(8)
+    plain, low = "".join(rng.choices("ACGT", k=400)), "A" * 200
+    rows = seqs(spark, [(1, plain), (2, plain[:200] + low)])
+    for mask in (True, False):
+        got = {(r.seq_id, r.start): r for r in W.make_windows(rows, 100, 100, mask=mask).collect()}
+        assert got[1, 0].window == plain[:100] and got[1, 0].a == plain[:100].count("A")
+        assert got[2, 0].window == plain[:100] and got[2, 300].window == ("a" if mask else "A") * 100
+        assert got[2, 300].a == (0 if mask else 100)
+
+
 def test_low_complexity_mask(spark):
     rng = random.Random(1)
     rows = []
@@ -224,8 +252,9 @@ def test_low_complexity_mask(spark):
         ]
         rows.append((i, "".join(parts)))
     got = seqs(spark, rows).select("seq", dna.low_complexity_mask("seq").alias("m")).collect()
-    assert all(r.m == brute_mask(r.seq, 64, 20) for r in got)
-    assert any(r.m != r.seq for r in got)
+    assert all(r.m.upper() == r.seq for r in got)
+    # The repeat in the middle is masked, and little besides.
+    assert all(20 <= sum(c.islower() for c in r.m) <= 300 for r in got if re.search(r"A{30}|(AT){20}|(ACG){20}", r.seq))
 
 
 def test_validation(spark):
