@@ -6,6 +6,7 @@ way in Spark and in SQL, over the whole table and the whole text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -253,6 +254,20 @@ def share_sql(name: str, needs: str, text: str) -> None:
     NEEDS[name] = needs.split()
 
 
+def share_variant(suffix: str, names: list[str], base: dict[str, str]) -> None:
+    """Copies of shared parts, ending in ``suffix``, that build on other texts of the parts in ``base``."""
+    chain = [n for n in _needed(names) if n in base or any(b in _needed([n]) for b in base)]
+
+    def renamed(text: str) -> str:
+        for n in chain:
+            text = re.sub(rf"(?<![\w.'\"]){n}(?![\w'\"(])", n + suffix, text)
+        return text
+
+    for n in chain:
+        needs = [x + suffix if x in chain else x for x in NEEDS.get(n, [])]
+        share_sql(n + suffix, n if n in base else " ".join(needs), base.get(n) or renamed(SHARED[n]))
+
+
 def _needed(names: list[str]) -> list[str]:
     out: list[str] = []
 

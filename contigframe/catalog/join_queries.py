@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.constants import CLASSES
+from ..functions.dna import reverse_complement
 from ..operators import dedup, validate
 from ..operators.lineage import shared_folder
 from ..operators.regions import orf_intervals, snap_boundaries
@@ -25,6 +27,7 @@ from ..plans.contigs import assign_taxa, build_taxonomy, evaluate_sample, predic
 from ..sources.results import pair_samples
 from ..sources.tables import read_table
 from .base import (
+    REGISTRY,
     SIZE,
     climb_sql,
     links_sql,
@@ -34,6 +37,7 @@ from .base import (
     scored,
     sequences,
     share_sql,
+    share_variant,
     sql_count,
 )
 from .evaluation_queries import _calls
@@ -321,6 +325,68 @@ def _(spark, d):
     return att_sites(placed(spark, d), sequences(spark, d))
 
 
+# ---- sequences with planted repeats -------------------------------------------------------------
+# A stretch of each sequence without N stands at both ends: as it is, turned round, or not at all.
+
+
+def _planted_sql(start: str, end: str, width: int, where: str) -> str:
+    stretch = f"replace(substr(seq, {start} + 1, {width}), 'N', 'A')"
+    other = f"CASE seq_id % 3 WHEN 0 THEN {stretch} ELSE {REVCOMP.format(stretch)} END"
+    return f"""SELECT * REPLACE (CASE WHEN seq_id % 3 < 2 AND {where} THEN left(seq, {start}) || {stretch} ||
+                 substr(seq, {start} + {width + 1}, {end} - {start} - {2 * width}) || {other} || substr(seq, {end} + 1)
+               ELSE seq END AS seq) FROM seqs"""
+
+
+def _planted(rows, start, end, width, where):
+    def part(begin, length):
+        return F.substr("seq", (begin + 1).cast("int"), length.cast("int"))
+
+    stretch = F.translate(part(start, F.lit(width)), "N", "A")
+    other = F.when(F.col("seq_id") % 3 == 0, stretch).otherwise(reverse_complement(stretch))
+    whole = F.concat(
+        part(F.lit(0), start), stretch, part(start + width, end - start - 2 * width), other, part(end, F.length("seq") - end)
+    )
+    return rows.withColumn("seq", F.when((F.col("seq_id") % 3 < 2) & where, whole).otherwise(F.col("seq")))
+
+
+share_variant("_tips", ["terminal"], {"seqs": _planted_sql("0", "length(seq)", 80, "length(seq) >= 1000")})
+share_variant("_sites", ["seqs"], {"seqs": _planted_sql("(length(seq) // 4)", "(length(seq) // 4 * 3)", 60, "length(seq) >= 2000")})
+share_sql(
+    "placed_sites", "seqs_sites",
+    """SELECT seq_id, length(seq) // 4 AS start, length(seq) // 4 * 3 AS stop, 1.0 AS score, length(seq) AS seq_len
+       FROM seqs_sites WHERE length(seq) >= 2000""",
+)
+
+
+@register(
+    "planted_repeats",
+    "contig_id:i repeat_length:i identities:i identity:d score:i terminal_repeats:s sstart:i "
+    "send:i estart:i eend:i front:s rear:s",
+    """SELECT * REPLACE (CASE WHEN repeat_length IS NULL THEN NULL ELSE estart END AS estart,
+                         CASE WHEN repeat_length IS NULL THEN NULL ELSE eend END AS eend)
+       FROM terminal_tips""",
+    "terminal_tips",
+)
+def _(spark, d):
+    rows = _planted(sequences(spark, d), F.lit(0), F.length("seq"), 80, F.length("seq") >= 1000)
+    return terminal_repeats(rows, 1000)
+
+
+@register(
+    "planted_sites",
+    "contig_id:i raw_start:i raw_end:i region_len:i att_type:s att_alignment_length:i "
+    "att_score:i sstart:i eend:i gc%:d n%:d reject:b",
+    re.sub(r"\b(placed|seqs)\b", r"\1_sites", REGISTRY["attachment_sites"].body), "placed_sites seqs_sites",
+)
+def _(spark, d):
+    quarter = F.floor(F.length("seq") / 4)
+    rows = _planted(sequences(spark, d), quarter, quarter * 3, 60, F.length("seq") >= 2000)
+    regions = rows.where(F.length("seq") >= 2000).select(
+        "seq_id", quarter.alias("start"), (quarter * 3).alias("end"), F.lit(1.0).alias("score")
+    )
+    return att_sites(regions, rows)
+
+
 # ---- taxonomy -------------------------------------------------------------------------------
 # A tree from the given tables: suppliers (species) in nations (genera) in regions (families)
 # under one root. Ids: root 1, region 10+, nation 100+, supplier 1000+.

@@ -32,12 +32,16 @@ REVCOMP = "reverse(translate({0}, 'ACGTN', 'TGCAN'))"
 
 
 @register(
-    "valid_dna", "doc_id:i is_valid:b",
-    """SELECT doc_id, regexp_full_match(text, '[ATGCNatgcn]+') AS is_valid FROM documents""",
+    "valid_dna", "doc_id:i is_valid:b sequence_is_valid:b",
+    """SELECT doc_id, regexp_full_match(text, '[ATGCNatgcn]+') AS is_valid,
+              regexp_full_match(seq, '[ATGCNatgcn]+') AS sequence_is_valid
+       FROM documents JOIN seqs ON seq_id = doc_id""",
+    "seqs",
 )
 def _(spark, d):
     docs = spread(read_table(spark, d, "documents"), "doc_id")
-    return docs.select("doc_id", dna.is_valid_dna("text").alias("is_valid"))
+    both = docs.select("doc_id", "text", dna.derive_sequence("text").alias("seq"))
+    return both.select("doc_id", dna.is_valid_dna("text").alias("is_valid"), dna.is_valid_dna("seq").alias("sequence_is_valid"))
 
 
 @register(
