@@ -467,20 +467,30 @@ def _(spark, d):
     f"""SELECT seq_id, size AS crop_size, start, substr(seq, start + 1, size) AS crop FROM (
           SELECT seq_id, seq, size, ({at_sql('h', '2')} % (length(seq) - size + 1)) AS start FROM (
             SELECT *, least(100 + {at_sql('h', '1')} % 201, length(seq)) AS size FROM (
-              SELECT *, {md5_hash('seq_id', seed=11)} AS h FROM seqs)))""",
+              SELECT *, {md5_hash('seq_id', '2', seed=11)} AS h FROM seqs)))""",
     "seqs",
 )
 def _(spark, d):
-    from ..functions.picks import at, between
+    return W.training_crops(sequences(spark, d), [100, 300], mode="range", epoch=2, seed=11)
 
-    rows = sequences(spark, d).withColumn("h", row_hash("seq_id", seed=11))
-    size = F.least(between(at(F.col("h"), 1), 100, 300), F.length("seq"))
-    rows = rows.withColumn("crop_size", size)
-    start = between(at(F.col("h"), 2), 0, F.length("seq") - F.col("crop_size"))
-    return rows.withColumn("start", start).select(
-        "seq_id", "crop_size", "start",
-        dna.piece("seq", F.col("start"), F.col("crop_size")).alias("crop"),
-    )
+
+@register(
+    "sampled_variants", "epoch:i seq_id:i crop_size:i start:i crop:s",
+    f"""SELECT epoch, seq_id, pick[1] AS crop_size, pick[2] AS start, substr(seq, (pick[2] + 1)::BIGINT, pick[1]::BIGINT) AS crop FROM (
+          SELECT epoch, seq_id, seq, variants[{at_sql('h', '0')} % len(variants) + 1] AS pick FROM (
+            SELECT *, {md5_hash('seq_id', 'epoch', seed=6)} AS h,
+                   list_transform({{0}}, lambda x: [500, x]) || list_transform({{1}}, lambda x: [1000, x]) AS variants
+            FROM seqs, (VALUES (0), (1)) AS e(epoch)))""".format(*[
+        f"(CASE WHEN length(seq) <= {size} THEN [0] ELSE list_sort(list_distinct("
+        f"range(0, length(seq) - {size} + 1, {stride}) || [length(seq) - {size}])) END)"
+        for size, stride in ((500, 250), (1000, 300))
+    ]),
+    "seqs",
+)
+def _(spark, d):
+    rows = sequences(spark, d)
+    epochs = [W.training_crops(rows, [500, 1000], [250, 300], "sample", e, seed=6).withColumn("epoch", F.lit(e)) for e in (0, 1)]
+    return epochs[0].unionByName(epochs[1])
 
 
 @register(

@@ -289,6 +289,14 @@ def require_both_labels(df: DataFrame, label: str) -> None:
         raise ValueError("both labels (1 and 0) are needed")
 
 
+def tuned_threshold(
+    df: DataFrame, score: str, label: str, metric: str = "f1-id", low: float = 0.0, high: float = 0.95, step: float = 0.05
+) -> DataFrame:
+    """The best threshold of a grid; an error where only one label occurs."""
+    require_both_labels(df, label)
+    return best_threshold(threshold_sweep(df, score, label, low, high, step), metric)
+
+
 def ranking_quality(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve (ties count half) and average precision; NaN with one class.
 

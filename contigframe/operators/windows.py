@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import base_counts, let, low_complexity_mask, piece, rounded_skew
+from ..functions.picks import at, between, row_hash
 
 MIN_BLOCK = 4096
 
@@ -314,6 +315,52 @@ def multi_crops(
     return cut.withColumn("crop_len", F.length("crop")).drop("_plan")
 
 
+def training_crops(
+    df: DataFrame,
+    sizes: Sequence[int],
+    strides: Sequence[int] | None = None,
+    mode: str = "all",
+    epoch: int = 0,
+    seed: int = 0,
+    pad: bool = True,
+    key: str = "seq_id",
+    seq: str = "seq",
+) -> DataFrame:
+    """Crops of each sequence for one epoch: ``crop_size, start, crop_len, crop``.
+
+    ``all`` gives every crop size at every start, as ``multi_crops``. ``sample`` gives one of
+    these, each as likely as any other. ``range`` gives one crop of any length from the smallest
+    to the largest size (or the whole of a shorter sequence) at any start. Choices follow from
+    seed, key and epoch.
+    """
+    if mode == "all":
+        return multi_crops(df, sizes, strides, pad=pad, seq=seq)
+    if mode not in ("sample", "range"):
+        raise ValueError(f"unknown crop mode: {mode}")
+    rows = df.withColumn("seq_len", F.length(seq)).withColumn("_h", row_hash(key, F.lit(epoch), seed=seed))
+    if mode == "range":
+        size = F.least(between(at(F.col("_h"), 1), min(sizes), max(sizes)), "seq_len")
+        start = between(at(F.col("_h"), 2), 0, F.col("seq_len") - F.col("crop_size"))
+        rows = rows.withColumn("crop_size", size).withColumn("start", start)
+    else:
+        plans = []
+        for size, stride in zip(sizes, crop_strides(sizes, strides, None)):
+            count, tail = crop_plan(F.col("seq_len"), F.lit(size), F.lit(stride), pad)
+            plans.append(F.struct(F.lit(size).alias("size"), F.lit(stride).alias("stride"), count.cast("bigint").alias("n"), tail.cast("bigint").alias("tail")))
+        each = F.transform(F.col("_plans"), lambda p: p["n"] + F.when(p["tail"].isNotNull(), 1).otherwise(0))
+        # The place of the choice among all crops, size by size.
+        rows = rows.withColumn("_plans", F.array(*plans)).withColumn("_each", each)
+        total = F.aggregate("_each", F.lit(0).cast("bigint"), lambda a, x: a + x)
+        rows = rows.withColumn("_nth", F.pmod(at(F.col("_h"), 0), total))
+        before = F.transform("_each", lambda x, i: F.aggregate(F.slice(F.col("_each"), F.lit(1), i), F.lit(0).cast("bigint"), lambda a, y: a + y))
+        which = F.size(F.filter(before, lambda b: b <= F.col("_nth"))) - 1
+        rows = rows.withColumn("_plan", F.get("_plans", which)).withColumn("_nth", F.col("_nth") - F.get(before, which))
+        start = F.when(F.col("_nth") < F.col("_plan.n"), F.col("_nth") * F.col("_plan.stride")).otherwise(F.col("_plan.tail"))
+        rows = rows.withColumn("crop_size", F.col("_plan.size")).withColumn("start", start.cast("int")).drop("_plans", "_each", "_nth", "_plan")
+    cut = rows.withColumn("crop", piece(seq, F.col("start"), F.col("crop_size"))).drop(seq, "_h")
+    return cut.withColumn("crop_len", F.length("crop"))
+
+
 def fixed_fragments(
     df: DataFrame, size: int, stride: int, label: int, seq: str = "seq"
 ) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import (
@@ -23,6 +24,7 @@ from ..operators.datasets import (
     interleave_classes,
     shuffle_rows,
     split_dataset,
+    split_val_first,
     stratified_sample,
 )
 from ..operators.dedup import non_redundant, representatives
@@ -150,6 +152,41 @@ def reliability_set(
     return matched.select("seq_id", "seq", "reliable").unionByName(synthetic)
 
 
+def split_reliability_set(
+    real: DataFrame, scorer: Scores, threshold: float, sample: int, multiplier: float, config: dict,
+    validation: DataFrame | None = None, val_fraction: float = 0.1, seed: int = 0,
+) -> DataFrame:
+    """``reliability_set`` with a column ``split`` (train, val).
+
+    With ``validation``, a set of its own is made of those rows; otherwise an exact share of all
+    rows, ``val_fraction`` rounded down, is set aside.
+    """
+    rows = reliability_set(real, scorer, threshold, sample, multiplier, config, seed)
+    if validation is None:
+        return split_val_first(rows, "seq_id", val_fraction, seed)
+    held = reliability_set(validation, scorer, threshold, sample, multiplier, config, seed + 1)
+    return rows.withColumn("split", F.lit("train")).unionByName(held.withColumn("split", F.lit("val")))
+
+
+def stored_set(spark: SparkSession, path: str, settings: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    """The set at ``path`` if it was made with the same settings, else a new one from ``build``.
+
+    Settings are written after the rows, so a set that was not finished is made again; one made
+    with other settings is refused.
+    """
+    text = json.dumps(settings, sort_keys=True)
+    jvm, place = spark._jvm, f"{path.rstrip('/')}/settings"
+    files = jvm.org.apache.hadoop.fs.Path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")):
+        found = spark.read.text(place).first()["value"]
+        if found != text:
+            raise ValueError(f"the set at {path} was made with {found}, not {text}")
+    else:
+        build().write.mode("overwrite").parquet(f"{path}/rows")
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(place)
+    return spark.read.parquet(f"{path}/rows")
+
+
 def ood_set(
     sequences: DataFrame, correct: DataFrame | None, n_threshold: float = 0.3, seed: int = 0,
     tandem: bool = True,

@@ -14,27 +14,41 @@ MAGIC = {"gzip": "1F8B", "bzip2": "425A68", "xz": "FD377A585A00"}
 EXTENSIONS = {"gzip": (".gz", ".gzip"), "bzip2": (".bz2",)}
 
 
-def compression(spark: SparkSession, path: str) -> DataFrame:
-    """Compression of each file at ``path``, by its leading bytes: ``path, compression``."""
-    head = F.hex(F.substring("content", 1, 6))
-    kind: Column = F.lit("none")
-    for name, magic in MAGIC.items():
-        kind = F.when(F.startswith(head, F.lit(magic)), F.lit(name)).otherwise(kind)
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", kind.alias("compression"))
+def compression(spark: SparkSession, path: str) -> dict[str, str]:
+    """Compression of each file at ``path`` (a file, folder or pattern), by its leading bytes.
+
+    Six bytes of each file are read, wherever Spark's file systems reach.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(conf)
+    found: dict[str, str] = {}
+    for top in files.globStatus(place) or []:
+        for status in files.listStatus(top.getPath()):
+            if status.isDirectory() or status.getPath().getName().startswith(("_", ".")):
+                continue
+            stream = files.open(status.getPath())
+            try:
+                head = bytes(stream.read() for _ in range(min(6, status.getLen()))).hex().upper()
+            finally:
+                stream.close()
+            kinds = [name for name, magic in MAGIC.items() if head.startswith(magic)]
+            found[status.getPath().toString()] = kinds[0] if kinds else "none"
+    return found
 
 
 def check_compression(spark: SparkSession, path: str) -> None:
     """Refuse files Spark would misread: xz, or a compressed file without its extension."""
-    files = spark.read.format("binaryFile").load(path).select("path").limit(1)
-    if files.isEmpty():
+    files = compression(spark, path)
+    if not files:
         raise FileNotFoundError(path)
-    for row in compression(spark, path).where("compression <> 'none'").toLocalIterator():
-        known = EXTENSIONS.get(row["compression"])
-        if known is None:
-            raise ValueError(f"{row['compression']} files cannot be read: {row['path']}")
-        if not row["path"].endswith(known):
-            raise ValueError(f"{row['compression']} file without its extension: {row['path']}")
+    for name, kind in files.items():
+        if kind == "none":
+            continue
+        if kind not in EXTENSIONS:
+            raise ValueError(f"{kind} files cannot be read: {name}")
+        if not name.endswith(EXTENSIONS[kind]):
+            raise ValueError(f"{kind} file without its extension: {name}")
 
 
 def read_fasta(spark: SparkSession, path: str, first_token: bool = False) -> DataFrame:
@@ -42,6 +56,7 @@ def read_fasta(spark: SparkSession, path: str, first_token: bool = False) -> Dat
 
     A gzip file is one task up to here: repartition after reading it.
     """
+    check_compression(spark, path)
     raw = spark.read.option("lineSep", "\n>").text(path)
     record = F.regexp_replace("value", "^>", "")
     parts = F.split(record, "\r?\n", 2)
