@@ -4,8 +4,10 @@ A text is the set of its words (letters and digits, lower-cased A-Z) and of thei
 to 8 bytes. Spark counts in how many toxic and other training texts each of these occurs; the
 ``FEATURES`` with the largest chi-square are kept, and logistic regression weighs them. For every
 training text that names a group of people, a copy is made that names another group of the same
-kind; the squared difference of the two scores is added to the loss, so a mention alone cannot
-move a score. Words for groups are always among the features.
+kind. A text that names none gets a mention: one group's word is set behind it, and it is paired with
+its copy that mentions another group of that kind, and with itself. The squared differences of the
+margins of all pairs are added to the loss, so neither the group named nor the mention moves a score.
+Words for groups are always among the features.
 
 Training texts are at most ``TOXIC_ROWS`` toxic and ``OTHER_ROWS`` other labelled documents, the
 first by a hash of their id (a documented bound), equal texts once; both kinds are weighted back
@@ -19,6 +21,7 @@ label; without labels it is 0.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -81,6 +84,16 @@ def swapped(text: str) -> str:
     return _NAMES.sub(lambda m: _NEXT[m[1].lower()], text)
 
 
+def counterfactuals(text: str) -> list[tuple[str, str]]:
+    """Pairs of texts that should score alike; the group of an inserted mention follows from the text."""
+    if _NAMES.search(text):
+        return [(text, swapped(text))]
+    k = zlib.crc32(text.encode())
+    row = GROUPS[k % len(GROUPS)]
+    word = row[k // len(GROUPS) % len(row)]
+    return [(f"{text} {word}", f"{text} {_NEXT[word]}"), (f"{text} {word}", text)]
+
+
 def text_features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature) pairs, by text. Features are 64-bit hashes, or positions in the
     ascending ``wanted``."""
@@ -123,6 +136,7 @@ class Linear:
     wanted: np.ndarray  # ascending feature hashes
     weights: np.ndarray
     intercept: float
+    n_pairs: int = 0  # counterfactual pairs that differed in the fit
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         text, feature = text_features(texts, self.wanted)
@@ -130,32 +144,83 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-def fit_linear(
-    text: np.ndarray, feature: np.ndarray, labels: np.ndarray, importance: np.ndarray, width: int,
-    pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, fairness: float = 5.0, ridge: float = 2e-4, steps: int = 400,
-) -> tuple[np.ndarray, float]:
-    """Weights and intercept by full-batch steps of adaptive size.
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def loss_and_gradient(
+    weights: np.ndarray, intercept: float, text: np.ndarray, feature: np.ndarray, labels: np.ndarray, importance: np.ndarray,
+    pairs: Pairs | None, fairness: float, ridge: float,
+) -> tuple[float, np.ndarray]:
+    """Weighted log loss, half the ridge and the mean squared margin difference of the pairs.
 
     ``text, feature`` are the set entries of the rows; ``pairs`` are (pair, feature, +1 or -1): what
-    a text has and its copy has not, and the reverse.
+    one side has and the other has not, and the reverse. The gradient ends with the intercept's.
     """
+    total, width = importance.sum(), len(weights)
+    margin = np.bincount(text, weights[feature], len(labels)) + intercept
+    loss = float((importance * (np.logaddexp(0, margin) - labels * margin)).sum() / total + ridge / 2 * (weights**2).sum())
+    error = importance * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels) / total
+    gradient = np.append(np.bincount(feature, error[text], width) + ridge * weights, error.sum())
+    if pairs is not None and len(pairs[0]):
+        n_pairs = int(pairs[0].max()) + 1
+        apart = np.bincount(pairs[0], weights[pairs[1]] * pairs[2], n_pairs)
+        loss += fairness / n_pairs * float((apart**2).sum())
+        gradient[:-1] += 2 * fairness / n_pairs * np.bincount(pairs[1], apart[pairs[0]] * pairs[2], width)
+    return loss, gradient
+
+
+def fit_linear(
+    text: np.ndarray, feature: np.ndarray, labels: np.ndarray, importance: np.ndarray, width: int,
+    pairs: Pairs | None = None, fairness: float = 5.0, ridge: float = 2e-4, steps: int = 400,
+) -> tuple[np.ndarray, float]:
+    """Weights and intercept by full-batch steps of adaptive size."""
     weights, intercept = np.zeros(width), 0.0
-    total = importance.sum()
     m, v = np.zeros(width + 1), np.zeros(width + 1)
-    n_pairs = pairs[0].max() + 1 if pairs is not None and len(pairs[0]) else 0
     for step in range(1, steps + 1):
-        margin = np.bincount(text, weights[feature], len(labels)) + intercept
-        error = importance * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels) / total
-        gradient = np.append(np.bincount(feature, error[text], width) + ridge * weights, error.sum())
-        if n_pairs:
-            apart = np.bincount(pairs[0], weights[pairs[1]] * pairs[2], n_pairs)
-            gradient[:-1] += 2 * fairness / n_pairs * np.bincount(pairs[1], apart[pairs[0]] * pairs[2], width)
+        _, gradient = loss_and_gradient(weights, intercept, text, feature, labels, importance, pairs, fairness, ridge)
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         change = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         weights, intercept = weights - change[:-1], intercept - change[-1]
     return weights, float(intercept)
 
 
+def _lists(of_text: np.ndarray, key: np.ndarray, n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of_text, np.arange(n + 1)), pa.int32()), pa.array(key.astype(np.int32)))
+
+
+def encoded_rows(texts: pa.Array, wanted: np.ndarray) -> list[pa.Array]:
+    """For each text, lists of its features, and of both sides' own features in each of two pairs."""
+    n, width = len(texts), len(wanted)
+    out = [_lists(*text_features(texts, wanted), n)]
+    made = [counterfactuals(t or "") for t in texts.to_pylist()]
+    for k in range(2):
+        sides = []
+        for side in range(2):
+            of_text, key = text_features(pa.array([m[k][side] if k < len(m) else "" for m in made], pa.string()), wanted)
+            sides.append(of_text * width + key.astype(np.int64))
+        for one, two in (sides, sides[::-1]):
+            out.append(_lists(*np.divmod(np.setdiff1d(one, two), max(1, width)), n))
+    return out
+
+
+def pair_entries(sides: list[list[tuple[np.ndarray, np.ndarray]]], n: int) -> Pairs | None:
+    """(pair, feature, sign) of the pairs whose sides differ, numbered without gaps."""
+    pair = np.concatenate([row.astype(np.int64) + k * n for k, both in enumerate(sides) for row, _ in both])
+    feature = np.concatenate([values for both in sides for _, values in both])
+    sign = np.concatenate([np.full(len(values), 1 - 2 * side, np.int8) for both in sides for side, (_, values) in enumerate(both)])
+    if not len(pair):
+        return None
+    return np.unique(pair, return_inverse=True)[1], feature, sign
+
+
+def _flat(column: pa.ChunkedArray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of all entries of a list column, rows taken in ``order``, as flat arrays."""
+    lists = column.combine_chunks().take(pa.array(order))
+    lists = lists if isinstance(lists, pa.ListArray) else lists.combine_chunks()
+    size = np.diff(np.asarray(lists.offsets))
+    return np.repeat(np.arange(len(size), dtype=np.int32), size), lists.flatten().to_numpy(zero_copy_only=False)
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> Linear:
     """The classifier from labelled documents outside the held-out fifth."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -200,28 +265,24 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc
     chosen = np.array([r["feature"] for r in best.collect()], np.int64).view(np.uint64)
     wanted = np.unique(np.concatenate([chosen, group_features()]))
 
+    names = ["label", "hash", "own", "plus0", "minus0", "plus1", "minus1"]
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in W.slices(batch.column("text")):
-                texts = batch.column("text")[i:j]
-                copies = pa.array([swapped(t or "") for t in texts.to_pylist()], pa.string())
-                lists = []
-                for side in (texts, copies):
-                    of_text, key = text_features(side, wanted)
-                    offsets = np.searchsorted(of_text, np.arange(j - i + 1))
-                    lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays([batch.column("label")[i:j], *lists], ["label", "own", "copy"])
-
-    rows = sample.mapInArrow(encoded, "label int, own array<int>, copy array<int>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["label"], r["own"], r["copy"]))
-    labels_ = np.array([r["label"] for r in rows], float)
-    entries = np.array([(k, f) for k, r in enumerate(rows) for f in r["own"]], np.int64).reshape(-1, 2)
-    apart = [(set(r["own"]), set(r["copy"])) for r in rows if r["own"] != r["copy"]]
-    signs = [(k, f, s) for k, (a, b) in enumerate(apart) for some, s in ((sorted(a - b), 1), (sorted(b - a), -1)) for f in some]
-    pairs = tuple(np.array(x) for x in zip(*signs, strict=True)) if signs else None
+                columns = [batch.column("label")[i:j], batch.column("hash")[i:j], *encoded_rows(batch.column("text")[i:j], wanted)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "label int, hash bigint, " + ", ".join(f"{c} array<int>" for c in names[2:])
+    # A bounded number of rows, kept as flat arrays.
+    rows = sample.select("text", "label", F.xxhash64("text").alias("hash")).mapInArrow(encoded, schema).toArrow()
+    order = np.lexsort((rows["hash"].to_numpy(), rows["label"].to_numpy()))
+    labels_ = rows["label"].to_numpy()[order].astype(float)
+    in_text, feature = _flat(rows["own"], order)
+    pairs = pair_entries([[_flat(rows[f"{side}{k}"], order) for side in ("plus", "minus")] for k in range(2)], len(order))
     importance = np.where(labels_ == 1, toxic / max(labels_.sum(), 1), other / max((1 - labels_).sum(), 1))
-    weights, intercept = fit_linear(entries[:, 0], entries[:, 1], labels_, importance, len(wanted), pairs)
-    return Linear(wanted, weights, intercept)
+    weights, intercept = fit_linear(in_text, feature, labels_, importance, len(wanted), pairs)
+    return Linear(wanted, weights, intercept, 0 if pairs is None else int(pairs[0].max()) + 1)
 
 
 def score_toxicity(docs: DataFrame, model: Linear, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from contigframe.llm import decontaminate, hamming, language, licenses, line_dedup, near_dedup, pieces, quality, substring_dedup, toxicity
 from contigframe.llm.queries import piece_model
@@ -366,6 +367,75 @@ def test_groups_are_named_in_all_languages_of_the_corpus():
     assert len(words) == len(set(words))
 
 
+def test_features_are_words_and_their_beginnings():
+    texts = ["The theory, THE the_x é1é日本 ab", None, "", "abcdefghij abcdefgh " + "q" * 300, "x y z"]
+    text, key = toxicity.text_features(pa.array(texts))
+    found = {}
+    for i, t in enumerate(texts):
+        words = [w.encode() for w in ALNUM.findall(lowered(t))]
+        features = {(0, w) for w in words} | {(n, w[:n]) for w in words for n in toxicity.BEGINNINGS if len(w) >= n}
+        mine = set(key[text == i].tolist())
+        assert len(mine) == len(features) == (text == i).sum()
+        for f in features:  # the same feature has the same hash in every text
+            found.setdefault(f, set()).add(i)
+    for f, where in found.items():
+        if f[0] == 0:
+            own = set.intersection(*[set(key[text == i].tolist()) for i in where])
+            assert own
+    wanted = np.unique(key)[::3]
+    text2, at = toxicity.text_features(pa.array(texts), wanted)
+    assert [(i, wanted[k]) for i, k in zip(text2, at.astype(int), strict=True)] == [(i, k) for i, k in zip(text, key, strict=True) if k in set(wanted.tolist())]
+
+
+def test_gradient_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(2)
+    n, width = 12, 9
+    has = rng.random((n, width)) < 0.4
+    text, feature = np.nonzero(has)
+    labels, importance = (rng.random(n) < 0.4).astype(float), rng.random(n) + 0.5
+    pairs = (np.array([0, 0, 1, 2, 2]), np.array([1, 2, 3, 1, 8]), np.array([1, -1, 1, 1, -1]))
+    weights, intercept = rng.normal(size=width), 0.3
+    args = (text, feature, labels, importance, pairs, 5.0, 0.01)
+    loss, gradient = toxicity.loss_and_gradient(weights, intercept, *args)
+    margin = has @ weights + intercept
+    plain = (importance * (np.log1p(np.exp(margin)) - labels * margin)).sum() / importance.sum() + 0.005 * (weights**2).sum()
+    plain += 5 / 3 * ((weights[1] - weights[2]) ** 2 + weights[3] ** 2 + (weights[1] - weights[8]) ** 2)
+    assert loss == pytest.approx(plain)
+    for k in range(width + 1):
+        step = np.zeros(width + 1)
+        step[k] = 1e-6
+        up, _ = toxicity.loss_and_gradient(weights + step[:-1], intercept + step[-1], *args)
+        assert (up - loss) / 1e-6 == pytest.approx(gradient[k], abs=1e-4)
+
+
+def test_every_training_text_gets_a_counterfactual():
+    """Pairs hold just what their sides do not share, and a mention can be of every group."""
+    texts = ["a muslim house", "plain words here", "manly blackbird", "", None, "Frauen und Katzen"]
+    wanted = np.unique(np.concatenate([toxicity.text_features(pa.array([t or "" for t in texts]))[1], toxicity.group_features()]))
+    lists = [c.to_pylist() for c in toxicity.encoded_rows(pa.array(texts), wanted)]
+    for i, t in enumerate(texts):
+        made = toxicity.counterfactuals(t or "")
+        for k in range(2):
+            one, two = (set(toxicity.text_features(pa.array([s]), wanted)[1].astype(int).tolist()) for s in made[k]) if k < len(made) else (set(), set())
+            assert (set(lists[1 + 2 * k][i]), set(lists[2 + 2 * k][i])) == (one - two, two - one)
+    named = {toxicity.counterfactuals(f"text {k}")[0][0].split()[-1] for k in range(6000)}
+    assert named == set(toxicity._NEXT)
+
+
+def test_inserted_mentions_move_no_score(spark):
+    """No training text names a group, yet a word that begins like a group's name does not pull it up."""
+    rng = random.Random(3)
+    filler = [f"word{k}" for k in range(30)]
+    rows = [(i, " ".join([*rng.choices(filler, k=8), "blackguard" if i % 3 == 0 else "tea"])) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    probes = [(1000, "word1 tea black"), (1001, "word1 tea white"), (1002, "word1 tea"), (1003, "blackguard word1")]
+    docs = frame(spark, rows + probes)
+    model = toxicity.train_toxicity(docs, labels)
+    assert model.n_pairs >= 400
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert got[1003] > 0.5 and max(got[1000], got[1001], got[1002]) < 0.3 and abs(got[1000] - got[1001]) < 0.1
+
+
 def test_mentions_of_groups_do_not_make_a_text_toxic(spark):
     rng = random.Random(4)
     words = [f"word{k}" for k in range(40)]
