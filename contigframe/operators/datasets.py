@@ -17,16 +17,31 @@ from ..functions.dna import count_of, piece, share
 from ..functions.picks import at, between, row_hash
 from .lineage import cut
 from .ordered import running
-from .ranks import bucket_bits, hash_bucket, rank_rows
-from .skew import salted_join, with_single
+from .ranks import bits_of, hash_bucket, rank_rows
+from .skew import null_safe_join, salted_join, with_single
 from .windows import MIN_BLOCK, blocks
 
 def hash_rank(
     df: DataFrame, keys: Sequence[str], key: str, seed: int, out: str = "rank"
 ) -> DataFrame:
-    """Rank of each row in the hash order of its group."""
-    rows = df.withColumn("_h", row_hash(key, seed=seed))
-    return rank_rows(rows, keys, ["_h", key], hash_bucket("_h", bucket_bits(df.select(key))), out).drop("_h")
+    """Rank of each row in the hash order of its group.
+
+    Only ids are ranked; the number is joined back, so no other column is sorted for it. Rows
+    that repeat an id have ranks that follow each other.
+    """
+    by = [*dict.fromkeys([*keys, key])]
+    ids = cut(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_h", row_hash(key, seed=seed)))
+    total = ids.agg(F.sum("_copies").alias("n"), F.max("_copies").alias("most")).first()
+    bits = bits_of(total["n"] or 0)
+    if (total["most"] or 0) > 1:
+        one_each = ids.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+        ranked = rank_rows(one_each, keys, ["_h", key, "_copy"], hash_bucket("_h", bits), out)
+        ranked = ranked.groupBy(*by).agg(F.min(out).alias("_first"))
+        order = Window.partitionBy(*by).orderBy(key)
+        rows = null_safe_join(df, ranked, by).withColumn(out, F.col("_first") + F.row_number().over(order) - 1)
+        return rows.drop("_first")
+    ranked = rank_rows(ids, keys, ["_h", key], hash_bucket("_h", bits), out)
+    return null_safe_join(df, ranked.select(*by, out), by)
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -68,12 +83,14 @@ def interleave_classes(df: DataFrame, key: str, label: str, seed: int = 0) -> Da
     Row r of a class of n rows sorts at (r + 1/2) / n, ties by class.
     """
     ranked = hash_rank(df, [label], key, seed, "_rank")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
-    rows = salted_join(ranked, sizes, [label], [key]).withColumn(
-        "_at", (F.col("_rank") + 0.5) / F.col("_size")
-    )
-    bucket = F.floor(F.col("_at") * (1 << bucket_bits(df.select(label))))
-    return rank_rows(rows, [], ["_at", label], bucket, "position").drop("_rank", "_size", "_at")
+    # The places of a class follow from its size alone: no row is needed to number them.
+    sizes = cut(df.groupBy(label).agg(F.count(F.lit(1)).alias("_size")))
+    bits = bits_of(sizes.agg(F.sum("_size").alias("n")).first()["n"] or 0)
+    places = sizes.withColumn("_rank", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_size") - 1)))
+    places = places.withColumn("_at", (F.col("_rank") + 0.5) / F.col("_size"))
+    bucket = F.floor(F.col("_at") * (1 << bits))
+    numbered = rank_rows(places, [], ["_at", label], bucket, "position").select(label, "_rank", "position")
+    return null_safe_join(ranked, numbered, [label, "_rank"]).drop("_rank")
 
 
 def batch_sizes(sizes: dict[int, int], default: int, replicas: int = 1) -> tuple[dict, int]:
@@ -153,7 +170,7 @@ def stratified_sample(
     rows = kept.withColumn("_h", row_hash(key, seed=seed)).withColumn(
         "_order", F.when(F.col("_rank") == 0, F.lit(0)).otherwise(F.lit(1))
     )
-    bits = bucket_bits(df.select(label))
+    bits = bits_of(size)
     bucket = F.col("_order") * (1 << bits) + hash_bucket("_h", bits)
     trimmed = rank_rows(rows, [], ["_order", "_h", key], bucket, "_at")
     return trimmed.where(F.col("_at") < size).drop("_at", "_h", "_order", "_rank", "_target")

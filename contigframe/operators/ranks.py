@@ -24,9 +24,9 @@ BUCKET_ROWS = 1 << 16
 PARTS = 128
 
 
-def bucket_bits(df: DataFrame) -> int:
-    """Leading hash bits that cut the rows into buckets of about ``BUCKET_ROWS``."""
-    return min(HASH_BITS, max(0, (df.count() // BUCKET_ROWS).bit_length()))
+def bits_of(n_rows: int) -> int:
+    """Leading hash bits that cut so many rows into buckets of about ``BUCKET_ROWS``."""
+    return min(HASH_BITS, max(0, (n_rows // BUCKET_ROWS).bit_length()))
 
 
 def hash_bucket(hash_col: str, bits: int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import strip_class_suffix
 from ..functions.picks import row_hash
-from ..operators.ranks import bucket_bits, hash_bucket, rank_rows
+from ..operators.ranks import bits_of, hash_bucket, rank_rows
 
 # Leading bytes of compressed files.
 MAGIC = {"gzip": "1F8B", "bzip2": "425A68", "xz": "FD377A585A00"}
@@ -100,7 +100,7 @@ def read_labeled_csv(
     if id_col is not None:
         return raw.select(*cols, F.col(f"c{id_col}").alias("seq_id"))
     rows = raw.select(*cols).withColumn("_h", row_hash("label", "seq"))
-    ranked = rank_rows(rows, [], ["_h", "seq", "label"], hash_bucket("_h", bucket_bits(rows)), "_n")
+    ranked = rank_rows(rows, [], ["_h", "seq", "label"], hash_bucket("_h", bits_of(rows.count())), "_n")
     return ranked.withColumn("seq_id", F.concat(F.lit("seq_"), F.col("_n").cast("string"))).drop(
         "_h", "_n"
     )

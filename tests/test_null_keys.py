@@ -31,6 +31,19 @@ def test_downsampling_keeps_the_shares(spark, rows):
         assert got == {None: each, "a": each, "b": each}
 
 
+def test_ranks_sort_ids_alone(spark, rows, monkeypatch):
+    """No other column lies below the exchange of a rank; repeated ids have ranks of their own."""
+    wide = rows.withColumn("text", F.repeat(F.lit("x"), 100))
+    for limit in (1 << 16, 4):
+        monkeypatch.setattr(ranks, "BUCKET_ROWS", limit)
+        got = datasets.hash_rank(wide.unionAll(wide.where("id < 6")), ["label"], "id", 1).collect()
+        assert Counter((r.label, r["rank"]) for r in got) == Counter((x, k) for x in (None, "a", "b") for k in range(12))
+        plain = datasets.hash_rank(wide, [], "id", 1)
+        assert sorted(r["rank"] for r in plain.collect()) == list(range(30))
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Window" in line and "text" in line for line in plan.splitlines())
+
+
 def test_samples_shards_and_batches(rows):
     assert Counter(r.label for r in datasets.stratified_sample(rows, "label", "id", 15).collect()) == {None: 5, "a": 5, "b": 5}
     shards = Counter((r.label, r.shard) for r in datasets.assign_shards(rows, "id", "label", 5).collect())
