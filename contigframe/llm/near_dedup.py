@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
+from ..operators.ranks import totals_before
 from . import words as W
 from .components import components
 
@@ -285,3 +286,25 @@ def near_duplicates(
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that are left when one of each group stays: that with the
+    smallest doc_id.
+
+    Rows that repeat doc_id and text are one row. Where ids repeat with other texts, or are missing
+    (they come last), rows are numbered in the order of their ids first, so that each is compared.
+    """
+    ids = docs.groupBy(F.col(doc_id).alias("doc_id")).agg(F.count("*").alias("n"))
+    if ids.where("doc_id IS NULL OR n > 1").isEmpty():
+        gone = near_duplicates(docs, size, percent, doc_id, text).where("NOT kept").select(F.col("doc_id").alias(doc_id)).distinct()
+        return docs.join(gone.hint("merge"), doc_id, "left_anti").select(*docs.columns)
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    place = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).cast("bigint").alias("id"), F.sha2(body, 256).alias("print"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), place.alias("place")).dropDuplicates(["place"])
+    rows = cut(rows)
+    numbers = totals_before(rows.select("place", F.lit(1).alias("one")), [], "place", ["one"])
+    rows = cut(rows.join(numbers.select("place", F.col("one_before").cast("bigint").alias("number")).hint("merge"), "place"))
+    named = rows.select("number", F.col(f"row.`{text}`").alias("text"))
+    gone = near_duplicates(named, size, percent, "number", "text").where("NOT kept").select(F.col("doc_id").alias("number"))
+    return rows.join(gone.hint("merge"), "number", "left_anti").select("row.*")

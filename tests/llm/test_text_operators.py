@@ -167,6 +167,19 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (7, 4, False), (8, 4, False)}
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Also where ids repeat or are missing: by hand on rows whose groups are known."""
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "xy")
+    alone = " ".join(f"z{k}" for k in range(60))
+    rows = [(4, one), (4, one), (4, two), (2, two + " end"), (None, one), (None, one), (None, alone), (9, ""), (9, ""), (None, None), (7, one + " tail")]
+    docs = frame(spark, rows, CLASHES)
+    left = near_dedup.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted([(4, one), (2, two + " end"), (0, alone), (9, ""), (0, "")])
+    plain = frame(spark, [(1, one), (3, one + " tail"), (5, alone), (6, None), (8, "")], CLASHES)
+    assert sorted(r.doc_id for r in near_dedup.one_of_each(plain).collect()) == [1, 5, 6, 8]
+
+
 def test_min_and_max_agree_as_often_as_the_sets_overlap():
     a = np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     b = np.sort(a[200:])
