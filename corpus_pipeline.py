@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from contigframe.llm.decontaminate import drop_contaminated
 from contigframe.llm.line_dedup import remove_boilerplate
-from contigframe.llm.near_dedup import near_duplicates
+from contigframe.llm.near_dedup import one_of_each
 from contigframe.llm.pieces import encode_texts
 from contigframe.llm.queries import piece_model
 from contigframe.llm.toxicity import reject_toxic, train_toxicity
@@ -35,9 +35,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group linked at a similarity of 0.8."""
-    gone = near_duplicates(docs, size=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One document, that with the smallest doc_id, of each group linked at a similarity of 0.8;
+    rows that repeat an id or have none are documents like any other."""
+    return one_of_each(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
