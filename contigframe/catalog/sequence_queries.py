@@ -535,19 +535,36 @@ def _(spark, d):
     return perturb.mutation_series(sequences(spark, d), 0.0, 0.2, 0.1, seed=5)
 
 
-@register("replaced_mutations", "seq_id:i level:i n_altered:i same:i")
-def _(spark, d):
-    rows = sequences(spark, d).withColumn("before", F.col("seq"))
-    out = perturb.mutation_series(rows, 0.0, 0.1, 0.1, replace=True, seed=5)
-    same = F.aggregate(
-        F.zip_with(F.split("seq", ""), F.split("before", ""), lambda a, b: (a == b).cast("int")),
-        F.lit(0),
-        lambda acc, x: acc + x,
-    )
-    return out.select("seq_id", "level", "n_altered", same.alias("same"))
+@register(
+    "replaced_mutations", "seq_id:i level:i n_altered:i seq:s",
+    f"""SELECT seq_id, level, n_altered, array_to_string(list_transform(string_split(seq, ''), lambda ch, i:
+               CASE WHEN n_altered = 0 OR hashes[i] > ranked[n_altered] THEN ch WHEN ch = 'N' THEN 'N'
+                    ELSE substr('ACGTACG', (instr('ACGT', ch) + 1 + ({at_sql('other', 'i - 1')} % 3))::BIGINT, 1) END), '') AS seq
+        FROM (SELECT *, level * floor(length(seq) * 0.1::DOUBLE)::BIGINT AS n_altered, list_sort(hashes) AS ranked
+              FROM (SELECT *, list_transform(range(0, length(seq)), lambda i: {at_sql('h', 'i')} * 2147483648 + i) AS hashes
+                    FROM (SELECT *, {md5_hash('seq_id', seed=5)} AS h, {md5_hash('seq_id', seed=6)} AS other FROM seqs)),
+                   (SELECT unnest([0, 1]) AS level))""",
+    "seqs",
+)
+def _(spark, d):
+    return perturb.mutation_series(sequences(spark, d), 0.0, 0.1, 0.1, replace=True, seed=5)
 
 
-@register("random_tiling", "seq_id:i frag_idx:i start:i length:i fragment:s")
+@register(
+    "random_tiling", "seq_id:i frag_idx:i start:i length:i fragment:s",
+    f"""SELECT * FROM (
+          SELECT seq_id, frag_idx, start, least(long, len - start) AS length,
+                 substr(seq, (start + 1)::BIGINT, least(long, len - start)::BIGINT) AS fragment
+          FROM (SELECT *, coalesce(sum(long - 50) OVER (PARTITION BY seq_id ORDER BY frag_idx
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+                FROM (SELECT seq_id, seq, len, frag_idx, 200 + {at_sql('h', 'frag_idx')} % 401 AS long
+                      FROM (SELECT seq_id, seq, length(seq) AS len, {md5_hash('seq_id', seed=3)} AS h,
+                                   unnest(range(0, ceil(length(seq) / 150.0)::BIGINT + 1)) AS frag_idx
+                            FROM seqs WHERE length(seq) >= 200)))
+          WHERE start = 0 OR start + 50 < len)
+        WHERE length >= 200 AND {sql_count('fragment', 'N')}::DOUBLE / length <= 0.5""",
+    "seqs",
+)
 def _(spark, d):
     return random_tiling(sequences(spark, d), 200, 600, 50, 0.5, seed=3)
 

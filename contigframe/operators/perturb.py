@@ -241,64 +241,51 @@ def n_stretch(
     return F.when(n == 0, seq).otherwise(body)
 
 
+def _mutated(text: str | None, hash_: int, other: int, n: int, replace: bool) -> str | None:
+    """The first ``n`` positions in the order of their hash, altered."""
+    if text is None:
+        return None
+    codes = _code_points(text).copy()
+    chosen = np.argsort(_hashes_at(hash_, len(codes)), kind="stable")[:n]
+    if not replace:
+        codes[chosen] = ord("N")
+    else:
+        bases = np.frombuffer(BASES.encode(), np.uint8).astype(np.uint32)
+        place = np.full(128, -1)
+        place[bases] = np.arange(4)
+        old = place[np.minimum(codes[chosen], 127)]
+        # One of the three that follow the base in a ring.
+        new = (old + 1 + (_hashes_at(other, len(codes))[chosen] % np.uint64(3)).astype(np.int64)) % 4
+        codes[chosen] = np.where(old < 0, ord("N"), bases[new])
+    return _text(codes)
+
+
 def mutation_series(
     df: DataFrame, low: float = 0.0, high: float = 1.0, step: float = 0.01,
     replace: bool = False, seed: int = 0, key: str = "seq_id", seq: str = "seq",
 ) -> DataFrame:
     """Copies of each sequence with more and more positions altered, level by level.
 
-    Positions are ranked once by hash; level j alters the first j * int(length * step) of them,
+    Positions are ranked by a hash; level j alters the first j * int(length * step) of them,
     so every level contains the one before. ``replace`` puts one of the other three bases in
-    place of N.
+    place of N, by a hash of another seed; letters other than bases become N.
     """
     levels = int(np.floor((high - low) / step + 1e-9)) + 1
-    rows = df.withColumn("_h", row_hash(key, seed=seed)).withColumn("_len", F.length(seq))
-    hashes = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.col("_len") - 1, F.lit(0))),
-        lambda i: at(F.col("_h"), i) * F.lit(1 << 31) + i,
-    )
-    ranked = rows.withColumn("_ranked", F.array_sort(hashes)).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
-    )
-    count = F.least(
-        F.col("level") * F.floor(F.col("_len") * step).cast("int"), F.col("_len")
-    )
-
-    limit = F.coalesce(F.get("_ranked", count - 1), F.lit(-1).cast("bigint"))
-
-    def rebuild(top: Column) -> Column:
-        return F.array_join(
-            F.transform(
-                letters(seq),
-                lambda ch, i: F.when(
-                    at(F.col("_h"), i) * F.lit(1 << 31) + i <= top,
-                    other_base(ch, at(F.col("_h"), i + (1 << 24))) if replace else F.lit("N"),
-                ).otherwise(ch),
-            ),
-            "",
-        )
 
-    return (
-        ranked.withColumn("n_altered", count)
-        .withColumn("_top", F.when(count > 0, limit).otherwise(F.lit(-1).cast("bigint")))
-        .withColumn(seq, rebuild(F.col("_top")))
-        .withColumn("percent", F.round((F.lit(low) + F.col("level") * step) * 100, 2))
-        .drop("_h", "_len", "_ranked", "_top")
+    @F.pandas_udf(StringType())
+    def mutate(texts: pd.Series, hashes: pd.Series, others: pd.Series, counts: pd.Series) -> pd.Series:
+        rows = zip(texts, hashes, others, counts, strict=True)
+        return pd.Series([_mutated(t, int(h), int(o), int(n or 0), replace) for t, h, o, n in rows], dtype=object)
+
+    length = F.coalesce(F.length(seq), F.lit(0))
+    count = F.least(F.col("level") * F.floor(length * step).cast("int"), length)
+    rows = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("n_altered", count)
+    hashes = [row_hash(key, seed=seed), row_hash(key, seed=seed + 1)]
+    return rows.withColumn(seq, mutate(F.col(seq), *hashes, F.col("n_altered"))).withColumn(
+        "percent", F.round((F.lit(low) + F.col("level") * step) * 100, 2)
     )
 
 
-def other_base(ch: Column, hash_: Column) -> Column:
-    """One of the three other bases; N for any letter outside A C G T."""
-    return F.when(
-        ch.isin(*BASES),
-        F.substring(
-            F.replace(F.lit(BASES), ch, F.lit("")),
-            (F.pmod(hash_, F.lit(3)) + 1).cast("int"),
-            F.lit(1),
-        ),
-    ).otherwise("N")
-
-
 def tandem_repeats(
     df: DataFrame, motif: tuple[int, int] = (3, 30), copies: int = 2000, max_len: int = 2048,
     seed: int = 0, key: str = "seq_id",
