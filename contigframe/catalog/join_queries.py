@@ -31,7 +31,6 @@ from .base import (
     SIZE,
     climb_sql,
     links_sql,
-    md5_hash,
     mers_sql,
     register,
     scored,

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, frames
 from ..functions.constants import BASE_TOKENS, CODONS, alphabet_ids
-from ..functions.picks import row_hash
 from ..operators import perturb, validate
 from ..operators import windows as W
 from ..operators.datasets import coverage_sampling, random_tiling

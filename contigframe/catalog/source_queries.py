@@ -12,7 +12,8 @@ from ..plans.training import encode_dataset
 from ..sources import encoded, results
 from ..sources import sequences as files
 from ..sources.tables import read_table
-from .base import labelled, register, sequences, vector_scores
+from . import evaluation_queries, summary_queries  # noqa: F401 (registered before these)
+from .base import REGISTRY, labelled, register, sequences, vector_scores
 from .dataset_queries import _labelled_sequences
 
 
@@ -113,6 +114,49 @@ def _(spark, d):
     return results.read_acc2taxid(spark, path)
 
 
+@register(
+    "taxdump_files", "taxid:i parent:i rank:s name:s old:i",
+    """SELECT n_nationkey + 100 AS taxid, n_regionkey + 10 AS parent, 'genus' AS rank, n_name AS name,
+              CASE WHEN n_nationkey % 5 = 0 THEN n_nationkey + 500 END AS old FROM nation""",
+)
+def _(spark, d):
+    path = _folder(spark)
+    nation = read_table(spark, d, "nation").withColumn("taxid", F.col("n_nationkey") + 100)
+    lines = {
+        "nodes": [("taxid", F.col("n_regionkey") + 10, F.lit("genus"))],
+        "names": [("taxid", "n_name", F.lit(""), F.lit("scientific name")), ("taxid", F.lit("other"), F.lit(""), F.lit("synonym"))],
+        "merged": [(F.when(F.col("n_nationkey") % 5 == 0, F.col("n_nationkey") + 500), "taxid")],
+    }
+    for name, kinds in lines.items():
+        for fields in kinds:
+            line = F.concat(F.concat_ws("\t|\t", *fields), F.lit("\t|"))
+            rows = nation.where("n_nationkey % 5 = 0") if name == "merged" else nation
+            rows.select(line).write.mode("append").text(f"{path}/{name}.dmp")
+    dump = results.read_taxdump(spark, path)
+    merged = dump["merged"].select("old", F.col("new").alias("taxid"))
+    return dump["nodes"].join(dump["names"], "taxid").join(merged, "taxid", "left")
+
+
+_FITTED = REGISTRY["fitted_thresholds"]
+
+
+@register("threshold_files", " ".join(f"{n}:{k}" for n, k in _FITTED.columns), _FITTED.body, _FITTED.ctes)
+def _(spark, d):
+    path = _folder(spark)
+    fitted = _FITTED.run(spark, d)
+    results.save_thresholds(fitted, path, "linear", 0.05)
+    return results.load_thresholds(spark, path, "linear")
+
+
+@register(
+    "sweep_files", "threshold:d f1_id:d f1_ood:d youden_j:d mcc:d", "SELECT * FROM sweep", "sweep"
+)
+def _(spark, d):
+    path = _folder(spark)
+    results.write_small_csv(REGISTRY["threshold_sweep"].run(spark, d), path, "threshold")
+    return spark.read.csv(path, header=True, inferSchema=True)
+
+
 @register(
     "encoded_files", "shard:i rows:i tokens:i",
     """SELECT shard, count(*) AS rows, sum(len(list_filter(string_split(crop, ''),

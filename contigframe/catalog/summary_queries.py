@@ -12,7 +12,6 @@ from ..operators.ordered import viral_summary, window_summary
 from ..plans.contigs import call_contigs
 from ..plans.training import calibrate_refinement
 from ..sources.results import extract_sequences, extract_windows, prediction_table
-from ..sources.tables import read_table
 from .base import (
     CLASS_LIST,
     MIN_LEN,
