@@ -315,14 +315,14 @@ def _(spark, d):
 
 @register(
     "tandem_negatives", "seq_id:s motif:s seq:s label:i",
-    f"""SELECT 'tandem_repeat_' || doc_id AS seq_id, left(motif, sz) AS motif,
-               left(repeat(left(motif, sz), 2048 // sz + 1), 2048) AS seq, 0 AS label
-        FROM (SELECT doc_id, {_MOTIF} AS motif, {_between(at_sql('h', '2'), '3', '30')} AS sz
-              FROM (SELECT doc_id, {md5_hash('doc_id', seed=13)} AS h FROM documents))""",
+    f"""SELECT 'tandem_repeat_' || seq_id AS seq_id, motif, left(repeat(motif, 2048 // length(motif) + 1), 2048) AS seq, 0 AS label
+        FROM (SELECT seq_id, substr(bases, ({at_sql('h', '3')} % (length(bases) - sz + 1) + 1)::BIGINT, sz::BIGINT) AS motif
+              FROM (SELECT *, least({_between(at_sql('h', '2'), '3', '30')}, length(bases)) AS sz
+                    FROM (SELECT seq_id, replace(seq, 'N', '') AS bases, {md5_hash('seq_id', seed=13)} AS h FROM seqs) WHERE bases <> ''))""",
+    "seqs",
 )
 def _(spark, d):
-    docs = _docs(spark, d).withColumnRenamed("doc_id", "seq_id")
-    return P.tandem_repeats(docs, seed=13)
+    return P.tandem_repeats(sequences(spark, d), seed=13)
 
 
 @register(

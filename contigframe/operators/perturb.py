@@ -288,17 +288,20 @@ def mutation_series(
 
 def tandem_repeats(
     df: DataFrame, motif: tuple[int, int] = (3, 30), copies: int = 2000, max_len: int = 2048,
-    seed: int = 0, key: str = "seq_id",
+    seed: int = 0, key: str = "seq_id", seq: str = "seq",
 ) -> DataFrame:
-    """One tandem repeat per input row: a random motif repeated and cut at ``max_len``."""
-    h = row_hash(key, seed=seed)
-    size = between(at(F.col("_h"), 2), motif[0], motif[1])
-    text = random_motif(F.col("_h"), F.col("_size"), motif[1])
+    """One tandem repeat per sequence: a motif cut from its own bases, repeated and cut at ``max_len``.
+
+    N is left out first; a sequence shorter than the motif is the motif, one without bases has no row.
+    """
+    bases = F.replace(F.upper(F.col(seq)), F.lit("N"), F.lit(""))
+    rows = df.select(key, row_hash(key, seed=seed).alias("_h"), bases.alias("_bases")).where("_bases <> ''")
+    size = F.least(between(at(F.col("_h"), 2), motif[0], motif[1]), F.length("_bases"))
+    start = between(at(F.col("_h"), 3), 0, F.length("_bases") - F.col("_size"))
     times = F.least(F.lit(copies), F.ceil(F.lit(max_len) / F.col("_size")).cast("int"))
     return (
-        df.select(key, h.alias("_h"))
-        .withColumn("_size", size)
-        .withColumn("motif", text)
+        rows.withColumn("_size", size)
+        .withColumn("motif", piece("_bases", start, F.col("_size")))
         .withColumn("seq", F.left(F.repeat(F.col("motif"), times), F.lit(max_len)))
         .select(
             F.concat(F.lit("tandem_repeat_"), F.col(key).cast("string")).alias(key), "motif",
