@@ -375,7 +375,26 @@ def _(spark, d):
     )
 
 
-@register("chimeras", "chimera_id:i n_classes:i len:i seq:s")
+@register(
+    "chimeras", "chimera_id:i n_classes:i len:i seq:s",
+    f"""WITH source AS (SELECT seq_id, lang, seq, length(seq) AS len, row_number() OVER (PARTITION BY lang
+                          ORDER BY {md5_hash('seq_id', seed=17)}, seq_id) - 1 AS r FROM seqs WHERE length(seq) > 0),
+             class AS (SELECT list(struct_pack(c := lang, n := n) ORDER BY lang) AS classes
+                       FROM (SELECT lang, count(*) AS n FROM source GROUP BY lang)),
+             made AS (SELECT chimera_id, {md5_hash('chimera_id', seed=17)} AS h, classes
+                      FROM (SELECT unnest(range(0, (SELECT count(*) FROM source))) AS chimera_id), class),
+             mixed AS (SELECT chimera_id, h, list_sort(list_transform(range(0, len(classes)), lambda i:
+                         struct_pack(k := {at_sql('h', 'i')}, i := i, c := classes[i + 1].c, n := classes[i + 1].n))) AS picks,
+                         [0] || list_sort([{at_sql('h', '71')} % 501, {at_sql('h', '72')} % 501]) || [500] AS edges FROM made),
+             part AS (SELECT chimera_id, h, part, picks[part + 1].c AS lang, edges[part + 2] - edges[part + 1] AS wide,
+                             {at_sql('h', 'part + 50')} % picks[part + 1].n AS r
+                      FROM (SELECT *, unnest([0, 1, 2]) AS part FROM mixed)),
+             cut AS (SELECT chimera_id, h, part, seq, len, part.lang, least(wide, len) AS size FROM part JOIN source USING (lang, r)),
+             piece AS (SELECT chimera_id, part, lang, substr(seq, ({at_sql('h', 'part + 90')} % (len - size + 1) + 1)::BIGINT, size::BIGINT) AS piece FROM cut)
+        SELECT chimera_id, count(DISTINCT lang) AS n_classes, 500 AS len, rpad(string_agg(piece, '' ORDER BY part), 500, 'N') AS seq
+        FROM piece GROUP BY chimera_id""",
+    "seqs",
+)
 def _(spark, d):
     rows = sequences(spark, d).withColumnRenamed("lang", "label").where(F.length("seq") > 0)
     # As many mixes as there are source rows.
