@@ -571,4 +571,4 @@ def test_digest_columns(spark, tmp_path):
     frame(spark, [(1, "a  b"), (2, None)]).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in REGISTRY["op1_substring_dedup"].run(spark, str(tmp_path)).collect()}
     assert rows[1].kept_sha256 == hashlib.sha256(b"a b").hexdigest() and rows[2].kept_sha256 == hashlib.sha256(b"").hexdigest()
-    assert Counter(name.split("_")[0] for name in REGISTRY) == Counter(f"op{k}" for k in range(1, 11))
+    assert Counter(name.split("_")[0] for name in REGISTRY) == Counter(f"op{k}" for k in range(1, 14))
