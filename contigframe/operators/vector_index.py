@@ -4,10 +4,14 @@ Unit vectors lie in cells, each around a pivot taken from the vectors themselves
 inequality on angles a cell of radius r holds nothing nearer to a query than the query's angle to the
 pivot less r. A first round visits the nearest cells of each query until they hold k vectors; the k-th
 of these bounds the answer, and a second round visits just the cells that may still hold something as
-near. A cell is read and shuffled once for all its queries; a query is copied to the cells it visits.
+near.
+
+The table is partitioned by cell, so cells that nobody visits are not read. Cells near each other form
+tiles of ``TILE_BYTES`` at most (a larger cell is cut by hash into tiles of its own), and queries form
+blocks of the same size by the tile nearest to them. A query is copied to the tiles it visits and a cell
+to the blocks that visit it, so a task holds one block and one tile however large the tables are, and
+vectors that leave no cell out are copied once a tile or block, not once a cell.
 
-The table is partitioned by cell, so cells that nobody visits are not read. A cell with more vectors
-than a task should hold (many copies of one vector are all in one cell) is cut into parts by hash.
 What goes to the driver and the tasks is the list of cells: ``MOST_CELLS`` pivots at most.
 
 Similarities are compared at ``DIGITS`` decimals; of equal ones the smaller id comes first.
@@ -15,6 +19,7 @@ Similarities are compared at ``DIGITS`` decimals; of equal ones the smaller id c
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,11 +32,15 @@ from pyspark.sql import functions as F
 from ..functions.picks import row_hash
 from ..functions.scores import l2_normalize
 from .lineage import cut, shared_folder
+from .skew import null_safe_join, salted_join
 
 CELL_ROWS = 1 << 13
 MOST_CELLS = 1 << 16
 DIGITS = 12
+#: Bytes of the vectors of a tile or block at most, and numbers of a matrix made at a time.
+TILE_BYTES, STRIP = 1 << 24, 1 << 21
 _SLACK = 1e-7  # of an angle, for rounding
+_BLOCK = ["_home", "_part"]
 
 
 def normalized(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -42,6 +51,13 @@ def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
 
 
+def _strips(rows: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """Parts of ``rows`` whose matrix with ``width`` columns stays small."""
+    step = max(1, STRIP // max(width, 1))
+    for at in range(0, len(rows), step):
+        yield rows.iloc[at : at + step]
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     path: str
@@ -66,8 +82,8 @@ def build_index(refs: DataFrame, path: str, model: str = "", version: str = "",
     held = spark.sparkContext.broadcast(pivots)  # MOST_CELLS vectors at most
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
+        for batch in batches:
+            for rows in _strips(batch, len(held.value)):
                 angles = _angles(np.stack(rows["embedding"].to_list()), held.value)
                 cell = angles.argmin(axis=1)
                 yield rows.assign(cell=cell.astype(np.int32), angle=angles[np.arange(len(rows)), cell])
@@ -113,33 +129,86 @@ def _first_cells(bounds: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class _Tiles:
+    """``first`` and ``number`` of the tiles of each cell; several cells may share one."""
+
+    rows: int
+    first: np.ndarray
+    number: np.ndarray
+
+
+def _tiles(index: VectorIndex, cores: int) -> _Tiles:
+    n, total = len(index.sizes), int(index.sizes.sum())
+    width = index.pivots.shape[1] if n else 1
+    # Small tables are cut into more tiles and blocks, so that every core has some.
+    rows = max(1, min(TILE_BYTES // (8 * max(width, 1)), max(1 << 10, -(-total // math.isqrt(4 * cores)))))
+    first, number = np.zeros(n, np.int64), np.maximum(-(-index.sizes // rows), 1)
+    if n:
+        leaders = index.pivots[:: math.isqrt(n)]
+        near = np.concatenate([(part @ leaders.T).argmax(axis=1) for part in np.array_split(index.pivots, -(-n * len(leaders) // STRIP))])
+        tile, held = 0, 0
+        for cell in np.argsort(near, kind="stable"):
+            if held and held + index.sizes[cell] > rows:
+                tile, held = tile + 1, 0
+            first[cell] = tile
+            held += index.sizes[cell]
+            if number[cell] > 1:
+                tile, held = tile + number[cell], 0
+    return _Tiles(rows, first, number)
+
+
+def _tiles_of(wanted: np.ndarray, tiles: _Tiles) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and tiles, each pair once, for a matrix of rows and the cells they want."""
+    row, cell = np.nonzero(wanted)
+    number = tiles.number[cell]
+    within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+    pairs = np.column_stack([np.repeat(row, number), np.repeat(tiles.first[cell], number) + within])
+    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+    return pairs[:, 0], pairs[:, 1]
+
+
 def _best(refs: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` of ``refs`` for each query, by similarity and then by id."""
     cols = ["query_id", "vec_id", "taxid", "similarity"]
     if refs.empty or queries.empty:
         return pd.DataFrame(columns=cols)
     refs = refs.sort_values("vec_id")
-    sims = np.round(np.stack(queries["embedding"].to_list()) @ np.stack(refs["embedding"].to_list()).T, DIGITS)
-    top = min(k, sims.shape[1])
-    # A stable sort of the negated values keeps the lower id on a tie.
-    order = np.argsort(-sims, axis=1, kind="stable")[:, :top]
-    rows, hits = np.repeat(np.arange(len(queries)), top), order.ravel()
-    values = (queries["query_id"].to_numpy()[rows], refs["vec_id"].to_numpy()[hits], refs["taxid"].to_numpy()[hits], sims[rows, hits])
-    return pd.DataFrame(dict(zip(cols, values, strict=True)))
-
-
-def _visit(visits: DataFrame, index: VectorIndex, k: int) -> DataFrame:
-    """The best ``k`` of each visited cell part: ``query_id, vec_id, taxid, similarity``."""
-    spark = visits.sparkSession
-    parts = [(int(c), -(-int(n) // (2 * index.cell_rows))) for c, n in zip(index.cells, index.sizes, strict=True)]
-    split = F.broadcast(spark.createDataFrame(parts or [(0, 1)], "cell int, _parts int"))  # the list of cells
-    cells = visits.select("cell").distinct()
-    refs = index.vectors(spark).select("vec_id", "taxid", "embedding", "cell").join(F.broadcast(cells), "cell", "left_semi")
-    refs = refs.join(split, "cell").withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.col("_parts")).cast("int")).drop("_parts")
-    asked = visits.join(split, "cell").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    types = dict(refs.dtypes) | dict(visits.dtypes)
+    vectors, ids, taxa = np.stack(refs["embedding"].to_list()), refs["vec_id"].to_numpy(), refs["taxid"].to_numpy()
+    top, found = min(k, len(refs)), []
+    for some in _strips(queries, len(refs)):
+        sims = np.stack(some["embedding"].to_list()) @ vectors.T
+        # What may round to the k-th value or more, then the exact order of these few.
+        least = np.partition(sims, len(refs) - top, axis=1)[:, len(refs) - top]
+        rows, hits = np.nonzero(sims >= least[:, None] - 2 * 10.0**-DIGITS)
+        values = np.round(sims[rows, hits], DIGITS)
+        # Places are in the order of the ids, so a stable sort keeps the lower id on a tie.
+        order = np.lexsort((-values, rows))
+        rows, hits, values = rows[order], hits[order], values[order]
+        counts = np.bincount(rows, minlength=len(some))
+        kept = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) < top
+        rows, hits, values = rows[kept], hits[kept], values[kept]
+        parts = (some["query_id"].to_numpy()[rows], ids[hits], taxa[hits], values)
+        found.append(pd.DataFrame(dict(zip(cols, parts, strict=True))))
+    return pd.concat(found)
+
+
+def _visit(asked: DataFrame, needed: DataFrame, index: VectorIndex, tiles: _Tiles, k: int) -> DataFrame:
+    """The best ``k`` of each visited tile: ``query_id, vec_id, taxid, similarity``.
+
+    ``asked`` has the queries once for each tile they visit, ``needed`` the cells each block visits.
+    """
+    spark = asked.sparkSession
+    places = [(int(c), int(f), int(n)) for c, f, n in zip(index.cells, tiles.first, tiles.number, strict=True)]
+    place = F.broadcast(spark.createDataFrame(places or [(0, 0, 1)], "cell int, _first int, _number int"))  # the list of cells
+    refs = index.vectors(spark).select("vec_id", "taxid", "embedding", "cell")
+    refs = refs.join(F.broadcast(needed.select("cell").distinct()), "cell", "left_semi").join(place, "cell")
+    tile = F.col("_first") + F.pmod(F.xxhash64("vec_id"), F.col("_number")).cast("int")
+    refs = salted_join(refs.withColumn("_tile", tile), needed, ["cell"], ["vec_id"]).drop("cell", "_first", "_number")
+    types = dict(refs.dtypes) | dict(asked.dtypes)
     return (
-        refs.groupBy("cell", "_part")
-        .cogroup(asked.groupBy("cell", "_part"))
+        refs.groupBy(*_BLOCK, "_tile")
+        .cogroup(asked.groupBy(*_BLOCK, "_tile"))
         .applyInPandas(
             lambda a, b: _best(a, b, k),
             f"query_id {types['query_id']}, vec_id {types['vec_id']}, taxid {types['taxid']}, similarity double",
@@ -160,38 +229,63 @@ def nearest_in_index(queries: DataFrame, index: VectorIndex, k: int = 1, visited
     (query, cell) visits are appended to ``visited``.
     """
     spark = queries.sparkSession
-    unit = cut(normalized(queries.select("query_id", "embedding").where("embedding IS NOT NULL")))
-    kind = dict(unit.dtypes)["query_id"]
-    schema = f"query_id {kind}, embedding array<double>, cell int"
-    held = spark.sparkContext.broadcast((index.pivots, index.radius, index.sizes, index.cells))  # the list of cells
-
-    def listed(rows: pd.DataFrame, wanted: np.ndarray) -> pd.DataFrame:
-        query, cell = np.nonzero(wanted)
-        out = rows[["query_id", "embedding"]].iloc[query]
-        return out.assign(cell=held.value[3][cell])
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots, radius, sizes, _ = held.value
-        for rows in batches:
-            if len(rows) and len(pivots):
-                yield listed(rows, _first_cells(_lower_bounds(rows, pivots, radius), sizes, k))
-
-    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots, radius, sizes, _ = held.value
-        for rows in batches:
-            if len(rows) and len(pivots):
+    kept = normalized(queries.select("query_id", "embedding").where("embedding IS NOT NULL"))
+    kind = dict(kept.dtypes)["query_id"]
+    tiles = _tiles(index, spark.sparkContext.defaultParallelism)
+    held = spark.sparkContext.broadcast((index.pivots, index.radius, index.sizes, index.cells, tiles))  # the list of cells
+
+    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, radius, _, _, tiles = held.value
+        for batch in batches:
+            for rows in _strips(batch, len(pivots)) if len(pivots) else ():
+                yield rows.assign(_home=tiles.first[_lower_bounds(rows, pivots, radius).argmin(axis=1)].astype(np.int32))
+
+    def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        """Queries and the cells they visit: without ``_least`` in the first round, with it in the second."""
+        pivots, radius, sizes, _, _ = held.value
+        for batch in batches:
+            for rows in _strips(batch, len(pivots)):
                 bounds = _lower_bounds(rows, pivots, radius)
-                reach = np.arccos(np.clip(rows["_least"].to_numpy(), -1.0, 1.0))[:, None]
-                yield listed(rows, (bounds <= reach + _SLACK) & ~_first_cells(bounds, sizes, k))
-
-    one = cut(unit.mapInPandas(first, schema))
-    found = cut(_visit(one, index, k))
-    # The k-th similarity of the first round; with fewer than k vectors all cells were visited.
-    least = _top(found, k).where(F.size("_hits") == k).select("query_id", (-F.element_at("_hits", -1)["d"]).alias("_least"))
-    two = cut(unit.join(least, "query_id").mapInPandas(second, schema))
-    best = _top(found.unionByName(_visit(two, index, k)), k)
-    if visited is not None:
-        visited += [one, two]
+                visits = _first_cells(bounds, sizes, k)
+                if "_least" in rows:
+                    reach = np.arccos(np.clip(rows["_least"].to_numpy(), -1.0, 1.0))[:, None]
+                    visits = bounds <= reach + _SLACK
+                yield rows, visits
+
+    def by_tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, visits in wanted(batches):
+            row, tile = _tiles_of(visits, held.value[4])
+            yield rows[["query_id", "embedding", *_BLOCK]].iloc[row].assign(_tile=tile.astype(np.int32))
+
+    def by_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, visits in wanted(batches):
+            for block, at in rows.groupby(_BLOCK).indices.items():
+                cell = held.value[3][visits[at].any(axis=0)]
+                yield pd.DataFrame({"_home": block[0], "_part": block[1], "cell": cell}).astype(np.int32)
+
+    def by_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, visits in wanted(batches):
+            query, cell = np.nonzero(visits)
+            yield pd.DataFrame({"query_id": rows["query_id"].to_numpy()[query], "cell": held.value[3][cell].astype(np.int32)})
+
+    def visit(rows: DataFrame) -> DataFrame:
+        if visited is not None:
+            visited.append(rows.mapInPandas(by_cell, f"query_id {kind}, cell int"))
+        asked = rows.mapInPandas(by_tile, f"query_id {kind}, embedding array<double>, _home int, _part int, _tile int")
+        needed = cut(rows.mapInPandas(by_block, "_home int, _part int, cell int").distinct())
+        return _visit(asked, needed, index, tiles, k)
+
+    unit = cut(kept.mapInPandas(home, f"query_id {kind}, embedding array<double>, _home int"))
+    parts = unit.groupBy("_home").agg(F.ceil(F.count(F.lit(1)) / tiles.rows).cast("int").alias("_parts"))
+    part = F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int")
+    unit = unit.join(F.broadcast(cut(parts)), "_home").withColumn("_part", part).drop("_parts")  # a row a tile
+    found = cut(visit(unit))
+    # The k-th similarity of the first round; with fewer than k vectors all cells were visited. A task of
+    # the second round meets whole cells of its block, also those of the first, so its hits stand alone.
+    once = cut(_top(found, k))
+    least = once.where(F.size("_hits") == k).select("query_id", (-F.element_at("_hits", -1)["d"]).alias("_least"))
+    again = visit(cut(null_safe_join(unit, least, ["query_id"])))
+    best = once.where(F.size("_hits") < k).unionByName(_top(again, k))
     return best.select("query_id", F.posexplode("_hits").alias("_at", "_hit")).select(
         "query_id", "_hit.vec_id", "_hit.taxid", (-F.col("_hit.d")).alias("similarity"), (F.col("_at") + 1).alias("rank"),
     )

@@ -57,6 +57,17 @@ def test_far_cells_are_not_visited(spark, tmp_path):
     assert copies < 60 * len(index.sizes) / 5
 
 
+def test_queries_are_copied_once_a_tile(spark, tmp_path, monkeypatch):
+    """Vectors without clusters leave no cell out; a query is still not copied to every cell."""
+    rng = np.random.default_rng(4)
+    r, q = frames(spark, enumerate(rng.normal(size=(1500, 16))), enumerate(rng.normal(size=(200, 16)), 5000))
+    index = V.build_index(r, str(tmp_path / "i"), cell_rows=5)
+    copies, visit = [], V._visit
+    monkeypatch.setattr(V, "_visit", lambda asked, *a: copies.append(asked.count()) or visit(asked, *a))
+    assert V.nearest_in_index(q, index, 3).count() == 600
+    assert len(index.sizes) > 100 and sum(copies) <= 200 * 6
+
+
 def test_few_references_and_none(spark, tmp_path):
     r, q = frames(spark, clustered(3, 3, 0.1, 1), clustered(4, 3, 0.1, 2))
     assert V.nearest_vectors(q, r, 5).count() == 12
