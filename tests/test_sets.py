@@ -449,3 +449,27 @@ def test_salted_joins_equal_plain_joins(spark):
     assert left.count() == 300 and left.where("n IS NULL").count() == 100
     with pytest.raises(ValueError):
         salted_join(big, small, ["k"], ["id"], how="full")
+
+
+@pytest.mark.parametrize(("k", "letters", "limits"), [(3, "ACGT", {}), (8, "ACGT", {}), (3, "ACGT", {"LISTED": 50, "WIDE_BLOCK": 40, "BLOCK": 32, "STEP": 7})])
+def test_common_kmers_need_no_index(spark, monkeypatch, k, letters, limits):
+    """Blocks meet without the index and give the links of all pairs, for copies and rows without k-mers too."""
+    rng = np.random.default_rng(6)
+    base = "".join(rng.choice(list(letters), 200))
+    rows = [(i, base[s : s + n] + "".join(rng.choice(list(letters), 5))) for i, (s, n) in enumerate(zip(rng.integers(0, 120, 150), rng.integers(10, 80, 150)))]
+    rows += [(500, "NNNN"), (501, rows[3][1]), (502, "AC")]
+    for name, value in limits.items():
+        monkeypatch.setattr(dedup, name, value)
+    monkeypatch.setattr(dedup, "_needed", lambda *a: pytest.fail("the index was built"))
+    monkeypatch.setattr(dedup, "_prunes", lambda sets: False) if k > 3 else None
+    df = spark.createDataFrame(rows, "seq_id long, seq string")
+    sets = {i: {s[j : j + k] for j in range(len(s) - k + 1) if "N" not in s[j : j + k]} for i, s in rows}
+    text, want = dict(rows), {}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            longer = (len(text[j]), -j) > (len(text[i]), -i)
+            if a and longer and len(text[i]) >= 0.6 * len(text[j]) and len(a & b) / len(a) >= 0.6:
+                want[i, j] = len(a & b) / len(a)
+    got = dedup.centre_links(df, k).collect()
+    assert len(got) == len(want) > 50
+    assert {(r.member, r.centre): pytest.approx(r.similarity) for r in got} == want
