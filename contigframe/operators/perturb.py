@@ -23,6 +23,8 @@ from .scoring import keep_confident
 from .skew import with_single
 
 BASES = "ACGT"
+#: Copies of one source made in a row.
+COPIES = 1 << 5
 
 
 def _by_hash(items: Column, hash_: Column) -> Column:
@@ -408,13 +410,13 @@ def perturb(
 ) -> DataFrame:
     """Rows of each kind, row i made from source i mod n (in key-hash order).
 
-    A source gets one copy per multiple of n that falls to its rank, so the copies are exploded
-    where the source is and nothing is joined by row number.
+    A source gets one copy per multiple of n that falls to its rank, so nothing is joined by row
+    number. A few sources with many copies each are dealt to tasks once per ``COPIES`` copies.
     """
     ranked = hash_rank(df, [], key, seed, "_rank")
     # Ranked once for all kinds.
     rows = cut(with_single(ranked, df.agg(F.count(F.lit(1)).alias("_n"))))
-    parts = []
+    n, parts = rows.count(), []
     for number, kind in enumerate(plan):
         if kind["count"] <= 0:
             continue
@@ -426,10 +428,16 @@ def perturb(
             )
             continue
         last = kind["count"] - 1
-        mine = (
-            rows.where(F.col("_rank") <= last)
-            .withColumn("i", F.explode(F.sequence(F.col("_rank"), F.lit(last), F.col("_n"))))
-            .withColumn("_h", row_hash(key, "i", seed=seed + number))
+        mine = rows.where(F.col("_rank") <= last)
+        first, end = F.col("_rank"), F.lit(last)
+        if kind["count"] > COPIES * n:
+            step = F.col("_n") * COPIES
+            dealt = mine.withColumn("_first", F.explode(F.sequence(F.col("_rank"), end, step)))
+            # A number given is kept as it is; these are few rows of much work.
+            mine = dealt.repartition(min(-(-kind["count"] // (COPIES * 64)), 1 << 12), "_rank", "_first")
+            first, end = F.col("_first"), F.least(end, F.col("_first") + step - 1)
+        mine = mine.withColumn("i", F.explode(F.sequence(first, end, F.col("_n")))).withColumn(
+            "_h", row_hash(key, "i", seed=seed + number)
         )
         parts.append(
             mine.select(

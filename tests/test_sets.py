@@ -187,6 +187,19 @@ def test_perturb_counts_and_sources(spark):
     assert all(r.label == 0 for r in got)
 
 
+def test_copies_of_few_sources_are_made_by_many_tasks(spark, monkeypatch):
+    rows = [(i, "ACGTTGCA" * 5, 0) for i in range(3)]
+    df = spark.createDataFrame(rows, "seq_id long, seq string, label int").coalesce(1)
+    plan = [{"kind": "n_stretch", "count": 4000}]
+    monkeypatch.setattr(perturb, "COPIES", 4000)
+    whole = {(r.i, r.seq) for r in perturb.perturb(df, plan, seed=2).collect()}
+    monkeypatch.setattr(perturb, "COPIES", 4)
+    got = perturb.perturb(df, plan, seed=2).withColumn("task", F.spark_partition_id()).collect()
+    assert {r.i for r in got} == set(range(4000)) and len(got) == 4000
+    assert {(r.i, r.seq) for r in got} == whole
+    assert len({r.task for r in got}) > 4
+
+
 def test_duplicates(spark):
     rng = random.Random(7)
     base = dna(rng, 400)
