@@ -77,8 +77,8 @@ def refine_windows(
 ) -> DataFrame:
     """Merge an ambiguous pair first, then withhold a call below its class limits.
 
-    ``taus`` has one row per class, so its size is that of the class list. A called class without
-    a row is an error.
+    ``taus`` has one row per class, so its size is that of the class list: it is copied to the
+    windows, which stay where they are. A called class without a row is an error.
     """
     pairs = MERGED_PAIRS if pairs is None else pairs
     limits = taus.select(F.col("class").alias("top_class"), "tau_logit", "tau_margin", F.lit(True).alias("_known"))
@@ -91,7 +91,7 @@ def refine_windows(
     refined = F.coalesce(merged, F.when(low, F.lit("unknown")).otherwise(F.col("top_class")))
     without = F.raise_error(F.concat(F.lit("no limits for class "), F.coalesce("top_class", F.lit("null")))).cast("string")
     return (
-        df.join(limits, "top_class", "left")
+        df.join(F.broadcast(limits), "top_class", "left")
         .withColumn("refined", F.when(F.col("_known"), refined).otherwise(without))
         .drop("tau_logit", "tau_margin", "_known")
     )
