@@ -10,13 +10,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.dna import _col, let, piece
-from ..functions.frames import letters
-from ..functions.picks import at, between, row_hash, unit
+from ..functions.frames import first_places, letter_parts, letters, places_within
+from ..functions.picks import SPACE, at, between, row_hash, unit
 from .datasets import hash_rank
 from .lineage import cut
 from .scoring import keep_confident
@@ -42,16 +43,21 @@ def _text(codes: np.ndarray) -> str:
     return codes.astype("<u4").tobytes().decode("utf-32-le")
 
 
-def _hashes_at(hash_: int, n: int) -> np.ndarray:
-    """``picks.at`` for positions 0 to n - 1."""
-    space = np.uint64((1 << 32) - 1)
-    x = (np.uint64(hash_) + np.arange(n, dtype=np.uint64) * np.uint64(2654435761)) & space
+def _hashes(hash_: int | np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """``picks.at`` for each position."""
+    space = np.uint64(SPACE - 1)
+    x = (np.asarray(hash_).astype(np.uint64) + positions.astype(np.uint64) * np.uint64(2654435761)) & space
     for _ in range(2):
         x = (x * np.uint64(1664525) + np.uint64(1013904223)) & space
         x ^= x >> np.uint64(15)
     return x
 
 
+def _hashes_at(hash_: int, n: int) -> np.ndarray:
+    """``picks.at`` for positions 0 to n - 1."""
+    return _hashes(hash_, np.arange(n))
+
+
 def _permuted(text: str | None, hash_: int, k: int) -> str | None:
     if text is None:
         return None
@@ -316,21 +322,22 @@ def augment(
     seq: Column | str, hash_: Column, rate: float, shuffle: bool = False, letters_out: str = "ATGC"
 ) -> Column:
     """Replace each base with probability ``rate`` by a random letter (maybe the same one)."""
-    seq = _col(seq)
-    changed = F.array_join(
-        F.transform(
-            letters(seq),
-            lambda ch, i: F.when(
-                unit(at(hash_, i + 1)) < rate,
-                F.substring(
-                    F.lit(letters_out),
-                    (F.pmod(at(hash_, i + (1 << 24)), F.lit(len(letters_out))) + 1).cast("int"),
-                    F.lit(1),
-                ),
-            ).otherwise(ch),
-        ),
-        "",
-    )
+    choice = _code_points(letters_out)
+
+    @F.arrow_udf(StringType())
+    def change(texts: pa.Array, hashes: pa.Array) -> pa.Array:
+        seeds = hashes.fill_null(0).to_numpy(zero_copy_only=False)
+        out: list[str] = []
+        for rows, codes, sizes in letter_parts(texts):
+            own, place = np.repeat(seeds[rows], sizes), places_within(sizes)
+            hit = np.flatnonzero(_hashes(own, place + 1) / float(SPACE) < rate)
+            codes = codes.copy()
+            codes[hit] = choice[_hashes(own[hit], place[hit] + (1 << 24)) % np.uint64(len(choice))]
+            whole, begin = _text(codes), first_places(sizes)
+            out += [whole[a:z] for a, z in zip(begin, begin + sizes, strict=True)]
+        return pa.array(out, pa.string(), mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+    changed = change(_col(seq), hash_)
     return shuffle_bases(changed, at(hash_, 7)) if shuffle else changed
 
 
