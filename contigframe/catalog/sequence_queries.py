@@ -374,7 +374,7 @@ def _(spark, d):
     # A crop of fewer codons has no steps; its frames are padded.
     return rows.select(
         "seq_id", "start", F.when(F.size(F.get("f", F.lit(0))) >= 30, text).alias("steps"),
-        F.transform("f", lambda x: frames.pad_or_truncate(x, 30)).alias("padded"),
+        frames.pad_frames(F.col("f"), 30).alias("padded"),
     )
 
 

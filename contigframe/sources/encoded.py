@@ -7,7 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import label_one_hot, one_hot, pad_or_truncate
+from ..functions.frames import label_one_hot, one_hot, pad_frames
+from ..operators.lineage import cut
 from ..operators.skew import with_single
 
 
@@ -44,7 +45,7 @@ def read_encoded(
     for name in features:
         value = F.col(name)
         if pad_to is not None:
-            value = F.transform(value, lambda f: pad_or_truncate(f.cast("array<int>"), pad_to))
+            value = pad_frames(value.cast("array<array<int>>"), pad_to)
         if one_hot_depth is not None:
             value = F.transform(value, lambda f: one_hot(f, one_hot_depth))
         out.append(value.alias(name))
@@ -57,7 +58,7 @@ def union_padded(parts: list[DataFrame], feature: str, value: int = 0) -> DataFr
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    sized = every.withColumn("length", F.size(feature))
+    sized = cut(every.withColumn("length", F.size(feature)))  # read twice
     longest = sized.agg(F.max("length").alias("_width"))
     return (
         with_single(sized, longest)
