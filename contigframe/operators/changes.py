@@ -28,38 +28,93 @@ from .ordered import merge_ranges
 
 CHUNK = 1 << 16
 DIGITS = 9
+#: Steps after which the candidates are packed anew.
+STRIP = 64
+#: Cells of the matrices of tracks that take steps together.
+CELLS = 1 << 16
 _NEVER = np.iinfo(np.int64).max
 
 
-def advance(scores: np.ndarray, at: int, state: list[np.ndarray], penalty: float, min_size: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The start of the last segment of the best cut up to each position, and the state after them.
+def _packed(state: list[np.ndarray], live: np.ndarray) -> list[np.ndarray]:
+    """The live candidates of each row, moved to the front in their order."""
+    order = np.argsort(~live, axis=1, kind="stable")[:, : max(1, int(live.sum(axis=1).max(initial=0)))]
+    return [np.take_along_axis(x, order, axis=1) for x in state]
+
+
+def _matrices(states: Sequence[Sequence[np.ndarray]], room: int) -> list[np.ndarray]:
+    """States of different sizes as matrices, one row each, with room for more candidates."""
+    width = max(len(s[0]) for s in states) + room
+    out = [np.zeros((len(states), width), kind) for kind in (np.int64, float, float, float, np.int64)]
+    out[4][:] = -1
+    for n, state in enumerate(states):
+        for into, x in zip(out, state, strict=True):
+            into[n, : len(x)] = x
+    return out
+
+
+def advance(
+    scores: Sequence[np.ndarray], at: np.ndarray, states: Sequence[Sequence[np.ndarray]], penalties: np.ndarray, min_size: int
+) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """For each track: the start of the last segment of the best cut up to each position, and the
+    state after them.
 
     ``at`` positions came before. The state holds, for each candidate start, its position, cost,
-    sums of scores and of squares up to it, and the position at which it is dropped.
+    sums of scores and of squares up to it, and the position at which it is dropped. All tracks take
+    a step together; after ``STRIP`` steps dropped candidates are left out.
     """
-    pos, cost, one, two, drop = state
-    sums, squares = np.cumsum(scores), np.cumsum(scores * scores)
-    back = np.zeros(len(scores), np.int64)
-    for k in range(len(scores)):
-        t = at + k + 1
-        live = drop > t
-        if not live.all():
-            pos, cost, one, two, drop = (x[live] for x in (pos, cost, one, two, drop))
-        open_ = np.searchsorted(pos, t - min_size, "right")
-        if open_:
-            d = sums[k] - one[:open_]
-            values = np.round(cost[:open_] + (squares[k] - two[:open_]) - d * d / (t - pos[:open_]), DIGITS)
-            least = values.min()
-            back[k] = pos[np.flatnonzero(values == least)[-1]]
-            mine = np.round(least + penalty, DIGITS)
+    order = np.argsort([-len(x) for x in scores], kind="stable")
+    sizes = np.array([len(scores[n]) for n in order])
+    at, penalties = at[order], penalties[order]
+    padded = np.zeros((len(order), sizes[0]))
+    for row, n in enumerate(order):
+        padded[row, : sizes[row]] = scores[n]
+    sums, squares = np.cumsum(padded, axis=1), np.cumsum(padded * padded, axis=1)
+    back = np.zeros(padded.shape, np.int64)
+    state = _matrices([states[n] for n in order], 0)
+    done: list[list[np.ndarray]] = [[]] * len(order)
+    for begin in range(0, sizes[0], STRIP):
+        rows = int((sizes > begin).sum())  # longer tracks come first
+        state = [x[:rows] for x in _packed(state, state[4] > (at[: len(state[4])] + begin)[:, None])]
+        old, steps = state[0].shape[1], min(STRIP, int(sizes[0]) - begin)
+        state = [np.concatenate([x, np.full((rows, steps), -1 if k == 4 else 0, x.dtype)], axis=1) for k, x in enumerate(state)]
+        for k in range(steps):
+            on = int((sizes > begin + k).sum())
+            pos, cost, one, two, drop = (x[:on, : old + k] for x in state)
+            t = (at[:on] + begin + k + 1)[:, None]
+            now, square = sums[:on, begin + k, None], squares[:on, begin + k, None]
+            open_ = (drop > t) & (pos <= t - min_size)
+            d = now - one
+            values = np.round(cost + (square - two) - d * d / np.where(open_, t - pos, 1), DIGITS)
+            values[~open_] = np.inf
+            least = values.min(axis=1, keepdims=True)
+            any_ = np.isfinite(least[:, 0])
+            back[:on, begin + k] = np.where(any_, np.where(open_ & (values == least), pos, 0).max(axis=1), 0)
+            mine = np.round(least + penalties[:on, None], DIGITS)
             # A change point here serves as well as such a start, once a segment fits behind it.
-            drop[:open_] = np.where(values >= mine, np.minimum(drop[:open_], t + min_size), drop[:open_])
-            pos, cost = np.append(pos, t), np.append(cost, mine)
-            one, two, drop = np.append(one, sums[k]), np.append(two, squares[k]), np.append(drop, _NEVER)
-    # Sums go on from zero in the next chunk.
-    if len(scores):
-        one, two = one - sums[-1], two - squares[-1]
-    return back, [pos, cost, one, two, drop]
+            np.minimum(drop, t + min_size, out=drop, where=open_ & (values >= mine))
+            new = (t[:, 0], np.where(any_, mine[:, 0], 0.0), now[:, 0], square[:, 0], np.where(any_, _NEVER, -1))
+            for x, value in zip(state, new, strict=True):
+                x[:on, old + k] = value
+        # Tracks that end here; sums go on from zero in the next chunk.
+        for row in range(int((sizes > begin + steps).sum()), rows):
+            last = sizes[row] - 1
+            live = state[4][row] > at[row] + sizes[row]
+            pos, cost, one, two, drop = (x[row][live] for x in state)
+            done[row] = [pos, cost, one - sums[row, last], two - squares[row, last], drop]
+    out: list = [None] * len(order)
+    for row, n in enumerate(order):
+        out[n] = (back[row, : sizes[row]], done[row])
+    return out
+
+
+def _alike(tracks: Sequence[np.ndarray], states: Sequence[Sequence[np.ndarray]]) -> Iterator[np.ndarray]:
+    """Numbers of the tracks that take steps together: of similar size, in matrices of bounded size."""
+    sizes = np.array([max(len(x), min(len(x), STRIP) + len(s[0])) for x, s in zip(tracks, states, strict=True)])
+    order, start = np.argsort(sizes, kind="stable"), 0
+    for n in range(1, len(order) + 1):
+        if n == len(order) or (n + 1 - start) * sizes[order[n]] > CELLS:
+            yield order[start:n]
+            start = n
 
 
 def _first(penalty: float) -> list[np.ndarray]:
@@ -90,12 +145,12 @@ def change_points(
 
     def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                state = _first(r[2]) if r[4] is None else [np.array(x) for x in r[4:9]]
-                back, state = advance(np.array(r[3], float), r[1] * chunk, state, r[2], min_size)
-                out.append((r[0], r[1], r[2], back, *state))
-            yield pd.DataFrame(out, columns=["_key", "_chunk", "_penalty", "_back", *_STATE])
+            given = [(r[0], r[1], r[2], np.array(r[3], float), _first(r[2]) if r[4] is None else r[4:9]) for r in rows.itertuples(index=False)]
+            for part in _alike([g[3] for g in given], [g[4] for g in given]):
+                keys, numbers, levels_, scores, states = zip(*[given[n] for n in part], strict=True)
+                made = advance(scores, np.array(numbers) * chunk, states, np.array(levels_), min_size)
+                out = [(k, n, p, back, *state) for k, n, p, (back, state) in zip(keys, numbers, levels_, made, strict=True)]
+                yield pd.DataFrame(out, columns=["_key", "_chunk", "_penalty", "_back", *_STATE])
 
     done, state = [], None
     for wave in range(waves):

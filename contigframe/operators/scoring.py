@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from itertools import product
+from operator import and_
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from ..functions.dna import let, share
+from ..functions.dna import BASES, let, share
+from ..functions.frames import letter_parts
 from ..functions.scores import log_softmax, sigmoid, softmax, top_index
+from .lineage import cut
 from .skew import with_single
 
 
@@ -58,18 +65,69 @@ def score_windows(
     return df.mapInPandas(run, schema)
 
 
+def _counted(codes: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Text number, k-mer and count of the distinct k-mers of A C G T in each of many texts."""
+    digit = np.full(129, 4, np.int64)
+    digit[[ord(b) for b in BASES]] = range(4)
+    digits = digit[np.minimum(codes, 128)]
+    own, n = np.repeat(np.arange(len(sizes)), sizes), max(len(codes) - k + 1, 0)
+    ids, good = np.zeros(n, np.int64), own[:n] == own[len(own) - n :]
+    for j in range(k):
+        if j and j % 16 == 0:
+            ids = np.unique(ids, return_inverse=True)[1]
+        ids = ids * 4 + digits[j : j + n]
+        good &= digits[j : j + n] < 4
+    at, all_mers = np.flatnonzero(good), 4**k
+    if len(sizes) * all_mers <= 1 << 22:
+        counts = np.bincount(own[at] * all_mers + ids[at], minlength=len(sizes) * all_mers)
+        found = np.flatnonzero(counts)
+        names = np.array(["".join(m) for m in product(BASES, repeat=k)], object)
+        return found // all_mers, names[found % all_mers], counts[found]
+    ids = np.unique(ids[at], return_inverse=True)[1]
+    wide = len(ids) + 1
+    found, first, counts = np.unique(own[at] * wide + ids, return_index=True, return_counts=True)
+    text = codes.astype("<u4").tobytes().decode("utf-32-le")
+    return found // wide, [text[i : i + k] for i in at[first]], counts
+
+
+def kmer_counts(seq: Column | str, k: int) -> Column:
+    """Distinct k-mers of A C G T of each text, with their counts: array of ``kmer, n``.
+
+    An entry with an empty k-mer holds the number of all.
+    """
+    kind = StructType([StructField("kmer", StringType()), StructField("n", LongType())])
+
+    @F.arrow_udf(ArrayType(kind))
+    def counts(texts: pa.Array) -> pa.Array:
+        made = []
+        for _, codes, sizes in letter_parts(texts):
+            own, mers, n = _counted(codes, sizes, k)
+            every = np.arange(len(sizes))
+            total = np.bincount(own, n, len(sizes)).astype(np.int64)
+            order = np.argsort(np.concatenate([every, own]), kind="stable")
+            names = np.array([*[""] * len(sizes), *mers], object)[order]
+            values = pa.StructArray.from_arrays(
+                [pa.array(names, pa.string()), pa.array(np.concatenate([total, n])[order], pa.int64())], ["kmer", "n"]
+            )
+            offsets = np.concatenate([[0], np.cumsum(1 + np.bincount(own, minlength=len(sizes)))])
+            made.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
+        return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.struct([("kmer", pa.string()), ("n", pa.int64())])))
+
+    return counts(F.col(seq) if isinstance(seq, str) else seq)
+
+
 def fit_kmer_profile(df: DataFrame, k: int, label: str = "label", seq: str = "window"):
     """Log share of every k-mer within its class, with one added count: ``label, kmer, weight,
     unseen``, the last the weight of any k-mer the class has not.
 
-    K-mers are counted inside the map tasks first: what is shuffled is at most one row per
-    task, class and k-mer.
+    K-mers are counted inside each window, then inside the map tasks: what is shuffled is at most
+    one row per task, class and k-mer.
     """
     counts = (
-        df.select(label, F.explode(kmer_array(F.col(seq), k)).alias("kmer"))
-        .where(F.col("kmer").rlike("^[ACGT]+$"))
+        df.select(label, F.inline(kmer_counts(seq, k)))
+        .where("kmer <> ''")
         .groupBy(label, "kmer")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
     totals = counts.groupBy(label).agg((F.sum("n") + 4**k).alias("total"))
     return counts.join(totals, label).select(
@@ -77,13 +135,8 @@ def fit_kmer_profile(df: DataFrame, k: int, label: str = "label", seq: str = "wi
     )
 
 
-def kmer_array(seq: Column, k: int) -> Column:
-    """All k-mers of a window-sized string, in order."""
-    last = F.length(seq) - k
-    return F.when(
-        last >= 0,
-        F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(seq, i + 1, F.lit(k))),
-    ).otherwise(F.array().cast("array<string>"))
+#: K-mers up to this length make a profile small enough to be copied to the windows.
+COPIED_K = 6
 
 
 def score_kmer_profile(
@@ -93,21 +146,24 @@ def score_kmer_profile(
     """Mean log share of the k-mers of each window under every class: ``keys, label, score``.
 
     K-mers with other letters than A C G T are left out; one the class has not counts with the
-    class's ``unseen`` weight. A window without any k-mer has the score null in every class.
+    class's ``unseen`` weight. A window without any k-mer has the score null in every class, as has
+    one with a null key. The windows are read once: their distinct k-mers meet the profile, in
+    which each class has an empty k-mer that every window holds.
     """
-    mers = df.select(*keys, F.explode(kmer_array(F.col(seq), k)).alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
-    counted = mers.groupBy(*keys, "kmer").agg(F.count(F.lit(1)).alias("n"))
-    totals = counted.groupBy(*keys).agg(F.sum("n").alias("_all"))
-    above = (F.col("n") * (F.col("weight") - F.col("unseen"))).alias("_above")
-    hits = counted.join(profile, "kmer").select(*keys, label, above).groupBy(*keys, label).agg(F.sum("_above").alias("_above"))
+    profile = cut(profile)
     classes = profile.groupBy(label).agg(F.first("unseen").alias("unseen"))
-    listed = classes.agg(F.collect_list(F.struct(label, "unseen")).alias("_classes"))  # the class list
-    every = with_single(df.select(*keys).join(totals, list(keys), "left"), listed)
-    every = every.select(*keys, "_all", F.inline("_classes"))
-    return every.join(hits, [*keys, label], "left").select(
-        *keys, label,
-        F.when(F.col("_all") > 0, F.coalesce("_above", F.lit(0.0)) / F.col("_all") + F.col("unseen")).alias("score"),
+    empty = classes.select(label, F.lit("").alias("kmer"), F.col("unseen").alias("weight"), "unseen")
+    known = profile.select(label, "kmer", "weight", "unseen").unionByName(empty)
+    met = df.select(*keys, F.inline(kmer_counts(seq, k))).join(F.broadcast(known) if k <= COPIED_K else known, "kmer")
+    whole = F.col("kmer") == ""
+    per = met.groupBy(*keys, label).agg(
+        F.count_if(whole).cast("int").alias("_rows"), F.sum(F.when(whole, F.col("n"))).alias("_all"),
+        F.sum(F.col("n") * (F.col("weight") - F.col("unseen"))).alias("_above"), F.max("unseen").alias("unseen"),
     )
+    named = reduce(and_, [F.col(c).isNotNull() for c in keys])
+    score = F.when((F.col("_all") > 0) & named, F.col("_above") / F.col("_all") + F.col("unseen"))
+    # A row for each window, also where keys repeat.
+    return per.select(*keys, label, score.alias("score"), F.explode(F.array_repeat(F.lit(1), F.col("_rows"))).alias("_one")).drop("_one")
 
 
 def combine_models(
