@@ -32,6 +32,8 @@ DIGITS = 9
 STRIP = 64
 #: Cells of the matrices of tracks that take steps together.
 CELLS = 1 << 16
+#: Windows that one task sorts to join them to ranges.
+SORTED = 1 << 18
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -231,6 +233,7 @@ def segment_by_changes(
     taken. Segments with a mean score above ``sensitivity`` are regions; touching ones are merged,
     and the score is that of the merged region.
     """
+    track = cut(track.select(key, order, score).where(F.col(order).isNotNull()))  # read three times
     segments = cut(change_points(track, score, penalties, min_size, key, order, chunk))
     counts = segments.groupBy(key, "penalty").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # One row for each penalty of a contig.
@@ -248,6 +251,8 @@ def _mean_of(ranges: DataFrame, track: DataFrame, score: str, key: str, order: s
     windows = track.select(
         F.col(key).alias("_k"), F.floor(F.col(order) / width).alias("_s"), F.col(order).alias("_w"), F.col(score).cast("double").alias("_x")
     )
+    # So many parts that the windows sorted in one task are bounded.
+    windows = windows.repartition(max(32, -(-track.count() // SORTED)), "_k", "_s")
     met = strips.join(windows, (F.col(key) == F.col("_k")) & (F.col("_strip") == F.col("_s")))
     inside = met.where((F.col("_w") >= F.col("first_window")) & (F.col("_w") < F.col("end_window")))
     return inside.groupBy(key, "first_window", "end_window").agg(F.avg("_x").alias("score"))
