@@ -10,6 +10,10 @@ from .lineage import cut
 from .skew import salted_join
 
 
+#: Votes that one task counts.
+VOTES = 1 << 20
+
+
 def resolve_merged(df: DataFrame, merged: DataFrame, taxid: str = "taxid") -> DataFrame:
     """Replace ids that have been merged into others."""
     lookup = merged.select(F.col("old").alias(taxid), F.col("new").alias("_new"))
@@ -50,13 +54,19 @@ def majority_lca(
     """Deepest taxon found in more than ``fraction`` of the hit lineages of each key.
 
     Hits are counted per key and taxon before the lineages are attached, so a taxon hit by very
-    many windows is one row per key; the join is salted for taxa common to many keys.
+    many windows is one row per key; the join is salted for taxa common to many keys. A row becomes
+    as many votes as its lineage is long, so votes are dealt by their number, not by the size of the
+    rows before.
     """
-    counts = hits.groupBy(key, "taxid").agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(hits.groupBy(key, "taxid").agg(F.count(F.lit(1)).alias("_n")))
+    longest = (closure.agg(F.max("distance").alias("m")).first()["m"] or 0) + 1
+    parts = min(max(32, -(-counts.count() * longest // VOTES)), 1 << 14)
     totals = counts.groupBy(key).agg(F.sum("_n").alias("n_hits"))
     depth = closure.groupBy("taxid").agg(F.max("distance").alias("_depth"))
     votes = (
         salted_join(counts, closure.select("taxid", "ancestor"), ["taxid"], [key])
+        .select(key, "ancestor", "_n")
+        .repartition(parts, key, "ancestor")
         .groupBy(key, "ancestor")
         .agg(F.sum("_n").alias("votes"))
     )
