@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.dna import _col, let, piece
-from ..functions.frames import first_places, letter_parts, letters, places_within
+from ..functions.dna import _col, piece
+from ..functions.frames import first_places, letter_parts, places_within
 from ..functions.picks import SPACE, at, between, row_hash, unit
 from .datasets import hash_rank
 from .lineage import cut
@@ -203,50 +203,24 @@ def n_stretch(
     )
     gaps = hashed_cuts(40, count, n - stretch)
 
-    def masked(b: Column) -> Column:
-        return let(
-            gaps,
-            lambda g: F.transform(
-                letters(seq),
-                lambda ch, i: F.when(
-                    F.exists(
-                        F.transform(
-                            g,
-                            lambda start, k: (i >= start + F.get(b, k))
-                            & (i < start + F.get(b, k + 1)),
-                        ),
-                        lambda hit: hit,
-                    ),
-                    F.lit("N"),
-                ).otherwise(ch),
-            ),
-        )
+    @F.pandas_udf(StringType())
+    def mask(texts: pd.Series, hashes: pd.Series, single: pd.Series, edges: pd.Series, starts: pd.Series) -> pd.Series:
+        rows = zip(texts, hashes, single, edges, starts, strict=True)
+        return pd.Series([t and _stretched(t, int(h), int(p), b, g) for t, h, p, b, g in rows], dtype=object)
 
-    def with_points(chars: Column) -> Column:
-        free = F.array_sort(
-            F.filter(
-                F.transform(
-                    chars, lambda ch, i: F.when(ch != "N", at(hash_, i + 1000) * (1 << 20) + i)
-                ),
-                lambda x: x.isNotNull(),
-            )
-        )
-        limit = F.coalesce(F.get(free, points - 1), F.lit(-1).cast("bigint"))
-        return let(
-            F.when(points > 0, F.coalesce(limit, F.lit(-1))).otherwise(F.lit(-1).cast("bigint")),
-            lambda top: F.array_join(
-                F.transform(
-                    chars,
-                    lambda ch, i: F.when(
-                        (ch != "N") & (at(hash_, i + 1000) * (1 << 20) + i <= top), F.lit("N")
-                    ).otherwise(ch),
-                ),
-                "",
-            ),
-        )
+    return mask(seq, hash_, points, bounds, gaps)
 
-    body = let(let(bounds, masked), with_points)
-    return F.when(n == 0, seq).otherwise(body)
+
+def _stretched(text: str, hash_: int, points: int, bounds: Sequence[int], gaps: Sequence[int]) -> str:
+    """N in the stretches, and at the ``points`` other letters with the smallest hashes."""
+    codes = _code_points(text).copy()
+    for k, start in enumerate(gaps):
+        codes[int(start + bounds[k]) : int(start + bounds[k + 1])] = ord("N")
+    free = np.flatnonzero(codes != ord("N"))
+    if 0 < points <= len(free):
+        keys = _hashes(hash_, free + 1000).astype(np.int64) * (1 << 20) + free
+        codes[free[keys <= np.partition(keys, points - 1)[points - 1]]] = ord("N")
+    return _text(codes)
 
 
 def _mutated(text: str | None, hash_: int, other: int, n: int, replace: bool) -> str | None:
