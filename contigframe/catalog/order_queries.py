@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import CLASSES
 from ..operators import ordered as O
 from ..operators.changes import change_points, segment_by_changes
+from ..operators.lineage import cut
 from ..operators.ranks import rank_rows
 from ..operators.regions import (
     host_class,
@@ -17,16 +18,18 @@ from ..operators.regions import (
     score_track,
     segment_regions,
 )
-from ..plans.contigs import call_regions
+from ..plans.contigs import call_regions, score_sequences
 from ..sources.tables import read_table
 from .base import (
     CLASS_LIST,
+    MIN_LEN,
     NUDGE,
     SIZE,
     STRIDE,
     argmax,
     register,
     scored,
+    scorer,
     sequences,
     share_sql,
     softmax_sql,
@@ -316,6 +319,7 @@ def _(spark, d):
     "att_alignment_length:i",
 )
 def _(spark, d):
-    return call_regions(
-        sequences(spark, d), scored(spark, d), CLASSES, "eukarya", SIZE, STRIDE, LONG, _HIGH
-    )
+    # Read for windows, reading frames, borders and bodies: written, so that no text is mapped again.
+    rows = cut(sequences(spark, d).select("seq_id", "seq"))
+    windows = score_sequences(rows, scorer(), SIZE, STRIDE, MIN_LEN, mask=False)
+    return call_regions(rows, windows, CLASSES, "eukarya", SIZE, STRIDE, LONG, _HIGH)

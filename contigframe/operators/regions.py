@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import reverse_complement, rounded_skew, share
+from ..functions.dna import rounded_skew, share
 from ..functions.scores import names_of, softmax, top_index
 from .lineage import cut
 from .ordered import CHUNK, frame_over, neighbours, running, scale_range
-from .skew import salted_join
+from .skew import null_safe_join, salted_join
 from .windows import blocks, make_windows
 
 STOPS = ("TAA", "TAG", "TGA")
 CODON_BLOCK = 3 << 11
+# Blocks whose codons are held at once.
+SLICE = 256
+# Numbers of the letters; a codon with OTHER is above all others.
+OTHER = 64
+LETTER_OF = np.full(256, OTHER, np.int16)
+LETTER_OF[list(b"ACGT")] = range(4)
 
 
 def host_class(scored: DataFrame, classes: Sequence[str], key: str, probs: str) -> DataFrame:
@@ -158,61 +166,108 @@ def snap_boundaries(
     )
 
 
+def _codon_kinds() -> np.ndarray:
+    """For each strand and codon number, 1 for a start and 2 for a stop; others 0."""
+    kinds = np.zeros((2, OTHER * 21 + 1), np.uint8)
+    for codon in ("ATG", *STOPS):
+        back = codon[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        for strand, word in enumerate((codon, back)):
+            x, y, z = ("ACGT".index(c) for c in word)
+            kinds[strand, 16 * x + 4 * y + z] = 1 if codon == "ATG" else 2
+    return kinds
+
+
+def _codon_events(texts: Sequence[str], begins: np.ndarray, lengths: np.ndarray, whole: np.ndarray, min_len: int):
+    """Starts and stops of some blocks that a frame over a block border can need, and the frames
+    that lie between two stops of one block.
+
+    Yields per strand: block number, place along the strand, whether it is a stop, and the end
+    of the frame (-1 for a start or stop). Blocks with ``whole`` give every start and stop.
+    """
+    data = np.frombuffer(b"##".join([*[t.encode("ascii", "replace") for t in texts], b""]), np.uint8)
+    sizes = np.array([len(t) + 2 for t in texts], np.int64)
+    firsts = np.cumsum(sizes) - sizes
+    letters = LETTER_OF[data]
+    codes = letters[:-2] * 16 + letters[1:-1] * 4 + letters[2:]
+    for strand, kinds in enumerate(_codon_kinds()):
+        kind = kinds[codes]
+        hits = np.flatnonzero(kind)
+        block = np.searchsorted(firsts, hits, "right") - 1
+        at = begins[block] + hits - firsts[block]
+        at = lengths[block] - at - 3 if strand else at
+        order = np.argsort((block * 3 + at % 3) << 32 | at, kind="stable")
+        block, at, stop = block[order], at[order], kind[hits][order] == 2
+        # A stretch holds starts, then the stop that closes it, if it lies in this block.
+        group = block * 3 + at % 3
+        fresh = np.ones(len(at) + 1, bool)
+        fresh[1:-1] = group[1:] != group[:-1]
+        head = fresh[:-1].copy()
+        head[1:] |= stop[:-1]
+        first = np.flatnonzero(head)
+        last = np.append(first[1:], len(at))[: len(first)] - 1
+        opened, closed, started = ~fresh[first], stop[last], ~stop[first]
+        inside = opened & closed & ~whole[block[first]]
+        keep = whole[block]
+        keep[first[started & ~inside]] = True
+        keep[last[closed & (~opened | fresh[last + 1])]] = True
+        keep[first[opened & ~closed] - 1] = True
+        orf = inside & started & (at[last] + 3 - at[first] >= min_len)
+        rows = np.concatenate([np.flatnonzero(keep), first[orf]])
+        ends = np.concatenate([np.full(keep.sum(), -1), at[last[orf]] + 3])
+        yield block[rows], at[rows], stop[rows], ends
+
+
 def orf_intervals(
     df: DataFrame, min_len: int = 90, key: str = "seq_id", seq: str = "seq", chunk: int = 1 << 18
 ) -> DataFrame:
     """Open reading frames, ATG to stop, on both strands: 0-based half-open ``start, end``.
 
-    Only start and stop codons become rows. The last stop before a codon names its open stretch;
-    the first ATG of the stretch and the stop that closes it are the frame.
+    A frame between two stops of one block is found there. Of the others, only the outer starts
+    and stops of a block become rows: the last stop before a codon names its open stretch; the
+    first ATG of the stretch and the stop that closes it are the frame. The rows of a key that
+    comes more than once are one sequence; there, all starts and stops become rows.
     """
-    wanted = [*STOPS, "ATG"]
-    swap = {"A": "T", "T": "A", "G": "C", "C": "G"}
-    both = [*wanted, *["".join(swap[c] for c in reversed(w)) for w in wanted]]
-    # Codons are cut and tested inside their block; only starts and stops become rows.
-    rows = blocks(df.select(key, F.col(seq).alias("_seq"), F.length(seq).alias("_len")),
-                  "_seq", 2, CODON_BLOCK)
-
-    def in_frame(offset: int) -> Column:
-        codons = F.regexp_extract_all(
-            F.substr("block", F.lit(offset + 1)), F.lit("..."), F.lit(0)
-        )
-        placed = F.transform(
-            codons,
-            lambda c, i: F.when(
-                c.isin(*both), F.struct(c.alias("kmer"), (i * 3 + offset).alias("shift"))
-            ),
-        )
-        return F.array_compact(placed)
-
-    found = [in_frame(offset) for offset in range(3)]
-    codons = rows.select(
-        key, "_len", "block_start", F.inline_outer(F.concat(*found))
-    ).where("kmer IS NOT NULL").withColumn("start", F.col("block_start") + F.col("shift"))
-    back = reverse_complement("kmer")
-    marks = F.array(
-        F.struct(F.lit("+").alias("strand"), F.col("kmer").alias("codon"),
-                 F.col("start").alias("at")),
-        F.struct(F.lit("-").alias("strand"), back.alias("codon"),
-                 (F.col("_len") - F.col("start") - 3).alias("at")),
+    ids = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeated = cut(ids.select(key, F.lit(True).alias("_whole")))
+    rows = blocks(
+        null_safe_join(df.select(key, F.col(seq).alias("_seq"), F.length(seq).alias("_len")), repeated, [key], "left"),
+        "_seq", 2, CODON_BLOCK,
     )
-    events = (
-        codons.select(key, "_len", F.inline(marks))
-        .where(F.col("codon").isin(*wanted))
-        .withColumn("frame", F.col("at") % 3)
-        .withColumn("_stop", F.when(F.col("codon").isin(*STOPS), F.col("at")))
-    )
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                own, length, begin, whole, text = batch.slice(i, SLICE).columns
+                length, begin, whole = (np.array(x.to_pylist(), np.int64) for x in (length, begin, whole))
+                found = _codon_events(text.to_pylist(), begin, length, whole.astype(bool), min_len)
+                for strand, (block, at, stop, end) in zip("+-", found, strict=True):
+                    none = end < 0
+                    columns = [
+                        own.take(pa.array(block)), pa.array(length[block].astype(np.int32)), pa.array([strand] * len(at), pa.string()),
+                        pa.array((at % 3).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(stop),
+                        pa.array(end.astype(np.int32), mask=none),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["_key", "_len", "strand", "frame", "at", "_is_stop", "_to"])
+
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"_key {kind}, _len int, strand string, frame int, at int, _is_stop boolean, _to int"
+    cols = [key, "_len", "block_start", F.coalesce("_whole", F.lit(False)).cast("int").alias("_whole"), "block"]
+    # Read twice: written, so that no codon is cut again.
+    found = cut(rows.select(*cols).mapInArrow(find, schema).withColumnRenamed("_key", key))
+    events = found.where("_to IS NULL").drop("_to").withColumn("_stop", F.when(F.col("_is_stop"), F.col("at")))
     keys = [key, "strand", "frame"]
     named = running(events, keys, "at", {"_after": ("max", "_stop")}, chunk, inclusive=False)
-    orfs = (
+    across = (
         named.groupBy(*keys, F.coalesce("_after", F.lit(-1)).alias("_after"))
         .agg(
-            F.min(F.when(F.col("codon") == "ATG", F.col("at"))).alias("_from"),
+            F.min(F.when(~F.col("_is_stop"), F.col("at"))).alias("_from"),
             (F.min("_stop") + 3).alias("_to"),
             F.max("_len").alias("_len"),
         )
         .where((F.col("_to") - F.col("_from")) >= min_len)
     )
+    within = found.where("_to IS NOT NULL").withColumnRenamed("at", "_from")
+    orfs = across.drop("_after").unionByName(within.drop("_is_stop"))
     plus = F.col("strand") == "+"
     return orfs.select(
         key, "strand", "frame",

@@ -8,6 +8,10 @@ key, so a long run (or a low-complexity stretch) yields its first pair and not o
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,35 +31,43 @@ MATCH = 2
 MISMATCH = 100
 LONG_REPEAT = 250
 LETTERS = "ACGT"
+LETTER_OF = np.full(256, 4, np.int32)
+LETTER_OF[list(LETTERS.encode())] = range(4)
+# Texts whose k-mers are held at once.
+SLICE = 64
+
+
+def _kmers(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """K-mers of A C G T: text number, position, the letters as a number, and the letter before
+    (its place in LETTERS; 4 for none)."""
+    data = np.frombuffer(b"#".join([b"", *[(t or "").encode("ascii", "replace") for t in texts], b"#" * SEED]), np.uint8)
+    sizes = np.array([len(t or "") + 1 for t in texts], np.int64)
+    letters = LETTER_OF[data]
+    n = len(data) - SEED + 1
+    codes, bad = np.zeros(n, np.int32), np.cumsum(np.append(0, letters == 4))
+    for i in range(SEED):
+        codes = codes * 4 + letters[i : i + n]
+    at = np.flatnonzero(bad[SEED:] == bad[:n])
+    firsts = np.cumsum(sizes) - sizes + 1
+    text = np.searchsorted(firsts, at, "right") - 1
+    return text, (at - firsts[text]).astype(np.int32), codes[at], letters[at - 1]
 
 
 def _seeds(df: DataFrame, id_: str, text: str, edge: str) -> DataFrame:
-    """K-mers of A C G T with their position and the letter before (``edge`` if none)."""
-    def kmers_at(offset: int) -> Column:
-        parts = F.regexp_extract_all(
-            F.substr(text, F.lit(offset + 1)), F.lit(".{%d}" % SEED), F.lit(0)
-        )
-        return F.array_compact(
-            F.transform(
-                parts,
-                lambda m, n: F.when(
-                    ~m.rlike(f"[^{LETTERS}]"),
-                    F.struct((n * SEED + offset).alias("pos"), m.alias("kmer")),
-                ),
-            )
-        )
+    """K-mers of A C G T, as numbers, with their position and the letter before (``edge`` if none)."""
+    before = pa.array([*LETTERS, edge])
 
-    # One linear pass per offset; the k-mers of an end come in no particular order.
-    found = F.concat(*[kmers_at(offset) for offset in range(SEED)])
-    prev = F.when(F.col("pos") == 0, F.lit(edge)).otherwise(piece(text, F.col("pos") - 1, 1))
-    return (
-        df.select(id_, "kind", text, F.inline_outer(found))
-        .where("pos IS NOT NULL")
-        .select(
-            id_, "kind", "pos", "kmer",
-            F.when(prev.isin(*LETTERS), prev).otherwise(edge).alias("prev"),
-        )
-    )
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                own, kind, texts = batch.slice(i, SLICE).columns
+                row, pos, kmer, prev = _kmers(texts.to_pylist())
+                row = pa.array(row)
+                columns = [own.take(row), kind.take(row), pa.array(pos), pa.array(kmer), before.take(pa.array(prev))]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "kind", "pos", "kmer", "prev"])
+
+    schema = f"_id {df.schema[id_].dataType.simpleString()}, kind string, pos int, kmer int, prev string"
+    return df.select(id_, "kind", text).mapInArrow(find, schema).withColumnRenamed("_id", id_)
 
 
 def _common_length(a: Column, i: Column, b: Column, j: Column) -> Column:
@@ -89,13 +101,13 @@ def best_runs(ends: DataFrame, id_: str) -> DataFrame:
         id_, "kind", F.regexp_replace("front", f"[^{LETTERS}]", "#").alias("front"),
         F.regexp_replace("rear", f"[^{LETTERS}]", "~").alias("rear"),
     )
-    left = _seeds(safe, id_, "front", "^")
+    left = _seeds(ends, id_, "front", "^")
     options = F.array(*[F.lit(c) for c in LETTERS + "$"])
     left = left.select(
         id_, "kind", "kmer", F.col("pos").alias("i"),
         F.explode(F.filter(options, lambda c: c != F.col("prev"))).alias("prev"),
     )
-    right = _seeds(safe, id_, "rear", "$").withColumnRenamed("pos", "j")
+    right = _seeds(ends, id_, "rear", "$").withColumnRenamed("pos", "j")
     pairs = left.join(right, [id_, "kind", "kmer", "prev"]).select(id_, "kind", "i", "j")
     runs = (
         pairs.join(safe, [id_, "kind"])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contigframe.operators import decode
+from contigframe.operators import decode, regions
 from contigframe.operators import ordered as O
 from contigframe.operators.ranks import (
     exact_quantiles,
@@ -258,3 +258,19 @@ def test_open_reading_frames(spark, chunk):
     got = orf_intervals(df, 30, chunk=chunk).collect()
     for i, s in rows:
         assert {(r.strand, r.start, r.end) for r in got if r.seq_id == i} == brute_orfs(s, 30)
+
+
+def test_few_codons_become_rows(spark, monkeypatch):
+    """Frames inside a block and over block borders; only a block's outer starts and stops are carried along."""
+    rng = random.Random(4)
+    long = "".join(rng.choice("ACGT") for _ in range(40_000))
+    far = "ATG" + "GCC" * 6_000 + "TAA" + "N" * 50 + "TTA" + "GCC" * 5_000 + "CAT"
+    rows = [(1, long), (None, far), (3, "ACGTN" * 9), (4, "AT"), (5, None)]
+    df = spark.createDataFrame(rows, "seq_id long, seq string")
+    carried = []
+    monkeypatch.setattr(regions, "running", lambda events, *a, **b: carried.append(events.count()) or O.running(events, *a, **b))
+    got = orf_intervals(df, 30).collect()
+    for i, s in rows:
+        assert {(r.strand, r.start, r.end) for r in got if r.seq_id == i} == brute_orfs(s or "", 30)
+    n_blocks = sum(len(s or "") // regions.CODON_BLOCK + 1 for _, s in rows)
+    assert len(got) == len({(r.seq_id, r.strand, r.start, r.end) for r in got}) and carried[0] <= 24 * n_blocks
