@@ -1,7 +1,9 @@
 """Cases in which rows, depth or draws once ran out."""
 
 import math
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from contigframe.operators import datasets, refine, scoring, taxonomy
 from pyspark.sql import functions as F
@@ -67,3 +69,28 @@ def test_unseen_kmers_count_and_no_window_is_lost(spark):
     assert got[1, "A"] == pytest.approx(math.log(1 / 19)) and got[1, "B"] == pytest.approx(math.log(1 / 21))
     assert got[2, "A"] == pytest.approx(math.log(4 / 19)) and got[2, "B"] == pytest.approx(math.log(1 / 21))
     assert got[3, "A"] is None and got[3, "B"] is None
+
+
+def test_blocks_and_fragments_are_held_a_few_at_a_time(spark, monkeypatch):
+    """An Arrow batch of many blocks and a block with very many draws, as a large input has them."""
+    steps, frame = [], type(spark.range(1))
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema: steps.append(f) or plain(self, f, schema))
+    df = spark.createDataFrame([("a", "ACGT" * 20)], "seq_id string, seq string")
+    datasets.coverage_sampling(df, 50, 100, 1.0, max_n=0.5)
+    count, _, select = steps
+    names = ["key", "_len", "_lengths", "block_start", "block"]
+    lists = pa.array([range(200, 230)] * 2000, pa.list_(pa.int32()))
+    ints = pa.array([5000] * 2000, pa.int32())
+    many = pa.RecordBatch.from_arrays([pa.array(["a"] * 2000), ints, lists, pa.array([0] * 2000, pa.int32()), pa.array(["ACGT" * 1174] * 2000)], names)
+    tracemalloc.start()
+    assert sum(x.num_rows for x in count(iter([many]))) == 60_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6
+    text = "".join("ACGT"[i % 7 % 4] for i in range(4000))
+    draws = pa.array([[{"draw": i, "length": 50 + i % 51, "nth": i % 900} for i in range(10_000)]])
+    one = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([4000], pa.int32()), pa.array([0], pa.int32()), pa.array([text]), draws], list("abcde"))
+    assert max(x.num_rows for x in select(iter([one]))) <= datasets.FRAGMENTS_HELD
+    got = pa.Table.from_batches(select(iter([one]))).to_pylist()
+    assert [r["draw"] for r in got] == [*range(10_000)] and all(r["start"] == r["draw"] % 900 and r["fragment"] == text[r["start"] :][: r["length"]] for r in got)
