@@ -486,3 +486,42 @@ def test_common_kmers_need_no_index(spark, monkeypatch, k, letters, limits):
     got = dedup.centre_links(df, k).collect()
     assert len(got) == len(want) > 50
     assert {(r.member, r.centre): pytest.approx(r.similarity) for r in got} == want
+
+
+def all_links(rows, k):
+    """Links of all pairs of (key, text), keys in order, None last: to longer texts, or equally long ones before."""
+    sets = [{s[j : j + k] for j in range(len(s) - k + 1) if "N" not in s[j : j + k]} for _, s in rows]
+    order = [(-len(s), key is None, key or "") for key, s in rows]
+    out = {}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if a and order[j] < order[i] and len(rows[i][1]) >= 0.6 * len(rows[j][1]) and len(a & b) >= 0.6 * len(a):
+                out[i, j] = len(a & b) / len(a)
+    return out
+
+
+@pytest.mark.parametrize("k", [3, 8])
+def test_runs_of_centres_are_met_without_copies(spark, monkeypatch, k):
+    """The links of all pairs, and the best of each, from many blocks and runs; nothing is shuffled for them."""
+    rng = random.Random(5)
+    base = dna(rng, 900)
+    rows = [(f"s{i}", base[(a := rng.randrange(800)) : a + rng.choice((40, 60, 60, 60, 90))] + dna(rng, 3)) for i in range(240)]
+    rows += [(None, rows[9][1][:-1] + "N"), ("é", "N" * 50), ("t", "ACGTACGTN" * 4)]
+    for name, value in {"HELD_ROWS": 60, "WIDE_BLOCK": 16}.items():
+        monkeypatch.setattr(dedup, name, value)
+    monkeypatch.setattr(dedup, "_prunes", lambda sets: False)
+    df = spark.createDataFrame(rows, "seq_id string, seq string")
+    want = all_links(rows, k)
+    links = dedup.centre_links(df, k)
+    assert "Exchange" not in links._jdf.queryExecution().toString()
+    assert Counter((r.member, r.centre) for r in links.collect()) == Counter((rows[i][0], rows[j][0]) for i, j in want)
+    best = {}
+    for i, j in want:
+        best.setdefault(i, []).append(((-len(rows[j][1]), rows[j][0] is None, rows[j][0] or ""), j))
+    best = {rows[i][0]: rows[min(js)[1]][0] for i, js in best.items()}
+
+    def end(key):
+        return end(best[key]) if key in best else key
+
+    got = {r.seq_id: r.representative for r in dedup.non_redundant(df, k).collect()}
+    assert got == {key: end(key) for key, _ in rows} and len(want) > 200
