@@ -525,3 +525,11 @@ def test_runs_of_centres_are_met_without_copies(spark, monkeypatch, k):
 
     got = {r.seq_id: r.representative for r in dedup.non_redundant(df, k).collect()}
     assert got == {key: end(key) for key, _ in rows} and len(want) > 200
+
+
+def test_only_ends_that_lead_on_are_copied(spark, monkeypatch):
+    copied, join = [], dedup.salted_join
+    monkeypatch.setattr(dedup, "salted_join", lambda big, small, *a, **b: copied.append(small.count()) or join(big, small, *a, **b))
+    links = [(i, 0) for i in range(1, 200)] + [(i, i - 199) for i in range(300, 320)]
+    got = {r.member: r.rep for r in dedup.follow_links(spark.createDataFrame(links, "member long, centre long")).collect()}
+    assert got == dict.fromkeys((i for i, _ in links), 0) and sum(copied) == 20
