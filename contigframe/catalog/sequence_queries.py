@@ -326,7 +326,7 @@ _ONE = "list_transform(range(0, {n}), lambda i: CASE WHEN {test} THEN 1 ELSE 0 E
 
 
 @register(
-    "one_hot_bases", "seq_id:i start:i skipped:ll plain:ll back:l label_cells:l",
+    "one_hot_bases", "seq_id:i start:i skipped:lli plain:lli back:li label_cells:l",
     f"""SELECT seq_id, start,
           list_transform(t, lambda x: {_ONE.format(n=4, test="x > 0 AND x - 1 = i")}) AS skipped,
           list_transform(t, lambda x: {_ONE.format(n=4, test="x > 0 AND x = i")}) AS plain,
@@ -337,13 +337,13 @@ _ONE = "list_transform(range(0, {n}), lambda i: CASE WHEN {test} THEN 1 ELSE 0 E
     "crops",
 )
 def _(spark, d):
+    # The steps of a column follow each other in one Python worker.
     tokens = frames.letter_tokens("crop", BASE_TOKENS)
-    rows = _crops(spark, d).select("seq_id", "start", tokens.alias("t"))
-    skipped = frames.one_hot(F.col("t"), 5)
-    return rows.select(
-        "seq_id", "start", F.transform(skipped, lambda c: F.slice(c, 1, 4)).alias("skipped"),
-        frames.one_hot(F.col("t"), 4, skip_zero=False).alias("plain"),
-        frames.one_hot_to_tokens(F.transform(skipped, lambda c: F.slice(c, 1, 4)), 4).alias("back"),
+    skipped = frames.first_cells(frames.one_hot(tokens, 5, batches=True), 4)
+    return _crops(spark, d).select(
+        "seq_id", "start", skipped.alias("skipped"),
+        frames.one_hot(tokens, 4, skip_zero=False, batches=True).alias("plain"),
+        frames.one_hot_to_tokens(skipped, 4, batches=True).alias("back"),
         frames.label_one_hot(F.col("seq_id") % 6, 6).alias("label_cells"),
     )
 

@@ -301,3 +301,44 @@ def test_coverage_is_reached_once(spark, circular):
 def test_rounded_skew_is_half_even(spark):
     got = one(spark, dna.rounded_skew(F.lit(9), F.lit(7)), dna.rounded_skew(F.lit(0), F.lit(0)))
     assert math.isclose(got[0], 0.12) and got[1] == 0.0
+
+
+def test_one_hot_cells_of_batches(spark):
+    """Batches, constants and the plain expression agree, for odd tokens, nulls and empty rows too."""
+    rows = [(1, [0, 1, 4, 9, -3, None, 3]), (2, []), (3, None), (4, [2])]
+    df = spark.createDataFrame(rows, "id int, t array<int>")
+
+    def plain(t, depth, skip):
+        return [int(t is not None and 0 < t < depth and i == t - skip) for i in range(depth)]
+
+    for depth, skip in ((5, True), (4, False), (200, True)):
+        made = [frames.one_hot(F.col("t"), depth, skip, batches=b).alias(n) for b, n in ((False, "a"), (True, "b"))]
+        for r in df.select("t", *made).collect():
+            assert r.a == r.b == (None if r.t is None else [plain(t, depth, skip) for t in r.t])
+    cells = spark.createDataFrame([([[0, 1, 1], [], None, [0, None, 0], [1]],), (None,), ([],)], "c array<array<int>>")
+    got = cells.select(*[frames.one_hot_to_tokens(F.col("c"), 3, batches=b).alias(n) for n, b in (("t", True), ("u", False))], frames.first_cells(F.col("c"), 2).alias("f")).collect()
+    assert [r.t for r in got] == [r.u for r in got] == [[1, 3, 3, 3, 0], None, []]
+    assert [r.f for r in got] == [[[0, 1], [], None, [0, None], [1]], None, []]
+
+
+def test_text_of_number_lists(spark):
+    one_level = [[1, 2], [0], [], None, [12, -3], [None, 5], [None]]
+    two_levels = [[[1, 2], [3]], [[4]], None, [], [[], [1]], [None, [1, None]], [[10], [-1, 2]], [[7, 7, 7]]]
+    for rows, kind, by in ((one_level, "array<int>", (",",)), (two_levels, "array<array<bigint>>", (",", "|"))):
+        for some in (rows, rows[:2], rows[:3]):
+            df = spark.createDataFrame([(i, r) for i, r in enumerate(some)], f"i int, c {kind}").coalesce(1)
+            text = F.array_join(F.col("c").cast("array<string>"), ",") if len(by) == 1 else F.array_join(
+                F.transform(F.col("c").cast("array<array<string>>"), lambda x: F.array_join(x, ",")), "|")
+            got = df.select(text.alias("want"), frames.numbers_text(F.col("c"), *by).alias("got")).collect()
+            assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_one_hot_text_stays_in_one_worker(spark, tmp_path):
+    """From the crop to the text of its cells, no list of cells goes through the JVM."""
+    from contigframe.catalog import REGISTRY
+
+    docs = [(1, "Some words, and more of them. " * 9, "en", "x", 270)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = REGISTRY["one_hot_bases"].run(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and found.count() == 3
