@@ -90,49 +90,105 @@ def _doubled(n: int) -> range:
     return range(max(1, (n - 1).bit_length()))
 
 
-def _pair_walk(text: str, seed: int) -> str:
-    """Another order of the same letter pairs, found without walking from letter to letter.
+def _sorted_by(groups: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The order by group, then value (below 2^32), then place."""
+    if groups.max(initial=0) >= 1 << 31:
+        return np.lexsort((values, groups))
+    keys = groups.astype(np.int64) << 32 | values.astype(np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    return order if (keys[1:] > keys[:-1]).all() else np.lexsort((values, groups))
+
+
+def _pair_walks(codes: np.ndarray, sizes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """For each text, another order of the same letter pairs, found without walking from letter to letter.
 
     A pair is an edge between its letters, and one more edge leads from the last letter back to the
     first. Each edge into a letter is followed by an edge out of it, drawn at random; that gives
     cycles. Cycles that meet at a letter become one by exchanging what follows there. Doubled
-    pointers give the cycle of every edge, and in the end its place on the only cycle left.
+    pointers give the cycle of every edge, and in the end its place on the only cycle left. All
+    texts of a part take these steps together.
     """
-    codes = _code_points(text)
     n = len(codes)
-    if n < 3:
-        return text
-    _, from_ = np.unique(codes, return_inverse=True)
-    to = np.roll(from_, -1)  # edge k leads from letter k to the one after; the last back to the first
-    into = np.argsort(to, kind="stable")
+    if not n:
+        return codes
+    full = np.flatnonzero(sizes)
+    first, size = first_places(sizes)[full], sizes[full]
+    last, text = first + size - 1, np.repeat(np.arange(len(full)), size)
+    letters, from_ = np.unique(codes, return_inverse=True)
+    to = np.empty(n, np.int64)  # edge k leads from letter k to the one after; the last back to the first
+    to[:-1] = from_[1:]
+    to[last] = from_[first]
+    into = _sorted_by(text * len(letters) + to, np.arange(n))
     follow = np.empty(n, np.int64)
-    follow[into] = np.lexsort((_hashes_at(seed, n), from_))
+    follow[into] = _sorted_by(text * len(letters) + from_, _hashes(np.repeat(seeds[full], size), places_within(size)))
+    rounds = _doubled(int(size.max()))
     cycle, step = np.arange(n), follow
-    for _ in _doubled(n):
+    for _ in rounds:
         cycle, step = np.minimum(cycle, cycle[step]), step[step]
-    _, cycle = np.unique(cycle, return_inverse=True)
-    merged = np.arange(cycle.max() + 1)
-    ends = np.searchsorted(to[into], np.arange(from_.max() + 2))
-    for letter in range(from_.max() + 1):
-        edges = into[ends[letter] : ends[letter + 1]]
-        met, first = np.unique(merged[cycle[edges]], return_index=True)
-        if len(met) > 1:
-            follow[edges[first]] = np.roll(follow[edges[first]], 1)
-            merged[np.isin(merged, met)] = met[0]
+    is_first = cycle == np.arange(n)
+    cycle = (np.cumsum(is_first) - 1)[cycle]
+    text_of, merged = text[is_first], np.arange(is_first.sum())
+    letter = to[into]
+    into = into[np.argsort(letter.astype(np.uint16) if len(letters) < 1 << 16 else letter, kind="stable")]
+    seen = np.empty(len(merged), np.int64)
+    for edges in np.split(into, np.cumsum(np.bincount(letter, minlength=len(letters)))[:-1]):
+        if len(edges) < 2:
+            continue
+        met_at = merged[cycle[edges]]
+        seen[merged] = -1
+        seen[met_at[::-1]] = np.arange(len(edges))[::-1]  # the first edge of a cycle is written last
+        met = np.flatnonzero((seen >= 0) & (merged == np.arange(len(merged))))
+        own = text_of[met]
+        begins = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        counts = np.diff(np.append(begins, len(met)))
+        before = np.arange(len(met)) - 1
+        before[begins] = begins + counts - 1
+        at = edges[seen[met]]
+        follow[at] = follow[at][before]
+        one = np.arange(len(merged))
+        one[met] = np.repeat(met[begins], counts)
+        merged = one[merged]
     # Steps from each edge to the one that leads back.
-    ahead, step = np.ones(n, np.int64), follow.copy()
-    ahead[-1], step[-1] = 0, n - 1
-    for _ in _doubled(n):
+    ahead, step = np.ones(n, np.int64), follow
+    ahead[last], step[last] = 0, last
+    for _ in rounds:
         ahead, step = ahead + ahead[step], step[step]
     out = np.empty(n, codes.dtype)
-    out[n - 1 - ahead] = codes
-    return _text(out)
+    out[last[text] - ahead] = codes
+    return out
 
 
-@F.pandas_udf(StringType())
-def dinuc_shuffle(seq: pd.Series, hash_: pd.Series) -> pd.Series:
+#: Letters of texts that are shuffled together; a longer text is taken alone.
+WALKED = 1 << 18
+
+
+@F.arrow_udf(StringType())
+def dinuc_shuffle(seq: pa.Array, hash_: pa.Array) -> pa.Array:
     """Random sequence with the same letter pairs and the same first and last letter."""
-    return pd.Series([None if s is None else _pair_walk(s, int(h)) for s, h in zip(seq, hash_, strict=True)], dtype=object)
+    seeds, out = hash_.fill_null(0).to_numpy(zero_copy_only=False), []
+    for rows, codes, sizes in letter_parts(seq, WALKED):
+        whole, begin = _text(_pair_walks(codes, sizes, seeds[rows])), first_places(sizes)
+        out += [whole[a:z] for a, z in zip(begin, begin + sizes, strict=True)]
+    return pa.array(out, pa.string(), mask=seq.is_null().to_numpy(zero_copy_only=False))
+
+
+@F.arrow_udf(StringType())
+def sorted_pairs(seq: pa.Array) -> pa.Array:
+    """The letter pairs of each text in order, with commas between them."""
+    out = []
+    for _, codes, sizes in letter_parts(seq, WALKED):
+        pairs = np.maximum(sizes - 1, 0)
+        at = np.repeat(first_places(sizes), pairs) + places_within(pairs)
+        letters, place = np.unique(codes, return_inverse=True)  # in order
+        own = np.repeat(np.arange(len(sizes)), pairs)
+        code = np.sort((own * len(letters) + place[at]) * len(letters) + place[at + 1]) if len(at) else at
+        text = np.full((len(at), 3), ord(","), np.uint32)
+        if len(at):
+            text[:, 0], text[:, 1] = letters[code // len(letters) % len(letters)], letters[code % len(letters)]
+        whole, begin = _text(text.ravel()), 3 * first_places(pairs)
+        out += [whole[a : max(z - 1, a)] for a, z in zip(begin, begin + 3 * pairs, strict=True)]
+    return pa.array(out, pa.string())
 
 
 def repeat_window(seq: Column | str, hash_: Column, fraction: float = 0.25) -> Column:

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -533,3 +534,24 @@ def test_only_ends_that_lead_on_are_copied(spark, monkeypatch):
     links = [(i, 0) for i in range(1, 200)] + [(i, i - 199) for i in range(300, 320)]
     got = {r.member: r.rep for r in dedup.follow_links(spark.createDataFrame(links, "member long, centre long")).collect()}
     assert got == dict.fromkeys((i for i, _ in links), 0) and sum(copied) == 20
+
+
+@pytest.mark.parametrize("part", [1, 300, 1 << 18])
+def test_pairs_of_many_texts_are_shuffled_together(monkeypatch, part):
+    """A text gives the same in any company, and its letter pairs and ends stay."""
+    rng = random.Random(8)
+    texts = [dna(rng, rng.randrange(60), rng.choice(("ACGTN", "AC", "A", "é日Ab"))) for _ in range(200)] + [None, ""]
+    seeds = [rng.randrange(1 << 32) for _ in texts]
+    walks, walk = [], perturb._pair_walks
+    monkeypatch.setattr(perturb, "WALKED", part)
+    monkeypatch.setattr(perturb, "_pair_walks", lambda *a: walks.append(1) or walk(*a))
+    got = perturb.dinuc_shuffle.func(pa.array(texts), pa.array(seeds)).to_pylist()
+    assert len(walks) == 1 if part > 300 else len(walks) > 10
+    for text, seed, new in zip(texts, seeds, got):
+        codes = perturb._code_points(text or "")
+        assert (new or "") == perturb._text(walk(codes, np.array([len(codes)]), np.array([seed])))
+        if text:
+            assert Counter(zip(new, new[1:])) == Counter(zip(text, text[1:])) and (new[0], new[-1]) == (text[0], text[-1])
+    assert got[-2:] == [None, ""] and sum(a != b for a, b in zip(texts, got)) > 80
+    pairs = perturb.sorted_pairs.func(pa.array(texts)).to_pylist()
+    assert pairs == [",".join(sorted(a + b for a, b in zip(t or "", (t or "")[1:]))) for t in texts]
