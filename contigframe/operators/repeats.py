@@ -35,6 +35,8 @@ LETTER_OF = np.full(256, 4, np.int32)
 LETTER_OF[list(LETTERS.encode())] = range(4)
 # Texts whose k-mers are held at once.
 SLICE = 64
+# Letters between runs that are compared at once.
+GAPS = 1 << 21
 
 
 def _kmers(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,12 +92,121 @@ def _matches(a: Column, b: Column) -> Column:
     )
 
 
+def _shared_kmers(fronts: Sequence[str | None], rears: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal k-mers of a front and its rear with different letters before them: text number and both positions."""
+    text, i, kmer, prev = _kmers(fronts)
+    other, j, k, before = _kmers(rears)
+    left, right = text << 2 * SEED | kmer, other << 2 * SEED | k
+    order = np.lexsort((before, right))
+    right, before, j = right[order], before[order], j[order]
+    low, high = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
+    held = np.flatnonzero(high > low)
+    low, high, prev = low[held], high[held], prev[held]
+    # Those with the same letter before lie together; none is like no other.
+    both = right * 8 + before
+    same = np.where(prev < 4, right[low] * 8 + prev, -1)
+    skip, go_on = np.searchsorted(both, same, "left"), np.searchsorted(both, same, "right")
+    skip, go_on = np.where(prev < 4, skip, low), np.where(prev < 4, go_on, low)
+    out = []
+    for first, end in ((low, skip), (go_on, high)):
+        n = end - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out.append((np.repeat(text[held], n), np.repeat(i[held], n), j[at]))
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out))
+
+
+def _letters_of(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all texts (4: other ones) in a row, where each text begins and its length."""
+    sizes = np.array([len(t or "") for t in texts], np.int64)
+    data = "".join(t or "" for t in texts).encode("ascii", "replace")
+    return LETTER_OF[np.frombuffer(data, np.uint8)], np.cumsum(sizes) - sizes, sizes
+
+
+def _best_of(fronts: Sequence[str | None], rears: Sequence[str | None]) -> tuple[np.ndarray, ...]:
+    """The best alignment of each front with its rear: text number, ``a_start, b_start, length, identities, score``."""
+    text, i, j = _shared_kmers(fronts, rears)
+    a, a_first, a_size = _letters_of(fronts)
+    b, b_first, b_size = _letters_of(rears)
+    order = np.lexsort((i, j - i, text))
+    text, i, j = text[order], i[order], j[order]
+    # Each run from its first k-mer on, letter by letter, all runs together.
+    length = np.full(len(i), SEED, np.int64)
+    on = np.arange(len(i))
+    while len(on):
+        x, y = i[on] + length[on], j[on] + length[on]
+        on, x, y = (v[(x < a_size[text[on]]) & (y < b_size[text[on]])] for v in (on, x, y))
+        x, y = a[a_first[text[on]] + x], b[b_first[text[on]] + y]
+        on = on[(x == y) & (x < 4)]
+        length[on] += 1
+    # Along a diagonal, two neighbouring runs may be joined over the mismatches between them.
+    new = np.ones(len(i), bool)
+    new[1:] = (text[1:] != text[:-1]) | ((j - i)[1:] != (j - i)[:-1])
+    gap = np.zeros(len(i), np.int64)
+    gap[1:] = np.where(new[1:], 0, i[1:] - i[:-1] - length[:-1])
+    same = np.zeros(len(i), np.int64)
+    for part in np.array_split(np.flatnonzero(gap), int(gap.sum()) // GAPS + 1):
+        n = gap[part]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        x = a[np.repeat(a_first[text[part]] + i[part] - n, n) + inside]
+        y = b[np.repeat(b_first[text[part]] + j[part] - n, n) + inside]
+        same[part] = np.bincount(np.repeat(np.arange(len(part)), n), weights=(x == y) & (x < 4), minlength=len(part))
+    own = np.cumsum(new) - 1
+
+    def running(values: np.ndarray) -> np.ndarray:
+        total = np.cumsum(values)
+        return total - (total - values)[np.flatnonzero(new)][own]
+
+    total = running(MATCH * same - MISMATCH * (gap - same) + MATCH * length)
+    equal = running(same + length)
+    # The least total before a run of the diagonal up to here, and where it was first: each diagonal lies below the last.
+    base = total - MATCH * length - (own << 40)
+    least = np.minimum.accumulate(base)
+    lower = np.append(True, base[1:] < least[:-1]) if len(base) else new
+    start = np.maximum.accumulate(np.where(lower, np.arange(len(base)), 0))
+    score = total - (total - MATCH * length)[start]
+    identities = equal - (equal - length)[start]
+    # Of equal scores the first start; of these the longest.
+    order = np.lexsort((np.arange(len(i)), -j[start], -i[start], score, text))
+    order = order[np.append(text[order][1:] != text[order][:-1], True)] if len(order) else order
+    first = start[order]
+    return text[order], i[first], j[first], (i + length)[order] - i[first], identities[order], score[order]
+
+
+def _best_of_rows(ends: DataFrame, id_: str) -> DataFrame:
+    """``best_runs`` of rows that share their id and kind with no other, row by row."""
+    names = ["a_start", "b_start", "length", "identities", "score"]
+    kinds = dict(zip(names, ("int", "int", "int", "int", "bigint")))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                own, kind, fronts, rears = batch.slice(i, SLICE).columns
+                text, *values = _best_of(fronts.to_pylist(), rears.to_pylist())
+                columns = [own.take(pa.array(text)), kind.take(pa.array(text))]
+                columns += [pa.array(v, pa.int64() if kinds[n] == "bigint" else pa.int32()) for n, v in zip(names, values)]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "kind", *names])
+
+    schema = f"_id {ends.schema[id_].dataType.simpleString()}, kind string, " + ", ".join(f"{n} {t}" for n, t in kinds.items())
+    rows = ends.where(F.col(id_).isNotNull() & F.col("kind").isNotNull()).select(id_, "kind", "front", "rear")
+    return rows.mapInArrow(find, schema).withColumnRenamed("_id", id_)
+
+
 def best_runs(ends: DataFrame, id_: str) -> DataFrame:
     """Best alignment per id and kind of the columns ``front`` and ``rear``.
 
-    Both texts are bounded by the caller (a few thousand letters).
+    Both texts are bounded by the caller (a few thousand letters), so each row is searched whole where it
+    lies. Rows that share their id and kind are searched together, by a join of their k-mers.
     Returns ``a_start, b_start, length, identities, score``.
     """
+    again = cut(ends.groupBy(id_, "kind").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id_).distinct())
+    if again.isEmpty():
+        return _best_of_rows(ends, id_)
+    alone = _best_of_rows(ends.join(again, id_, "left_anti"), id_)
+    return alone.unionByName(_joined_runs(ends.join(again, id_, "left_semi"), id_))
+
+
+def _joined_runs(ends: DataFrame, id_: str) -> DataFrame:
+    """``best_runs`` by a join of k-mers."""
     # Letters outside A C G T match nothing, not even themselves.
     safe = ends.select(
         id_, "kind", F.regexp_replace("front", f"[^{LETTERS}]", "#").alias("front"),
@@ -189,15 +300,17 @@ def terminal_repeats(
     One row per contig; all null where nothing longer than 12 bases is shared.
     """
     n = scan_length(F.col("seq_len"))
+    long = F.col("seq_len") >= min_len
     tips = (
         df.select(key, F.col(seq).alias("_seq"), F.length(seq).alias("seq_len"))
-        .where(F.col("seq_len") >= min_len)
         .withColumn("n", n)
         .select(
-            key, "seq_len", "n", F.left("_seq", F.col("n")).alias("front"),
-            F.right("_seq", F.col("n")).alias("_rear"),
+            key, "seq_len", "n", F.when(long, F.left("_seq", F.col("n"))).alias("front"),
+            F.when(long, F.right("_seq", F.col("n"))).alias("_rear"),
         )
     )
+    # Used three times. Short rows go here: a filter before would be moved to the scan, with all that makes the sequence.
+    tips = cut(tips).where(long)
     ends = tips.select(key, "front", F.inline(both_kinds("_rear")))
     best = choose_kind(best_runs(ends, key), key)
     rows = tips.join(best, key, "left")

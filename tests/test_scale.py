@@ -4,7 +4,12 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from contigframe.catalog import REGISTRY, join_queries
 from contigframe.functions import dna
+from contigframe.operators import repeats
 from contigframe.operators.datasets import random_tiling
 from contigframe.operators.repeats import att_sites
 from contigframe.operators.scoring import score_windows
@@ -85,3 +90,36 @@ def test_attachment_sites(spark):
     body = other[miss.sstart : miss.eend]
     assert miss["gc%"] == (body.count("G") + body.count("C")) / len(body)
     assert (miss.sstart, miss.eend) == (30_000, 60_000) or miss.att_alignment_length < 20
+
+
+@pytest.mark.parametrize("name", ["planted_repeats"])
+def test_planted_sequences_are_made_once(spark, monkeypatch, name):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(seq):
+        made.add(1)
+        return seq
+
+    rows = table(spark, [(i, letters(900 + 300 * i, i)) for i in range(9)])
+    monkeypatch.setattr(join_queries, "sequences", lambda spark, d: rows.select("seq_id", counted("seq").alias("seq")))
+    assert REGISTRY[name].run(spark, "").count() == (8 if name == "planted_repeats" else 5)
+    assert made.value == 9
+
+
+def test_runs_are_searched_row_by_row(spark):
+    """Rows with an id of their own are not joined; others, and null ids, are what the join of k-mers makes of them."""
+    rows = []
+    for i in range(12):
+        core = letters(40, i)
+        spoilt = core[:15] + "ACGT"["ACGT".index(core[15]) - 1] + core[16:] if i % 3 else core
+        rows.append((i, "ITR" if i % 2 else "DTR", letters(90, 50 + i) + core, letters(70, 80 + i) + spoilt + "N"))
+    rows += [(20, "DTR", "AC" * 60, "AC" * 50), (21, "DTR", "A" * 50, "NA" * 30), (22, "DTR", "", None)]
+    schema = "id long, kind string, front string, rear string"
+    alone = spark.createDataFrame(rows, schema)
+    found = repeats.best_runs(alone, "id")
+    assert "Join" not in found._jdf.queryExecution().toString()
+    want = sorted(map(tuple, repeats._joined_runs(alone, "id").collect()))
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 13
+    more = spark.createDataFrame([*rows, rows[0], (None, *rows[1][1:])], schema)
+    assert sorted(map(tuple, repeats.best_runs(more, "id").collect())) == sorted(map(tuple, repeats._joined_runs(more, "id").collect()))
