@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import CLASSES
 from ..functions.dna import reverse_complement
 from ..operators import dedup, validate
-from ..operators.lineage import shared_folder
+from ..operators.lineage import cut, shared_folder
 from ..operators.regions import orf_intervals, snap_boundaries
 from ..operators.repeats import att_sites, terminal_repeats
 from ..operators.summary import add_repeats, contig_summary
@@ -379,7 +379,7 @@ def _(spark, d):
 )
 def _(spark, d):
     quarter = F.floor(F.length("seq") / 4)
-    rows = _planted(sequences(spark, d), quarter, quarter * 3, 60, F.length("seq") >= 2000)
+    rows = cut(_planted(sequences(spark, d), quarter, quarter * 3, 60, F.length("seq") >= 2000))  # read four times
     regions = rows.where(F.length("seq") >= 2000).select(
         "seq_id", quarter.alias("start"), (quarter * 3).alias("end"), F.lit(1.0).alias("score")
     )

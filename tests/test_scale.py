@@ -92,7 +92,7 @@ def test_attachment_sites(spark):
     assert (miss.sstart, miss.eend) == (30_000, 60_000) or miss.att_alignment_length < 20
 
 
-@pytest.mark.parametrize("name", ["planted_repeats"])
+@pytest.mark.parametrize("name", ["planted_repeats", "planted_sites"])
 def test_planted_sequences_are_made_once(spark, monkeypatch, name):
     made = spark.sparkContext.accumulator(0)
 
